@@ -110,3 +110,91 @@ SELECT tgt.dataset_name, tgt.traj_id, CAST(tgt.t AS BIGINT) AS t, CAST(tgt.slot
 FROM tgt JOIN norm src
   ON src.field = 'action' AND src.dataset_name = tgt.dataset_name AND src.traj_id = tgt.traj_id
  AND src.dim = tgt.dim AND src.t = least(tgt.t + tgt.slot, tgt.n - 1)"""
+
+
+W = "PARTITION BY dataset_name, traj_id"
+WO = W + " ORDER BY t"
+
+
+@oracle("binarize_gripper")
+def _():
+    dec = "CASE WHEN gripper > 0.95 THEN 1.0 WHEN gripper < 0.05 THEN 0.0 END"
+    return "WITH " + STEPS + f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t,
+  {R(f"coalesce(first_value({dec} IGNORE NULLS) OVER ({WO} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(gripper) OVER ({WO} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")} AS value
+FROM steps"""
+
+
+@oracle("rel2abs_gripper")
+def _():
+    thr = "CASE WHEN rel_gripper < -0.1 THEN 1 WHEN rel_gripper > 0.1 THEN -1 END"
+    return "WITH " + STEPS + f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t,
+  {R(f"coalesce(last_value({thr} IGNORE NULLS) OVER ({WO} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -first_value({thr} IGNORE NULLS) OVER ({WO} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1) / 2.0 + 0.5")} AS value
+FROM steps"""
+
+
+@oracle("state_delta")
+def _():
+    return "WITH " + STEPS + f""",
+nx AS (SELECT *, lead(state) OVER ({WO}) AS s2, list_concat(world_vector, rotation_delta, [gripper]) AS action FROM steps),
+rel AS (SELECT dataset_name, traj_id, t, d.dim,
+          CASE WHEN d.dim < 6 THEN s2[d.dim + 1] - state[d.dim + 1] ELSE action[7] END AS v
+        FROM nx, (SELECT unnest(range(0, 7)) AS dim) d WHERE s2 IS NOT NULL)
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, CAST(dim AS BIGINT) AS dim, {R('v')} AS value FROM rel"""
+
+
+@oracle("chunk_obs")
+def _():
+    return "WITH " + STEPS + """
+SELECT a.dataset_name, a.traj_id, CAST(a.t AS BIGINT) AS t, CAST(sl.slot AS BIGINT) AS slot, b.image,
+       (a.t - 2 + sl.slot) >= 0 AS pad_mask
+FROM steps a, (SELECT unnest(range(0, 3)) AS slot) sl, steps b
+WHERE b.dataset_name = a.dataset_name AND b.traj_id = a.traj_id AND b.t = greatest(a.t - 2 + sl.slot, 0)"""
+
+
+@oracle("chunk_action_abs")
+def _():
+    return "WITH " + STEPS + """,
+sa AS (SELECT *, list_concat(world_vector, rotation_delta, [gripper]) AS action,
+              count(*) OVER (PARTITION BY dataset_name, traj_id) AS n FROM steps),
+tg AS (SELECT a.dataset_name, a.traj_id, a.t, a.n, sl.slot, sl.slot - 1 AS off, d.dim
+       FROM sa a, (SELECT unnest(range(0, 5)) AS slot) sl, (SELECT unnest(range(0, 7)) AS dim) d)
+SELECT tg.dataset_name, tg.traj_id, CAST(tg.t AS BIGINT) AS t, CAST(tg.slot AS BIGINT) AS slot, CAST(tg.dim AS BIGINT) AS dim,
+  """ + R("CASE WHEN tg.t + tg.off > tg.n - 1 THEN (CASE WHEN tg.dim = 6 THEN b.action[tg.dim + 1] ELSE 0.0 END) ELSE b.action[tg.dim + 1] END") + """ AS value
+FROM tg JOIN sa b ON b.dataset_name = tg.dataset_name AND b.traj_id = tg.traj_id
+ AND b.t = least(greatest(tg.t + tg.off, 0), tg.n - 1)"""
+
+
+@oracle("pad_mask_dict")
+def _():
+    return "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, length(image) <> 0 AS image_mask,
+       length(language_instruction) <> 0 AS language_mask, TRUE AS gripper_mask FROM steps"""
+
+
+def _kept(where_having: str) -> str:
+    return "WITH " + STEPS + f""",
+keep AS (SELECT dataset_name, traj_id FROM steps GROUP BY dataset_name, traj_id HAVING {where_having})
+SELECT s.dataset_name, s.traj_id, count(*) AS n_steps FROM steps s SEMI JOIN keep USING (dataset_name, traj_id)
+GROUP BY s.dataset_name, s.traj_id"""
+
+
+ORACLE["skip_unlabeled"] = _kept("bool_or(language_instruction <> '')")
+ORACLE["max_action_filter"] = _kept(
+    "bool_and(list_bool_and(list_transform(list_concat(world_vector, rotation_delta, [gripper]), lambda x: abs(x) <= 450.0)))")
+ORACLE["max_proprio_filter"] = _kept("bool_and(list_bool_and(list_transform(state, lambda x: abs(x) <= 400.0)))")
+ORACLE["drop_first_step"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(t - 1 AS BIGINT) AS t, event_id FROM steps WHERE t > 0"""
+ORACLE["drop_last_step"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, event_id FROM steps
+QUALIFY t < count(*) OVER (PARTITION BY dataset_name, traj_id) - 1"""
+ORACLE["traj_len"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, count(*) AS traj_len FROM steps GROUP BY ALL"""
+ORACLE["any_all_reduce"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, bool_or(gripper > 0.95) AS any_open, bool_and(gripper > 0.01) AS all_above,
+       bool_or(list_bool_or(list_transform(list_concat(world_vector, rotation_delta, [gripper]), lambda v: v > 400))) AS any_big,
+       bool_and(list_bool_and(list_transform(state, lambda v: v >= 0))) AS all_nonneg
+FROM steps GROUP BY ALL"""
+ORACLE["chunk_filter"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t FROM steps WHERE language_instruction <> ''"""

@@ -68,3 +68,106 @@ def normalize_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("normalize_chunk")(normalize_chunk)
+
+
+# ----------------------------------------------------------------------------- sequence operators
+EP = ["dataset_name", "traj_id"]
+ABS_MASK_EEF = [False] * 6 + [True]  # EEF_POS: position/rotation relative, gripper absolute
+
+
+def _keys_t(df):
+    return df.select(*EP, F.col("t").cast("bigint").alias("t"), *[c for c in df.columns if c not in EP + ["t"]])
+
+
+@query("binarize_gripper")
+def q_binarize(spark, d):
+    st = T.steps(spark, d)
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), r6(E.binarize_gripper("gripper")).alias("value"))
+
+
+@query("rel2abs_gripper")
+def q_rel2abs(spark, d):
+    st = T.steps(spark, d)
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), r6(E.rel2abs_gripper("rel_gripper")).alias("value"))
+
+
+@query("state_delta")
+def q_state_delta(spark, d):
+    st = E.state_delta(T.steps(spark, d), "state", "action")
+    out = st.select(*EP, "t", F.posexplode("action").alias("dim", "v"))
+    return out.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
+
+
+@query("chunk_obs")
+def q_chunk_obs(spark, d):
+    st = E.chunk_obs(T.steps(spark, d), ["image"], window=3)
+    out = st.select(*EP, "t", F.posexplode(F.arrays_zip(F.col("image_chunk").alias("image"), F.col("pad_mask").alias("pad"))).alias("slot", "z"))
+    return out.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("slot").cast("bigint").alias("slot"),
+                      F.col("z.image").alias("image"), F.col("z.pad").alias("pad_mask"))
+
+
+@query("chunk_action_abs")
+def q_chunk_action_abs(spark, d):
+    st = E.chunk_action(T.steps(spark, d).select(*EP, "t", "action"), window=2, future=3, abs_mask=ABS_MASK_EEF)
+    out = explode_chunk(st, EP + ["t"], "action_chunk")
+    return out.withColumn("t", F.col("t").cast("bigint"))
+
+
+@query("pad_mask_dict")
+def q_pad_mask_dict(spark, d):
+    st = E.add_pad_mask_dict(T.steps(spark, d), ["image", "language_instruction", "gripper"])
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("pad_mask_dict.image").alias("image_mask"),
+                     F.col("pad_mask_dict.language_instruction").alias("language_mask"), F.col("pad_mask_dict.gripper").alias("gripper_mask"))
+
+
+def _episode_counts(df):
+    return df.groupBy(*EP).agg(F.count(F.lit(1)).cast("bigint").alias("n_steps"))
+
+
+@query("skip_unlabeled")
+def q_skip_unlabeled(spark, d):
+    return _episode_counts(E.skip_unlabeled(T.steps(spark, d)))
+
+
+@query("max_action_filter")
+def q_max_action(spark, d):
+    return _episode_counts(E.max_abs_filter(T.steps(spark, d), "action", 450.0))
+
+
+@query("max_proprio_filter")
+def q_max_proprio(spark, d):
+    return _episode_counts(E.max_abs_filter(T.steps(spark, d), "proprio", 400.0))
+
+
+@query("drop_first_step")
+def q_drop_first(spark, d):
+    st = E.drop_first_step(T.steps(spark, d))
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), "event_id")
+
+
+@query("drop_last_step")
+def q_drop_last(spark, d):
+    st = E.drop_last_step(T.steps(spark, d))
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), "event_id")
+
+
+@query("traj_len")
+def q_traj_len(spark, d):
+    return E.traj_lengths(T.steps(spark, d))
+
+
+@query("any_all_reduce")
+def q_any_all(spark, d):
+    st = T.steps(spark, d)
+    return st.groupBy(*EP).agg(
+        F.bool_or(F.col("gripper") > 0.95).alias("any_open"),
+        F.every(F.col("gripper") > 0.01).alias("all_above"),
+        F.bool_or(F.exists("action", lambda v: v > 400)).alias("any_big"),
+        F.every(F.forall("state", lambda v: v >= 0)).alias("all_nonneg"),
+    )
+
+
+@query("chunk_filter")
+def q_chunk_filter(spark, d):
+    st = E.chunk_filter(T.steps(spark, d), F.col("language_instruction") != "")
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"))
