@@ -198,3 +198,86 @@ SELECT dataset_name, traj_id, bool_or(gripper > 0.95) AS any_open, bool_and(grip
 FROM steps GROUP BY ALL"""
 ORACLE["chunk_filter"] = "WITH " + STEPS + """
 SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t FROM steps WHERE language_instruction <> ''"""
+
+
+SEED = 7
+GOAL = """,
+g AS (SELECT dataset_name, traj_id, t, image, language_instruction, count(*) OVER (PARTITION BY dataset_name, traj_id) AS n,
+        least(CAST(floor(""" + u01_sql(SEED, "dataset_name", "traj_id", "t") + """ * (count(*) OVER (PARTITION BY dataset_name, traj_id) - (t + 1)) + (t + 1)) AS INTEGER),
+              CAST(count(*) OVER (PARTITION BY dataset_name, traj_id) - 1 AS INTEGER)) AS goal_t
+      FROM steps),
+gg AS (SELECT g.*, b.image AS goal_image FROM g JOIN steps b
+       ON b.dataset_name = g.dataset_name AND b.traj_id = g.traj_id AND b.t = g.goal_t)"""
+
+
+@oracle("goal_uniform")
+def _():
+    return "WITH " + STEPS + GOAL + """
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, CAST(goal_t AS BIGINT) AS goal_t, goal_image,
+       length(goal_image) <> 0 AS goal_image_mask FROM gg"""
+
+
+@oracle("delete_task_conditioning")
+def _():
+    keep = f"({u01_sql(SEED + 1, 'dataset_name', 'traj_id', 't')} < 0.5 OR length(language_instruction) = 0)"
+    return "WITH " + STEPS + GOAL + f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t,
+       CAST(CASE WHEN {keep} THEN goal_t ELSE n - 1 END AS BIGINT) AS goal_t,
+       CASE WHEN {keep} THEN goal_image ELSE '' END AS goal_image,
+       CASE WHEN {keep} THEN '' ELSE language_instruction END AS language_instruction
+FROM gg"""
+
+
+@oracle("subsample")
+def _():
+    return "WITH " + STEPS + f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t FROM steps
+QUALIFY count(*) OVER (PARTITION BY dataset_name, traj_id) <= 50
+     OR row_number() OVER (PARTITION BY dataset_name, traj_id ORDER BY {u01_sql(SEED, 'dataset_name', 'traj_id', 't')}, t) <= 50"""
+
+
+@oracle("split_train_val")
+def _():
+    return "WITH " + STEPS + """,
+tr AS (SELECT DISTINCT dataset_name, traj_id FROM steps),
+rk AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY traj_id) - 1 AS r,
+              count(*) OVER (PARTITION BY dataset_name) AS n FROM tr)
+SELECT dataset_name, traj_id, CASE WHEN r < round(n * 0.95) THEN 'train' ELSE 'val' END AS split FROM rk"""
+
+
+@oracle("shuffled_read")
+def _():
+    return "WITH " + STEPS + f""",
+tr AS (SELECT DISTINCT dataset_name, traj_id FROM steps)
+SELECT dataset_name, traj_id, row_number() OVER (ORDER BY {u01_sql(SEED, 'traj_id')}, traj_id) - 1 AS pos FROM tr"""
+
+
+SHUF = f"""row_number() OVER (ORDER BY {u01_sql(SEED, 'traj_id', 't')}, traj_id, t) - 1"""
+
+
+@oracle("shuffle_frames")
+def _():
+    return "WITH " + STEPS + f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, {SHUF} AS pos FROM steps"""
+
+
+@oracle("take_val")
+def _():
+    return "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, event_id FROM steps ORDER BY dataset_name, traj_id, t LIMIT 1000"""
+
+
+@oracle("batch")
+def _():
+    return "WITH " + STEPS + f""",
+p AS (SELECT traj_id, CAST(t AS BIGINT) AS t, {SHUF} AS pos FROM steps)
+SELECT CAST(floor(pos / 16) AS BIGINT) AS batch, count(*) AS n_frames, arg_min(traj_id, pos) AS first_traj,
+       arg_min(t, pos) AS first_t FROM p GROUP BY 1"""
+
+
+@oracle("repeat")
+def _():
+    return "WITH " + STEPS + f""",
+r AS (SELECT s.*, p.pass FROM steps s, (SELECT unnest(range(0, 2)) AS pass) p)
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, CAST(pass AS BIGINT) AS pass,
+       CAST(floor({u01_sql(SEED, 'pass', 'traj_id', 't')} * 1000) AS BIGINT) AS draw FROM r"""

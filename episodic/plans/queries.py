@@ -16,6 +16,7 @@ from episodic.operators import episodes as E
 from episodic.operators import normalize as N
 from episodic.operators import stats as S
 from episodic.plans.common import explode_chunk, r6
+from episodic.functions.rand import u01
 from episodic.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +172,77 @@ def q_any_all(spark, d):
 def q_chunk_filter(spark, d):
     st = E.chunk_filter(T.steps(spark, d), F.col("language_instruction") != "")
     return st.select(*EP, F.col("t").cast("bigint").alias("t"))
+
+
+# ----------------------------------------------------------------------------- randomized / ordering
+from episodic.operators import frames as FR  # noqa: E402
+
+SEED = 7
+
+
+@query("goal_uniform")
+def q_goal_uniform(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "image")
+    g = E.goal_uniform(st, SEED, ["image"])
+    return g.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("goal_t").cast("bigint").alias("goal_t"),
+                    "goal_image", F.col("goal_pad_mask.goal_image").alias("goal_image_mask"))
+
+
+@query("delete_task_conditioning")
+def q_delete_task(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "image", "language_instruction")
+    g = E.goal_uniform(st, SEED, ["image"])
+    g = E.delete_task_conditioning(g, 0.5, SEED + 1, ["goal_image"], "language_instruction", "goal_t")
+    return g.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("goal_t").cast("bigint").alias("goal_t"),
+                    "goal_image", "language_instruction")
+
+
+@query("subsample")
+def q_subsample(spark, d):
+    st = E.subsample(T.steps(spark, d).select(*EP, "t"), 50, SEED)
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"))
+
+
+@query("split_train_val")
+def q_split(spark, d):
+    trajs = T.steps(spark, d).select(*EP).distinct()
+    tr = FR.split_train_val(trajs, train=True).withColumn("split", F.lit("train"))
+    va = FR.split_train_val(trajs, train=False).withColumn("split", F.lit("val"))
+    return tr.unionByName(va)
+
+
+@query("shuffled_read")
+def q_shuffled_read(spark, d):
+    trajs = T.steps(spark, d).select(*EP).distinct()
+    return FR.shuffle_positions(trajs, SEED, ["traj_id"], "pos")
+
+
+@query("shuffle_frames")
+def q_shuffle_frames(spark, d):
+    fr = T.steps(spark, d).select(*EP, F.col("t").cast("bigint").alias("t"))
+    return FR.shuffle_positions(fr, SEED, ["traj_id", "t"], "pos")
+
+
+@query("take_val")
+def q_take_val(spark, d):
+    fr = T.steps(spark, d).select(*EP, F.col("t").cast("bigint").alias("t"), "event_id")
+    return FR.take_val(fr, 1000, ["dataset_name", "traj_id", "t"])
+
+
+@query("batch")
+def q_batch(spark, d):
+    fr = T.steps(spark, d).select(*EP, F.col("t").cast("bigint").alias("t"))
+    pos = FR.shuffle_positions(fr, SEED, ["traj_id", "t"], "pos")
+    return FR.batch_ids(pos, 16).groupBy("batch").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_frames"),
+        F.min_by("traj_id", "pos").alias("first_traj"),
+        F.min_by("t", "pos").alias("first_t"),
+    )
+
+
+@query("repeat")
+def q_repeat(spark, d):
+    fr = T.steps(spark, d).select(*EP, F.col("t").cast("bigint").alias("t"))
+    r = FR.repeat(fr, 2)
+    return r.select(*EP, "t", F.col("pass").cast("bigint").alias("pass"),
+                    F.floor(u01(SEED, "pass", "traj_id", "t") * 1000).cast("bigint").alias("draw"))
