@@ -281,3 +281,73 @@ def _():
 r AS (SELECT s.*, p.pass FROM steps s, (SELECT unnest(range(0, 2)) AS pass) p)
 SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, CAST(pass AS BIGINT) AS pass,
        CAST(floor({u01_sql(SEED, 'pass', 'traj_id', 't')} * 1000) AS BIGINT) AS draw FROM r"""
+
+
+MIX = r"""mix AS (
+  SELECT source AS dataset_name, count(*) AS size,
+         CASE CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS weight,
+         CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) AS pos
+  FROM documents GROUP BY source),
+mw AS (SELECT *, weight / sum(weight) OVER () AS sw, weight * size / sum(weight * size) OVER () AS bw FROM mix)"""
+
+SPEC = """spec AS (
+  SELECT lang AS mix, source AS dataset_name, 1.0 / (CASE WHEN n_chars < 2000 THEN 0 WHEN n_chars < 20000 THEN 1 ELSE 2 END + 1) AS weight,
+         min(doc_id) AS pos
+  FROM documents GROUP BY lang, source, CASE WHEN n_chars < 2000 THEN 0 WHEN n_chars < 20000 THEN 1 ELSE 2 END),
+res AS (SELECT * FROM spec QUALIFY row_number() OVER (PARTITION BY mix, dataset_name ORDER BY pos) = 1)"""
+
+ORACLE["mixture_weights"] = "WITH " + MIX + f"""
+SELECT dataset_name, {R('sw')} AS w_plain, {R('bw')} AS w_balanced FROM mw"""
+ORACLE["mixture_length"] = "WITH " + MIX + """
+SELECT CAST(max(CASE WHEN weight = 1.0 THEN size / sw END) AS BIGINT) AS length_plain,
+       CAST(max(CASE WHEN weight = 1.0 THEN size / bw END) AS BIGINT) AS length_balanced FROM mw"""
+ORACLE["apportion"] = "WITH " + MIX + f""",
+a AS (SELECT dataset_name, pos, sw * {1000} AS share, floor(sw * {1000}) AS integral FROM mw),
+b AS (SELECT *, share - integral AS frac, {1000} - sum(integral) OVER () AS rest,
+             row_number() OVER (ORDER BY share - integral DESC, pos DESC) AS rk FROM a)
+SELECT dataset_name, CAST(integral + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b"""
+
+CDF = """,
+cdf AS (SELECT dataset_name, pos, sum(sw) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+               row_number() OVER (ORDER BY pos) - 1 AS idx FROM mw),
+dlen AS (SELECT CAST(max(CASE WHEN weight = 1.0 THEN size / sw END) AS BIGINT) AS n FROM mw),
+draws AS (SELECT r.draw, """ + u01_sql(SEED, "r.draw") + """ AS u FROM dlen, (SELECT unnest(range(0, (SELECT n FROM dlen))) AS draw) r),
+dd AS (SELECT draws.draw, least((SELECT count(*) FROM cdf WHERE cdf.hi <= draws.u), (SELECT count(*) FROM cdf) - 1) AS idx FROM draws),
+dds AS (SELECT dd.draw, cdf.dataset_name FROM dd JOIN cdf USING (idx))"""
+
+ORACLE["draw_to_dataset"] = "WITH " + MIX + CDF + """
+SELECT draw, dataset_name FROM dds"""
+ORACLE["mixture_draws"] = "WITH " + MIX + CDF + """,
+dk AS (SELECT draw, dataset_name, row_number() OVER (PARTITION BY dataset_name ORDER BY draw) - 1 AS k FROM dds),
+fr AS (SELECT doc_id, source AS dataset_name, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS fi,
+              count(*) OVER (PARTITION BY source) AS size FROM documents)
+SELECT dk.draw, dk.dataset_name, fr.doc_id FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size"""
+ORACLE["mixture_quota"] = "WITH " + MIX + f""",
+a AS (SELECT dataset_name, pos, sw * 1000 AS share, floor(sw * 1000) AS integral FROM mw),
+b AS (SELECT *, 1000 - sum(integral) OVER () AS rest, row_number() OVER (ORDER BY share - integral DESC, pos DESC) AS rk FROM a),
+q AS (SELECT dataset_name, CAST(integral + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b),
+fr AS (SELECT doc_id, source AS dataset_name,
+              row_number() OVER (PARTITION BY source ORDER BY {u01_sql(SEED, 'doc_id')}, doc_id) - 1 AS r,
+              count(*) OVER (PARTITION BY source) AS size FROM documents),
+c AS (SELECT fr.dataset_name, fr.doc_id, CAST(floor(q.quota / fr.size) + CASE WHEN fr.r < q.quota % fr.size THEN 1 ELSE 0 END AS BIGINT) AS copies
+      FROM fr JOIN q USING (dataset_name))
+SELECT * FROM c WHERE copies > 0"""
+ORACLE["resolve_mixture"] = "WITH " + SPEC + f"""
+SELECT mix, dataset_name, {R('weight')} AS weight, CAST(pos AS BIGINT) AS pos FROM res WHERE dataset_name <> 'src19'"""
+ORACLE["registry_join"] = "WITH " + MIX + ", " + SPEC + f"""
+SELECT res.mix, res.dataset_name, {R('res.weight')} AS weight, mix.size FROM res JOIN mix USING (dataset_name)"""
+ORACLE["registry_anti"] = """WITH c AS (SELECT DISTINCT source AS name FROM documents WHERE lang = 'de'),
+f AS (SELECT DISTINCT source AS name FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang = 'fr')
+SELECT name, 'config_only' AS side FROM c ANTI JOIN f USING (name)
+UNION ALL SELECT name, 'function_only' AS side FROM f ANTI JOIN c USING (name)"""
+ORACLE["mixture_report"] = "WITH " + MIX + f"""
+SELECT dataset_name, {R('round(sw, 6)')} AS weight, CAST(pos AS BIGINT) AS pos FROM mw"""
+ORACLE["union_datasets"] = "WITH " + STEPS + """,
+u AS (SELECT dataset_name, 7 AS dims FROM steps UNION ALL SELECT 'v' || CAST(label AS VARCHAR), len(embedding) FROM embeddings)
+SELECT dataset_name, count(*) AS n, CAST(max(dims) AS BIGINT) AS dims FROM u GROUP BY ALL"""
+ORACLE["key_difference"] = """
+SELECT conv_id, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda r: NOT list_contains(present, r))), ',') AS missing
+FROM (SELECT conv_id, list(DISTINCT role) AS present FROM conversations GROUP BY conv_id)"""
+ORACLE["views_check"] = """
+SELECT dataset_name, array_to_string(list_sort(list_filter(['de', 'en', 'es', 'fr', 'it'], lambda r: NOT list_contains(views, r))), ',') AS missing_views
+FROM (SELECT source AS dataset_name, list(DISTINCT lang) AS views FROM documents GROUP BY source)"""

@@ -246,3 +246,109 @@ def q_repeat(spark, d):
     r = FR.repeat(fr, 2)
     return r.select(*EP, "t", F.col("pass").cast("bigint").alias("pass"),
                     F.floor(u01(SEED, "pass", "traj_id", "t") * 1000).cast("bigint").alias("draw"))
+
+
+# ----------------------------------------------------------------------------- mixtures
+from episodic.operators import mixture as MX  # noqa: E402
+
+QUOTA_N = 1000
+
+
+@query("mixture_weights")
+def q_mixture_weights(spark, d):
+    m = T.mixture(spark, d)
+    a = MX.mixture_weights(m, False, "w_plain")
+    b = MX.mixture_weights(a, True, "w_balanced")
+    return b.select("dataset_name", r6("w_plain").alias("w_plain"), r6("w_balanced").alias("w_balanced"))
+
+
+@query("mixture_length")
+def q_mixture_length(spark, d):
+    m = T.mixture(spark, d)
+    a = MX.mixture_length(m, False).withColumnRenamed("mixture_length", "length_plain")
+    b = MX.mixture_length(m, True).withColumnRenamed("mixture_length", "length_balanced")
+    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
+@query("apportion")
+def q_apportion(spark, d):
+    return MX.apportion(T.mixture(spark, d), QUOTA_N).select("dataset_name", "quota")
+
+
+@query("draw_to_dataset")
+def q_draw_to_dataset(spark, d):
+    m = T.mixture(spark, d)
+    n = int(MX.mixture_length(m).first()[0])
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("u", u01(SEED, "draw"))
+    return MX.draw_to_dataset(draws, m, "u").select("draw", "dataset_name")
+
+
+def _doc_frames(spark, d):
+    return T.read_table(spark, d, "documents", ["doc_id", "source"]).withColumnRenamed("source", "dataset_name")
+
+
+@query("mixture_draws")
+def q_mixture_draws(spark, d):
+    out = MX.mixture_draws(_doc_frames(spark, d), T.mixture(spark, d), None, SEED, ["doc_id"])
+    return out.select("draw", "dataset_name", "doc_id")
+
+
+@query("mixture_quota")
+def q_mixture_quota(spark, d):
+    quotas = MX.apportion(T.mixture(spark, d), QUOTA_N)
+    out = MX.mixture_quota(_doc_frames(spark, d), quotas, SEED, "doc_id")
+    return out.select("dataset_name", "doc_id", "copies")
+
+
+@query("resolve_mixture")
+def q_resolve_mixture(spark, d):
+    spec = T.mixture_spec(spark, d)
+    invalid = spec.filter(F.col("dataset_name") == "src19").select("dataset_name")  # unsupported configuration
+    return MX.resolve_mixture(spec, invalid).select("mix", "dataset_name", r6("weight").alias("weight"), F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("registry_join")
+def q_registry_join(spark, d):
+    res = MX.resolve_mixture(T.mixture_spec(spark, d))
+    sizes = T.mixture(spark, d).select("dataset_name", "size")
+    return res.join(sizes, "dataset_name", "inner").select("mix", "dataset_name", r6("weight").alias("weight"), "size")
+
+
+@query("registry_anti")
+def q_registry_anti(spark, d):
+    docs = T.read_table(spark, d, "documents", ["doc_id", "lang", "source"])
+    labels = T.read_table(spark, d, "labels", ["doc_id"])
+    configs = docs.filter(F.col("lang") == "de").select(F.col("source").alias("name")).distinct()
+    fns = docs.join(labels, "doc_id", "left_semi").filter(F.col("lang") == "fr").select(F.col("source").alias("name")).distinct()
+    a = configs.join(fns, "name", "left_anti").withColumn("side", F.lit("config_only"))
+    b = fns.join(configs, "name", "left_anti").withColumn("side", F.lit("function_only"))
+    return a.unionByName(b)
+
+
+@query("mixture_report")
+def q_mixture_report(spark, d):
+    return MX.mixture_report(T.mixture(spark, d)).select("dataset_name", r6("weight").alias("weight"), F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("union_datasets")
+def q_union(spark, d):
+    a = T.steps(spark, d).select(*EP, "t", "action")
+    b = T.vectors(spark, d).select(*EP, "t", "action")
+    u = a.unionByName(b)
+    return u.groupBy("dataset_name").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.max(F.size("action")).cast("bigint").alias("dims"))
+
+
+@query("key_difference")
+def q_key_difference(spark, d):
+    cv = T.read_table(spark, d, "conversations", ["conv_id", "role"])
+    req = F.array(F.lit("assistant"), F.lit("system"), F.lit("user"))
+    g = cv.groupBy("conv_id").agg(F.collect_set("role").alias("present"))
+    return g.select("conv_id", F.array_join(F.array_sort(F.array_except(req, "present")), ",").alias("missing"))
+
+
+@query("views_check")
+def q_views_check(spark, d):
+    docs = T.read_table(spark, d, "documents", ["source", "lang"])
+    req = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr", "it")])
+    g = docs.groupBy(F.col("source").alias("dataset_name")).agg(F.collect_set("lang").alias("views"))
+    return g.select("dataset_name", F.array_join(F.array_sort(F.array_except(req, "views")), ",").alias("missing_views"))
