@@ -351,3 +351,79 @@ FROM (SELECT conv_id, list(DISTINCT role) AS present FROM conversations GROUP BY
 ORACLE["views_check"] = """
 SELECT dataset_name, array_to_string(list_sort(list_filter(['de', 'en', 'es', 'fr', 'it'], lambda r: NOT list_contains(views, r))), ',') AS missing_views
 FROM (SELECT source AS dataset_name, list(DISTINCT lang) AS views FROM documents GROUP BY source)"""
+
+
+DIALOGUE = """pr AS (SELECT conv_id, turn, role, text,
+             lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt
+           FROM conversations),
+pairs AS (SELECT conv_id, turn, nt AS assistant,
+             './audio/' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.wav' AS path,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
+             count(*) OVER (PARTITION BY conv_id) AS np
+          FROM pr WHERE role = 'user' AND nr = 'assistant'),
+dlg AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN arg_max(assistant, turn) ELSE '' END AS response,
+            'img/' || CAST(conv_id AS VARCHAR) AS image, 'img/' || CAST(conv_id AS VARCHAR) || '_0' AS first_frame_image,
+            string_agg('<robot_action_' || CAST(length(assistant) % 2048 AS VARCHAR) || '>', '' ORDER BY turn) AS act_text,
+            max(np) AS np
+        FROM pairs GROUP BY conv_id)"""
+
+ORACLE["parse_conversation"] = "WITH " + DIALOGUE + """
+SELECT conv_id, CAST(idx AS BIGINT) AS idx, assistant, regexp_replace(path, '^[./]+', '') AS audio FROM pairs"""
+
+ORACLE["build_messages"] = "WITH " + DIALOGUE + """,
+m AS (SELECT conv_id, min(idx) AS midx FROM (SELECT p.conv_id, p.idx FROM pairs p JOIN dlg d USING (conv_id)
+      WHERE d.response <> '' AND p.assistant = d.response) GROUP BY conv_id),
+sel AS (SELECT p.*, d.response, d.first_frame_image FROM pairs p JOIN dlg d USING (conv_id) LEFT JOIN m USING (conv_id)
+        WHERE d.response = '' OR p.idx <= m.midx),
+msgs AS (
+  SELECT conv_id, 2 * idx AS msg_idx, 'user' AS role, 0 AS item_idx, 'image' AS type, first_frame_image AS value FROM sel
+  UNION ALL SELECT conv_id, 2 * idx, 'user', 1, 'audio', regexp_replace(path, '^[./]+', '') FROM sel
+  UNION ALL SELECT conv_id, 2 * idx + 1, 'assistant', 0, 'text', assistant FROM sel
+  UNION ALL SELECT conv_id, 2 * np, 'user', 0, 'image', image FROM dlg WHERE response = ''
+  UNION ALL SELECT conv_id, 2 * np + 1, 'assistant', 0, 'text', act_text FROM dlg WHERE response = '')
+SELECT conv_id, CAST(msg_idx AS BIGINT) AS msg_idx, role, CAST(item_idx AS BIGINT) AS item_idx, type, value FROM msgs"""
+
+TOKENS = """,
+tk AS (SELECT traj_id, t, CAST(floor(t / 32) AS BIGINT) AS blk, 151665 + CAST(state[3] AS BIGINT) AS id FROM steps),
+sq AS (SELECT traj_id * 1000 + blk AS seq_id, blk, list(id ORDER BY t) AS ids, CAST(floor(count(*) / 2) AS BIGINT) AS half
+       FROM tk GROUP BY traj_id, blk),
+tokens AS (SELECT seq_id, CASE WHEN seq_id % 4 = 0 THEN list_concat(ids, [151645, 151643, 151643])
+        ELSE list_concat([151644, 77091, 198],
+                         CASE WHEN blk % 2 = 1 THEN list_concat(ids[1:half], [151644, 77091, 198], ids[half + 1:]) ELSE ids END,
+                         [151645, 151643, 151643]) END AS input_ids, 151643 AS pad_id FROM sq)"""
+
+ORACLE["label_mask"] = "WITH " + STEPS + TOKENS + """,
+mk AS (SELECT seq_id, max(j) AS lastj FROM (SELECT seq_id, input_ids, unnest(range(0, greatest(len(input_ids) - 5, 0))) AS j FROM tokens)
+       WHERE input_ids[j + 1] = 151644 AND input_ids[j + 2] = 77091 AND input_ids[j + 3] = 198 GROUP BY seq_id),
+ex AS (SELECT t.seq_id, t.pad_id, len(t.input_ids) AS n, coalesce(mk.lastj + 3, len(t.input_ids)) AS b,
+              unnest(t.input_ids) AS x, unnest(range(0, len(t.input_ids))) AS pos FROM tokens t LEFT JOIN mk USING (seq_id))
+SELECT seq_id, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN pos >= b AND x <> pad_id THEN x ELSE -100 END AS BIGINT) AS label FROM ex"""
+
+ORACLE["token_range"] = "WITH " + STEPS + TOKENS + """,
+k AS (SELECT seq_id, list_transform(list_filter(input_ids, lambda x: x >= 151665 AND x <= 153712), lambda x: x - 151665) AS act FROM tokens)
+SELECT seq_id, CAST(len(act) AS BIGINT) AS n_kept, CAST(act[1] AS BIGINT) AS first_id,
+       array_to_string(list_transform(act, lambda x: '<robot_action_' || CAST(x AS VARCHAR) || '>'), '') AS action_text FROM k"""
+
+ORACLE["act_mode"] = """WITH a AS (
+  SELECT conv_id, turn, text || CASE WHEN length(text) % 5 = 0 THEN ' [ACT]' ELSE '' END AS text
+  FROM conversations WHERE role = 'assistant'),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nb FROM a),
+c AS (SELECT *, coalesce(max(CAST(contains(text, '[ACT]') OR nb + 1 >= 3 AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS sw FROM b)
+SELECT conv_id, turn, CASE WHEN sw THEN 'action' ELSE 'dialogue' END AS mode,
+       CASE WHEN sw THEN NULL WHEN contains(text, '[ACT]') THEN text WHEN nb + 1 >= 3 THEN text || ' [ACT]' ELSE text END AS reply,
+       contains(text, '[ACT]') AS has_act FROM c"""
+
+CATALOG = """,
+items AS (SELECT d.conv_id, 'Task ' || CAST(d.conv_id % 10 AS VARCHAR) AS instruction, d.np,
+                 (SELECT arg_min(assistant, idx) FROM pairs p WHERE p.conv_id = d.conv_id) AS first_response,
+                 (SELECT arg_max(assistant, idx) FROM pairs p WHERE p.conv_id = d.conv_id) AS last_response FROM dlg d),
+cat AS (SELECT instruction, arg_max(np, conv_id) AS n_speech, arg_max(first_response, conv_id) AS first_response,
+               arg_max(last_response, conv_id) AS last_response FROM items GROUP BY instruction)"""
+
+ORACLE["instruction_catalog"] = "WITH " + DIALOGUE + CATALOG + """
+SELECT instruction, CAST(n_speech AS BIGINT) AS n_speech, first_response, last_response FROM cat"""
+
+ORACLE["attach_dialogue"] = "WITH " + DIALOGUE + CATALOG + ", " + STEPS + """
+SELECT s.dataset_name, s.traj_id, CAST(s.t AS BIGINT) AS t, s.language_instruction AS task, CAST(c.n_speech AS BIGINT) AS n_conv
+FROM steps s JOIN cat c ON c.instruction = s.language_instruction WHERE s.language_instruction <> ''"""

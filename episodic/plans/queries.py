@@ -352,3 +352,76 @@ def q_views_check(spark, d):
     req = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr", "it")])
     g = docs.groupBy(F.col("source").alias("dataset_name")).agg(F.collect_set("lang").alias("views"))
     return g.select("dataset_name", F.array_join(F.array_sort(F.array_except(req, "views")), ",").alias("missing_views"))
+
+
+# ----------------------------------------------------------------------------- dialogue
+from episodic.functions import text as X  # noqa: E402
+from episodic.operators import dialogue as D  # noqa: E402
+
+
+def _parsed(spark, d):
+    return D.parse_conversation(T.dialogue(spark, d))
+
+
+@query("parse_conversation")
+def q_parse_conversation(spark, d):
+    p = _parsed(spark, d).select("conv_id", F.explode("turns").alias("tr"))
+    return p.select("conv_id", F.col("tr.idx").cast("bigint").alias("idx"), F.col("tr.assistant").alias("assistant"),
+                    F.col("tr.audio").alias("audio"))
+
+
+@query("build_messages")
+def q_build_messages(spark, d):
+    p = _parsed(spark, d)
+    p = p.withColumn("action_ids", F.transform("turns", lambda t: F.length(t["assistant"]) % 2048))
+    m = D.build_messages(p).select("conv_id", F.posexplode("messages").alias("msg_idx", "m"))
+    m = m.select("conv_id", "msg_idx", F.col("m.role").alias("role"), F.posexplode("m.content").alias("item_idx", "c"))
+    return m.select("conv_id", F.col("msg_idx").cast("bigint").alias("msg_idx"), "role",
+                    F.col("item_idx").cast("bigint").alias("item_idx"), F.col("c.type").alias("type"), F.col("c.value").alias("value"))
+
+
+@query("label_mask")
+def q_label_mask(spark, d):
+    tk = T.tokens(spark, d).withColumn("labels", X.label_mask("input_ids", "pad_id"))
+    out = tk.select("seq_id", F.posexplode("labels").alias("pos", "label"))
+    return out.select("seq_id", F.col("pos").cast("bigint").alias("pos"), F.col("label").cast("bigint").alias("label"))
+
+
+@query("token_range")
+def q_token_range(spark, d):
+    tk = T.tokens(spark, d).withColumn("act", X.token_range("input_ids"))
+    return tk.select("seq_id", F.size("act").cast("bigint").alias("n_kept"), F.element_at("act", 1).cast("bigint").alias("first_id"),
+                     X.action_tokens("act").alias("action_text"))
+
+
+@query("act_mode")
+def q_act_mode(spark, d):
+    cv = T.read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
+    cv = cv.withColumn("text", F.concat("text", F.when(F.length("text") % 5 == 0, F.lit(" [ACT]")).otherwise(F.lit(""))))
+    out = D.act_mode(cv, "text", "turn", ["conv_id"], limit=3)
+    return out.select("conv_id", "turn", "mode", "reply", X.has_act("text").alias("has_act"))
+
+
+def _catalog_items(spark, d):
+    p = _parsed(spark, d)
+    return p.select(
+        F.concat(F.lit("Task "), (F.col("conv_id") % 10).cast("string")).alias("instruction"),
+        X.split_turns("speech_conv").alias("speech_conv"),
+        F.transform("turns", lambda t: F.struct(t["assistant"].alias("response"))).alias("conversation"),
+        F.col("conv_id").alias("pos"),
+    )
+
+
+@query("instruction_catalog")
+def q_instruction_catalog(spark, d):
+    cat = D.instruction_catalog(_catalog_items(spark, d))
+    return cat.select("instruction", F.size("entry.speech_conv").cast("bigint").alias("n_speech"),
+                      F.element_at("entry.conv", 1).alias("first_response"), F.element_at("entry.conv", -1).alias("last_response"))
+
+
+@query("attach_dialogue")
+def q_attach_dialogue(spark, d):
+    cat = D.instruction_catalog(_catalog_items(spark, d))
+    st = T.steps(spark, d).filter(F.col("language_instruction") != "").select(*EP, "t", F.col("language_instruction").alias("task"))
+    out = D.attach_dialogue(st, cat, "task")
+    return out.select(*EP, F.col("t").cast("bigint").alias("t"), "task", F.size("entry.conv").cast("bigint").alias("n_conv"))
