@@ -93,3 +93,33 @@ def batch_ids(df: DataFrame, batch_size: int, pos: str = "pos", name: str = "bat
 def repeat(df: DataFrame, count: int, name: str = "pass") -> DataFrame:
     """T4: cycle the frame set ``count`` times (pass number kept for re-drawn randomness)."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+
+
+def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                   suffix: str = "_cum", buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``cols`` within ``group`` (``[]`` = global) in ``order``
+    (first order column numeric, ``group + order`` total), without a single-partition window:
+    bucket totals are prefix-summed over the (small) bucket table, and a window partitioned by
+    (group, bucket) adds the running sum inside the bucket."""
+    spark = df.sparkSession
+    nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    group = list(group)
+    first = order[0]
+    probs = [i / nb for i in range(1, nb)]
+    keyed = df
+    if probs:
+        agg = keyed.groupBy(*group).agg(F.percentile_approx(first, probs, 10_000).alias("_bounds"))
+        bounds = bounded_broadcast(agg, MAX_BOUND_ROWS)
+        keyed = keyed.join(bounds, group, "inner") if group else _attach_global(keyed, bounds)
+        keyed = keyed.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(first))).cast("int")).drop("_bounds")
+    else:
+        keyed = keyed.withColumn("_b", F.lit(0))
+    tot = keyed.groupBy(*group, "_b").agg(*[F.sum(c).alias("_t_" + c) for c in cols])
+    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_b")
+    prev = w.rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*group, "_b", *[F.coalesce(F.sum("_t_" + c).over(prev), F.lit(0)).alias("_off_" + c) for c in cols])
+    out = keyed.join(offs, [*group, "_b"], "inner")
+    inner = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in cols:
+        out = out.withColumn(c + suffix, F.col("_off_" + c) + F.sum(c).over(inner))
+    return out.drop("_b", *["_off_" + c for c in cols])

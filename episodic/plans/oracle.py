@@ -427,3 +427,37 @@ SELECT instruction, CAST(n_speech AS BIGINT) AS n_speech, first_response, last_r
 ORACLE["attach_dialogue"] = "WITH " + DIALOGUE + CATALOG + ", " + STEPS + """
 SELECT s.dataset_name, s.traj_id, CAST(s.t AS BIGINT) AS t, s.language_instruction AS task, CAST(c.n_speech AS BIGINT) AS n_conv
 FROM steps s JOIN cat c ON c.instruction = s.language_instruction WHERE s.language_instruction <> ''"""
+
+
+RO = "ro AS (SELECT event_type AS task, event_id AS episode, value > 50 AS success FROM events)"
+ORACLE["success_rate"] = "WITH " + RO + f"""
+SELECT coalesce(task, '__total__') AS task, count(*) AS episodes, CAST(sum(CAST(success AS BIGINT)) AS BIGINT) AS successes,
+       {R('avg(CAST(success AS DOUBLE))')} AS rate FROM ro GROUP BY ROLLUP (task)"""
+ORACLE["running_success"] = "WITH " + RO + f""",
+c AS (SELECT task, episode,
+        count(*) OVER (PARTITION BY task ORDER BY episode ROWS UNBOUNDED PRECEDING) AS te,
+        sum(CAST(success AS BIGINT)) OVER (PARTITION BY task ORDER BY episode ROWS UNBOUNDED PRECEDING) AS ts,
+        count(*) OVER (ORDER BY episode ROWS UNBOUNDED PRECEDING) AS ae,
+        sum(CAST(success AS BIGINT)) OVER (ORDER BY episode ROWS UNBOUNDED PRECEDING) AS as_ FROM ro)
+SELECT task, episode, CAST(te AS BIGINT) AS task_episodes, CAST(ts AS BIGINT) AS task_successes, {R('ts / te')} AS task_rate,
+       CAST(ae AS BIGINT) AS total_episodes, CAST(as_ AS BIGINT) AS total_successes, {R('as_ / ae')} AS total_rate FROM c"""
+ORACLE["interval_loss"] = f"""WITH m AS (SELECT event_id + 1 AS step, value AS loss FROM events),
+g AS (SELECT CAST(ceil(step / 100) AS BIGINT) AS i, sum(loss) AS s, max(step) AS mx FROM m GROUP BY 1)
+SELECT CAST(i * 100 AS BIGINT) AS steps, {R('s / 100.0')} AS train_loss FROM g WHERE mx >= i * 100"""
+ORACLE["append_summary"] = ORACLE["interval_loss"]
+ORACLE["latest_step"] = r"""WITH n AS (
+  SELECT o_custkey AS run, 'steps_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders
+  UNION ALL SELECT o_custkey, 'other_' || CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT o_custkey, 'steps_' || CAST(o_orderkey AS VARCHAR) || 'x' FROM orders),
+k AS (SELECT run, name, CAST(regexp_extract(name, '^steps_(\d+)$', 1) AS BIGINT) AS n FROM n WHERE regexp_full_match(name, 'steps_\d+'))
+SELECT run, arg_max(name, n) AS latest, max(n) AS latest_step, count(*) AS n_checkpoints FROM k GROUP BY run"""
+ORACLE["unnormalize"] = "WITH " + STEPS + LONG + STATS + NORM_Q99 + f"""
+SELECT n.dataset_name, n.traj_id, CAST(n.t AS BIGINT) AS t, CAST(n.dim AS BIGINT) AS dim,
+       {R('0.5 * (n.nx + 1) * (s.q99 - s.q01) + s.q01')} AS value
+FROM norm n JOIN stats s USING (dataset_name, field, dim) WHERE n.field = 'action'"""
+ORACLE["gripper_postprocess"] = "WITH " + STEPS + f""",
+g AS (SELECT dataset_name, traj_id, t, gripper AS x, sign(2 * gripper - 1) AS b FROM steps)
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, {R('2 * x - 1')} AS g_pm1, {R('b')} AS g_bin, {R('-b')} AS g_flip,
+       {R('CASE WHEN -b >= 0 THEN 1.0 ELSE -b END')} AS g_snap, {R('1 - greatest(least(x, 1.0), 0.0)')} AS g_inv FROM g"""
+ORACLE["write_rollouts"] = "WITH " + STEPS + f"""
+SELECT dataset_name AS task, traj_id AS episode, count(*) AS n_steps, {R('sum(world_vector[1])')} AS sum_a0 FROM steps GROUP BY ALL"""

@@ -425,3 +425,73 @@ def q_attach_dialogue(spark, d):
     st = T.steps(spark, d).filter(F.col("language_instruction") != "").select(*EP, "t", F.col("language_instruction").alias("task"))
     out = D.attach_dialogue(st, cat, "task")
     return out.select(*EP, F.col("t").cast("bigint").alias("t"), "task", F.size("entry.conv").cast("bigint").alias("n_conv"))
+
+
+# ----------------------------------------------------------------------------- evaluation
+from episodic.functions import vector as V  # noqa: E402
+from episodic.operators import evaluate as EV  # noqa: E402
+from episodic.sources import sinks as SK  # noqa: E402
+
+
+@query("success_rate")
+def q_success_rate(spark, d):
+    s = EV.success_rate(T.rollouts(spark, d))
+    return s.select("task", "episodes", "successes", r6("rate").alias("rate"))
+
+
+@query("running_success")
+def q_running_success(spark, d):
+    s = EV.running_success(T.rollouts(spark, d))
+    return s.select("task", "episode", "task_episodes", "task_successes", r6("task_rate").alias("task_rate"),
+                    "total_episodes", "total_successes", r6("total_rate").alias("total_rate"))
+
+
+@query("interval_loss")
+def q_interval_loss(spark, d):
+    s = EV.interval_loss(T.metrics(spark, d), 100)
+    return s.select("steps", r6("train_loss").alias("train_loss"))
+
+
+@query("latest_step")
+def q_latest_step(spark, d):
+    return EV.latest_step(T.checkpoints(spark, d), "name", "run")
+
+
+@query("unnormalize")
+def q_unnormalize(spark, d):
+    st = T.steps(spark, d)
+    stats = _stats_struct(st, fields=("action",))
+    normed = N.normalize(st.select(*EP, "t", "action"), stats, "bounds_q99", fields=("action",))
+    un = N.unnormalize(normed, stats, "action")
+    out = un.select(*EP, "t", F.posexplode("action").alias("dim", "v"))
+    return out.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
+
+
+@query("gripper_postprocess")
+def q_gripper_post(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "action")
+    a = st.withColumn("pm", V.gripper_pm1("action", binarize=True)).withColumn("pm_raw", V.gripper_pm1("action", binarize=False))
+    a = a.withColumn("flip", V.flip_last("pm")).withColumn("snap", V.snap_nonneg("flip"))
+    return a.select(*EP, F.col("t").cast("bigint").alias("t"), r6(V.last_of("pm_raw")).alias("g_pm1"),
+                    r6(V.last_of("pm")).alias("g_bin"), r6(V.last_of("flip")).alias("g_flip"), r6(V.last_of("snap")).alias("g_snap"),
+                    r6(V.invert(V.clip01(V.last_of("action")))).alias("g_inv"))
+
+
+@query("write_rollouts")
+def q_write_rollouts(spark, d):
+    st = T.steps(spark, d).select(F.col("traj_id").alias("episode"), F.col("dataset_name").alias("task"), "t", "state", "action", "image")
+    path = SK.scratch_path(spark, "rollouts")
+    SK.write_rollouts(st, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("task", "episode").agg(F.count(F.lit(1)).cast("bigint").alias("n_steps"),
+                                               r6(F.sum(F.col("action")[0])).alias("sum_a0"))
+
+
+@query("append_summary")
+def q_append_summary(spark, d):
+    s = EV.interval_loss(T.metrics(spark, d), 100)
+    path = SK.scratch_path(spark, "summary")
+    SK.append_summary(s.filter(F.col("steps") <= 5000), path)
+    SK.append_summary(s.filter(F.col("steps") > 5000), path)
+    back = spark.read.schema("steps bigint, train_loss double").json(path)
+    return back.select("steps", r6("train_loss").alias("train_loss"))
