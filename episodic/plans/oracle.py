@@ -461,3 +461,94 @@ SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, {R('2 * x - 1')} AS g_pm1,
        {R('CASE WHEN -b >= 0 THEN 1.0 ELSE -b END')} AS g_snap, {R('1 - greatest(least(x, 1.0), 0.0)')} AS g_inv FROM g"""
 ORACLE["write_rollouts"] = "WITH " + STEPS + f"""
 SELECT dataset_name AS task, traj_id AS episode, count(*) AS n_steps, {R('sum(world_vector[1])')} AS sum_a0 FROM steps GROUP BY ALL"""
+
+
+# ----------------------------------------------------------------------------- standardizers
+from episodic.functions import rotation as RT  # noqa: E402
+
+Z = "0.0::DOUBLE"
+RAW = """,
+raw0 AS (SELECT *, list_concat(world_vector, rotation_delta, [gripper]) AS action,
+                [state[3] / 100.0, state[4] / 24.0, state[5] / 60.0, 1.0::DOUBLE] AS qraw FROM steps),
+raw AS (SELECT dataset_name, traj_id, t, world_vector, rotation_delta, state, action, language_instruction,
+           gripper > 0.5 AS open_gripper, rel_gripper AS gca,
+           list_concat(action[1:6], [rel_gripper * 1.5]) AS rel_actions, state AS robot_obs,
+           [state[1] / 100.0, state[3] / 100.0] AS action2,
+           list_concat(world_vector,
+             list_transform(qraw, lambda q: q / sqrt(qraw[1] * qraw[1] + qraw[2] * qraw[2] + qraw[3] * qraw[3] + qraw[4] * qraw[4])),
+             [gripper]) AS action_quat,
+           [state[1] / 100.0, state[1] / 200.0] AS position, [state[6] / 60.0] AS yaw,
+           [state[1] / 100.0, state[3] / 1000.0, state[4] / 100.0, state[5] / 600.0, state[6] / 600.0, state[3] / 500.0] AS cv,
+           [state[3] / 100.0, state[4] / 24.0, state[5] / 60.0, state[6] / 60.0 * 3.14, state[3] / 200.0, state[4] / 48.0] AS cp,
+           [gripper] AS gpos
+        FROM raw0)"""
+
+
+def std_out(cte: str, proprio: bool) -> str:
+    parts = [f"SELECT dataset_name, traj_id, t, 'action' AS field, unnest(range(0, len(action))) AS dim, unnest(action) AS v FROM {cte}"]
+    if proprio:
+        parts.append(f"SELECT dataset_name, traj_id, t, 'proprio' AS field, unnest(range(0, len(proprio))) AS dim, unnest(proprio) AS v FROM {cte}")
+    body = " UNION ALL ".join(parts)
+    return f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, field, CAST(dim AS BIGINT) AS dim, {R('v')} AS value FROM ({body})"""
+
+
+def _std(body: str, proprio: bool) -> str:
+    return "WITH " + STEPS + RAW + ",\nout AS (" + body + ")" + std_out("out", proprio)
+
+
+W6 = ("coalesce(first_value(CASE WHEN g > 0.95 THEN 1.0 WHEN g < 0.05 THEN 0.0 END IGNORE NULLS) OVER "
+      "(PARTITION BY dataset_name, traj_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), "
+      "last_value(g) OVER (PARTITION BY dataset_name, traj_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
+W7 = ("(coalesce(last_value(CASE WHEN gca < -0.1 THEN 1 WHEN gca > 0.1 THEN -1 END IGNORE NULLS) OVER "
+      "(PARTITION BY dataset_name, traj_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+      "-first_value(CASE WHEN gca < -0.1 THEN 1 WHEN gca > 0.1 THEN -1 END IGNORE NULLS) OVER "
+      "(PARTITION BY dataset_name, traj_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1) / 2.0 + 0.5)")
+DELTA = "[" + ", ".join(f"s2[{i}] - state[{i}]" for i in range(1, 7)) + "]"
+
+
+def clip01(x: str) -> str:
+    return f"greatest(least({x}, 1.0), 0.0)"
+
+
+def _bridge(first_action: str) -> str:
+    return f"""SELECT dataset_name, traj_id, t, list_concat({DELTA}, [a0[7]]) AS action, list_concat(state[1:6], [state[8]]) AS proprio
+  FROM (SELECT *, lead(state) OVER (PARTITION BY dataset_name, traj_id ORDER BY t) AS s2
+        FROM (SELECT dataset_name, traj_id, t, state, {first_action} AS a0
+              FROM (SELECT *, t - 1 AS t0, action[7] AS g FROM raw WHERE t > 0) b0x
+              ) b1) b2
+  WHERE s2 IS NOT NULL"""
+
+
+QUAT_EULER = RT.sql_list(RT.rmat_to_euler_e(RT.SQL, RT.quat_to_rmat_e(RT.SQL, RT.sql_elems("action_quat", 4, 3))))
+WRIST = RT.sql_list(RT.to_wrist_frame_e(RT.SQL, RT.sql_elems("cv", 6), RT.sql_elems("cp", 6)))
+
+ORACLE["std_bridge_oxe"] = _std(_bridge("list_concat(world_vector, rotation_delta, [CAST(open_gripper AS DOUBLE)])").replace(
+    "SELECT dataset_name, traj_id, t, state,", "SELECT dataset_name, traj_id, t0 AS t, state,"), True)
+ORACLE["std_bridge_orig"] = _std(_bridge(f"list_concat(action[1:6], [{W6.replace('ORDER BY t', 'ORDER BY t0')}])").replace(
+    "SELECT dataset_name, traj_id, t, state,", "SELECT dataset_name, traj_id, t0 AS t, state,"), True)
+ORACLE["std_rt1"] = _std(f"SELECT dataset_name, traj_id, t, list_concat(world_vector, rotation_delta, [{W7}]) AS action FROM raw", False)
+ORACLE["std_taco"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(rel_actions[1:6], [{clip01('rel_actions[7]')}]) AS action,
+  list_concat(robot_obs[1:6], [robot_obs[8]]) AS proprio FROM raw""", True)
+ORACLE["std_jaco"] = _std(f"SELECT dataset_name, traj_id, t, list_concat(world_vector, [{Z}, {Z}, {Z}], [{W7}]) AS action FROM raw", False)
+ORACLE["std_roboturk"] = _std(f"SELECT dataset_name, traj_id, t, list_concat(world_vector, rotation_delta, [1 - {clip01('gca')}]) AS action FROM raw", False)
+ORACLE["std_language_table"] = _std(f"SELECT dataset_name, traj_id, t, list_concat(action2, [{Z}, {Z}, {Z}, {Z}], [1.0::DOUBLE]) AS action FROM raw", False)
+ORACLE["std_hydra"] = _std("""SELECT dataset_name, traj_id, t, list_concat(action[1:6], [1 - action[7]]) AS action,
+  list_concat(state[1:3], [state[8]], [state[6]]) AS proprio FROM raw""", True)
+ORACLE["std_furniture"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action_quat[1:3], {QUAT_EULER}, [1 - {clip01('action_quat[8]')}]) AS action,
+  list_concat(state[1:7], [state[8]]) AS proprio FROM raw""", True)
+ORACLE["std_stretch"] = _std(f"""SELECT dataset_name, traj_id, t, action[1:6] AS action,
+  list_concat(state[1:3], [{Z}, {Z}, {Z}], [state[8]]) AS proprio FROM raw""", True)
+ORACLE["std_gnm"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action2, [{Z}, {Z}, {Z}, {Z}, {Z}]) AS action,
+  list_concat(position, [{Z}, {Z}, {Z}], yaw) AS proprio FROM raw""", True)
+ORACLE["std_libero"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action[1:6], [1 - {clip01('action[7]')}]) AS action,
+  list_concat(state[1:6], state[7:8]) AS proprio FROM raw""", True)
+ORACLE["std_droid_wrist"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat({WRIST}, gpos) AS action,
+  list_concat(cp, gpos) AS proprio FROM raw""", True)
+ORACLE["std_fanuc"] = _std("""SELECT dataset_name, traj_id, t, list_concat(action[1:6], [1 - state[7]]) AS action,
+  list_concat(state[1:6], [state[7]]) AS proprio FROM raw""", True)
+ORACLE["std_playfusion"] = _std("SELECT dataset_name, traj_id, t, list_concat(action_quat[1:3], action_quat[5:8]) AS action FROM raw", False)
+ORACLE["std_robo_net"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action[1:4], [{Z}, {Z}], [action[7]]) AS action,
+  list_concat(state[1:4], [{Z}, {Z}], [state[8]]) AS proprio FROM raw""", True)
+ORACLE["codepoints_to_text"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, language_instruction FROM steps"""

@@ -495,3 +495,59 @@ def q_append_summary(spark, d):
     SK.append_summary(s.filter(F.col("steps") > 5000), path)
     back = spark.read.schema("steps bigint, train_loss double").json(path)
     return back.select("steps", r6("train_loss").alias("train_loss"))
+
+
+# ----------------------------------------------------------------------------- standardizers
+from episodic.operators import standardize as STD  # noqa: E402
+
+STD_QUERIES = {
+    "std_bridge_oxe": "bridge_oxe",
+    "std_bridge_orig": "bridge_orig",
+    "std_rt1": "fractal20220817_data",
+    "std_taco": "taco_play",
+    "std_jaco": "jaco_play",
+    "std_roboturk": "roboturk",
+    "std_language_table": "language_table",
+    "std_hydra": "stanford_hydra_dataset_converted_externally_to_rlds",
+    "std_furniture": "furniture_bench_dataset_converted_externally_to_rlds",
+    "std_stretch": "cmu_stretch",
+    "std_gnm": "gnm_dataset",
+    "std_libero": "libero_spatial_no_noops",
+    "std_droid_wrist": "droid_wrist",
+    "std_fanuc": "berkeley_fanuc_manipulation",
+    "std_playfusion": "cmu_play_fusion",
+    "std_robo_net": "robo_net",
+}
+
+
+def _std_long(df: DataFrame) -> DataFrame:
+    parts = [F.struct(F.lit("action").alias("field"), F.col("action").alias("arr"))]
+    if "proprio" in df.columns:
+        parts.append(F.struct(F.lit("proprio").alias("field"), F.col("proprio").alias("arr")))
+    ex = df.select(*EP, "t", F.explode(F.array(*parts)).alias("fa"))
+    ex = ex.select(*EP, "t", F.col("fa.field").alias("field"), F.posexplode("fa.arr").alias("dim", "v"))
+    return ex.select(*EP, F.col("t").cast("bigint").alias("t"), "field", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
+
+
+_defines_proprio = {"bridge_oxe", "bridge_orig", "taco_play", "stanford_hydra_dataset_converted_externally_to_rlds",
+                    "furniture_bench_dataset_converted_externally_to_rlds", "cmu_stretch", "gnm_dataset",
+                    "libero_spatial_no_noops", "droid_wrist", "berkeley_fanuc_manipulation", "robo_net"}
+
+
+for _q, _ds in STD_QUERIES.items():
+    def _mk(ds):
+        def run(spark, d):
+            out = STD.standardize(T.raw_steps(spark, d), ds)
+            if ds not in _defines_proprio and "proprio" in out.columns:
+                out = out.drop("proprio")
+            return _std_long(out)
+        run.__name__ = "q_" + ds
+        return run
+    QUERIES[_q] = _mk(_ds)
+
+
+@query("codepoints_to_text")
+def q_codepoints(spark, d):
+    raw = T.raw_steps(spark, d)
+    out = STD.standardize(raw, "language_table")
+    return out.select(*EP, F.col("t").cast("bigint").alias("t"), "language_instruction")

@@ -197,3 +197,34 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = o.select(F.col("o_custkey").alias("run"), F.concat(F.lit("other_"), F.col("o_orderkey").cast("string")).alias("name"))
     c = o.select(F.col("o_custkey").alias("run"), F.concat(F.lit("steps_"), F.col("o_orderkey").cast("string"), F.lit("x")).alias("name"))
     return a.unionByName(b).unionByName(c)
+
+
+def raw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw per-dataset step fields for the standardizer recipes, derived from ``steps``:
+    every family's source columns (nested-action, flat-action, quaternion, 2-D,
+    velocity and code-point instruction forms) are deterministic functions of an event."""
+    st = steps(spark, sf_dir)
+    value, k = F.col("state")[0], F.col("state")[2]
+    hour, minute, second = F.col("state")[3], F.col("state")[4], F.col("state")[5]
+    qraw = [k / 100.0, hour / 24.0, minute / 60.0, F.lit(1.0)]
+    qn = F.sqrt(sum((q * q for q in qraw[1:]), qraw[0] * qraw[0]))
+    lang = F.col("language_instruction")
+    cps = F.when(F.length(lang) == 0, F.array().cast("array<int>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(lang)), lambda i: F.ascii(F.substring(lang, i, 1)))
+    )
+    return st.select(
+        "dataset_name", "traj_id", "t", "world_vector", "rotation_delta", "state", "action", "image", "language_instruction",
+        (F.col("gripper") > 0.5).alias("open_gripper"),
+        F.col("rel_gripper").alias("gripper_closedness_action"),
+        F.concat(F.slice("action", 1, 6), F.array(F.col("rel_gripper") * 1.5)).alias("rel_actions"),
+        F.col("state").alias("robot_obs"),
+        F.array(value / 100.0, k / 100.0).alias("action2"),
+        F.concat(cps, F.array(F.lit(0), F.lit(0))).alias("instruction"),
+        F.concat("world_vector", F.array(*[q / qn for q in qraw]), F.array("gripper")).alias("action_quat"),
+        F.array(value / 100.0, value / 200.0).alias("position"),
+        F.array(second / 60.0).alias("yaw"),
+        F.array(value / 100.0, k / 1000.0, hour / 100.0, minute / 600.0, second / 600.0, k / 500.0).alias("cartesian_velocity"),
+        F.array(k / 100.0, hour / 24.0, minute / 60.0, second / 60.0 * 3.14, k / 200.0, hour / 48.0).alias("cartesian_position"),
+        F.array("gripper").alias("gripper_position"),
+        F.slice("action", 1, 6).alias("action6"),
+    )
