@@ -552,3 +552,15 @@ ORACLE["std_robo_net"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(a
   list_concat(state[1:4], [{Z}, {Z}], [state[8]]) AS proprio FROM raw""", True)
 ORACLE["codepoints_to_text"] = "WITH " + STEPS + """
 SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, language_instruction FROM steps"""
+
+
+ORACLE["stream_normalize"] = "WITH " + STEPS + LONG.replace("SELECT dataset_name, traj_id, t,", "SELECT dataset_name, traj_id, t, event_id,") + STATS + f"""
+SELECT l.dataset_name, l.traj_id, l.event_id, CAST(l.dim AS BIGINT) AS dim, {R(norm_expr('bounds_q99'))} AS value
+FROM long l JOIN stats s USING (dataset_name, field, dim) WHERE l.field = 'action'"""
+ORACLE["stream_success"] = "WITH " + RO + f"""
+SELECT task, count(*) AS episodes, CAST(sum(CAST(success AS BIGINT)) AS BIGINT) AS successes,
+       {R('sum(CAST(success AS BIGINT)) / count(*)')} AS rate FROM ro GROUP BY task"""
+ORACLE["stream_act_mode"] = ORACLE["act_mode"].replace(",\n       contains(text, '[ACT]') AS has_act FROM c", " FROM c")
+ORACLE["stream_rel2abs"] = ORACLE["rel2abs_gripper"].replace(
+    "SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t,", "SELECT traj_id, event_id,")
+ORACLE["stream_interval_loss"] = ORACLE["interval_loss"]

@@ -551,3 +551,54 @@ def q_codepoints(spark, d):
     raw = T.raw_steps(spark, d)
     out = STD.standardize(raw, "language_table")
     return out.select(*EP, F.col("t").cast("bigint").alias("t"), "language_instruction")
+
+
+# ----------------------------------------------------------------------------- streaming
+from episodic.streaming import streams as SS  # noqa: E402
+
+
+@query("stream_normalize")
+def q_stream_normalize(spark, d):
+    stats = _stats_struct(T.steps(spark, d), fields=("action",))
+    stream = SS.stream_normalize(SS.stream_steps(SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA)), stats)
+    out = SS.run_append(stream.select("dataset_name", "traj_id", "event_id", "action"), "stream_normalize")
+    out = out.select("dataset_name", "traj_id", "event_id", F.posexplode("action").alias("dim", "v"))
+    return out.select("dataset_name", "traj_id", "event_id", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
+
+
+@query("stream_success")
+def q_stream_success(spark, d):
+    ev = SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA)
+    ro = ev.select(F.col("event_type").alias("task"), (F.col("value") > 50).alias("success"))
+    out = SS.run_update(SS.stream_success(ro), "stream_success", ["task"])
+    return out.select("task", "episodes", "successes", r6("rate").alias("rate"))
+
+
+@query("rate_gate")
+def q_rate_gate(spark, d):
+    ev = SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA)
+    st = ev.select(F.col("user_id").alias("traj_id"), "event_id", "ts")
+    return SS.run_append(SS.rate_gate(st, 4 * 3600.0), "rate_gate")
+
+
+@query("stream_act_mode")
+def q_stream_act_mode(spark, d):
+    cv = SS.read_stream(spark, d, "conversations", SS.CONV_SCHEMA).filter(F.col("role") == "assistant")
+    cv = cv.withColumn("text", F.concat("text", F.when(F.length("text") % 5 == 0, F.lit(" [ACT]")).otherwise(F.lit(""))))
+    return SS.run_append(SS.stream_act_mode(cv, limit=3), "stream_act_mode")
+
+
+@query("stream_rel2abs")
+def q_stream_rel2abs(spark, d):
+    st = SS.stream_steps(SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA))
+    out = SS.run_append(SS.stream_rel2abs(st), "stream_rel2abs")
+    return out.select("traj_id", "event_id", r6("value").alias("value"))
+
+
+@query("stream_interval_loss")
+def q_stream_interval_loss(spark, d):
+    ev = SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA)
+    m = ev.select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss"))
+    out = SS.run_update(SS.stream_interval_loss(m, 100), "stream_interval_loss", ["interval"])
+    out = out.filter(F.col("max_step") >= F.col("interval") * 100)
+    return out.select((F.col("interval") * 100).cast("bigint").alias("steps"), r6(F.col("loss_sum") / 100.0).alias("train_loss"))
