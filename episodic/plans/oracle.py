@@ -356,7 +356,7 @@ FROM (SELECT source AS dataset_name, list(DISTINCT lang) AS views FROM documents
 DIALOGUE = """pr AS (SELECT conv_id, turn, role, text,
              lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt
            FROM conversations),
-pairs AS (SELECT conv_id, turn, nt AS assistant,
+pairs AS (SELECT conv_id, turn, nt AS assistant, text AS utext,
              './audio/' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.wav' AS path,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
              count(*) OVER (PARTITION BY conv_id) AS np
@@ -364,7 +364,9 @@ pairs AS (SELECT conv_id, turn, nt AS assistant,
 dlg AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN arg_max(assistant, turn) ELSE '' END AS response,
             'img/' || CAST(conv_id AS VARCHAR) AS image, 'img/' || CAST(conv_id AS VARCHAR) || '_0' AS first_frame_image,
             string_agg('<robot_action_' || CAST(length(assistant) % 2048 AS VARCHAR) || '>', '' ORDER BY turn) AS act_text,
-            max(np) AS np
+            max(np) AS np,
+            string_agg('[USER]' || utext || '[ASSISTANT]' || assistant, '[UNK]' ORDER BY turn) AS conversation,
+            string_agg(path, '[UNK]' ORDER BY turn) AS speech_conv
         FROM pairs GROUP BY conv_id)"""
 
 ORACLE["parse_conversation"] = "WITH " + DIALOGUE + """
@@ -564,3 +566,150 @@ ORACLE["stream_act_mode"] = ORACLE["act_mode"].replace(",\n       contains(text,
 ORACLE["stream_rel2abs"] = ORACLE["rel2abs_gripper"].replace(
     "SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t,", "SELECT traj_id, event_id,")
 ORACLE["stream_interval_loss"] = ORACLE["interval_loss"]
+
+
+# ----------------------------------------------------------------------------- projections / config
+def long_of(expr_list: str, keys: str = "dataset_name, traj_id, t", src: str = "steps") -> str:
+    return f"""SELECT {keys}, CAST(dim AS BIGINT) AS dim, {R('v')} AS value FROM (
+  SELECT {keys}, unnest(range(0, len(arr))) AS dim, unnest(arr) AS v FROM (SELECT {keys}, {expr_list} AS arr FROM {src}))"""
+
+
+KT = "dataset_name, traj_id, CAST(t AS BIGINT) AS t"
+ORACLE["map_images"] = "WITH " + STEPS + f"\nSELECT {KT}, image AS image_primary, '' AS image_wrist, '' AS depth_primary FROM steps"
+ORACLE["first_frame"] = "WITH " + STEPS + f"""
+SELECT {KT}, first_value(image) OVER ({WO} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS image_first_frame,
+       image AS image_first_frame_given FROM steps"""
+ORACLE["concat_proprio"] = "WITH " + STEPS + "\n" + long_of(f"list_concat(state[1:3], [{Z}], world_vector)")
+ORACLE["extract_language"] = "WITH " + STEPS + f"\nSELECT {KT}, language_instruction FROM steps"
+ORACLE["default_fields"] = "WITH " + DIALOGUE + """
+SELECT conv_id, '' AS user, response, CAST(length(conversation) AS BIGINT) AS conv_len, 'dialogue_ds' AS dataset_name FROM dlg"""
+ORACLE["absolute_mask"] = "WITH " + STEPS + f"""
+SELECT {KT}, CAST(d.dim AS BIGINT) AS dim, d.dim = 6 AS absolute FROM steps, (SELECT unnest(range(0, 7)) AS dim) d"""
+ORACLE["config_normalize"] = "WITH " + STEPS + LONG + STATS + f"""
+SELECT l.dataset_name, l.traj_id, CAST(l.t AS BIGINT) AS t, CAST(l.dim AS BIGINT) AS dim, {R(norm_expr('bounds_q99', mask='l.dim < 6'))} AS value
+FROM long l JOIN stats s USING (dataset_name, field, dim) WHERE l.field = 'action'"""
+ORACLE["norm_mask"] = "WITH " + STEPS + """
+SELECT DISTINCT dataset_name, 'action' AS field, CAST(d.dim AS BIGINT) AS dim, d.dim < 6 AS mask FROM steps, (SELECT unnest(range(0, 7)) AS dim) d"""
+ORACLE["struct_merge"] = "WITH " + STEPS + f"""
+SELECT {KT}, language_instruction, image, 'true' AS lang_mask, CAST(length(image) <> 0 AS VARCHAR) AS image_mask,
+       CAST(t AS VARCHAR) AS timestep FROM steps"""
+ORACLE["padding"] = "WITH " + STEPS + f"""
+SELECT {KT}, CASE WHEN event_type = 'error' THEN '' ELSE image END AS image,
+       CASE WHEN event_type = 'error' THEN '' ELSE language_instruction END AS language_instruction,
+       {R("CASE WHEN event_type = 'error' THEN 0.0 ELSE gripper END")} AS gripper,
+       {R("CASE WHEN event_type = 'error' THEN 0.0 ELSE list_sum(state) END")} AS state_sum FROM steps"""
+ORACLE["example_projection"] = "WITH " + STEPS + f""",
+e AS (SELECT s.*, b.image AS img0 FROM steps s JOIN steps b ON b.dataset_name = s.dataset_name AND b.traj_id = s.traj_id AND b.t = greatest(s.t - 1, 0))
+SELECT dataset_name, img0 AS image, lower(language_instruction) AS lang,
+       {R('list_sum(list_concat(world_vector, rotation_delta, [gripper]))')} AS action_sum, {R('list_sum(state)')} AS proprio_sum FROM e"""
+ORACLE["speech_example_projection"] = "WITH " + DIALOGUE + """
+SELECT 'conv ' || CAST(conv_id AS VARCHAR) AS lang, image, first_frame_image AS first_image, '' AS wrist_image, '' AS user, response,
+       'dialogue_ds' AS dataset_name, CAST(length(conversation) AS BIGINT) AS conv_len, CAST(length(speech_conv) AS BIGINT) AS speech_len FROM dlg"""
+ORACLE["episode_summary"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, count(*) AS size, arg_min(event_id, t) AS first_event_id, arg_max(event_id, t) AS last_event_id,
+       arg_min(image, t) AS first_image, arg_max(image, t) AS last_image FROM steps GROUP BY ALL"""
+ORACLE["episode_pieces"] = "WITH " + STEPS + """
+SELECT dataset_name, traj_id, CAST(floor(t / 16) AS BIGINT) AS piece, count(*) AS n, arg_min(event_id, t) AS first_event,
+       arg_max(event_id, t) AS last_event FROM steps GROUP BY ALL"""
+ORACLE["pad_state"] = "WITH " + STEPS + "\n" + long_of(f"list_concat(state[1:6], [{Z}], [state[8]])")
+ORACLE["rollout_state"] = "WITH " + STEPS + "\n" + long_of("list_concat(state[1:3], rotation_delta, [state[7], state[8]])")
+ORACLE["slice_keys"] = "WITH " + STEPS + "\n" + long_of(f"[state[6], state[7], state[3], state[4], {Z}, {Z}, 1.0::DOUBLE]")
+
+_E = [RT.Q("(state[5] / 60.0)"), RT.Q("(state[6] / 60.0)"), RT.Q("(state[3] / 100.0)")]
+_M = RT.euler_to_rmat_e(RT.SQL, _E)
+ROT = (f"[struct_pack(kind := 'm', arr := {RT.sql_list(_M)}), "
+       f"struct_pack(kind := 'back', arr := {RT.sql_list(RT.rmat_to_euler_e(RT.SQL, _M))}), "
+       f"struct_pack(kind := 'inv', arr := {RT.sql_list(RT.transpose_e(_M))}), "
+       f"struct_pack(kind := 'r6', arr := {RT.sql_list(_M[0:6])})]")
+ORACLE["rotations"] = "WITH " + STEPS + f""",
+r AS (SELECT dataset_name, traj_id, t, unnest({ROT}) AS p FROM steps),
+r2 AS (SELECT dataset_name, traj_id, t, p.kind AS kind, unnest(range(0, len(p.arr))) AS dim, unnest(p.arr) AS v FROM r)
+SELECT {KT}, kind, CAST(dim AS BIGINT) AS dim, {R('v')} AS value FROM r2"""
+_POSE = RT.pose_matrix_e(RT.SQL, [RT.Q("(state[1] / 100.0)"), RT.Q("(state[2] / 100.0)"), RT.Q("(state[3] / 100.0)")], _E[0])
+ORACLE["pose_matrix"] = "WITH " + STEPS + "\n" + long_of(RT.sql_list(_POSE))
+ORACLE["decode_lower"] = "WITH " + STEPS + f"\nSELECT {KT}, lower(language_instruction) AS lang FROM steps"
+ORACLE["parse_pair"] = "WITH " + STEPS + """
+SELECT event_id, CAST(k AS BIGINT) AS w, CAST(hour(ts) AS BIGINT) AS h FROM steps"""
+ORACLE["gather"] = "WITH " + STEPS + "\n" + long_of("[gripper, world_vector[1], rotation_delta[1]]")
+ORACLE["zero_action_filter"] = "WITH " + STEPS + LONG + STATS + NORM_Q99 + """,
+lens AS (SELECT dataset_name, traj_id, max(t) + 1 AS n FROM steps_a GROUP BY ALL),
+z AS (SELECT dataset_name, dim, 2 * (0 - q01) / (q99 - q01 + 1e-8) - 1 AS z FROM stats WHERE field = 'action' AND dim < 6),
+ch AS (SELECT a.dataset_name, a.traj_id, a.t, sl.slot, a.dim,
+         CASE WHEN a.t + sl.slot > lens.n - 1 THEN 0.0 ELSE src.nx END AS v
+       FROM norm a JOIN lens USING (dataset_name, traj_id), (SELECT unnest(range(0, 3)) AS slot) sl, norm src
+       WHERE a.field = 'action' AND src.field = 'action' AND a.dim < 6 AND src.dataset_name = a.dataset_name
+         AND src.traj_id = a.traj_id AND src.dim = a.dim AND src.t = least(a.t + sl.slot, lens.n - 1))
+SELECT DISTINCT ch.dataset_name, ch.traj_id, CAST(ch.t AS BIGINT) AS t FROM ch JOIN z USING (dataset_name, dim) WHERE abs(ch.v - z.z) > 1e-5"""
+
+STATS_OUT = f"""
+SELECT dataset_name, field, CAST(dim AS BIGINT) AS dim, {R('mean')} AS mean, {R('std')} AS std, {R('max')} AS max, {R('min')} AS min,
+       {R('q01')} AS q01, {R('q99')} AS q99 FROM stats"""
+ORACLE["stats_roundtrip"] = ORACLE["dataset_stats"]
+ORACLE["cached_stats"] = ORACLE["dataset_stats"]
+ORACLE["synthetic_steps"] = f"""
+SELECT event_id, 'do something spectacular' AS language_instruction, CAST(d.dim AS BIGINT) AS dim,
+       {R(u01_sql(SEED, 'event_id', 'd.dim'))} AS value FROM events, (SELECT unnest(range(0, 7)) AS dim) d"""
+ORACLE["dataset_stats_vectors"] = """WITH long AS (
+  SELECT 'v' || CAST(label AS VARCHAR) AS dataset_name, 'action' AS field, CAST(d.dim AS INTEGER) AS dim, CAST(embedding[d.dim + 1] AS DOUBLE) AS x
+  FROM embeddings, (SELECT unnest(range(0, 64)) AS dim) d)""" + STATS + STATS_OUT
+ORACLE["dataset_stats_orders"] = """WITH long AS (
+  SELECT 'lineitem' AS dataset_name, 'action' AS field, CAST(d.dim AS INTEGER) AS dim,
+         [l_quantity, l_extendedprice, l_discount, l_tax][d.dim + 1] AS x
+  FROM lineitem, (SELECT unnest(range(0, 4)) AS dim) d)""" + STATS + STATS_OUT
+
+
+def _vec_norm(kind: str) -> str:
+    return """WITH long AS (
+  SELECT 'v' || CAST(label AS VARCHAR) AS dataset_name, vec_id AS traj_id, 'action' AS field, CAST(d.dim AS INTEGER) AS dim,
+         CAST(embedding[d.dim + 1] AS DOUBLE) AS x
+  FROM embeddings, (SELECT unnest(range(0, 64)) AS dim) d)""" + STATS + f"""
+SELECT l.dataset_name, l.traj_id, CAST(l.dim AS BIGINT) AS dim, {R(norm_expr(kind))} AS value
+FROM long l JOIN stats s USING (dataset_name, field, dim)"""
+
+
+ORACLE["normalize_normal"] = _vec_norm("normal")
+ORACLE["normalize_bounds"] = _vec_norm("bounds")
+
+# ----------------------------------------------------------------------------- pipelines
+ORACLE["episode_pipeline"] = "WITH " + STEPS + f""",
+sa AS (SELECT *, list_concat(world_vector, rotation_delta, [gripper]) AS action FROM steps),
+kept AS (SELECT dataset_name, traj_id FROM sa GROUP BY ALL
+         HAVING bool_or(language_instruction <> '') AND bool_and(list_bool_and(list_transform(action, lambda x: abs(x) <= 450.0)))),
+b AS (SELECT sa.*, count(*) OVER ({W}) AS n FROM sa SEMI JOIN kept USING (dataset_name, traj_id)),
+g AS (SELECT b.*, least(CAST(floor({u01_sql(SEED, 'dataset_name', 'traj_id', 't')} * (n - (t + 1)) + (t + 1)) AS BIGINT), n - 1) AS goal_t FROM b),
+gg AS (SELECT g.*, x.image AS goal_image0,
+         ({u01_sql(SEED + 1, 'g.dataset_name', 'g.traj_id', 'g.t')} < 0.5 OR length(g.language_instruction) = 0) AS keep
+       FROM g JOIN b x ON x.dataset_name = g.dataset_name AND x.traj_id = g.traj_id AND x.t = g.goal_t),
+ta AS (SELECT dataset_name, traj_id, t, n, action,
+         CASE WHEN keep THEN goal_t ELSE n - 1 END AS goal_t2,
+         CASE WHEN keep THEN '' ELSE language_instruction END AS lang2,
+         CASE WHEN keep THEN goal_image0 ELSE '' END AS goal_image2
+       FROM gg),
+sub AS (SELECT * FROM ta QUALIFY n <= 50 OR row_number() OVER ({W} ORDER BY {u01_sql(SEED + 2, 'dataset_name', 'traj_id', 't')}, t) <= 50),
+tg AS (SELECT s.*, sl.slot, sl.slot - 1 AS off, d.dim FROM sub s, (SELECT unnest(range(0, 5)) AS slot) sl, (SELECT unnest(range(0, 7)) AS dim) d)
+SELECT tg.dataset_name, tg.traj_id, CAST(tg.t AS BIGINT) AS t, CAST(tg.goal_t2 AS BIGINT) AS goal_t, tg.lang2 AS language_instruction,
+       tg.goal_image2 AS goal_image, CAST(tg.slot AS BIGINT) AS slot, CAST(tg.dim AS BIGINT) AS dim,
+       {R("CASE WHEN tg.t + tg.off > tg.n - 1 THEN (CASE WHEN tg.dim = 6 THEN y.action[tg.dim + 1] ELSE 0.0 END) ELSE y.action[tg.dim + 1] END")} AS value
+FROM tg JOIN b y ON y.dataset_name = tg.dataset_name AND y.traj_id = tg.traj_id AND y.t = least(greatest(tg.t + tg.off, 0), tg.n - 1)"""
+
+ORACLE["single_pipeline"] = ORACLE["normalize_chunk"].replace(
+    "lens AS (SELECT dataset_name, traj_id, max(t) + 1 AS n FROM steps_a GROUP BY ALL)",
+    "lens AS (SELECT dataset_name, traj_id, max(t) + 1 AS n FROM steps_a GROUP BY ALL HAVING bool_or(language_instruction <> ''))")
+
+ORACLE["interleaved_pipeline"] = "WITH " + STEPS + f""",
+mix AS (SELECT dataset_name, count(*) AS size, CAST(substr(dataset_name, 3) AS INTEGER) AS pos,
+               CASE CAST(substr(dataset_name, 3) AS INTEGER) WHEN 1 THEN 2.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
+        FROM steps GROUP BY dataset_name),
+mw AS (SELECT *, weight / sum(weight) OVER () AS sw FROM mix),
+cdf AS (SELECT dataset_name, pos, sum(sw) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+               row_number() OVER (ORDER BY pos) - 1 AS idx FROM mw),
+dlen AS (SELECT CAST(max(CASE WHEN weight = 1.0 THEN size / sw END) AS BIGINT) AS n FROM mw),
+draws AS (SELECT r.draw, {u01_sql(SEED, 'r.draw')} AS u FROM (SELECT unnest(range(0, (SELECT n FROM dlen))) AS draw) r),
+dd AS (SELECT draws.draw, least((SELECT count(*) FROM cdf WHERE cdf.hi <= draws.u), (SELECT count(*) FROM cdf) - 1) AS idx FROM draws),
+dds AS (SELECT dd.draw, cdf.dataset_name FROM dd JOIN cdf USING (idx)),
+dk AS (SELECT draw, dataset_name, row_number() OVER (PARTITION BY dataset_name ORDER BY draw) - 1 AS k FROM dds),
+fr AS (SELECT dataset_name, traj_id, t, row_number() OVER (PARTITION BY dataset_name ORDER BY traj_id, t) - 1 AS fi,
+              count(*) OVER (PARTITION BY dataset_name) AS size FROM steps),
+j AS (SELECT dk.draw, dk.dataset_name, fr.traj_id, fr.t FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size),
+p AS (SELECT *, row_number() OVER (ORDER BY {u01_sql(SEED + 3, 'draw')}, draw) - 1 AS pos FROM j)
+SELECT pos, CAST(floor(pos / 32) AS BIGINT) AS batch, draw, dataset_name, traj_id, CAST(t AS BIGINT) AS t FROM p"""

@@ -602,3 +602,309 @@ def q_stream_interval_loss(spark, d):
     out = SS.run_update(SS.stream_interval_loss(m, 100), "stream_interval_loss", ["interval"])
     out = out.filter(F.col("max_step") >= F.col("interval") * 100)
     return out.select((F.col("interval") * 100).cast("bigint").alias("steps"), r6(F.col("loss_sum") / 100.0).alias("train_loss"))
+
+
+# ----------------------------------------------------------------------------- projections / config
+from episodic.functions import rotation as RT  # noqa: E402
+from episodic.operators import projections as P  # noqa: E402
+from episodic.plans import pipelines as PL  # noqa: E402
+from episodic.sources import stats_io as SIO  # noqa: E402
+
+
+def _kt(df):
+    return df.withColumn("t", F.col("t").cast("bigint"))
+
+
+@query("map_images")
+def q_map_images(spark, d):
+    st = P.map_cols(T.steps(spark, d), {"primary": "image", "wrist": None}, "image_")
+    st = P.map_cols(st, {"primary": None}, "depth_")
+    return _kt(st.select(*EP, "t", "image_primary", "image_wrist", "depth_primary"))
+
+
+@query("first_frame")
+def q_first_frame(spark, d):
+    st = E.first_frame(T.steps(spark, d), from_episode=True)
+    st = E.first_frame(st, col="image", out="image_first_frame_given")
+    return _kt(st.select(*EP, "t", "image_first_frame", "image_first_frame_given"))
+
+
+@query("concat_proprio")
+def q_concat_proprio(spark, d):
+    st = T.steps(spark, d).withColumn("proprio", V.concat_proprio(F.slice("state", 1, 3), None, "world_vector"))
+    out = st.select(*EP, "t", F.posexplode("proprio").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("extract_language")
+def q_extract_language(spark, d):
+    st = P.require_keys(T.steps(spark, d), ["action", "state", "language_instruction"])
+    st = P.extract_language(st, "language_instruction")
+    return _kt(st.select(*EP, "t", F.col("task.language_instruction").alias("language_instruction")))
+
+
+@query("default_fields")
+def q_default_fields(spark, d):
+    dl = P.with_defaults(T.dialogue(spark, d), "dialogue_ds")
+    return dl.select("conv_id", "user", "response", F.length("conversation").cast("bigint").alias("conv_len"), "dataset_name")
+
+
+@query("absolute_mask")
+def q_absolute_mask(spark, d):
+    st = P.with_mask(T.steps(spark, d).select(*EP, "t", "action"), ABS_MASK_EEF)
+    out = st.select(*EP, "t", F.posexplode("absolute_action_mask").alias("dim", "absolute"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), "absolute"))
+
+
+# P11 configuration: the steps datasets use the EEF_POS encoding
+STEPS_CONFIG = {"action_encoding": "EEF_POS", "image_obs_keys": {"primary": "image", "wrist": None},
+                "depth_obs_keys": {"primary": None}, "state_obs_keys": ["state"]}
+
+
+@query("config_normalize")
+def q_config_normalize(spark, d):
+    cfg = P.config_for("ds", STEPS_CONFIG, normalization_type="bounds_q99")
+    st = T.steps(spark, d).select(*EP, "t", *cfg.columns(), "action")
+    stats = S.stats_struct(S.dataset_stats(st, fields=("action",)), cfg.action_normalization_mask)
+    normed = N.normalize(st, stats, cfg.normalization_type, fields=("action",))
+    out = normed.select(*EP, "t", F.posexplode("action").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("norm_mask")
+def q_norm_mask(spark, d):
+    st = S.stats_struct(S.dataset_stats(T.steps(spark, d), fields=("action",)), [True] * 6 + [False])
+    out = st.select("dataset_name", "field", F.posexplode("stats.mask").alias("dim", "mask"))
+    return out.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"), "mask")
+
+
+@query("struct_merge")
+def q_struct_merge(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "image", "language_instruction", "gripper")
+    st = st.withColumn("task", F.struct(F.col("language_instruction"), F.struct(F.lit(True).alias("language_instruction"), F.lit(True).alias("image")).alias("pad_mask_dict")))
+    st = st.withColumn("goal", F.struct(F.col("image").alias("image"), F.struct((F.length("image") != 0).alias("image")).alias("pad_mask_dict"),
+                                        F.col("t").alias("timestep")))
+    st = P.struct_merge(st, "task", "goal", "merged")
+    st = P.struct_map(st, "merged", lambda c: c.cast("string"))
+    return _kt(st.select(*EP, "t", F.col("merged.language_instruction").alias("language_instruction"), F.col("merged.image").alias("image"),
+                         F.col("merged.pad_mask_dict.language_instruction").alias("lang_mask"), F.col("merged.pad_mask_dict.image").alias("image_mask"),
+                         F.col("merged.timestep").alias("timestep")))
+
+
+@query("padding")
+def q_padding(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "event_id", "image", "language_instruction", "gripper", "state")
+    ev = T.read_table(spark, d, "events", ["event_id", "event_type"])
+    st = st.join(ev, "event_id")
+    st = P.pad_where(st, F.col("event_type") == "error", ["image", "language_instruction", "gripper", "state"])
+    return _kt(st.select(*EP, "t", "image", "language_instruction", r6("gripper").alias("gripper"), r6(F.aggregate("state", F.lit(0.0), lambda a, x: a + x)).alias("state_sum")))
+
+
+@query("example_projection")
+def q_example_projection(spark, d):
+    st = E.chunk_obs(T.steps(spark, d), ["image"], 2)
+    ex = P.to_example(st.withColumn("keep_t", F.col("t")))
+    return ex.select("dataset_name", "image", "lang", r6(F.aggregate("action", F.lit(0.0), lambda a, x: a + x)).alias("action_sum"),
+                     r6(F.aggregate("proprio", F.lit(0.0), lambda a, x: a + x)).alias("proprio_sum"))
+
+
+@query("speech_example_projection")
+def q_speech_example(spark, d):
+    dl = P.with_defaults(T.dialogue(spark, d), "dialogue_ds").withColumnRenamed("first_frame_image", "image_first_frame")
+    dl = dl.withColumn("language_instruction", F.concat(F.lit("Conv "), F.col("conv_id").cast("string"))).withColumn("image_wrist", F.lit(None).cast("string"))
+    ex = P.to_speech_example(dl.withColumn("conv_key", F.col("conv_id")))
+    return ex.select("lang", "image", "first_image", "wrist_image", "user", "response", "dataset_name",
+                     F.length("conversation").cast("bigint").alias("conv_len"), F.length("speech_conv").cast("bigint").alias("speech_len"))
+
+
+@query("episode_summary")
+def q_episode_summary(spark, d):
+    return E.episode_summary(T.steps(spark, d), ["event_id", "image"])
+
+
+@query("episode_pieces")
+def q_episode_pieces(spark, d):
+    pcs = E.episode_pieces(T.steps(spark, d), ["event_id"], piece=16)
+    return pcs.select(*EP, F.col("piece").cast("bigint").alias("piece"), F.size("steps").cast("bigint").alias("n"),
+                      F.element_at("steps", 1)["event_id"].alias("first_event"), F.element_at("steps", -1)["event_id"].alias("last_event"))
+
+
+@query("pad_state")
+def q_pad_state(spark, d):
+    st = T.steps(spark, d).withColumn("p", V.pad_state("state"))
+    out = st.select(*EP, "t", F.posexplode("p").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("rollout_state")
+def q_rollout_state(spark, d):
+    st = T.steps(spark, d).withColumn("s", P.rollout_state(F.slice("state", 1, 3), "rotation_delta", F.slice("state", 7, 2)))
+    out = st.select(*EP, "t", F.posexplode("s").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("slice_keys")
+def q_slice_keys(spark, d):
+    st = T.steps(spark, d).withColumn("s", STD._sl("state", -3, -1)).withColumn("z", F.concat(STD._sl("state", 2, 4), V.zeros(2), V.ones(1)))
+    out = st.select(*EP, "t", F.posexplode(F.concat("s", "z")).alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+# ----------------------------------------------------------------------------- rotations / strings
+def _rot_input(spark, d):
+    st = T.steps(spark, d)
+    e = F.array(F.col("state")[4] / 60.0, F.col("state")[5] / 60.0, F.col("state")[2] / 100.0)
+    return st.select(*EP, "t", e.alias("e"), "state")
+
+
+@query("rotations")
+def q_rotations(spark, d):
+    st = _rot_input(spark, d).withColumn("m", RT.euler_to_rmat("e"))
+    st = st.withColumn("back", RT.rmat_to_euler("m")).withColumn("inv", RT.invert_rmat("m")).withColumn("r6", RT.rotmat_to_rot6d("m"))
+    parts = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("arr")) for k in ("m", "back", "inv", "r6")]
+    out = st.select(*EP, "t", F.explode(F.array(*parts)).alias("p"))
+    out = out.select(*EP, "t", F.col("p.kind").alias("kind"), F.posexplode("p.arr").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", "kind", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("pose_matrix")
+def q_pose_matrix(spark, d):
+    st = _rot_input(spark, d)
+    st = st.withColumn("pose", RT.pose_matrix(F.transform(F.slice("state", 1, 3), lambda v: v / 100.0), F.col("e")[0]))
+    out = st.select(*EP, "t", F.posexplode("pose").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("decode_lower")
+def q_decode_lower(spark, d):
+    st = T.steps(spark, d)
+    return _kt(st.select(*EP, "t", X.decode_lower(F.encode("language_instruction", "UTF-8")).alias("lang")))
+
+
+@query("parse_pair")
+def q_parse_pair(spark, d):
+    ev = T.steps(spark, d)
+    sep = F.when(F.col("event_id") % 2 == 0, F.lit(",")).otherwise(F.lit(" "))
+    s = F.concat(F.col("state")[2].cast("int").cast("string"), sep, F.col("state")[3].cast("int").cast("string"))
+    p = ev.select("event_id", X.parse_pair(s).alias("p"))
+    return p.select("event_id", F.col("p")[0].cast("bigint").alias("w"), F.col("p")[1].cast("bigint").alias("h"))
+
+
+@query("gather")
+def q_gather(spark, d):
+    st = T.steps(spark, d).withColumn("g", X.gather("action", F.array(F.lit(6), F.lit(0), F.lit(3))))
+    out = st.select(*EP, "t", F.posexplode("g").alias("dim", "v"))
+    return _kt(out.select(*EP, "t", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value")))
+
+
+@query("zero_action_filter")
+def q_zero_action_filter(spark, d):
+    st = T.steps(spark, d)
+    stats = _stats_struct(st, fields=("action",))
+    normed = N.normalize(st.select(*EP, "t", "action"), stats, "bounds_q99", fields=("action",))
+    ch = E.chunk_action(normed, 1, 2)
+    ch = N.attach_stats(ch, stats, fields=("action",))
+    kept = ch.filter(V.moves("action_chunk", F.col("action_stats.q01"), F.col("action_stats.q99")))
+    return _kt(kept.select(*EP, "t"))
+
+
+# ----------------------------------------------------------------------------- persistence
+@query("stats_roundtrip")
+def q_stats_roundtrip(spark, d):
+    st = T.steps(spark, d)
+    path = SK.scratch_path(spark, "stats")
+    SIO.save_stats(S.dataset_stats(st), S.dataset_counts(st), path)
+    back = SIO.load_stats(spark, path)
+    return back.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"), *[r6(c).alias(c) for c in SIO.STAT_FIELDS])
+
+
+@query("cached_stats")
+def q_cached_stats(spark, d):
+    st = T.steps(spark, d)
+    root = SK.scratch_path(spark, "stats-cache")
+    deps = ("steps", d, "state", "bridge")
+    first, hit1 = SIO.cached_stats(st, deps, root)
+    second, hit2 = SIO.cached_stats(st, deps, root)
+    if hit1 or not hit2:
+        raise RuntimeError("statistics cache did not behave")
+    return second.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"), *[r6(c).alias(c) for c in SIO.STAT_FIELDS])
+
+
+@query("synthetic_steps")
+def q_synthetic_steps(spark, d):
+    base = T.read_table(spark, d, "events", ["event_id"])
+    syn = SIO.synthetic_steps(base, SEED)
+    out = syn.select("event_id", "language_instruction", F.posexplode("action").alias("dim", "v"))
+    return out.select("event_id", "language_instruction", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
+
+
+# ----------------------------------------------------------------------------- statistics at volume / wide
+@query("dataset_stats_vectors")
+def q_stats_vectors(spark, d):
+    s = S.dataset_stats(T.vectors(spark, d), fields=("action",))
+    return s.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"),
+                    *[r6(c).alias(c) for c in ("mean", "std", "max", "min", "q01", "q99")])
+
+
+@query("dataset_stats_orders")
+def q_stats_orders(spark, d):
+    s = S.dataset_stats(T.order_steps(spark, d), fields=("action",))
+    return s.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"),
+                    *[r6(c).alias(c) for c in ("mean", "std", "max", "min", "q01", "q99")])
+
+
+def _normalize_vectors(spark, d, kind):
+    v = T.vectors(spark, d)
+    stats = _stats_struct(v, fields=("action",))
+    n = N.normalize(v, stats, kind, fields=("action",))
+    out = n.select("dataset_name", "traj_id", F.posexplode("action").alias("dim", "v"))
+    return out.select("dataset_name", "traj_id", F.col("dim").cast("bigint").alias("dim"), r6("v").alias("value"))
+
+
+@query("normalize_normal")
+def q_normalize_normal(spark, d):
+    return _normalize_vectors(spark, d, "normal")
+
+
+@query("normalize_bounds")
+def q_normalize_bounds(spark, d):
+    return _normalize_vectors(spark, d, "bounds")
+
+
+# ----------------------------------------------------------------------------- pipelines
+PIPE_OPTS = dict(train=True, goal_relabeling="uniform", window=2, future=3, subsample_length=50, skip_unlabeled=True,
+                 max_action=450.0, task_augment="delete_task_conditioning", keep_image_prob=0.5,
+                 absolute_action_mask=ABS_MASK_EEF, seed=SEED)
+
+
+@query("episode_pipeline")
+def q_episode_pipeline(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "action", "image", "language_instruction")
+    out = PL.episode_pipeline(st, PL.TrajOptions(**PIPE_OPTS))
+    base = [*EP, "t", "goal_t", "language_instruction", "goal_image"]
+    ex = explode_chunk(out.select(*base, "action_chunk"), base, "action_chunk")
+    return ex.withColumn("t", F.col("t").cast("bigint")).withColumn("goal_t", F.col("goal_t").cast("bigint"))
+
+
+@query("single_pipeline")
+def q_single_pipeline(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "action", "proprio", "image", "language_instruction")
+    o = PL.TrajOptions(train=False, window=1, future=5, skip_unlabeled=True)
+    frames, _, counts = PL.single_pipeline(st, o)
+    ex = explode_chunk(frames.select(*EP, "t", "action_chunk"), [*EP, "t"], "action_chunk")
+    return ex.withColumn("t", F.col("t").cast("bigint"))
+
+
+def _steps_weights(spark, d):
+    st = T.steps(spark, d)
+    names = st.select("dataset_name").distinct()
+    num = F.substring("dataset_name", 3, 8).cast("int")
+    return names.select("dataset_name", F.when(num == 1, 2.0).when(num == 2, 0.5).otherwise(1.0).alias("weight"), num.alias("pos"))
+
+
+@query("interleaved_pipeline")
+def q_interleaved(spark, d):
+    st = T.steps(spark, d).select(*EP, "t", "action", "proprio", "image", "language_instruction")
+    o = PL.TrajOptions(train=True, window=1, future=2, seed=SEED)
+    out = PL.interleaved_pipeline(st, _steps_weights(spark, d), o, SEED, None, 32)
+    return out.select("pos", "batch", "draw", "dataset_name", "traj_id", F.col("t").cast("bigint").alias("t"))
