@@ -11,10 +11,12 @@ statistic may gather a group into one task:
     1. a mergeable sketch (``percentile_approx``) brackets each target rank;
     2. conditional counts check that the bracket really holds the target ranks
        (a failed check widens that bracket to the whole group -- exact, just slower);
-    3. only rows inside the brackets are ranked (a sort-based window that spills),
-       and the two neighbouring order statistics are interpolated.
-  The bracket holds about 2*n/accuracy rows, so at 10^10 rows per group and the
-  default accuracy it is ~2*10^5 rows.
+    3. rows below the bracket collapse to one count and rows inside it to (value, count)
+       pairs (map-side combined, so ties are free); a window over the bracket's distinct
+       values picks the two neighbouring order statistics, which are interpolated.
+  The bracket spans about 2*n/accuracy ranks, so at 10^10 rows per group and the
+  default accuracy it holds at most ~2*10^5 distinct values.  Passes 2 and 3 are one
+  scan; pass 1 also yields mean/std/min/max.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodic.session import bounded_broadcast
+from episodic.session import bounded_broadcast, materialize
 
 QUANTILES = (("q01", 0.01), ("q99", 0.99))
 GROUP = ["dataset_name", "field", "dim"]
@@ -48,21 +50,37 @@ def long_values(df: DataFrame, fields: Sequence[str] = ("action", "proprio"), ke
     return ex.select("dataset_name", "field", F.col("dim").cast("int").alias("dim"), F.col("x").cast("double").alias("x"))
 
 
-def exact_quantiles(
-    long: DataFrame, group: Sequence[str], value: str, quantiles=QUANTILES, accuracy: int = 100_000,
-    max_broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group without holding a group in memory."""
-    group = list(group)
+def _pass_a(long: DataFrame, group: Sequence[str], value: str, quantiles, accuracy: int) -> DataFrame:
+    """One aggregation: count, moments and the sketch probes bracketing each quantile."""
     d = 2.0 / accuracy
     probes = []
     for _, q in quantiles:
-        probes += [max(q - d, 0.0), min(q + d, 1.0)]
-    summary = long.groupBy(*group).agg(
+        probes += [max(q - d, 0.0), min(q + d, 1.0), q]
+    return long.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
+        F.avg(value).alias("mean"),
+        F.stddev_pop(value).alias("std"),
+        F.max(value).alias("max"),
+        F.min(value).alias("min"),
         F.percentile_approx(value, probes, accuracy).alias("_probe"),
     )
-    # one row per (group, quantile) with its bracket and target rank
+
+
+def exact_quantiles(
+    long: DataFrame, group: Sequence[str], value: str, quantiles=QUANTILES, accuracy: int = 100_000,
+    max_broadcast_rows: int = 1_000_000, summary: DataFrame | None = None,
+) -> DataFrame:
+    """Exact linear-interpolated quantiles per group without holding a group in memory.
+
+    Pass A (``summary``) gives n and a sketch bracket [lo, hi] per quantile.  Pass B keeps
+    rows <= hi, collapses rows < lo into one count and the rest into (value, count) pairs
+    -- both map-side combined, so massive ties cost one row -- and a window over the
+    bracket's distinct values (bounded by the sketch error) finds the values at ranks
+    r and r+1.  Groups whose bracket misses the target rank (the sketch guarantee rules
+    it out) fall back to Spark's exact ``percentile`` for those groups only."""
+    group = list(group)
+    if summary is None:
+        summary = materialize(_pass_a(long, group, value, quantiles, accuracy))
     rows = []
     for j, (name, q) in enumerate(quantiles):
         pos = F.lit(q) * (F.col("_n") - 1)
@@ -71,41 +89,43 @@ def exact_quantiles(
                 F.lit(name).alias("qname"),
                 F.floor(pos).cast("long").alias("r"),
                 (pos - F.floor(pos)).alias("frac"),
-                F.col("_probe")[2 * j].alias("lo"),
-                F.col("_probe")[2 * j + 1].alias("hi"),
+                F.col("_probe")[3 * j].alias("lo"),
+                F.col("_probe")[3 * j + 1].alias("hi"),
             )
         )
-    targets = summary.select(*group, "_n", F.explode(F.array(*rows)).alias("b")).select(*group, "_n", "b.*")
-    # one row per (group, quantile): materialized once, broadcast only after a size check
+    targets = summary.select(*group, F.explode(F.array(*rows)).alias("b")).select(*group, "b.*")
+    # one row per (group, quantile); broadcast only after a size check
     targets = bounded_broadcast(targets, max_rows=max_broadcast_rows)
-    # pass 2: verify each bracket with conditional counts (partial aggregation)
-    joined = long.join(targets, group, "inner")
-    counts = joined.groupBy(*group, "qname").agg(
-        F.sum((F.col(value) < F.col("lo")).cast("long")).alias("c_below"),
-        F.sum((F.col(value) <= F.col("hi")).cast("long")).alias("c_upto"),
-    )
-    checked = targets.join(counts, group + ["qname"]).select(
-        *group, "qname", "r", "frac", "_n",
-        F.when((F.col("c_below") <= F.col("r")) & (F.col("r") + 1 < F.col("c_upto")), F.col("lo")).alias("lo"),
-        F.when((F.col("c_below") <= F.col("r")) & (F.col("r") + 1 < F.col("c_upto")), F.col("hi")).alias("hi"),
-        F.when((F.col("c_below") <= F.col("r")) & (F.col("r") + 1 < F.col("c_upto")), F.col("c_below")).otherwise(F.lit(0)).alias("c_below"),
-    )
-    checked = bounded_broadcast(checked, max_rows=max_broadcast_rows)
-    # pass 3: rank only the bracket rows (null bracket = whole group, the exact fallback)
-    inside = long.join(checked, group, "inner").filter(
-        (F.col("lo").isNull() | (F.col(value) >= F.col("lo"))) & (F.col("hi").isNull() | (F.col(value) <= F.col("hi")))
+    inb = long.join(targets.select(*group, "qname", "lo", "hi"), group, "inner").filter(F.col(value) <= F.col("hi"))
+    below = F.col(value) < F.col("lo")
+    hist = inb.groupBy(*group, "qname", F.when(below, F.lit(None)).otherwise(F.col(value)).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c")
     )
-    w = Window.partitionBy(*group, "qname").orderBy(value)
-    ranked = inside.withColumn("_rank", F.row_number().over(w) - 1 + F.col("c_below"))
-    picked = ranked.filter((F.col("_rank") == F.col("r")) | (F.col("_rank") == F.col("r") + 1))
-    res = picked.groupBy(*group, "qname").agg(
-        F.max_by(value, F.col("_rank") == F.col("r")).alias("v0"),
-        F.max_by(value, F.col("_rank") == F.col("r") + 1).alias("v1"),
-        F.max(F.col("_rank") == F.col("r") + 1).alias("has_next"),
+    hist = hist.join(targets.select(*group, "qname", "r", "frac"), group + ["qname"], "inner")
+    w = Window.partitionBy(*group, "qname").orderBy(F.col("_x").asc_nulls_first())
+    hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hist = hist.withColumn("_prev", F.col("_cum") - F.col("_c"))
+    # value at rank r: the distinct value whose cumulative range [prev, cum) holds r
+    hit0 = F.col("_x").isNotNull() & (F.col("_prev") <= F.col("r")) & (F.col("r") < F.col("_cum"))
+    hit1 = F.col("_x").isNotNull() & (F.col("_prev") <= F.col("r") + 1) & (F.col("r") + 1 < F.col("_cum"))
+    res = hist.groupBy(*group, "qname").agg(
+        F.max(F.when(hit0, F.col("_x"))).alias("v0"),
+        F.max(F.when(hit1, F.col("_x"))).alias("v1"),
         F.first("frac").alias("frac"),
     )
-    val = F.when(F.col("has_next") & (F.col("frac") > 0), F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).otherwise(F.col("v0"))
-    out = res.select(*group, "qname", val.alias("qv"))
+    val = F.when(F.col("v1").isNotNull() & (F.col("frac") > 0), F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).otherwise(F.col("v0"))
+    out = res.select(*group, "qname", val.alias("qv"), (F.col("v0").isNull() | ((F.col("frac") > 0) & F.col("v1").isNull())).alias("_miss"))
+    out = materialize(out)
+    missed = out.filter("_miss").select(*group, "qname").distinct()
+    if missed.limit(1).count() > 0:  # fallback: exact percentile for the few groups the sketch missed
+        fix = long.join(missed.select(*group).distinct(), group, "left_semi").groupBy(*group).agg(
+            F.percentile(value, [q for _, q in quantiles]).alias("_p")
+        )
+        fix = fix.select(*group, F.explode(F.arrays_zip(F.array(*[F.lit(n) for n, _ in quantiles]).alias("qname"), F.col("_p").alias("qv"))).alias("z"))
+        fix = fix.select(*group, "z.qname", "z.qv")
+        out = out.filter(~F.col("_miss")).select(*group, "qname", "qv").unionByName(fix)
+    else:
+        out = out.select(*group, "qname", "qv")
     return out.groupBy(*group).pivot("qname", [n for n, _ in quantiles]).agg(F.first("qv"))
 
 
@@ -118,18 +138,12 @@ def dataset_stats(
 ) -> DataFrame:
     """A1 in long form: (dataset_name, field, dim, mean, std, max, min, q01, q99)."""
     long = long_values(df, fields, key)
-    moments = long.groupBy(*GROUP).agg(
-        F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("std"),
-        F.max("x").alias("max"),
-        F.min("x").alias("min"),
-    )
+    summary = materialize(_pass_a(long, GROUP, "x", QUANTILES, accuracy))
+    moments = summary.select(*GROUP, "mean", "std", "max", "min")
     if exact:
-        qs = exact_quantiles(long, GROUP, "x", QUANTILES, accuracy)
+        qs = exact_quantiles(long, GROUP, "x", QUANTILES, accuracy, summary=summary)
     else:
-        qs = long.groupBy(*GROUP).agg(
-            F.percentile_approx("x", [q for _, q in QUANTILES], accuracy).alias("_q")
-        ).select(*GROUP, *[F.col("_q")[i].alias(n) for i, (n, _) in enumerate(QUANTILES)])
+        qs = summary.select(*GROUP, *[F.col("_probe")[3 * i + 2].alias(n) for i, (n, _) in enumerate(QUANTILES)])
     return moments.join(qs, GROUP, "inner")
 
 

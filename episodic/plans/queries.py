@@ -423,6 +423,7 @@ def q_instruction_catalog(spark, d):
 def q_attach_dialogue(spark, d):
     cat = D.instruction_catalog(_catalog_items(spark, d))
     st = T.steps(spark, d).filter(F.col("language_instruction") != "").select(*EP, "t", F.col("language_instruction").alias("task"))
+    st = st.join(cat.select(F.col("instruction").alias("task")), "task", "left_semi")  # tasks with a dialogue entry
     out = D.attach_dialogue(st, cat, "task")
     return out.select(*EP, F.col("t").cast("bigint").alias("t"), "task", F.size("entry.conv").cast("bigint").alias("n_conv"))
 
