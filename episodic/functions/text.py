@@ -85,16 +85,28 @@ def token_range(ids, lo: int = ACTION_TOKEN_MIN, hi: int = ACTION_TOKEN_MAX) ->
 
 def label_mask(ids, pad_id, marker: Sequence[int] = ASSISTANT_START, ignore: int = IGNORE_INDEX) -> Column:
     """Find the last marker scanning start positions len-6 .. 0; keep labels after it,
-    ``ignore`` before it (everything when absent); pad ids become ``ignore``."""
-    ids = _c(ids)
+    ``ignore`` before it (everything when absent); pad ids become ``ignore``.
+
+    The ids and the start index are bound once per row (a one-element array mapped by a
+    lambda), so the per-token lambda does O(1) work instead of rescanning the sequence."""
     pad = _c(pad_id) if not isinstance(pad_id, int) else F.lit(pad_id)
     m = F.array(*[F.lit(v).cast("bigint") for v in marker])
     k = len(marker)
-    n = F.size(ids)
-    starts = F.when(n >= 2 * k, F.sequence(F.lit(0), n - 2 * k)).otherwise(F.array().cast("array<int>"))
-    last = F.array_max(F.filter(starts, lambda j: F.slice(ids, j + 1, k) == m))
-    begin = F.coalesce(last + k, n)
-    return F.transform(
-        ids,
-        lambda x, i: F.when((i >= begin) & (x != pad), x.cast("bigint")).otherwise(F.lit(ignore).cast("bigint")),
-    )
+
+    def per_row(s):
+        seq = s["ids"]
+        n = F.size(seq)
+        starts = F.when(n >= 2 * k, F.sequence(F.lit(0), n - 2 * k)).otherwise(F.array().cast("array<int>"))
+        last = F.array_max(F.filter(starts, lambda j: F.slice(seq, j + 1, k) == m))
+        begin = F.coalesce(last + k, n)
+        return F.struct(seq.alias("ids"), begin.alias("begin"))
+
+    def labels(s):
+        return F.transform(
+            s["ids"],
+            lambda x, i: F.when((i >= s["begin"]) & (x != s["pad"]), x.cast("bigint")).otherwise(F.lit(ignore).cast("bigint")),
+        )
+
+    bound = F.transform(F.array(F.struct(_c(ids).alias("ids"))), per_row)
+    bound = F.transform(bound, lambda s: F.struct(s["ids"].alias("ids"), s["begin"].alias("begin"), pad.cast("bigint").alias("pad")))
+    return F.element_at(F.transform(bound, labels), 1)

@@ -128,11 +128,11 @@ def chunk_obs(df: DataFrame, cols: Sequence[str], window: int, keys=EPISODE, suf
     """W1 + W4: each observation column gets a window axis (t-W+1 .. t, clamped at 0)
     and ``pad_mask`` marks slots whose un-clamped index is >= 0."""
     w = episode_window(keys)
-    first_w = _full(keys).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c in cols:
-        first_v = F.first(c).over(first_w)
-        slots = [F.coalesce(_gather_offset(c, s - window + 1, w), first_v) if s < window - 1 else F.col(c) for s in range(window)]
-        df = df.withColumn(c + suffix, F.array(*slots))
+        df = df.withColumn("_first_" + c, F.first(c).over(whole))
+        slots = [F.coalesce(_gather_offset(c, s - window + 1, w), F.col("_first_" + c)) if s < window - 1 else F.col(c) for s in range(window)]
+        df = df.withColumn(c + suffix, F.array(*slots)).drop("_first_" + c)
     mask = F.array(*[(F.col("t") + F.lit(s - window + 1)) >= 0 for s in range(window)])
     return df.withColumn("pad_mask", mask)
 
@@ -150,25 +150,26 @@ def chunk_action(
     slots past the episode end become neutral: absolute dims repeat the last action,
     relative dims are 0 (no mask = all relative)."""
     w = episode_window(keys)
-    whole = _full(keys).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_a = F.first(action).over(whole)
-    last_a = F.last(action).over(whole)
-    n = F.count(F.lit(1)).over(_full(keys))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # episode-level values computed once (one window expression each), used by every slot
+    df = df.withColumn("_first_a", F.first(action).over(whole)).withColumn("_last_a", F.last(action).over(whole))
+    df = df.withColumn("_n", F.count(F.lit(1)).over(whole))
     if abs_mask is None:
-        neutral = F.transform(last_a, lambda v: F.lit(0.0))
+        neutral = F.transform("_last_a", lambda v: F.lit(0.0))
     else:
         m = F.array(*[F.lit(bool(b)) for b in abs_mask])
-        neutral = F.zip_with(m, last_a, lambda b, v: F.when(b, v).otherwise(F.lit(0.0)))
+        neutral = F.zip_with(m, "_last_a", lambda b, v: F.when(b, v).otherwise(F.lit(0.0)))
+    df = df.withColumn("_neutral", neutral)
     slots = []
     for s in range(window + future):
         off = s - window + 1
         if off < 0:
-            slots.append(F.coalesce(_gather_offset(action, off, w), first_a))
+            slots.append(F.coalesce(_gather_offset(action, off, w), F.col("_first_a")))
         elif off == 0:
             slots.append(F.col(action))
         else:
-            slots.append(F.when(F.col("t") + F.lit(off) > n - 1, neutral).otherwise(_gather_offset(action, off, w)))
-    return df.withColumn(out, F.array(*slots))
+            slots.append(F.when(F.col("t") + F.lit(off) > F.col("_n") - 1, F.col("_neutral")).otherwise(_gather_offset(action, off, w)))
+    return df.withColumn(out, F.array(*slots)).drop("_first_a", "_last_a", "_n", "_neutral")
 
 
 def add_pad_mask_dict(df: DataFrame, fields: Sequence[str], name: str = "pad_mask_dict") -> DataFrame:
