@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from episodic.functions import rotation as RT
 from episodic.functions import text as X
+from episodic.functions.rand import u01
 from episodic.functions import vector as V
 from episodic.operators import episodes as E
 
@@ -121,6 +122,144 @@ def robo_net(df: DataFrame) -> DataFrame:
     return df.withColumn("action", F.concat(_sl("action", 0, 4), V.zeros(2), _sl("action", -1)))
 
 
+def rand_swap(df: DataFrame, a: str, b: str, seed: int = 0, keys=E.EPISODE) -> DataFrame:
+    """One draw per episode; u > 0.5 keeps the order of the two camera columns, else swaps."""
+    keep = u01(seed, *keys) > 0.5
+    return df.withColumn("_keep", keep).select(
+        *[c for c in df.columns if c not in (a, b)],
+        F.when(F.col("_keep"), F.col(a)).otherwise(F.col(b)).alias(a),
+        F.when(F.col("_keep"), F.col(b)).otherwise(F.col(a)).alias(b),
+    )
+
+
+def droid_baseact(df: DataFrame, seed: int = 0) -> DataFrame:
+    vel = "cartesian_velocity"
+    df = df.withColumn("action", F.concat(_sl(vel, 0, 3), _sl(vel, 3, 6), F.transform("gripper_position", lambda g: V.invert(g))))
+    df = rand_swap(df, "exterior_image_1_left", "exterior_image_2_left", seed)
+    return df.withColumn("proprio", F.concat("cartesian_position", "gripper_position"))
+
+
+def droid_finetuning(df: DataFrame) -> DataFrame:
+    vel = "cartesian_velocity"
+    df = df.withColumn("action", F.concat(_sl(vel, 0, 3), _sl(vel, 3, 6), F.transform("gripper_position", lambda g: V.invert(g))))
+    return df.withColumn("proprio", F.concat("cartesian_position", "gripper_position"))
+
+
+def bridge_speech_oxe(df: DataFrame) -> DataFrame:
+    df = df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(F.col("open_gripper"))))
+    df = E.state_delta(df, "state", "action")
+    return df.withColumn("proprio", F.concat(_sl("state", 0, 6), _sl("state", -1)))
+
+
+def ppgm(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_g", F.element_at("action", -1))
+    df = df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(E.binarize_gripper("_g")))).drop("_g")
+    return df.withColumn("proprio", F.concat(_sl("state", 0, 6), _sl("state", -1)))
+
+
+tdroid = ppgm
+
+
+def cable_routing(df: DataFrame) -> DataFrame:
+    return df.withColumn("action", F.concat("world_vector", "rotation_delta", V.zeros(1)))
+
+
+def toto(df: DataFrame) -> DataFrame:
+    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(F.col("open_gripper"))))
+
+
+def pusht(df: DataFrame) -> DataFrame:
+    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(F.col("gripper_closedness_action"))))
+
+
+def autolab_ur5(df: DataFrame) -> DataFrame:
+    df = df.withColumn("proprio", _sl("state", 6, 14))
+    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(E.rel2abs_gripper("gripper_closedness_action"))))
+
+
+def sl3_z3_last(df: DataFrame) -> DataFrame:
+    """stanford_kuka_multimodal, ucsd_pick_place."""
+    return df.withColumn("action", F.concat(_sl("action", 0, 3), V.zeros(3), _sl("action", -1)))
+
+
+def first7(df: DataFrame) -> DataFrame:
+    """nyu_rot."""
+    return df.withColumn("action", _sl("action", 0, 7))
+
+
+def sl6_inv_clip(df: DataFrame) -> DataFrame:
+    """austin_buds, austin_sailor, austin_sirius, utaustin_mutex (state = first 8)."""
+    df = df.withColumn("proprio", _sl("state", 0, 8))
+    return df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(V.invert(V.clip01(F.element_at("action", -1))))))
+
+
+def nyu_franka_play(df: DataFrame) -> DataFrame:
+    df = df.withColumn("proprio", _sl("state", -6))
+    return df.withColumn("action", F.concat(_sl("action", -8, -2), F.transform(_sl("action", -2, -1), lambda v: V.clip01(v))))
+
+
+def drop_last_dim(df: DataFrame) -> DataFrame:
+    """cmu_franka_exploration, ucsd_kitchen, tokyo_pr2, imperial_wristcam."""
+    return df.withColumn("action", _sl("action", 0, -1))
+
+
+def last7(df: DataFrame) -> DataFrame:
+    """utokyo_xarm_bimanual."""
+    return df.withColumn("action", _sl("action", -7))
+
+
+def kaist_nonprehensile(df: DataFrame) -> DataFrame:
+    df = df.withColumn("proprio", _sl("state", -7))
+    return df.withColumn("action", F.concat(_sl("action", 0, 6), V.zeros(1)))
+
+
+def eef_grip(df: DataFrame) -> DataFrame:
+    """tokyo_lsmo, robocook, asu_table_top, maniskill-like: proprio = eef (6) + gripper (last)."""
+    return df.withColumn("proprio", F.concat(_sl("state", 0, 6), _sl("state", -1)))
+
+
+def dlr_sara_grid_clamp(df: DataFrame) -> DataFrame:
+    return df.withColumn("proprio", _sl("state", 0, 6))
+
+
+def dlr_edan(df: DataFrame) -> DataFrame:
+    return df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(V.invert(F.element_at("action", -1)))))
+
+
+def bc_z(df: DataFrame) -> DataFrame:
+    return df.withColumn("action", F.concat(_sl("world_vector", 0, 3), _sl("rotation_delta", 0, 3), _arr(V.invert(F.col("open_gripper").cast("double")))))
+
+
+def quat_last(df: DataFrame) -> DataFrame:
+    """iamlab_pick_insert, cmu_playing_with_food: position, quaternion -> Euler, gripper as is."""
+    a = "action_quat"
+    return df.withColumn("action", F.concat(_sl(a, 0, 3), RT.quat_to_euler(_sl(a, 3, 7)), _sl(a, 7, 8)))
+
+
+def uiuc_d3field(df: DataFrame) -> DataFrame:
+    a = F.col("world_vector")
+    return df.withColumn("action", F.concat(a, F.transform(a, lambda v: F.lit(0.0)), V.zeros(1)))
+
+
+def fmb(df: DataFrame) -> DataFrame:
+    return df.withColumn("proprio", F.concat(_sl("state", 0, 6), F.array("gripper_position")[0]))
+
+
+def dobbe(df: DataFrame) -> DataFrame:
+    return df.withColumn("proprio", F.col("state"))
+
+
+def roboset(df: DataFrame) -> DataFrame:
+    df = df.withColumn("proprio", F.col("state"))
+    a = "action_quat"
+    return df.withColumn("action", F.concat(_sl(a, 0, 7), _arr(V.invert(V.clip01(F.element_at(a, -1))))))
+
+
+def rh20t(df: DataFrame) -> DataFrame:
+    df = df.withColumn("action", F.concat(_sl("state", 0, 6), _arr(F.col("open_gripper"))))
+    return df.withColumn("proprio", F.concat(_sl("state", 0, 6), _sl("state", -1)))
+
+
 def identity(df: DataFrame) -> DataFrame:
     return df
 
@@ -147,6 +286,50 @@ REGISTRY: dict[str, Recipe] = {
     "cmu_play_fusion": playfusion,
     "robo_net": robo_net,
     "utokyo_xarm_pick_and_place_converted_externally_to_rlds": identity,
+    "berkeley_mvp_converted_externally_to_rlds": identity,
+    "berkeley_rpt_converted_externally_to_rlds": identity,
+    "dlr_sara_pour_converted_externally_to_rlds": identity,
+    "droid": droid_baseact,
+    "droid_finetuning": droid_finetuning,
+    "bridge_speech_oxe": bridge_speech_oxe,
+    "ppgm": ppgm,
+    "tdroid": tdroid,
+    "kuka": rt1,
+    "nyu_door_opening_surprising_effectiveness": rt1,
+    "berkeley_cable_routing": cable_routing,
+    "viola": roboturk,
+    "berkeley_autolab_ur5": autolab_ur5,
+    "toto": toto,
+    "columbia_cairlab_pusht_real": pusht,
+    "stanford_kuka_multimodal_dataset_converted_externally_to_rlds": sl3_z3_last,
+    "ucsd_pick_and_place_dataset_converted_externally_to_rlds": sl3_z3_last,
+    "nyu_rot_dataset_converted_externally_to_rlds": first7,
+    "austin_buds_dataset_converted_externally_to_rlds": sl6_inv_clip,
+    "austin_sailor_dataset_converted_externally_to_rlds": sl6_inv_clip,
+    "austin_sirius_dataset_converted_externally_to_rlds": sl6_inv_clip,
+    "utaustin_mutex": sl6_inv_clip,
+    "nyu_franka_play_dataset_converted_externally_to_rlds": nyu_franka_play,
+    "maniskill_dataset_converted_externally_to_rlds": eef_grip,
+    "cmu_franka_exploration_dataset_converted_externally_to_rlds": drop_last_dim,
+    "ucsd_kitchen_dataset_converted_externally_to_rlds": drop_last_dim,
+    "tokyo_u_lsmo_converted_externally_to_rlds": eef_grip,
+    "robocook": eef_grip,
+    "asu_table_top_converted_externally_to_rlds": eef_grip,
+    "utokyo_pr2_opening_fridge_converted_externally_to_rlds": drop_last_dim,
+    "utokyo_pr2_tabletop_manipulation_converted_externally_to_rlds": drop_last_dim,
+    "imperial_wrist_cam": drop_last_dim,
+    "utokyo_xarm_bimanual_converted_externally_to_rlds": last7,
+    "kaist_nonprehensile_converted_externally_to_rlds": kaist_nonprehensile,
+    "dlr_sara_grid_clamp_converted_externally_to_rlds": dlr_sara_grid_clamp,
+    "dlr_edan_shared_control_converted_externally_to_rlds": dlr_edan,
+    "bc_z": bc_z,
+    "iamlab_cmu_pickup_insert_converted_externally_to_rlds": quat_last,
+    "cmu_playing_with_food": quat_last,
+    "uiuc_d3field": uiuc_d3field,
+    "fmb_dataset": fmb,
+    "dobbe": dobbe,
+    "roboset": roboset,
+    "rh20t": rh20t,
 }
 
 

@@ -713,3 +713,15 @@ fr AS (SELECT dataset_name, traj_id, t, row_number() OVER (PARTITION BY dataset_
 j AS (SELECT dk.draw, dk.dataset_name, fr.traj_id, fr.t FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size),
 p AS (SELECT *, row_number() OVER (ORDER BY {u01_sql(SEED + 3, 'draw')}, draw) - 1 AS pos FROM j)
 SELECT pos, CAST(floor(pos / 32) AS BIGINT) AS batch, draw, dataset_name, traj_id, CAST(t AS BIGINT) AS t FROM p"""
+
+ORACLE["std_droid_base"] = _std("""SELECT dataset_name, traj_id, t, list_concat(cv[1:3], cv[4:6], [1 - gpos[1]]) AS action,
+  list_concat(cp, gpos) AS proprio FROM raw""", True)
+ORACLE["std_nyu_franka"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action[1:5], [{clip01('action[6]')}]) AS action,
+  state[3:8] AS proprio FROM raw""", True)
+ORACLE["std_iamlab"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action_quat[1:3], {QUAT_EULER}, [action_quat[8]]) AS action FROM raw""", False)
+ORACLE["std_bc_z"] = _std("""SELECT dataset_name, traj_id, t, list_concat(world_vector, rotation_delta, [1 - CAST(open_gripper AS DOUBLE)]) AS action FROM raw""", False)
+ORACLE["std_autolab_ur5"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(world_vector, rotation_delta, [{W7}]) AS action,
+  state[7:8] AS proprio FROM raw""", True)
+ORACLE["rand_swap"] = "WITH " + STEPS + f"""
+SELECT {KT}, CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#1' ELSE image || '#2' END AS exterior_image_1_left,
+       CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#2' ELSE image || '#1' END AS exterior_image_2_left FROM steps"""

@@ -518,6 +518,11 @@ STD_QUERIES = {
     "std_fanuc": "berkeley_fanuc_manipulation",
     "std_playfusion": "cmu_play_fusion",
     "std_robo_net": "robo_net",
+    "std_droid_base": "droid",
+    "std_nyu_franka": "nyu_franka_play_dataset_converted_externally_to_rlds",
+    "std_iamlab": "iamlab_cmu_pickup_insert_converted_externally_to_rlds",
+    "std_bc_z": "bc_z",
+    "std_autolab_ur5": "berkeley_autolab_ur5",
 }
 
 
@@ -532,7 +537,8 @@ def _std_long(df: DataFrame) -> DataFrame:
 
 _defines_proprio = {"bridge_oxe", "bridge_orig", "taco_play", "stanford_hydra_dataset_converted_externally_to_rlds",
                     "furniture_bench_dataset_converted_externally_to_rlds", "cmu_stretch", "gnm_dataset",
-                    "libero_spatial_no_noops", "droid_wrist", "berkeley_fanuc_manipulation", "robo_net"}
+                    "libero_spatial_no_noops", "droid_wrist", "berkeley_fanuc_manipulation", "robo_net", "droid",
+                    "nyu_franka_play_dataset_converted_externally_to_rlds", "berkeley_autolab_ur5"}
 
 
 for _q, _ds in STD_QUERIES.items():
@@ -909,3 +915,9 @@ def q_interleaved(spark, d):
     o = PL.TrajOptions(train=True, window=1, future=2, seed=SEED)
     out = PL.interleaved_pipeline(st, _steps_weights(spark, d), o, SEED, None, 32)
     return out.select("pos", "batch", "draw", "dataset_name", "traj_id", F.col("t").cast("bigint").alias("t"))
+
+
+@query("rand_swap")
+def q_rand_swap(spark, d):
+    out = STD.rand_swap(T.raw_steps(spark, d), "exterior_image_1_left", "exterior_image_2_left", SEED)
+    return out.select(*EP, F.col("t").cast("bigint").alias("t"), "exterior_image_1_left", "exterior_image_2_left")

@@ -227,4 +227,6 @@ def raw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(k / 100.0, hour / 24.0, minute / 60.0, second / 60.0 * 3.14, k / 200.0, hour / 48.0).alias("cartesian_position"),
         F.array("gripper").alias("gripper_position"),
         F.slice("action", 1, 6).alias("action6"),
+        F.concat("image", F.lit("#1")).alias("exterior_image_1_left"),
+        F.concat("image", F.lit("#2")).alias("exterior_image_2_left"),
     )
