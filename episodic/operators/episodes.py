@@ -1,16 +1,30 @@
 """Episode (trajectory) operators: timestep, filters, gripper relabels, chunking, goals.
 
-An episode is the group of step rows sharing ``(dataset_name, traj_id)``, ordered by
-the dense 0-based ``t``.  All operators are expressed with window functions over the
-same partitioning (``EPISODE``), so Spark plans one exchange + one sort and evaluates
-every window expression with that spec in the same Window operator.  Sequential
-scans of the reference (``tf.scan``) become ``first/last(..., ignorenulls)`` frames;
-fixed-offset gathers become ``lead/lag``; nothing collects an episode into one row.
+An episode is the group of step rows sharing ``(dataset_name, traj_id)``, ordered by the
+dense 0-based ``t``.  One episode may be huge (a third of all rows), so no operator
+partitions a window by the episode alone.  Instead every episode window is *blocked*:
+
+* ``_blk = t div B`` (``B`` = ``episodic.episodeBlockRows``, default 65,536); windows
+  partition by ``(dataset_name, traj_id, _blk)``, so a long episode spreads over
+  ``n / B`` tasks while a normal episode is one block;
+* ``lead``/``lag`` by up to ``h`` rows see across block edges through a neighbour table:
+  the first/last ``h`` values of every block (bounded aggregates of edge rows only)
+  joined on (episode, block), so step rows never move between partitions;
+* episode-level values (length, first/last value, any/all flags) are partial
+  aggregates per episode, joined back on ``(dataset_name, traj_id, _blk)`` -- the key the
+  windows already partition by, so no further exchange of the step rows;
+* sequential scans (the reference's ``tf.scan``) are two-level: a scan inside the block
+  (``first/last(..., ignorenulls)`` frames) plus a carry from the neighbouring blocks,
+  computed on the tiny per-block summary table.
+
+The timestep itself (P5) is a ``row_number`` for normal episodes and the bucketed
+``rank_in_group`` for episodes above ``episodic.hotEpisodeRows``.  ``_blk`` is kept on the
+rows so consecutive operators share one partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,34 +33,117 @@ from episodic.functions import vector as V
 from episodic.functions.rand import u01
 
 EPISODE = ["dataset_name", "traj_id"]
+BLK = "_blk"
+DEFAULT_BLOCK_ROWS = 1 << 16
+DEFAULT_HOT_EPISODE_ROWS = 1 << 22
+MAX_HOT_EPISODES = 100_000
+
+
+def block_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("episodic.episodeBlockRows", str(DEFAULT_BLOCK_ROWS)))
+
+
+def with_block(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Add the episode block column and distribute the steps by (episode, block) -- the one
+    exchange that splits long episodes over tasks; later operators reuse it."""
+    if BLK in df.columns:
+        return df
+    out = df.withColumn(BLK, F.floor(F.col("t") / F.lit(block_rows(df))).cast("int"))
+    return out.repartition(*keys, BLK)
 
 
 def episode_window(keys: Sequence[str] = EPISODE, order: Sequence[str] = ("t",)):
-    return Window.partitionBy(*keys).orderBy(*order)
+    """Window over one block of an episode."""
+    return Window.partitionBy(*keys, BLK).orderBy(*order)
+
+
+def _whole_block(keys=EPISODE):
+    return episode_window(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def attach_episode(df: DataFrame, aggs: Mapping[str, Column], keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Attach per-episode aggregates to every step row.
+
+    The aggregate is partial (map-side combined), then replicated over the episode's
+    blocks and joined on (keys, _blk), the partitioning of the blocked windows."""
+    df = with_block(df, keys)
+    ep = df.groupBy(*keys).agg(F.max(BLK).alias("_maxblk"), *[c.alias(n) for n, c in aggs.items()])
+    ep = ep.withColumn(BLK, F.explode(F.sequence(F.lit(0), F.col("_maxblk")))).drop("_maxblk")
+    return df.join(ep, [*keys, BLK], "inner")
+
+
+def _neighbors(df: DataFrame, cols: Sequence[str], lead: int, lag: int, keys=EPISODE) -> DataFrame:
+    """Attach, per row, the first ``lead`` values of the next block (``_nh_<c>``) and the last
+    ``lag`` values of the previous block (``_pt_<c>``).  Only block-edge rows are
+    aggregated (at most lead + lag per block), and the small neighbour table joins on
+    (episode, block), so the step rows keep their partitioning."""
+    df = with_block(df, keys)
+    b = block_rows(df)
+    if max(lead, lag) >= b:
+        raise ValueError(f"offsets ({lead}, {lag}) must be smaller than the block size {b}")
+    pos = F.pmod(F.col("t"), F.lit(b))
+    parts = []
 
+    def getter(name):
+        return lambda e: e[name]
 
-def _full(keys: Sequence[str] = EPISODE):
-    return Window.partitionBy(*keys)
+    if lead > 0:
+        head = df.filter(pos < lead).groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("_e"))
+        parts.append(head.select(*keys, (F.col(BLK) - 1).alias(BLK),
+                                 *[F.transform("_e", getter(c)).alias("_nh_" + c) for c in cols]))
+    if lag > 0:
+        tail = df.filter(pos >= b - lag).groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("_e"))
+        parts.append(tail.select(*keys, (F.col(BLK) + 1).alias(BLK),
+                                 *[F.transform("_e", getter(c)).alias("_pt_" + c) for c in cols]))
+    nb = parts[0] if len(parts) == 1 else parts[0].join(parts[1], [*keys, BLK], "full_outer")
+    return df.join(nb, [*keys, BLK], "left")
 
 
-def _following(keys=EPISODE):
-    return episode_window(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _gather(col: str, off: int, w, lag: int, b: int) -> Column:
+    """Value ``off`` steps away inside the episode: in-block lead/lag, else the neighbour block."""
+    if off == 0:
+        return F.col(col)
+    pos = F.pmod(F.col("t"), F.lit(b))
+    if off > 0:
+        return F.coalesce(F.lead(col, off).over(w), F.get(F.col("_nh_" + col), pos + off - b))
+    return F.coalesce(F.lag(col, -off).over(w), F.get(F.col("_pt_" + col), pos + off + lag))
+
+
+def _drop_neighbors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.drop(*[p + c for c in cols for p in ("_nh_", "_pt_")])
 
 
-def _preceding(keys=EPISODE):
-    return episode_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _block_summary_join(df: DataFrame, summary: DataFrame, keys=EPISODE) -> DataFrame:
+    return df.join(summary, [*keys, BLK], "inner")
 
 
 # --------------------------------------------------------------------- P5 / A3
 def add_timestep(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "t") -> DataFrame:
-    """P5: 0-based index of each step inside its episode (order must be total)."""
+    """P5: 0-based index of each step inside its episode (``order`` must be total).
+
+    Episodes above ``episodic.hotEpisodeRows`` are ranked with the bucketed
+    ``rank_in_group`` (split over many tasks); all others with a plain ``row_number``.
+    The set of hot episodes is bounded by rows / threshold and checked before broadcast."""
+    from episodic.operators.frames import rank_in_group
+    from episodic.session import bounded_broadcast
+
+    spark = df.sparkSession
+    threshold = int(spark.conf.get("episodic.hotEpisodeRows", str(DEFAULT_HOT_EPISODE_ROWS)))
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    plain = df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold).select(*keys)
+    hot = bounded_broadcast(sizes, MAX_HOT_EPISODES)
+    if hot.limit(1).count() == 0:
+        return plain
+    normal = df.join(hot, list(keys), "left_anti")
+    hot_rows = df.join(hot, list(keys), "left_semi")
+    ranked = rank_in_group(hot_rows, keys, order, name).withColumn(name, F.col(name).cast("int"))
+    return normal.withColumn(name, (F.row_number().over(w) - 1).cast("int")).unionByName(ranked)
 
 
 def with_traj_len(df: DataFrame, keys: Sequence[str] = EPISODE, name: str = "traj_len") -> DataFrame:
     """A3: number of steps of the row's episode."""
-    return df.withColumn(name, F.count(F.lit(1)).over(_full(keys)).cast("int"))
+    return attach_episode(df, {name: F.count(F.lit(1)).cast("int")}, keys)
 
 
 def traj_lengths(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -59,8 +156,8 @@ def skip_unlabeled(df: DataFrame, lang: str = "language_instruction", keys=EPISO
     """keep an episode iff any step has a non-empty instruction."""
     if lang not in df.columns:
         raise ValueError("skip_unlabeled=True but dataset does not have language labels.")
-    keep = F.max((F.col(lang) != "").cast("int")).over(_full(keys)) == 1
-    return df.withColumn("_keep", keep).filter("_keep").drop("_keep")
+    out = attach_episode(df, {"_keep": F.max((F.col(lang) != "").cast("int"))}, keys)
+    return out.filter(F.col("_keep") == 1).drop("_keep")
 
 
 def max_abs_filter(df: DataFrame, col: str, limit: float | None, keys=EPISODE) -> DataFrame:
@@ -68,19 +165,20 @@ def max_abs_filter(df: DataFrame, col: str, limit: float | None, keys=EPISODE) -
     A missing column (no proprio) or ``limit=None`` keeps everything."""
     if limit is None or col not in df.columns:
         return df
-    ok = F.min(F.forall(col, lambda v: F.abs(v) <= F.lit(limit)).cast("int")).over(_full(keys)) == 1
-    return df.withColumn("_keep", ok).filter("_keep").drop("_keep")
+    ok = F.min(F.forall(col, lambda v: F.abs(v) <= F.lit(limit)).cast("int"))
+    return attach_episode(df, {"_keep": ok}, keys).filter(F.col("_keep") == 1).drop("_keep")
 
 
 def drop_first_step(df: DataFrame, keys=EPISODE) -> DataFrame:
-    """remove step 0 and re-index."""
-    return df.filter(F.col("t") > 0).withColumn("t", (F.col("t") - 1).cast("int"))
+    """remove step 0 and re-index (blocks are recomputed from the new t)."""
+    out = df.filter(F.col("t") > 0).withColumn("t", (F.col("t") - 1).cast("int"))
+    return out.drop(BLK) if BLK in out.columns else out
 
 
 def drop_last_step(df: DataFrame, keys=EPISODE) -> DataFrame:
     """remove the last step of each episode."""
-    nxt = F.lead("t").over(episode_window(keys))
-    return df.withColumn("_nxt", nxt).filter(F.col("_nxt").isNotNull()).drop("_nxt")
+    out = attach_episode(df, {"_tmax": F.max("t")}, keys)
+    return out.filter(F.col("t") < F.col("_tmax")).drop("_tmax")
 
 
 def chunk_filter(df: DataFrame, pred: Column | None) -> DataFrame:
@@ -89,52 +187,74 @@ def chunk_filter(df: DataFrame, pred: Column | None) -> DataFrame:
 
 
 # --------------------------------------------------------------------- W6 / W7 / W8
-def binarize_gripper(x: str, keys=EPISODE) -> Column:
-    """>0.95 -> 1, <0.05 -> 0, in-between takes the next decided value;
-    a trailing undecided run takes the episode's last raw value."""
+def binarize_gripper_df(df: DataFrame, x: str, out: str, keys=EPISODE) -> DataFrame:
+    """>0.95 -> 1, <0.05 -> 0, in-between takes the next decided value; a trailing
+    undecided run takes the episode's last raw value.  Two-level scan: the next decided
+    value inside the block, else the first decided value of a later block, else the
+    episode's last raw value (both from the per-block summary)."""
+    df = with_block(df)
     dec = F.when(F.col(x) > V.GRIPPER_OPEN, F.lit(1.0)).when(F.col(x) < V.GRIPPER_CLOSED, F.lit(0.0))
-    nxt = F.first(dec, ignorenulls=True).over(_following(keys))
-    last_raw = F.last(F.col(x)).over(episode_window(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return F.coalesce(nxt, last_raw.cast("double"))
+    df = df.withColumn("_dec", dec)
+    summ = df.groupBy(*keys, BLK).agg(
+        F.min(F.when(F.col("_dec").isNotNull(), F.struct("t", "_dec"))).alias("_bf"),
+        F.max_by(F.col(x), "t").alias("_blast"),
+    )
+    wb = Window.partitionBy(*keys).orderBy(BLK)
+    summ = summ.select(
+        *keys, BLK,
+        F.first(F.col("_bf._dec"), ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_carry"),
+        F.last("_blast").over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_lastraw"),
+    )
+    inblk = F.first("_dec", ignorenulls=True).over(episode_window(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out_df = _block_summary_join(df, summ, keys).withColumn(out, F.coalesce(inblk, F.col("_carry"), F.col("_lastraw").cast("double")))
+    return out_df.drop("_dec", "_carry", "_lastraw")
 
 
-def rel2abs_gripper(x: str, keys=EPISODE) -> Column:
-    """Relative (+close / -open) to absolute (0 closed, 1 open).
-    Threshold +-0.1, forward fill of the last non-zero; before the first non-zero the
-    state is the negation of that first non-zero (1 = open if there is none)."""
+def rel2abs_gripper_df(df: DataFrame, x: str, out: str, keys=EPISODE) -> DataFrame:
+    """Relative (+close / -open) to absolute (0 closed, 1 open).  Threshold +-0.1,
+    forward fill of the last non-zero; before the first non-zero the state is the
+    negation of that first non-zero (1 = open if there is none).  Two-level scan with
+    the carry from earlier blocks."""
+    df = with_block(df)
     thr = F.when(F.col(x) < -V.REL_THRESHOLD, F.lit(1)).when(F.col(x) > V.REL_THRESHOLD, F.lit(-1))
-    filled = F.last(thr, ignorenulls=True).over(_preceding(keys))
-    first_nz = F.first(thr, ignorenulls=True).over(_full(keys))
-    start = F.coalesce(-first_nz, F.lit(1))
-    return F.coalesce(filled, start).cast("double") / F.lit(2.0) + F.lit(0.5)
+    df = df.withColumn("_thr", thr)
+    nz = F.when(F.col("_thr").isNotNull(), F.struct("t", "_thr"))
+    summ = df.groupBy(*keys, BLK).agg(F.min(nz).alias("_bf"), F.max(nz).alias("_bl"))
+    wb = Window.partitionBy(*keys).orderBy(BLK)
+    summ = summ.select(
+        *keys, BLK,
+        F.last(F.col("_bl._thr"), ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+        F.first(F.col("_bf._thr"), ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_first"),
+    )
+    inblk = F.last("_thr", ignorenulls=True).over(episode_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    val = F.coalesce(inblk, F.col("_carry"), -F.col("_first"), F.lit(1)).cast("double") / F.lit(2.0) + F.lit(0.5)
+    return _block_summary_join(df, summ, keys).withColumn(out, val).drop("_thr", "_carry", "_first")
 
 
 def state_delta(df: DataFrame, state: str = "state", action: str = "action", keys=EPISODE) -> DataFrame:
     """action[:6] = state[t+1][:6] - state[t][:6], keep the action's gripper; drop the last step."""
-    nxt = F.lead(state).over(episode_window(keys))
-    df = df.withColumn("_nxt", nxt).filter(F.col("_nxt").isNotNull())
+    h = _neighbors(df, [state], 1, 0, keys)
+    h = h.withColumn("_nxt", _gather(state, 1, episode_window(keys), 0, block_rows(h)))
+    h = _drop_neighbors(h, [state]).filter(F.col("_nxt").isNotNull())
     delta = F.zip_with(F.slice("_nxt", 1, 6), F.slice(state, 1, 6), lambda a, b: a - b)
-    return df.withColumn(action, F.concat(delta, F.slice(action, -1, 1))).drop("_nxt")
+    return h.withColumn(action, F.concat(delta, F.slice(action, -1, 1))).drop("_nxt")
 
 
 # --------------------------------------------------------------------- W1-W4 chunking
-def _gather_offset(col: str, off: int, w) -> Column:
-    if off == 0:
-        return F.col(col)
-    return F.lead(col, off).over(w) if off > 0 else F.lag(col, -off).over(w)
-
-
 def chunk_obs(df: DataFrame, cols: Sequence[str], window: int, keys=EPISODE, suffix: str = "_chunk") -> DataFrame:
     """W1 + W4: each observation column gets a window axis (t-W+1 .. t, clamped at 0)
     and ``pad_mask`` marks slots whose un-clamped index is >= 0."""
-    w = episode_window(keys)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = attach_episode(df, {"_first_" + c: F.min_by(c, "t") for c in cols}, keys)
+    lag = window - 1
+    h = _neighbors(df, cols, 0, lag, keys) if lag > 0 else df
+    w, b = episode_window(keys), block_rows(df)
     for c in cols:
-        df = df.withColumn("_first_" + c, F.first(c).over(whole))
-        slots = [F.coalesce(_gather_offset(c, s - window + 1, w), F.col("_first_" + c)) if s < window - 1 else F.col(c) for s in range(window)]
-        df = df.withColumn(c + suffix, F.array(*slots)).drop("_first_" + c)
+        slots = [F.coalesce(_gather(c, s - window + 1, w, lag, b), F.col("_first_" + c)) if s < window - 1 else F.col(c)
+                 for s in range(window)]
+        h = h.withColumn(c + suffix, F.array(*slots))
+    h = (_drop_neighbors(h, cols) if lag > 0 else h).drop(*["_first_" + c for c in cols])
     mask = F.array(*[(F.col("t") + F.lit(s - window + 1)) >= 0 for s in range(window)])
-    return df.withColumn("pad_mask", mask)
+    return h.withColumn("pad_mask", mask)
 
 
 def chunk_action(
@@ -149,27 +269,28 @@ def chunk_action(
     """W2 + W3: action chunk with slots t-W+1 .. t+F, indices clamped to [0, len-1];
     slots past the episode end become neutral: absolute dims repeat the last action,
     relative dims are 0 (no mask = all relative)."""
-    w = episode_window(keys)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # episode-level values computed once (one window expression each), used by every slot
-    df = df.withColumn("_first_a", F.first(action).over(whole)).withColumn("_last_a", F.last(action).over(whole))
-    df = df.withColumn("_n", F.count(F.lit(1)).over(whole))
+    df = attach_episode(df, {"_first_a": F.min_by(action, "t"), "_last_a": F.max_by(action, "t"),
+                             "_n": F.count(F.lit(1))}, keys)
     if abs_mask is None:
         neutral = F.transform("_last_a", lambda v: F.lit(0.0))
     else:
         m = F.array(*[F.lit(bool(b)) for b in abs_mask])
         neutral = F.zip_with(m, "_last_a", lambda b, v: F.when(b, v).otherwise(F.lit(0.0)))
-    df = df.withColumn("_neutral", neutral)
+    lag = window - 1
+    h = _neighbors(df, [action], future, lag, keys) if (future > 0 or lag > 0) else df
+    w, b = episode_window(keys), block_rows(df)
     slots = []
     for s in range(window + future):
         off = s - window + 1
         if off < 0:
-            slots.append(F.coalesce(_gather_offset(action, off, w), F.col("_first_a")))
+            slots.append(F.coalesce(_gather(action, off, w, lag, b), F.col("_first_a")))
         elif off == 0:
             slots.append(F.col(action))
         else:
-            slots.append(F.when(F.col("t") + F.lit(off) > F.col("_n") - 1, F.col("_neutral")).otherwise(_gather_offset(action, off, w)))
-    return df.withColumn(out, F.array(*slots)).drop("_first_a", "_last_a", "_n", "_neutral")
+            slots.append(F.when(F.col("t") + F.lit(off) > F.col("_n") - 1, neutral).otherwise(_gather(action, off, w, lag, b)))
+    h = h.withColumn(out, F.array(*slots))
+    h = _drop_neighbors(h, [action]) if (future > 0 or lag > 0) else h
+    return h.drop("_first_a", "_last_a", "_n")
 
 
 def add_pad_mask_dict(df: DataFrame, fields: Sequence[str], name: str = "pad_mask_dict") -> DataFrame:
@@ -185,9 +306,9 @@ def add_pad_mask_dict(df: DataFrame, fields: Sequence[str], name: str = "pad_mas
 
 
 # --------------------------------------------------------------------- W9 / J5
-def goal_index(seed: int, keys=EPISODE) -> Column:
+def goal_index(seed: int, n: Column | str = "_n", keys=EPISODE) -> Column:
     """W9 index: uniform in [t+1, len), truncated, clamped to len-1 (last step -> itself)."""
-    n = F.count(F.lit(1)).over(_full(keys))
+    n = F.col(n) if isinstance(n, str) else n
     low = F.col("t") + F.lit(1)
     g = F.floor(u01(seed, *keys, "t") * (n - low) + low).cast("int")
     return F.least(g, (n - 1).cast("int"))
@@ -196,8 +317,9 @@ def goal_index(seed: int, keys=EPISODE) -> Column:
 def goal_uniform(df: DataFrame, seed: int, obs_cols: Sequence[str], keys=EPISODE) -> DataFrame:
     """W9 + J5: draw a goal step per step and fetch its observation (self equi-join on
     (episode, t) -- the key is near-unique, so the join is skew-free).  Goal fields land
-    in ``task`` with their pad masks and ``timestep`` = goal index."""
-    with_goal = df.withColumn("goal_t", goal_index(seed, keys))
+    next to the step with their pad masks and ``goal_t`` = goal index."""
+    with_goal = attach_episode(df, {"_n": F.count(F.lit(1))}, keys)
+    with_goal = with_goal.withColumn("goal_t", goal_index(seed, "_n", keys)).drop("_n")
     types = dict(df.dtypes)
     goal_side = df.select(
         *[F.col(k).alias("_g_" + k) for k in keys],
@@ -223,25 +345,30 @@ def delete_task_conditioning(
     goal timestep becomes the last step.  No-op without language or image columns."""
     if lang not in df.columns or not image_cols:
         return df
-    n = F.count(F.lit(1)).over(_full(keys))
+    df = attach_episode(df, {"_n": F.count(F.lit(1))}, keys)
     keep_img = (u01(seed, *keys, "t") < F.lit(keep_image_prob)) | (F.length(lang) == 0)
     df = df.withColumn("_keep_img", keep_img)
     for c in image_cols:
         df = df.withColumn(c, F.when(F.col("_keep_img"), F.col(c)).otherwise(F.lit("")))
     df = df.withColumn(lang, F.when(~F.col("_keep_img"), F.col(lang)).otherwise(F.lit("")))
     if timestep in df.columns:
-        df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise((n - 1).cast("int")))
-    return df.withColumnRenamed("_keep_img", "keep_images")
+        df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise((F.col("_n") - 1).cast("int")))
+    return df.withColumnRenamed("_keep_img", "keep_images").drop("_n")
 
 
 # --------------------------------------------------------------------- W11
 def subsample(df: DataFrame, k: int | None, seed: int, keys=EPISODE) -> DataFrame:
-    """Episodes longer than k keep k steps drawn without replacement."""
+    """Episodes longer than k keep k steps drawn without replacement (the k smallest
+    seeded draws).  Two-stage top-k: at most k candidates per block, then the k best of
+    an episode's candidates, so a long episode never sorts in one task."""
     if k is None:
         return df
-    n = F.count(F.lit(1)).over(_full(keys))
-    rk = F.row_number().over(Window.partitionBy(*keys).orderBy(u01(seed, *keys, "t"), "t"))
-    return df.withColumn("_n", n).withColumn("_rk", rk).filter((F.col("_n") <= k) | (F.col("_rk") <= k)).drop("_n", "_rk")
+    df = with_block(df)
+    df = df.withColumn("_u", u01(seed, *keys, "t"))
+    in_blk = F.row_number().over(Window.partitionBy(*keys, BLK).orderBy("_u", "t"))
+    cand = df.withColumn("_rb", in_blk).filter(F.col("_rb") <= k).select(*keys, "t", "_u")
+    top = cand.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy("_u", "t"))).filter(F.col("_rk") <= k)
+    return df.join(top.select(*keys, "t"), [*keys, "t"], "left_semi").drop("_u")
 
 
 # --------------------------------------------------------------------- P3 / P17
@@ -250,8 +377,8 @@ def first_frame(df: DataFrame, col: str | None = None, image: str = "image", fro
     """``image_first_frame``: the given per-step column (null -> ''), the episode's
     first image (``from_episode=True``), or '' when absent."""
     if from_episode:
-        whole = _full(keys).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumn(out, F.coalesce(F.first(image).over(whole), F.lit("")))
+        df = attach_episode(df, {"_ff": F.min_by(image, "t")}, keys)
+        return df.withColumn(out, F.coalesce(F.col("_ff"), F.lit(""))).drop("_ff")
     if col is None or col not in df.columns:
         return df.withColumn(out, F.lit(""))
     return df.withColumn(out, F.coalesce(F.col(col), F.lit("")))

@@ -45,14 +45,19 @@ def bridge_oxe(df: DataFrame) -> DataFrame:
 
 def bridge_orig(df: DataFrame) -> DataFrame:
     df = E.drop_first_step(df)
-    df = df.withColumn("_g", F.element_at("action", -1))
-    df = df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(E.binarize_gripper("_g")))).drop("_g")
+    df = E.binarize_gripper_df(df.withColumn("_g", F.element_at("action", -1)), "_g", "_gb")
+    df = df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(F.col("_gb")))).drop("_g", "_gb")
     df = E.state_delta(df, "state", "action")
     return df.withColumn("proprio", F.concat(_sl("state", 0, 6), _sl("state", -1)))
 
 
+def _rel2abs(df: DataFrame) -> DataFrame:
+    return E.rel2abs_gripper_df(df, "gripper_closedness_action", "_ga")
+
+
 def rt1(df: DataFrame) -> DataFrame:
-    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(E.rel2abs_gripper("gripper_closedness_action"))))
+    df = _rel2abs(df)
+    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(F.col("_ga")))).drop("_ga")
 
 
 def taco_play(df: DataFrame) -> DataFrame:
@@ -61,7 +66,8 @@ def taco_play(df: DataFrame) -> DataFrame:
 
 
 def jaco_play(df: DataFrame) -> DataFrame:
-    return df.withColumn("action", F.concat("world_vector", V.zeros(3), _arr(E.rel2abs_gripper("gripper_closedness_action"))))
+    df = _rel2abs(df)
+    return df.withColumn("action", F.concat("world_vector", V.zeros(3), _arr(F.col("_ga")))).drop("_ga")
 
 
 def roboturk(df: DataFrame) -> DataFrame:
@@ -152,8 +158,8 @@ def bridge_speech_oxe(df: DataFrame) -> DataFrame:
 
 
 def ppgm(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_g", F.element_at("action", -1))
-    df = df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(E.binarize_gripper("_g")))).drop("_g")
+    df = E.binarize_gripper_df(df.withColumn("_g", F.element_at("action", -1)), "_g", "_gb")
+    df = df.withColumn("action", F.concat(_sl("action", 0, 6), _arr(F.col("_gb")))).drop("_g", "_gb")
     return df.withColumn("proprio", F.concat(_sl("state", 0, 6), _sl("state", -1)))
 
 
@@ -173,8 +179,8 @@ def pusht(df: DataFrame) -> DataFrame:
 
 
 def autolab_ur5(df: DataFrame) -> DataFrame:
-    df = df.withColumn("proprio", _sl("state", 6, 14))
-    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(E.rel2abs_gripper("gripper_closedness_action"))))
+    df = _rel2abs(df).withColumn("proprio", _sl("state", 6, 14))
+    return df.withColumn("action", F.concat("world_vector", "rotation_delta", _arr(F.col("_ga")))).drop("_ga")
 
 
 def sl3_z3_last(df: DataFrame) -> DataFrame:

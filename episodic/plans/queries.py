@@ -82,14 +82,14 @@ def _keys_t(df):
 
 @query("binarize_gripper")
 def q_binarize(spark, d):
-    st = T.steps(spark, d)
-    return st.select(*EP, F.col("t").cast("bigint").alias("t"), r6(E.binarize_gripper("gripper")).alias("value"))
+    st = E.binarize_gripper_df(T.steps(spark, d), "gripper", "value")
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), r6("value").alias("value"))
 
 
 @query("rel2abs_gripper")
 def q_rel2abs(spark, d):
-    st = T.steps(spark, d)
-    return st.select(*EP, F.col("t").cast("bigint").alias("t"), r6(E.rel2abs_gripper("rel_gripper")).alias("value"))
+    st = E.rel2abs_gripper_df(T.steps(spark, d), "rel_gripper", "value")
+    return st.select(*EP, F.col("t").cast("bigint").alias("t"), r6("value").alias("value"))
 
 
 @query("state_delta")

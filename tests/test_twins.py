@@ -53,8 +53,10 @@ def episodes_df(spark, seqs, col="x"):
     return spark.createDataFrame(rows, f"dataset_name string, traj_id long, t int, {col} double")
 
 
-GRIPPER = [[0.5, 0.5, 0.99, 0.3, 0.01], [0.5, 0.7], [0.42], [0.0, 0.5, 0.5], [0.96, 0.5, 0.5, 0.3]]
-REL = [[0.0, 0.0, 0.0], [0.0, 0.5, 0.0, -0.5, 0.0], [0.0, 0.0, -0.7, 0.0], [0.2], [-0.05, 0.05, 0.0]]
+GRIPPER = [[0.5, 0.5, 0.99, 0.3, 0.01], [0.5, 0.7], [0.42], [0.0, 0.5, 0.5], [0.96, 0.5, 0.5, 0.3],
+           [0.5] * 20 + [0.99] + [0.5] * 30 + [0.01] + [0.4] * 5, [0.5] * 50]
+REL = [[0.0, 0.0, 0.0], [0.0, 0.5, 0.0, -0.5, 0.0], [0.0, 0.0, -0.7, 0.0], [0.2], [-0.05, 0.05, 0.0],
+       [0.0] * 35 + [0.9] + [0.0] * 20 + [-0.9] + [0.0] * 3, [0.0] * 40]
 
 
 def collect_by_traj(df, col):
@@ -65,14 +67,14 @@ def collect_by_traj(df, col):
 
 
 def test_binarize_matches_sequential(spark):
-    df = episodes_df(spark, GRIPPER).withColumn("y", E.binarize_gripper("x"))
+    df = E.binarize_gripper_df(episodes_df(spark, GRIPPER), "x", "y")
     got = collect_by_traj(df, "y")
     for i, s in enumerate(GRIPPER):
         assert got[i] == pytest.approx(binarize_twin(s))
 
 
 def test_rel2abs_matches_sequential(spark):
-    df = episodes_df(spark, REL).withColumn("y", E.rel2abs_gripper("x"))
+    df = E.rel2abs_gripper_df(episodes_df(spark, REL), "x", "y")
     got = collect_by_traj(df, "y")
     for i, s in enumerate(REL):
         assert got[i] == pytest.approx(rel2abs_twin(s))
@@ -80,7 +82,8 @@ def test_rel2abs_matches_sequential(spark):
 
 @pytest.mark.parametrize("window,future,mask", [(1, 5, None), (2, 3, [False, True]), (3, 0, [True, True]), (1, 1, None)])
 def test_chunk_matches_sequential(spark, window, future, mask):
-    eps = [[[1.0, 10.0]], [[1.0, 10.0], [2.0, 20.0], [3.0, 30.0]], [[float(i), float(-i)] for i in range(7)]]
+    eps = [[[1.0, 10.0]], [[1.0, 10.0], [2.0, 20.0], [3.0, 30.0]], [[float(i), float(-i)] for i in range(7)],
+           [[float(i), float(i * i)] for i in range(45)]]
     rows = [("ds", i, t, a) for i, e in enumerate(eps) for t, a in enumerate(e)]
     df = spark.createDataFrame(rows, "dataset_name string, traj_id long, t int, action array<double>")
     out = E.chunk_action(df, window, future, mask)
@@ -142,7 +145,7 @@ def test_apportion_requires_enough():
 
 
 def test_goal_last_step_maps_to_itself(spark):
-    df = episodes_df(spark, [[0.1] * 5, [0.2]]).withColumn("goal_t", E.goal_index(3))
+    df = E.attach_episode(episodes_df(spark, [[0.1] * 5, [0.2]]), {"_n": F.count(F.lit(1))}).withColumn("goal_t", E.goal_index(3))
     for r in df.collect():
         n = 5 if r["traj_id"] == 0 else 1
         assert r["t"] < r["goal_t"] or r["t"] == n - 1 == r["goal_t"]
