@@ -67,50 +67,91 @@ def attach_episode(df: DataFrame, aggs: Mapping[str, Column], keys: Sequence[str
     The aggregate is partial (map-side combined), then replicated over the episode's
     blocks and joined on (keys, _blk), the partitioning of the blocked windows."""
     df = with_block(df, keys)
-    ep = df.groupBy(*keys).agg(F.max(BLK).alias("_maxblk"), *[c.alias(n) for n, c in aggs.items()])
+    todo = {n: c for n, c in aggs.items() if n not in df.columns}  # cached ``_ep_*`` columns are reused
+    if not todo:
+        return df
+    ep = df.groupBy(*keys).agg(F.max(BLK).alias("_maxblk"), *[c.alias(n) for n, c in todo.items()])
     ep = ep.withColumn(BLK, F.explode(F.sequence(F.lit(0), F.col("_maxblk")))).drop("_maxblk")
     return df.join(ep, [*keys, BLK], "inner")
 
 
-def _neighbors(df: DataFrame, cols: Sequence[str], lead: int, lag: int, keys=EPISODE) -> DataFrame:
-    """Attach, per row, the first ``lead`` values of the next block (``_nh_<c>``) and the last
-    ``lag`` values of the previous block (``_pt_<c>``).  Only block-edge rows are
-    aggregated (at most lead + lag per block), and the small neighbour table joins on
-    (episode, block), so the step rows keep their partitioning."""
+def invalidate(df: DataFrame) -> DataFrame:
+    """Drop cached per-episode columns (after an operator removed or re-indexed steps)."""
+    return df.drop(*[c for c in df.columns if c.startswith("_ep_")])
+
+
+def ep_n() -> tuple[str, Column]:
+    return "_ep_n", F.count(F.lit(1))
+
+
+def ep_first(c: str) -> tuple[str, Column]:
+    return "_ep_first_" + c, F.min_by(c, "t")
+
+
+def ep_last(c: str) -> tuple[str, Column]:
+    return "_ep_last_" + c, F.max_by(c, "t")
+
+
+def ep_anylabel(lang: str) -> tuple[str, Column]:
+    return "_ep_anylabel_" + lang, F.max((F.col(lang) != "").cast("int"))
+
+
+def ep_absok(col: str, limit: float) -> tuple[str, Column]:
+    ok = F.min(F.forall(col, lambda v: F.abs(v) <= F.lit(limit)).cast("int"))
+    return f"_ep_absok_{col}_{str(limit).replace('.', '_')}", ok
+
+
+def nh(c: str, lead: int) -> str:
+    return f"_ep_nh{lead}_{c}"
+
+
+def pt(c: str, lag: int) -> str:
+    return f"_ep_pt{lag}_{c}"
+
+
+def attach_neighbors(df: DataFrame, lead: Mapping[str, int], lag: Mapping[str, int], keys=EPISODE) -> DataFrame:
+    """Attach, per row, the first ``lead[c]`` values of the next block and the last ``lag[c]``
+    values of the previous block of each column.  Only block-edge rows are aggregated (at
+    most lead + lag per block), one small table for all columns, joined on (episode,
+    block), so the step rows keep their partitioning.  Already attached arrays are reused."""
     df = with_block(df, keys)
     b = block_rows(df)
-    if max(lead, lag) >= b:
-        raise ValueError(f"offsets ({lead}, {lag}) must be smaller than the block size {b}")
+    lead = {c: k for c, k in lead.items() if k > 0 and nh(c, k) not in df.columns}
+    lag = {c: k for c, k in lag.items() if k > 0 and pt(c, k) not in df.columns}
+    if not lead and not lag:
+        return df
+    if max([*lead.values(), *lag.values()]) >= b:
+        raise ValueError(f"offsets must be smaller than the block size {b}")
     pos = F.pmod(F.col("t"), F.lit(b))
     parts = []
 
     def getter(name):
         return lambda e: e[name]
 
-    if lead > 0:
-        head = df.filter(pos < lead).groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("_e"))
+    if lead:
+        hmax = max(lead.values())
+        cols = sorted(lead)
+        head = df.filter(pos < hmax).groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("_e"))
         parts.append(head.select(*keys, (F.col(BLK) - 1).alias(BLK),
-                                 *[F.transform("_e", getter(c)).alias("_nh_" + c) for c in cols]))
-    if lag > 0:
-        tail = df.filter(pos >= b - lag).groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("_e"))
+                                 *[F.slice(F.transform("_e", getter(c)), 1, lead[c]).alias(nh(c, lead[c])) for c in cols]))
+    if lag:
+        lmax = max(lag.values())
+        cols = sorted(lag)
+        tail = df.filter(pos >= b - lmax).groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("_e"))
         parts.append(tail.select(*keys, (F.col(BLK) + 1).alias(BLK),
-                                 *[F.transform("_e", getter(c)).alias("_pt_" + c) for c in cols]))
+                                 *[F.slice(F.transform("_e", getter(c)), lmax - lag[c] + 1, lag[c]).alias(pt(c, lag[c])) for c in cols]))
     nb = parts[0] if len(parts) == 1 else parts[0].join(parts[1], [*keys, BLK], "full_outer")
     return df.join(nb, [*keys, BLK], "left")
 
 
-def _gather(col: str, off: int, w, lag: int, b: int) -> Column:
+def _gather(col: str, off: int, w, lead: int, lag: int, b: int) -> Column:
     """Value ``off`` steps away inside the episode: in-block lead/lag, else the neighbour block."""
     if off == 0:
         return F.col(col)
     pos = F.pmod(F.col("t"), F.lit(b))
     if off > 0:
-        return F.coalesce(F.lead(col, off).over(w), F.get(F.col("_nh_" + col), pos + off - b))
-    return F.coalesce(F.lag(col, -off).over(w), F.get(F.col("_pt_" + col), pos + off + lag))
-
-
-def _drop_neighbors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.drop(*[p + c for c in cols for p in ("_nh_", "_pt_")])
+        return F.coalesce(F.lead(col, off).over(w), F.get(F.col(nh(col, lead)), pos + off - b))
+    return F.coalesce(F.lag(col, -off).over(w), F.get(F.col(pt(col, lag)), pos + off + lag))
 
 
 def _block_summary_join(df: DataFrame, summary: DataFrame, keys=EPISODE) -> DataFrame:
@@ -156,8 +197,8 @@ def skip_unlabeled(df: DataFrame, lang: str = "language_instruction", keys=EPISO
     """keep an episode iff any step has a non-empty instruction."""
     if lang not in df.columns:
         raise ValueError("skip_unlabeled=True but dataset does not have language labels.")
-    out = attach_episode(df, {"_keep": F.max((F.col(lang) != "").cast("int"))}, keys)
-    return out.filter(F.col("_keep") == 1).drop("_keep")
+    name, agg = ep_anylabel(lang)
+    return attach_episode(df, {name: agg}, keys).filter(F.col(name) == 1)
 
 
 def max_abs_filter(df: DataFrame, col: str, limit: float | None, keys=EPISODE) -> DataFrame:
@@ -165,20 +206,21 @@ def max_abs_filter(df: DataFrame, col: str, limit: float | None, keys=EPISODE) -
     A missing column (no proprio) or ``limit=None`` keeps everything."""
     if limit is None or col not in df.columns:
         return df
-    ok = F.min(F.forall(col, lambda v: F.abs(v) <= F.lit(limit)).cast("int"))
-    return attach_episode(df, {"_keep": ok}, keys).filter(F.col("_keep") == 1).drop("_keep")
+    name, ok = ep_absok(col, limit)
+    return attach_episode(df, {name: ok}, keys).filter(F.col(name) == 1)
 
 
 def drop_first_step(df: DataFrame, keys=EPISODE) -> DataFrame:
     """remove step 0 and re-index (blocks are recomputed from the new t)."""
-    out = df.filter(F.col("t") > 0).withColumn("t", (F.col("t") - 1).cast("int"))
+    out = invalidate(df).filter(F.col("t") > 0).withColumn("t", (F.col("t") - 1).cast("int"))
     return out.drop(BLK) if BLK in out.columns else out
 
 
 def drop_last_step(df: DataFrame, keys=EPISODE) -> DataFrame:
     """remove the last step of each episode."""
-    out = attach_episode(df, {"_tmax": F.max("t")}, keys)
-    return out.filter(F.col("t") < F.col("_tmax")).drop("_tmax")
+    n, agg = ep_n()
+    out = attach_episode(df, {n: agg}, keys)
+    return invalidate(out.filter(F.col("t") < F.col(n) - 1))
 
 
 def chunk_filter(df: DataFrame, pred: Column | None) -> DataFrame:
@@ -233,9 +275,9 @@ def rel2abs_gripper_df(df: DataFrame, x: str, out: str, keys=EPISODE) -> DataFra
 
 def state_delta(df: DataFrame, state: str = "state", action: str = "action", keys=EPISODE) -> DataFrame:
     """action[:6] = state[t+1][:6] - state[t][:6], keep the action's gripper; drop the last step."""
-    h = _neighbors(df, [state], 1, 0, keys)
-    h = h.withColumn("_nxt", _gather(state, 1, episode_window(keys), 0, block_rows(h)))
-    h = _drop_neighbors(h, [state]).filter(F.col("_nxt").isNotNull())
+    h = attach_neighbors(df, {state: 1}, {}, keys)
+    h = h.withColumn("_nxt", _gather(state, 1, episode_window(keys), 1, 0, block_rows(h)))
+    h = invalidate(h.filter(F.col("_nxt").isNotNull()))
     delta = F.zip_with(F.slice("_nxt", 1, 6), F.slice(state, 1, 6), lambda a, b: a - b)
     return h.withColumn(action, F.concat(delta, F.slice(action, -1, 1))).drop("_nxt")
 
@@ -244,15 +286,14 @@ def state_delta(df: DataFrame, state: str = "state", action: str = "action", key
 def chunk_obs(df: DataFrame, cols: Sequence[str], window: int, keys=EPISODE, suffix: str = "_chunk") -> DataFrame:
     """W1 + W4: each observation column gets a window axis (t-W+1 .. t, clamped at 0)
     and ``pad_mask`` marks slots whose un-clamped index is >= 0."""
-    df = attach_episode(df, {"_first_" + c: F.min_by(c, "t") for c in cols}, keys)
+    df = attach_episode(df, dict(ep_first(c) for c in cols), keys)
     lag = window - 1
-    h = _neighbors(df, cols, 0, lag, keys) if lag > 0 else df
+    h = attach_neighbors(df, {}, {c: lag for c in cols}, keys)
     w, b = episode_window(keys), block_rows(df)
     for c in cols:
-        slots = [F.coalesce(_gather(c, s - window + 1, w, lag, b), F.col("_first_" + c)) if s < window - 1 else F.col(c)
+        slots = [F.coalesce(_gather(c, s - window + 1, w, 0, lag, b), F.col(ep_first(c)[0])) if s < window - 1 else F.col(c)
                  for s in range(window)]
         h = h.withColumn(c + suffix, F.array(*slots))
-    h = (_drop_neighbors(h, cols) if lag > 0 else h).drop(*["_first_" + c for c in cols])
     mask = F.array(*[(F.col("t") + F.lit(s - window + 1)) >= 0 for s in range(window)])
     return h.withColumn("pad_mask", mask)
 
@@ -269,28 +310,26 @@ def chunk_action(
     """W2 + W3: action chunk with slots t-W+1 .. t+F, indices clamped to [0, len-1];
     slots past the episode end become neutral: absolute dims repeat the last action,
     relative dims are 0 (no mask = all relative)."""
-    df = attach_episode(df, {"_first_a": F.min_by(action, "t"), "_last_a": F.max_by(action, "t"),
-                             "_n": F.count(F.lit(1))}, keys)
+    fa, la, n = ep_first(action)[0], ep_last(action)[0], ep_n()[0]
+    df = attach_episode(df, dict([ep_first(action), ep_last(action), ep_n()]), keys)
     if abs_mask is None:
-        neutral = F.transform("_last_a", lambda v: F.lit(0.0))
+        neutral = F.transform(la, lambda v: F.lit(0.0))
     else:
         m = F.array(*[F.lit(bool(b)) for b in abs_mask])
-        neutral = F.zip_with(m, "_last_a", lambda b, v: F.when(b, v).otherwise(F.lit(0.0)))
+        neutral = F.zip_with(m, la, lambda b, v: F.when(b, v).otherwise(F.lit(0.0)))
     lag = window - 1
-    h = _neighbors(df, [action], future, lag, keys) if (future > 0 or lag > 0) else df
+    h = attach_neighbors(df, {action: future}, {action: lag}, keys)
     w, b = episode_window(keys), block_rows(df)
     slots = []
     for s in range(window + future):
         off = s - window + 1
         if off < 0:
-            slots.append(F.coalesce(_gather(action, off, w, lag, b), F.col("_first_a")))
+            slots.append(F.coalesce(_gather(action, off, w, future, lag, b), F.col(fa)))
         elif off == 0:
             slots.append(F.col(action))
         else:
-            slots.append(F.when(F.col("t") + F.lit(off) > F.col("_n") - 1, neutral).otherwise(_gather(action, off, w, lag, b)))
-    h = h.withColumn(out, F.array(*slots))
-    h = _drop_neighbors(h, [action]) if (future > 0 or lag > 0) else h
-    return h.drop("_first_a", "_last_a", "_n")
+            slots.append(F.when(F.col("t") + F.lit(off) > F.col(n) - 1, neutral).otherwise(_gather(action, off, w, future, lag, b)))
+    return h.withColumn(out, F.array(*slots))
 
 
 def add_pad_mask_dict(df: DataFrame, fields: Sequence[str], name: str = "pad_mask_dict") -> DataFrame:
@@ -306,7 +345,7 @@ def add_pad_mask_dict(df: DataFrame, fields: Sequence[str], name: str = "pad_mas
 
 
 # --------------------------------------------------------------------- W9 / J5
-def goal_index(seed: int, n: Column | str = "_n", keys=EPISODE) -> Column:
+def goal_index(seed: int, n: Column | str = "_ep_n", keys=EPISODE) -> Column:
     """W9 index: uniform in [t+1, len), truncated, clamped to len-1 (last step -> itself)."""
     n = F.col(n) if isinstance(n, str) else n
     low = F.col("t") + F.lit(1)
@@ -318,8 +357,8 @@ def goal_uniform(df: DataFrame, seed: int, obs_cols: Sequence[str], keys=EPISODE
     """W9 + J5: draw a goal step per step and fetch its observation (self equi-join on
     (episode, t) -- the key is near-unique, so the join is skew-free).  Goal fields land
     next to the step with their pad masks and ``goal_t`` = goal index."""
-    with_goal = attach_episode(df, {"_n": F.count(F.lit(1))}, keys)
-    with_goal = with_goal.withColumn("goal_t", goal_index(seed, "_n", keys)).drop("_n")
+    with_goal = attach_episode(df, dict([ep_n()]), keys)
+    with_goal = with_goal.withColumn("goal_t", goal_index(seed, ep_n()[0], keys))
     types = dict(df.dtypes)
     goal_side = df.select(
         *[F.col(k).alias("_g_" + k) for k in keys],
@@ -345,15 +384,15 @@ def delete_task_conditioning(
     goal timestep becomes the last step.  No-op without language or image columns."""
     if lang not in df.columns or not image_cols:
         return df
-    df = attach_episode(df, {"_n": F.count(F.lit(1))}, keys)
+    df = attach_episode(df, dict([ep_n()]), keys)
     keep_img = (u01(seed, *keys, "t") < F.lit(keep_image_prob)) | (F.length(lang) == 0)
     df = df.withColumn("_keep_img", keep_img)
     for c in image_cols:
         df = df.withColumn(c, F.when(F.col("_keep_img"), F.col(c)).otherwise(F.lit("")))
     df = df.withColumn(lang, F.when(~F.col("_keep_img"), F.col(lang)).otherwise(F.lit("")))
     if timestep in df.columns:
-        df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise((F.col("_n") - 1).cast("int")))
-    return df.withColumnRenamed("_keep_img", "keep_images").drop("_n")
+        df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise((F.col(ep_n()[0]) - 1).cast("int")))
+    return df.withColumnRenamed("_keep_img", "keep_images")
 
 
 # --------------------------------------------------------------------- W11
@@ -368,7 +407,7 @@ def subsample(df: DataFrame, k: int | None, seed: int, keys=EPISODE) -> DataFram
     in_blk = F.row_number().over(Window.partitionBy(*keys, BLK).orderBy("_u", "t"))
     cand = df.withColumn("_rb", in_blk).filter(F.col("_rb") <= k).select(*keys, "t", "_u")
     top = cand.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy("_u", "t"))).filter(F.col("_rk") <= k)
-    return df.join(top.select(*keys, "t"), [*keys, "t"], "left_semi").drop("_u")
+    return invalidate(df.join(top.select(*keys, "t"), [*keys, "t"], "left_semi").drop("_u"))
 
 
 # --------------------------------------------------------------------- P3 / P17
@@ -377,8 +416,8 @@ def first_frame(df: DataFrame, col: str | None = None, image: str = "image", fro
     """``image_first_frame``: the given per-step column (null -> ''), the episode's
     first image (``from_episode=True``), or '' when absent."""
     if from_episode:
-        df = attach_episode(df, {"_ff": F.min_by(image, "t")}, keys)
-        return df.withColumn(out, F.coalesce(F.col("_ff"), F.lit(""))).drop("_ff")
+        df = attach_episode(df, dict([ep_first(image)]), keys)
+        return df.withColumn(out, F.coalesce(F.col(ep_first(image)[0]), F.lit("")))
     if col is None or col not in df.columns:
         return df.withColumn(out, F.lit(""))
     return df.withColumn(out, F.coalesce(F.col(col), F.lit("")))

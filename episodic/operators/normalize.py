@@ -22,9 +22,10 @@ def attach_stats(df: DataFrame, stats_struct: DataFrame, key: str | None = None,
     raises, as the reference does on an unknown key.
     """
     wide = stats_struct.groupBy("dataset_name").pivot("field", list(fields)).agg(F.first("stats"))
+    stype = stats_struct.schema["stats"].dataType
     for f in fields:
         if f not in wide.columns:
-            wide = wide.withColumn(f, F.lit(None))
+            wide = wide.withColumn(f, F.lit(None).cast(stype))
         wide = wide.withColumnRenamed(f, f + "_stats")
     wide = bounded_broadcast(wide, MAX_STATS_ROWS)
     if key is None and "dataset_name" not in df.columns:

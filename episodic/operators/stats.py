@@ -67,7 +67,7 @@ def _pass_a(long: DataFrame, group: Sequence[str], value: str, quantiles, accura
 
 
 def exact_quantiles(
-    long: DataFrame, group: Sequence[str], value: str, quantiles=QUANTILES, accuracy: int = 100_000,
+    long: DataFrame, group: Sequence[str], value: str, quantiles=QUANTILES, accuracy: int = 10_000,
     max_broadcast_rows: int = 1_000_000, summary: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group without holding a group in memory.
@@ -133,7 +133,7 @@ def dataset_stats(
     df: DataFrame,
     fields: Sequence[str] = ("action", "proprio"),
     exact: bool = True,
-    accuracy: int = 100_000,
+    accuracy: int = 10_000,
     key: str = "dataset_name",
 ) -> DataFrame:
     """A1 in long form: (dataset_name, field, dim, mean, std, max, min, q01, q99)."""

@@ -40,7 +40,21 @@ class TrajOptions:
 
 def episode_pipeline(df: DataFrame, o: TrajOptions) -> DataFrame:
     """Filters -> pad masks -> goal relabel -> task augmentation (train) -> chunk ->
-    subsample (train)."""
+    subsample (train).
+
+    Every per-episode value the steps need (length, first/last action and images, filter
+    flags) is attached in one aggregation, and the block-edge neighbours of the chunked
+    columns in one small table, before the operators run; the operators find and reuse
+    them, so the step rows are joined twice in total instead of once per operator."""
+    aggs = [E.ep_n(), E.ep_first("action"), E.ep_last("action"), *[E.ep_first(c) for c in o.image_cols]]
+    if o.skip_unlabeled:
+        aggs.append(E.ep_anylabel(o.language))
+    if o.max_action is not None:
+        aggs.append(E.ep_absok("action", o.max_action))
+    if o.max_proprio is not None and "proprio" in df.columns:
+        aggs.append(E.ep_absok("proprio", o.max_proprio))
+    df = E.attach_episode(df, dict(aggs))
+    df = E.attach_neighbors(df, {"action": o.future}, {"action": o.window - 1, **{c: o.window - 1 for c in o.image_cols}})
     if o.skip_unlabeled:
         df = E.skip_unlabeled(df, o.language)
     df = E.max_abs_filter(df, "action", o.max_action)

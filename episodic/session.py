@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,13 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder.
-
-    Survives executor loss (unlike a local checkpoint) and gives Spark exact
-    size statistics for later join planning.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing ``df`` as a parquet table in the session's shared checkpoint
+    folder and reading it back.
+
+    One pass (an RDD checkpoint computes its input twice unless cached), survives executor
+    loss (unlike a local checkpoint), and gives Spark exact size statistics for later
+    join planning."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex[:16]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, materialized: bool = False) -> DataFrame:

@@ -145,7 +145,7 @@ def test_apportion_requires_enough():
 
 
 def test_goal_last_step_maps_to_itself(spark):
-    df = E.attach_episode(episodes_df(spark, [[0.1] * 5, [0.2]]), {"_n": F.count(F.lit(1))}).withColumn("goal_t", E.goal_index(3))
+    df = E.attach_episode(episodes_df(spark, [[0.1] * 5, [0.2]]), {"_ep_n": F.count(F.lit(1))}).withColumn("goal_t", E.goal_index(3))
     for r in df.collect():
         n = 5 if r["traj_id"] == 0 else 1
         assert r["t"] < r["goal_t"] or r["t"] == n - 1 == r["goal_t"]
