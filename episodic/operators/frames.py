@@ -19,10 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodic.functions.rand import u01
-from episodic.session import bounded_broadcast
-
-MAX_BOUND_ROWS = 100_000
-
 
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank",
                   buckets: int | None = None) -> DataFrame:
@@ -40,8 +36,8 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
     gkey = group if group else []
     probs = [i / nb for i in range(1, nb)]
     if probs:
-        agg = keyed.groupBy(*gkey).agg(F.percentile_approx("_o0", probs, 10_000).alias("_bounds"))
-        bounds = bounded_broadcast(agg, MAX_BOUND_ROWS)
+        # one row per group: AQE sees its real size at runtime and broadcasts it when small
+        bounds = keyed.groupBy(*gkey).agg(F.percentile_approx("_o0", probs, 10_000).alias("_bounds"))
         keyed = keyed.join(bounds, gkey, "inner") if gkey else _attach_global(keyed, bounds)
         bucket = F.size(F.filter("_bounds", lambda b: b <= F.col("_o0")))
     else:
@@ -108,8 +104,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], co
     probs = [i / nb for i in range(1, nb)]
     keyed = df
     if probs:
-        agg = keyed.groupBy(*group).agg(F.percentile_approx(first, probs, 10_000).alias("_bounds"))
-        bounds = bounded_broadcast(agg, MAX_BOUND_ROWS)
+        bounds = keyed.groupBy(*group).agg(F.percentile_approx(first, probs, 10_000).alias("_bounds"))
         keyed = keyed.join(bounds, group, "inner") if group else _attach_global(keyed, bounds)
         keyed = keyed.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(first))).cast("int")).drop("_bounds")
     else:

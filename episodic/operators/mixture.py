@@ -102,12 +102,11 @@ def cdf_table(mix: DataFrame, balance: bool = False) -> DataFrame:
 def draw_to_dataset(draws: DataFrame, mix: DataFrame, u: str = "u", balance: bool = False) -> DataFrame:
     """Each uniform draw picks the dataset whose cumulative range holds it.
 
-    The range join is turned into an equi-join: the (bounded, broadcast) vector of
-    upper bounds gives the index = number of bounds <= u, joined on ``idx``."""
-    cdf = bounded_broadcast(cdf_table(mix, balance), MAX_MIXTURE_ROWS)
+    The range join is turned into an equi-join: the one-row vector of upper bounds gives
+    the index = number of bounds <= u, joined on ``idx``."""
+    cdf = cdf_table(mix, balance)  # one row per dataset; joins are broadcast by AQE at runtime when small
     bounds = cdf.agg(F.array_sort(F.collect_list(F.struct("idx", "hi"))).alias("_his"))
     bounds = bounds.select(F.transform("_his", lambda s: s["hi"]).alias("_his"), F.size("_his").alias("_k"))
-    bounds = bounded_broadcast(bounds, 1)
     d = draws.withColumn("_gk", F.lit(0)).join(bounds.withColumn("_gk", F.lit(0)), "_gk").drop("_gk")
     idx = F.least(F.size(F.filter("_his", lambda h: h <= F.col(u))), F.col("_k") - 1)
     d = d.withColumn("idx", idx.cast("int")).drop("_his", "_k")

@@ -18,6 +18,7 @@ from episodic.operators import frames as FR
 from episodic.operators import mixture as MX
 from episodic.operators import normalize as N
 from episodic.operators import stats as S
+from episodic.session import materialize
 
 
 @dataclass
@@ -98,10 +99,15 @@ def interleaved_pipeline(df: DataFrame, weights: DataFrame, o: TrajOptions, seed
     st = S.stats_struct(S.dataset_stats(df))
     frames = episode_pipeline(N.normalize(df, st, kind), o)
     frames = E.chunk_filter(frames, chunk_filter)
+    # lineage cut: the frame product is written once to the shared folder; the draw passes
+    # (sizes, per-dataset numbering, the draw join) read it instead of re-running W13
+    frames = materialize(frames.drop(*[c for c in frames.columns if c.startswith("_")]))
     mix = weights.join(counts.select("dataset_name", F.col("num_transitions").alias("size")), "dataset_name", "inner")
     drawn = MX.mixture_draws(frames, mix, n, seed, ["traj_id", "t"], balance)
     if not o.train and val_frames is not None:
         drawn = FR.take_val(drawn, val_frames, ["draw"])
+    # second cut: the shuffle's passes (bounds, bucket counts, numbering) read the drawn table
+    drawn = materialize(drawn)
     out = FR.shuffle_positions(drawn, seed + 3, ["draw"], "pos")
     if batch_size:
         out = FR.batch_ids(out, batch_size)
