@@ -113,12 +113,33 @@ def draw_to_dataset(draws: DataFrame, mix: DataFrame, u: str = "u", balance: boo
     return d.join(cdf.select("idx", "dataset_name"), "idx", "inner").drop("idx")
 
 
+def frame_index(frames: DataFrame, name: str = "_fi", episode: str = "traj_id") -> DataFrame:
+    """Position of each frame in its dataset ordered by (episode, t), without ranking the
+    frames: the offset of the episode (running sum of episode lengths over the one-row-per-
+    episode table) plus the frame's rank inside the episode (``t`` when dense).  Exact, and
+    a huge episode costs nothing extra.  Episodes with gaps in ``t`` (after subsampling)
+    fall back to ``rank_in_group``."""
+    from episodic.operators.frames import running_totals
+
+    ep = frames.groupBy("dataset_name", episode).agg(F.count(F.lit(1)).alias("_len"), F.max("t").alias("_tmax"))
+    if ep.filter(F.col("_tmax") + 1 != F.col("_len")).limit(1).count() > 0:
+        return rank_in_group(frames, ["dataset_name"], [episode, "t"], name)
+    offs = running_totals(ep, ["dataset_name"], [episode], ["_len"], "_cum")
+    offs = offs.select("dataset_name", episode, (F.col("_len_cum") - F.col("_len")).alias("_off"))
+    out = frames.join(offs, ["dataset_name", episode], "inner")
+    return out.withColumn(name, (F.col("_off") + F.col("t")).cast("bigint")).drop("_off")
+
+
 def draw_to_frame(draws: DataFrame, frames: DataFrame, frame_order: Sequence[str], draw_order: str = "draw") -> DataFrame:
     """The k-th draw of a dataset takes frame ``k mod size`` of that dataset (repeat semantics).
 
-    Both numberings are per-dataset positions computed with the skew-safe ``rank_in_group``."""
+    Draw numbering uses the skew-safe ``rank_in_group``; frames ordered by (episode, t) use
+    ``frame_index`` (episode offsets), other orders ``rank_in_group``."""
     dk = rank_in_group(draws, ["dataset_name"], [draw_order], "_k")
-    fk = rank_in_group(frames, ["dataset_name"], list(frame_order), "_fi")
+    if list(frame_order) == ["traj_id", "t"]:
+        fk = frame_index(frames, "_fi")
+    else:
+        fk = rank_in_group(frames, ["dataset_name"], list(frame_order), "_fi")
     sizes = frames.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("_size"))
     dk = dk.join(sizes, "dataset_name").withColumn("_fi", F.pmod(F.col("_k"), F.col("_size"))).drop("_size")
     return dk.join(fk, ["dataset_name", "_fi"], "inner").drop("_fi")

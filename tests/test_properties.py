@@ -79,3 +79,20 @@ def test_rate_gate_matches_brute_force(spark):
                 last = r["ts"]
             want[r["event_id"]] = ok
     assert {r["event_id"]: r["accepted"] for r in got} == want
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_frame_index_matches_sorted_position(spark, gaps):
+    from episodic.operators.mixture import frame_index
+
+    rows = []
+    for ds in ("a", "b"):
+        for traj in (3, 1, 7):
+            ts = range(0, 20, 2) if (gaps and traj == 7) else range(traj * 3)
+            rows += [(ds, traj, t) for t in ts]
+    df = spark.createDataFrame(rows, "dataset_name string, traj_id long, t int")
+    got = {(r["dataset_name"], r["traj_id"], r["t"]): r["_fi"] for r in frame_index(df).collect()}
+    for ds in ("a", "b"):
+        keys = sorted((tr, t) for d, tr, t in rows if d == ds)
+        for i, (tr, t) in enumerate(keys):
+            assert got[(ds, tr, t)] == i
