@@ -725,3 +725,4 @@ ORACLE["std_autolab_ur5"] = _std(f"""SELECT dataset_name, traj_id, t, list_conca
 ORACLE["rand_swap"] = "WITH " + STEPS + f"""
 SELECT {KT}, CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#1' ELSE image || '#2' END AS exterior_image_1_left,
        CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#2' ELSE image || '#1' END AS exterior_image_2_left FROM steps"""
+ORACLE["read_steps"] = "WITH " + STEPS + f"\nSELECT {KT}, event_id, image FROM steps WHERE dataset_name = 'ds2'"

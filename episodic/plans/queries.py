@@ -921,3 +921,13 @@ def q_interleaved(spark, d):
 def q_rand_swap(spark, d):
     out = STD.rand_swap(T.raw_steps(spark, d), "exterior_image_1_left", "exterior_image_2_left", SEED)
     return out.select(*EP, F.col("t").cast("bigint").alias("t"), "exterior_image_1_left", "exterior_image_2_left")
+
+
+@query("read_steps")
+def q_read_steps(spark, d):
+    from episodic.sources import steps_io as SI
+
+    path = SK.scratch_path(spark, "steps")
+    SI.write_steps(T.steps(spark, d).select(*EP, "t", "event_id", "action", "image"), path)
+    back = SI.read_steps(spark, path, dataset="ds2", columns=["event_id", "image"])
+    return back.select(*EP, F.col("t").cast("bigint").alias("t"), "event_id", "image")

@@ -96,3 +96,19 @@ def test_frame_index_matches_sorted_position(spark, gaps):
         keys = sorted((tr, t) for d, tr, t in rows if d == ds)
         for i, (tr, t) in enumerate(keys):
             assert got[(ds, tr, t)] == i
+
+
+def test_load_stats_object_layout(spark, tmp_path):
+    import json
+
+    from episodic.sources.stats_io import load_stats
+
+    doc = {"libero_spatial": {"action": {"mean": [0.1, 0.2], "std": [1.0, 2.0], "max": [3.0, 4.0], "min": [-3.0, -4.0],
+                                         "q01": [-2.0, -3.0], "q99": [2.0, 3.0], "mask": [True, False]},
+                              "proprio": {"mean": [0.0], "std": [1.0], "max": [1.0], "min": [-1.0], "q01": [-0.5], "q99": [0.5]},
+                              "num_transitions": 10, "num_trajectories": 2}}
+    p = tmp_path / "stats.json"
+    p.write_text(json.dumps(doc, indent=2))
+    rows = {(r["field"], r["dim"]): r for r in load_stats(spark, str(p), layout="object").collect()}
+    assert rows[("action", 1)]["q99"] == 3.0 and rows[("action", 0)]["mean"] == 0.1
+    assert rows[("proprio", 0)]["min"] == -1.0 and len(rows) == 3
