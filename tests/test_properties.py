@@ -112,3 +112,20 @@ def test_load_stats_object_layout(spark, tmp_path):
     rows = {(r["field"], r["dim"]): r for r in load_stats(spark, str(p), layout="object").collect()}
     assert rows[("action", 1)]["q99"] == 3.0 and rows[("action", 0)]["mean"] == 0.1
     assert rows[("proprio", 0)]["min"] == -1.0 and len(rows) == 3
+
+
+def test_draw_counts_within_4_sigma(spark):
+    from episodic.operators import mixture as MX
+    from episodic.sources import tables as T
+
+    mix = T.mixture(spark, SF_SMALL)
+    n = 20000
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("u", F.lit(0.0))
+    from episodic.functions.rand import u01
+
+    draws = draws.withColumn("u", u01(11, "draw"))
+    got = {r["dataset_name"]: r["c"] for r in MX.draw_to_dataset(draws, mix).groupBy("dataset_name").agg(F.count("*").alias("c")).collect()}
+    w = {r["dataset_name"]: r["sample_weight"] for r in MX.mixture_weights(mix).collect()}
+    for ds, p in w.items():
+        mu, sd = n * p, math.sqrt(n * p * (1 - p))
+        assert abs(got.get(ds, 0) - mu) <= 4 * sd + 1
