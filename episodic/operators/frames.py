@@ -53,8 +53,9 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
 
 
 def _attach_global(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Attach the single global bounds row as a literal-key equi-join."""
-    return df.withColumn("_gk", F.lit(0)).join(bounds.withColumn("_gk", F.lit(0)), "_gk", "inner").drop("_gk")
+    """Attach the single global bounds row as an uncorrelated scalar subquery
+    (evaluated once, inlined as a value -- no join)."""
+    return df.withColumn("_bounds", bounds.select("_bounds").scalar())
 
 
 def split_train_val(trajs: DataFrame, train: bool = True, pct: int = 95, has_val: bool = False,

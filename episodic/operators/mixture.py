@@ -107,7 +107,8 @@ def draw_to_dataset(draws: DataFrame, mix: DataFrame, u: str = "u", balance: boo
     cdf = cdf_table(mix, balance)  # one row per dataset; joins are broadcast by AQE at runtime when small
     bounds = cdf.agg(F.array_sort(F.collect_list(F.struct("idx", "hi"))).alias("_his"))
     bounds = bounds.select(F.transform("_his", lambda s: s["hi"]).alias("_his"), F.size("_his").alias("_k"))
-    d = draws.withColumn("_gk", F.lit(0)).join(bounds.withColumn("_gk", F.lit(0)), "_gk").drop("_gk")
+    # the bound vector is one row: attached as a scalar subquery (computed once, no join)
+    d = draws.withColumn("_his", bounds.select("_his").scalar()).withColumn("_k", bounds.select("_k").scalar())
     idx = F.least(F.size(F.filter("_his", lambda h: h <= F.col(u))), F.col("_k") - 1)
     d = d.withColumn("idx", idx.cast("int")).drop("_his", "_k")
     return d.join(cdf.select("idx", "dataset_name"), "idx", "inner").drop("idx")

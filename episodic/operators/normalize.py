@@ -36,10 +36,11 @@ def attach_stats(df: DataFrame, stats_struct: DataFrame, key: str | None = None,
     if key is not None:
         if wide.filter(F.col("dataset_name") == key).limit(1).count() == 0:
             raise ValueError(f"The `unnorm_key` you chose ({key}) is not in the available statistics")
-        # every row uses the keyed dataset: equi-join on a literal key column
-        out = df.withColumn("_stats_key", F.lit(key)).join(
-            wide.withColumnRenamed("dataset_name", "_stats_key"), "_stats_key", "left"
-        ).drop("_stats_key")
+        # every row uses the keyed dataset: its stats structs are scalar subqueries (one row)
+        one = wide.filter(F.col("dataset_name") == key)
+        out = df
+        for f in fields:
+            out = out.withColumn(f + "_stats", one.select(f + "_stats").scalar())
         return out
     out = df.join(wide, "dataset_name", "left")
     first = fields[0] + "_stats"

@@ -266,8 +266,8 @@ def q_mixture_weights(spark, d):
 def q_mixture_length(spark, d):
     m = T.mixture(spark, d)
     a = MX.mixture_length(m, False).withColumnRenamed("mixture_length", "length_plain")
-    b = MX.mixture_length(m, True).withColumnRenamed("mixture_length", "length_balanced")
-    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    b = MX.mixture_length(m, True).select("mixture_length")
+    return a.withColumn("length_balanced", b.scalar())
 
 
 @query("apportion")

@@ -129,3 +129,19 @@ def test_draw_counts_within_4_sigma(spark):
     for ds, p in w.items():
         mu, sd = n * p, math.sqrt(n * p * (1 - p))
         assert abs(got.get(ds, 0) - mu) <= 4 * sd + 1
+
+
+def test_unnormalize_with_key(spark):
+    from episodic.operators import normalize as N
+    from episodic.operators import stats as S
+    from episodic.sources import tables as T
+
+    st = T.steps(spark, SF_SMALL).select("dataset_name", "traj_id", "t", "action")
+    stats = S.stats_struct(S.dataset_stats(st, fields=("action",)))
+    pred = st.select(F.array(*[F.lit(0.0)] * 7).alias("action")).limit(3)
+    out = N.unnormalize(pred, stats, "action", key="ds1").collect()
+    q = {r["dim"]: (r["q01"], r["q99"]) for r in S.dataset_stats(st, fields=("action",)).filter("dataset_name = 'ds1'").collect()}
+    for r in out:
+        assert r["action"] == pytest.approx([0.5 * (q[d][0] + q[d][1]) for d in range(7)])
+    with pytest.raises(ValueError):
+        N.unnormalize(pred, stats, "action", key="nope")
