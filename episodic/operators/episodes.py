@@ -166,15 +166,15 @@ def add_timestep(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     ``rank_in_group`` (split over many tasks); all others with a plain ``row_number``.
     The set of hot episodes is bounded by rows / threshold and checked before broadcast."""
     from episodic.operators.frames import rank_in_group
-    from episodic.session import bounded_broadcast
+    from episodic.session import materialize_counted
 
     spark = df.sparkSession
     threshold = int(spark.conf.get("episodic.hotEpisodeRows", str(DEFAULT_HOT_EPISODE_ROWS)))
     w = Window.partitionBy(*keys).orderBy(*order)
     plain = df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold).select(*keys)
-    hot = bounded_broadcast(sizes, MAX_HOT_EPISODES)
-    if hot.limit(1).count() == 0:
+    hot, n_hot = materialize_counted(sizes, MAX_HOT_EPISODES)
+    if n_hot == 0:
         return plain
     normal = df.join(hot, list(keys), "left_anti")
     hot_rows = df.join(hot, list(keys), "left_semi")

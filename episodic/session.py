@@ -71,6 +71,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_counted(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, int]:
+    """Materialize ``df`` and return it (broadcast-hinted when at most ``max_rows`` rows) with
+    its row count, so callers can branch on the size without another job."""
+    from pyspark.sql import functions as F
+
+    m = materialize(df)
+    n = m.count()
+    return (F.broadcast(m) if n <= max_rows else m), n
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, materialized: bool = False) -> DataFrame:
     """Broadcast ``df`` only after checking its size; otherwise leave the join to Spark.
 
