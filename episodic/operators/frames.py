@@ -23,7 +23,12 @@ from episodic.functions.rand import u01
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank",
                   buckets: int | None = None) -> DataFrame:
     """0-based row number of each row within ``group`` (``[]`` = the whole frame) in
-    ``order``; ``group + order`` must be a total order and the first order column numeric."""
+    ``order``; ``group + order`` must be a total order and the order columns comparable.
+
+    Buckets are cut at approximate quantiles of the first order column.  A value of that
+    column repeated across a whole bucket boundary (a heavy tie, e.g. one huge episode) is
+    split again at quantiles of the second order column, so its rows still spread over
+    several buckets; bucket keys (b1, b2) follow the lexicographic order."""
     spark = df.sparkSession
     nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     group = list(group)
@@ -39,17 +44,29 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
         # one row per group: AQE sees its real size at runtime and broadcasts it when small
         bounds = keyed.groupBy(*gkey).agg(F.percentile_approx("_o0", probs, 10_000).alias("_bounds"))
         keyed = keyed.join(bounds, gkey, "inner") if gkey else _attach_global(keyed, bounds)
-        bucket = F.size(F.filter("_bounds", lambda b: b <= F.col("_o0")))
+        keyed = keyed.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_o0"))).cast("int"))
+        # heavy tie: the row's first-order value occurs at least twice among the bounds
+        keyed = keyed.withColumn("_tie", F.size(F.filter("_bounds", lambda b: b == F.col("_o0"))) >= 2).drop("_bounds")
+        if len(okeys) > 1:
+            tied = keyed.filter("_tie").groupBy(*gkey, "_b").agg(
+                F.percentile_approx("_o1", probs, 10_000).alias("_sub"))
+            keyed = keyed.join(tied, [*gkey, "_b"], "left")
+            sub = F.size(F.filter("_sub", lambda b: b <= F.col("_o1")))
+            # rows of a tied bucket come first (ordered by the second column), the rest after
+            keyed = keyed.withColumn("_b2", F.when(F.col("_tie"), sub).when(F.col("_sub").isNotNull(), F.lit(nb)).otherwise(F.lit(0)))
+            keyed = keyed.drop("_sub")
+        else:
+            keyed = keyed.withColumn("_b2", F.lit(0))
+        keyed = keyed.drop("_tie")
     else:
-        bucket = F.lit(0)
-    keyed = keyed.withColumn("_b", bucket.cast("int")).drop("_bounds")
-    counts = keyed.groupBy(*gkey, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = (Window.partitionBy(*gkey) if gkey else Window.partitionBy(F.lit(0))).orderBy("_b")
+        keyed = keyed.withColumn("_b", F.lit(0)).withColumn("_b2", F.lit(0))
+    counts = keyed.groupBy(*gkey, "_b", "_b2").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = (Window.partitionBy(*gkey) if gkey else Window.partitionBy(F.lit(0))).orderBy("_b", "_b2")
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = keyed.join(offs.select(*gkey, "_b", "_off"), [*gkey, "_b"], "inner")
-    rn = F.row_number().over(Window.partitionBy(*gkey, "_b").orderBy(*okeys))
+    out = keyed.join(offs.select(*gkey, "_b", "_b2", "_off"), [*gkey, "_b", "_b2"], "inner")
+    rn = F.row_number().over(Window.partitionBy(*gkey, "_b", "_b2").orderBy(*okeys))
     out = out.withColumn(name, (F.col("_off") + rn - 1).cast("bigint"))
-    return out.drop("_b", "_off", *okeys)
+    return out.drop("_b", "_b2", "_off", *okeys)
 
 
 def _attach_global(df: DataFrame, bounds: DataFrame) -> DataFrame:

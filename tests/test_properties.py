@@ -145,3 +145,20 @@ def test_unnormalize_with_key(spark):
         assert r["action"] == pytest.approx([0.5 * (q[d][0] + q[d][1]) for d in range(7)])
     with pytest.raises(ValueError):
         N.unnormalize(pred, stats, "action", key="nope")
+
+
+def test_rank_in_group_splits_heavy_ties(spark):
+    from episodic.operators.frames import rank_in_group
+
+    rows = [("a", 5, t) for t in range(2000)] + [("a", tr, t) for tr in (1, 2, 9) for t in range(30)] + [("b", 5, t) for t in range(40)]
+    df = spark.createDataFrame(rows, "g string, traj long, t long")
+    out = rank_in_group(df, ["g"], ["traj", "t"], "r", buckets=8)
+    got = {(r["g"], r["traj"], r["t"]): r["r"] for r in out.collect()}
+    for g in ("a", "b"):
+        keys = sorted((tr, t) for gg, tr, t in rows if gg == g)
+        for i, k in enumerate(keys):
+            assert got[(g, *k)] == i
+    glob = rank_in_group(df, [], ["traj", "t", "g"], "r", buckets=8)
+    allk = sorted((tr, t, g) for g, tr, t in rows)
+    got2 = {(r["traj"], r["t"], r["g"]): r["r"] for r in glob.collect()}
+    assert [got2[k] for k in allk] == list(range(len(allk)))
