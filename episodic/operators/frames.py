@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodic.functions.rand import u01
+from episodic.session import materialize
 
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank",
                   buckets: int | None = None) -> DataFrame:
@@ -41,13 +42,15 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
     gkey = group if group else []
     probs = [i / nb for i in range(1, nb)]
     if probs:
-        # one row per group: AQE sees its real size at runtime and broadcasts it when small
-        bounds = keyed.groupBy(*gkey).agg(F.percentile_approx("_o0", probs, 10_000).alias("_bounds"))
+        # one row per group, written once: its size is known to the planner, and a repeated
+        # bound (a heavy tie) is detected on this small table without touching the rows
+        bounds = materialize(keyed.groupBy(*gkey).agg(F.percentile_approx("_o0", probs, 10_000).alias("_bounds")))
+        has_ties = bounds.filter(F.size(F.array_distinct("_bounds")) < F.size("_bounds")).limit(1).count() > 0
         keyed = keyed.join(bounds, gkey, "inner") if gkey else _attach_global(keyed, bounds)
         keyed = keyed.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_o0"))).cast("int"))
         # heavy tie: the row's first-order value occurs at least twice among the bounds
         keyed = keyed.withColumn("_tie", F.size(F.filter("_bounds", lambda b: b == F.col("_o0"))) >= 2).drop("_bounds")
-        if len(okeys) > 1:
+        if len(okeys) > 1 and has_ties:
             tied = keyed.filter("_tie").groupBy(*gkey, "_b").agg(
                 F.percentile_approx("_o1", probs, 10_000).alias("_sub"))
             keyed = keyed.join(tied, [*gkey, "_b"], "left")
