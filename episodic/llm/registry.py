@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from episodic.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from episodic.llm.packing import op4_best_fit_packing
 from episodic.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
