@@ -35,7 +35,6 @@ class WaveletMatrix:
         self.levels = max(1, int(sigma - 1).bit_length())
         self.bits, self.ones, self.zeros = [], [], []
         now = symbols.astype(np.uint32)
-        sizes = np.bincount(symbols, minlength=sigma)
         for level in reversed(range(self.levels)):
             bit = (now >> np.uint32(level)) & np.uint32(1) != 0
             packed = np.packbits(bit, bitorder="little")
@@ -44,16 +43,10 @@ class WaveletMatrix:
             self.ones.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)))[:-1].astype(np.int32))
             self.zeros.append(int(len(bit) - bit.sum()))
             now = np.concatenate((now[~bit], now[bit]))
-        self.start = np.zeros(sigma, np.int64)  # where each symbol's occurrences end up
-        present = np.flatnonzero(sizes)
-        self.start[now[np.concatenate(([0], np.cumsum(sizes[self._order(present)])[:-1]))]] = np.concatenate(([0], np.cumsum(sizes[self._order(present)])[:-1]))
-
-    def _order(self, symbols: np.ndarray) -> np.ndarray:
-        """Symbols in the order of the last level: by their bits read from the lowest to the highest."""
-        back = np.zeros(len(symbols), np.int64)
-        for level in range(self.levels):
-            back |= ((symbols >> level) & 1) << (self.levels - 1 - level)
-        return symbols[np.argsort(back, kind="stable")]
+        # now all occurrences of a symbol stand together
+        heads = np.flatnonzero(np.concatenate(([True], now[1:] != now[:-1])))
+        self.start = np.zeros(sigma, np.int64)
+        self.start[now[heads]] = heads
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Occurrences of ``symbol`` before position ``at``."""
