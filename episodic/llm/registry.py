@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from episodic.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from episodic.llm.fm_dedup import op3_fm_index_dedup
+from episodic.llm.minhash_dedup import op8_minhash_dedup
 from episodic.llm.packing import op4_best_fit_packing
 from episodic.llm.suffix_dedup import op5_suffix_array_dedup
 from episodic.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_fm_index_dedup": op3_fm_index_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
