@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from episodic.llm.cross_polytope import op9_cross_polytope_dedup
 from episodic.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from episodic.llm.fm_dedup import op3_fm_index_dedup
 from episodic.llm.minhash_dedup import op8_minhash_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_cross_polytope_dedup": op9_cross_polytope_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
