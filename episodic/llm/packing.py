@@ -27,8 +27,9 @@ from episodic.llm.common import parts, table, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers; it starts anew when that many are known.
-REMEMBER = 300_000
+#: Words whose ids a Python worker remembers: twice that many at most.  When that many are new, the
+#: older ones are dropped, but for those that were needed since.
+REMEMBER = 250_000
 
 
 class WordIds(dict):
@@ -44,6 +45,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.whole = Tokenizer.from_str(spec)
         parsed = json.loads(spec)
         split = [p["pattern"]["Regex"] for p in (parsed.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
@@ -58,22 +60,30 @@ class WordIds(dict):
             other = iter(range(256, 512))
             self.shown = {b: chr(b) if b in shown else chr(next(other)) for b in range(256)}
             self.piece: dict[str, bytes] = {}
+            self.older_piece: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            text = word.decode("utf-8", "replace")
+            if self.direct and "<|" not in text and self.plain.fullmatch(text):
+                out = b"".join([self.piece.get(p) or self._one(p) for p in self.cut.findall(text.lower())])
+            else:
+                out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= REMEMBER:
+            self.older = dict(self)
             self.clear()
-            self.piece.clear()
-        text = word.decode("utf-8", "replace")
-        if self.direct and "<|" not in text and self.plain.fullmatch(text):
-            out = b"".join([self.piece.get(p) or self._one(p) for p in self.cut.findall(text.lower())])
-        else:
-            out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = out
         return out
 
     def _one(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.shown)
-        out = self.piece[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        out = self.older_piece.get(piece)
+        if out is None:
+            mapped = piece.encode().decode("latin-1").translate(self.shown)
+            out = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        if len(self.piece) >= REMEMBER:
+            self.older_piece, self.piece = self.piece, {}
+        self.piece[piece] = out
         return out
 
 
