@@ -9,12 +9,14 @@ from episodic.llm.minhash_dedup import op8_minhash_dedup
 from episodic.llm.packing import op4_best_fit_packing
 from episodic.llm.suffix_dedup import op5_suffix_array_dedup
 from episodic.llm.toxicity import op1_toxicity
+from episodic.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_fm_index_dedup": op3_fm_index_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_cross_polytope_dedup": op9_cross_polytope_dedup,
     "op10_exact_dedup": op10_exact_dedup,
