@@ -5,6 +5,7 @@ from __future__ import annotations
 from episodic.llm.cross_polytope import op9_cross_polytope_dedup
 from episodic.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from episodic.llm.fm_dedup import op3_fm_index_dedup
+from episodic.llm.license_scan import op6_license_scan
 from episodic.llm.minhash_dedup import op8_minhash_dedup
 from episodic.llm.packing import op4_best_fit_packing
 from episodic.llm.suffix_dedup import op5_suffix_array_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_fm_index_dedup": op3_fm_index_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_cross_polytope_dedup": op9_cross_polytope_dedup,
