@@ -116,11 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return model if model["n"] else {"bucket": [], "weight": [], "bias": float(-np.log(99.0)), "n": 0}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; null text counts as empty and gets the bias alone.  Repeated
-    rows are scored one by one."""
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, score) of every row -- with ``carry`` all columns and the score (a column of that name
+    is replaced); null text counts as empty and gets the bias alone.  Repeated rows are scored
+    one by one."""
     sc = docs.sparkSession.sparkContext
     weights = sc.broadcast((np.array(model["bucket"], np.int64), np.array(model["weight"], np.float64), model["bias"]))
+    kept = [c for c in docs.columns if c != "score"] if carry else [id_col]
+    names = [f"_c{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nz, w, bias = weights.value
@@ -137,17 +140,19 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 sums = np.concatenate(([0.0], np.cumsum(dense[idx])))
                 total[i:j] += sums[at[1:]] - sums[at[:-1]]
             p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(p)], names=["_id", "score"])
+            cols = [batch.column("_text" if c == text_col else n) for c, n in zip(kept, names, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(p)], names=[*names, "score"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True) if c != text_col], F.col(text_col).cast("string").alias("_text"))
+    kinds = ["string" if c == text_col else docs.schema[c].dataType.simpleString() for c in kept]
+    out = rows.mapInArrow(run, ", ".join([*[f"{n} {k}" for n, k in zip(names, kinds, strict=True)], "score double"]))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], "score")
 
 
-def scored(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scored(spark, docs: DataFrame, sf_dir: str, carry: bool = False) -> DataFrame:
     """Scores of ``docs`` by a model from the labels that are not held out and all documents of the folder."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=~held_out())
-    return score(docs, model)
+    return score(docs, model, carry=carry)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
