@@ -8,12 +8,14 @@ from episodic.llm.fm_dedup import op3_fm_index_dedup
 from episodic.llm.license_scan import op6_license_scan
 from episodic.llm.minhash_dedup import op8_minhash_dedup
 from episodic.llm.packing import op4_best_fit_packing
+from episodic.llm.sentencepiece_lattice import op2_sentencepiece
 from episodic.llm.suffix_dedup import op5_suffix_array_dedup
 from episodic.llm.toxicity import op1_toxicity
 from episodic.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_fm_index_dedup": op3_fm_index_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
