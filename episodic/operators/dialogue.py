@@ -36,7 +36,7 @@ def response_turn(turns, response) -> Column:
     texts = F.transform(F.col(turns) if isinstance(turns, str) else turns, lambda t: t["assistant"])
     pos = F.array_position(texts, F.col(response) if isinstance(response, str) else response)
     return F.when(pos > 0, (pos - 1).cast("int")).otherwise(
-        F.raise_error(F.concat(F.lit("Could not find instruction-response pair in conversation: "), F.col(response)))
+        F.raise_error(F.concat(F.lit("no turn answers with: "), F.col(response)))
     )
 
 

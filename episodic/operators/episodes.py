@@ -145,13 +145,14 @@ def attach_neighbors(df: DataFrame, lead: Mapping[str, int], lag: Mapping[str, i
 
 
 def _gather(col: str, off: int, w, lead: int, lag: int, b: int) -> Column:
-    """Value ``off`` steps away inside the episode: in-block lead/lag, else the neighbour block."""
+    """Value ``off`` steps away inside the episode: in-block lead/lag, else the neighbour block.
+    Which one is told by the index, so a null value stays null."""
     if off == 0:
         return F.col(col)
     pos = F.pmod(F.col("t"), F.lit(b))
     if off > 0:
-        return F.coalesce(F.lead(col, off).over(w), F.get(F.col(nh(col, lead)), pos + off - b))
-    return F.coalesce(F.lag(col, -off).over(w), F.get(F.col(pt(col, lag)), pos + off + lag))
+        return F.when(pos + off < b, F.lead(col, off).over(w)).otherwise(F.get(F.col(nh(col, lead)), pos + off - b))
+    return F.when(pos + off >= 0, F.lag(col, -off).over(w)).otherwise(F.get(F.col(pt(col, lag)), pos + off + lag))
 
 
 def _block_summary_join(df: DataFrame, summary: DataFrame, keys=EPISODE) -> DataFrame:
@@ -196,7 +197,7 @@ def traj_lengths(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
 def skip_unlabeled(df: DataFrame, lang: str = "language_instruction", keys=EPISODE) -> DataFrame:
     """keep an episode iff any step has a non-empty instruction."""
     if lang not in df.columns:
-        raise ValueError("skip_unlabeled=True but dataset does not have language labels.")
+        raise ValueError(f"no instruction column {lang!r} to filter by")
     name, agg = ep_anylabel(lang)
     return attach_episode(df, {name: agg}, keys).filter(F.col(name) == 1)
 
@@ -275,9 +276,9 @@ def rel2abs_gripper_df(df: DataFrame, x: str, out: str, keys=EPISODE) -> DataFra
 
 def state_delta(df: DataFrame, state: str = "state", action: str = "action", keys=EPISODE) -> DataFrame:
     """action[:6] = state[t+1][:6] - state[t][:6], keep the action's gripper; drop the last step."""
-    h = attach_neighbors(df, {state: 1}, {}, keys)
+    h = attach_neighbors(attach_episode(df, dict([ep_n()]), keys), {state: 1}, {}, keys)
     h = h.withColumn("_nxt", _gather(state, 1, episode_window(keys), 1, 0, block_rows(h)))
-    h = invalidate(h.filter(F.col("_nxt").isNotNull()))
+    h = invalidate(h.filter(F.col("t") < F.col(ep_n()[0]) - 1))
     delta = F.zip_with(F.slice("_nxt", 1, 6), F.slice(state, 1, 6), lambda a, b: a - b)
     return h.withColumn(action, F.concat(delta, F.slice(action, -1, 1))).drop("_nxt")
 
@@ -291,8 +292,8 @@ def chunk_obs(df: DataFrame, cols: Sequence[str], window: int, keys=EPISODE, suf
     h = attach_neighbors(df, {}, {c: lag for c in cols}, keys)
     w, b = episode_window(keys), block_rows(df)
     for c in cols:
-        slots = [F.coalesce(_gather(c, s - window + 1, w, 0, lag, b), F.col(ep_first(c)[0])) if s < window - 1 else F.col(c)
-                 for s in range(window)]
+        slots = [F.when(F.col("t") + (s - window + 1) >= 0, _gather(c, s - window + 1, w, 0, lag, b)).otherwise(F.col(ep_first(c)[0]))
+                 if s < window - 1 else F.col(c) for s in range(window)]
         h = h.withColumn(c + suffix, F.array(*slots))
     mask = F.array(*[(F.col("t") + F.lit(s - window + 1)) >= 0 for s in range(window)])
     return h.withColumn("pad_mask", mask)
@@ -324,7 +325,7 @@ def chunk_action(
     for s in range(window + future):
         off = s - window + 1
         if off < 0:
-            slots.append(F.coalesce(_gather(action, off, w, future, lag, b), F.col(fa)))
+            slots.append(F.when(F.col("t") + F.lit(off) >= 0, _gather(action, off, w, future, lag, b)).otherwise(F.col(fa)))
         elif off == 0:
             slots.append(F.col(action))
         else:
@@ -381,7 +382,8 @@ def delete_task_conditioning(
 ) -> DataFrame:
     """Per step keep the goal images with probability p (always when the language is
     padding), else keep the language; pad the dropped side; when images are dropped the
-    goal timestep becomes the last step.  No-op without language or image columns."""
+    goal timestep becomes the last step, and what was dropped is marked as padding in
+    ``goal_pad_mask`` and ``pad_mask_dict``.  No-op without language or image columns."""
     if lang not in df.columns or not image_cols:
         return df
     df = attach_episode(df, dict([ep_n()]), keys)
@@ -392,6 +394,10 @@ def delete_task_conditioning(
     df = df.withColumn(lang, F.when(~F.col("_keep_img"), F.col(lang)).otherwise(F.lit("")))
     if timestep in df.columns:
         df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise((F.col(ep_n()[0]) - 1).cast("int")))
+    for name, gone, fields in (("goal_pad_mask", ~F.col("_keep_img"), set(image_cols)), ("pad_mask_dict", F.col("_keep_img"), {lang})):
+        if name in df.columns:
+            inner = df.schema[name].dataType.names
+            df = df.withColumn(name, F.struct(*[(F.col(name)[f] & ~gone if f in fields else F.col(name)[f]).alias(f) for f in inner]))
     return df.withColumnRenamed("_keep_img", "keep_images")
 
 

@@ -40,24 +40,36 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
         keyed = keyed.withColumn(f"_o{i}", c)
         okeys.append(f"_o{i}")
     gkey = group if group else []
+
+    def scale(key: str) -> Column:
+        """A number that rises with the key: text by its first six bytes."""
+        if keyed.schema[key].dataType.typeName() in ("string", "binary"):
+            head = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 6)), 12, "0")
+            return F.conv(head, 16, 10).cast("bigint")
+        return F.col(key)
+
+    # text that agrees in its first bytes is no tie, so it is not split on the second column
+    split_ties = keyed.schema["_o0"].dataType.typeName() not in ("string", "binary")
+    keyed = keyed.withColumn("_q0", scale("_o0"))
     probs = [i / nb for i in range(1, nb)]
     if probs:
         # one row per group, written once: its size is known to the planner, and a repeated
         # bound (a heavy tie) is detected on this small table without touching the rows
-        bounds = materialize(keyed.groupBy(*gkey).agg(F.percentile_approx("_o0", probs, 10_000).alias("_bounds")))
+        bounds = materialize(keyed.groupBy(*gkey).agg(F.percentile_approx("_q0", probs, 10_000).alias("_bounds")))
         has_ties = bounds.filter(F.size(F.array_distinct("_bounds")) < F.size("_bounds")).limit(1).count() > 0
         keyed = keyed.join(bounds, gkey, "inner") if gkey else _attach_global(keyed, bounds)
-        keyed = keyed.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_o0"))).cast("int"))
+        keyed = keyed.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_q0"))).cast("int"))
         # heavy tie: the row's first-order value occurs at least twice among the bounds
-        keyed = keyed.withColumn("_tie", F.size(F.filter("_bounds", lambda b: b == F.col("_o0"))) >= 2).drop("_bounds")
-        if len(okeys) > 1 and has_ties:
+        keyed = keyed.withColumn("_tie", F.size(F.filter("_bounds", lambda b: b == F.col("_q0"))) >= 2).drop("_bounds")
+        if len(okeys) > 1 and has_ties and split_ties:
+            keyed = keyed.withColumn("_q1", scale("_o1"))
             tied = keyed.filter("_tie").groupBy(*gkey, "_b").agg(
-                F.percentile_approx("_o1", probs, 10_000).alias("_sub"))
+                F.percentile_approx("_q1", probs, 10_000).alias("_sub"))
             keyed = keyed.join(tied, [*gkey, "_b"], "left")
-            sub = F.size(F.filter("_sub", lambda b: b <= F.col("_o1")))
+            sub = F.size(F.filter("_sub", lambda b: b <= F.col("_q1")))
             # rows of a tied bucket come first (ordered by the second column), the rest after
             keyed = keyed.withColumn("_b2", F.when(F.col("_tie"), sub).when(F.col("_sub").isNotNull(), F.lit(nb)).otherwise(F.lit(0)))
-            keyed = keyed.drop("_sub")
+            keyed = keyed.drop("_sub", "_q1")
         else:
             keyed = keyed.withColumn("_b2", F.lit(0))
         keyed = keyed.drop("_tie")
@@ -69,7 +81,7 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
     out = keyed.join(offs.select(*gkey, "_b", "_b2", "_off"), [*gkey, "_b", "_b2"], "inner")
     rn = F.row_number().over(Window.partitionBy(*gkey, "_b", "_b2").orderBy(*okeys))
     out = out.withColumn(name, (F.col("_off") + rn - 1).cast("bigint"))
-    return out.drop("_b", "_b2", "_off", *okeys)
+    return out.drop("_b", "_b2", "_off", "_q0", *okeys)
 
 
 def _attach_global(df: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -11,15 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodic.functions.rand import u01
 from episodic.operators.frames import rank_in_group
 from episodic.session import bounded_broadcast
 
-MAX_MIXTURE_ROWS = 10_000
-
 
 def mixture_weights(mix: DataFrame, balance: bool = False, out: str = "sample_weight") -> DataFrame:
     """A5: weights (default 1.0), optionally times dataset size, normalized to sum 1."""
@@ -43,50 +41,35 @@ def mixture_length(mix: DataFrame, balance: bool = False) -> DataFrame:
     )
 
 
-def apportion_list(n: int, weights: Sequence[float]) -> list[int]:
-    """A7 on a short list: split ``n`` by weight; positive shares below 1 get 1 (repeat
-    with the rest), then floors plus largest remainders (ties: larger index first)."""
-    if any(w < 0 for w in weights):
-        raise ValueError("Weights must be non-negative")
-    if len(weights) > n:
-        raise ValueError("Number of threads must be at least as large as length of weights")
-    total = float(sum(weights))
-    ws = [w / total for w in weights]
-    alloc = [0] * len(ws)
-    while True:
-        mask = [w * n < 1 and w > 0 for w in ws]
-        if not any(mask):
-            break
-        n -= sum(mask)
-        for i, m in enumerate(mask):
-            if m:
-                alloc[i] += 1
-                ws[i] = 0.0
-        s = sum(ws)
-        ws = [w / s for w in ws] if s > 0 else ws
-    parts = [w * n for w in ws]
-    integral = [int(p // 1) for p in parts]
-    frac = [p - i for p, i in zip(parts, integral)]
-    alloc = [a + i for a, i in zip(alloc, integral)]
-    rest = int(n - sum(integral))
-    order = sorted(range(len(frac)), key=lambda i: (frac[i], i), reverse=True)
-    for i in order[:rest]:
-        alloc[i] += 1
-    return alloc
-
-
-def apportion(mix: DataFrame, n: int, weight: str = "weight") -> DataFrame:
-    """A7 re-aimed as a sampling quota: the fixpoint runs on the (size-checked)
-    per-dataset weight rows on the driver; quotas come back as a DataFrame."""
-    rows = mix.select("dataset_name", "pos", weight).orderBy("pos").limit(MAX_MIXTURE_ROWS + 1).collect()
-    if len(rows) > MAX_MIXTURE_ROWS:
-        raise ValueError("mixture table too large for apportionment")
-    quotas = apportion_list(n, [float(r[weight]) for r in rows])
-    spark = mix.sparkSession
-    return spark.createDataFrame(
-        [(r["dataset_name"], int(r["pos"]), int(q)) for r, q in zip(rows, quotas)],
-        "dataset_name string, pos int, quota bigint",
-    )
+def apportion(mix: DataFrame, n: int | Column, weight: str = "weight") -> DataFrame:
+    """A7 re-aimed as a sampling quota: (dataset_name, pos, quota) that sum to ``n``.
+
+    A positive weight whose share is below one gets one, and its weight leaves the others'
+    total; what is left is shared out by floors and largest remainders (ties: the larger
+    ``pos``).  In ascending order of weight the ones form a prefix: it ends at the first weight
+    whose share of the rest is at least one, since handing out a one raises nobody's share.
+    The windows run over the weight table, one row a dataset.  A negative weight, or a smaller
+    ``n`` than there are datasets, is an error when the rows are read.
+    """
+    everyone = Window.partitionBy(F.lit(0))
+    lightest = everyone.orderBy("_w", "pos")
+    w = mix.select("dataset_name", "pos", F.col(weight).cast("double").alias("_w"), F.lit(n).cast("bigint").alias("_n") if isinstance(n, int) else n.cast("bigint").alias("_n"))
+    w = w.withColumns({"_lo": F.min("_w").over(everyone), "_k": F.count(F.lit(1)).over(everyone)})
+    fault = F.when(F.col("_lo") < 0, F.raise_error(F.lit("a weight is negative"))) \
+        .when(F.col("_k") > F.col("_n"), F.raise_error(F.lit("fewer items than datasets to share them")))
+    w = w.withColumn("_n", F.coalesce(fault.cast("bigint"), F.col("_n")))
+    live = (F.col("_w") > 0).cast("int")
+    w = w.withColumns({"_all": F.sum("_w").over(everyone), "_before": F.sum("_w").over(lightest) - F.col("_w"), "_ones": F.sum(live).over(lightest) - live})
+    whole = F.col("_w") * (F.col("_n") - F.col("_ones")) >= F.col("_all") - F.col("_before")
+    w = w.withColumn("_whole", F.max((live == 1) & whole).over(lightest))
+    one = (F.col("_w") > 0) & ~F.col("_whole")
+    w = w.withColumns({"_one": one, "_given": F.sum(one.cast("int")).over(everyone), "_rest": F.sum(F.when(one, 0.0).otherwise(F.col("_w"))).over(everyone)})
+    w = w.withColumn("_share", F.when(F.col("_one") | (F.col("_rest") == 0), 0.0).otherwise(F.col("_w") / F.col("_rest") * (F.col("_n") - F.col("_given"))))
+    w = w.withColumns({"_floor": F.floor("_share"), "_frac": F.col("_share") - F.floor("_share")})
+    w = w.withColumns({"_open": F.col("_n") - F.col("_given") - F.sum("_floor").over(everyone),
+                       "_turn": F.row_number().over(everyone.orderBy(F.desc("_frac"), F.desc("pos")))})
+    quota = F.col("_floor") + F.col("_one").cast("int") + (F.col("_turn") <= F.col("_open")).cast("int")
+    return w.select("dataset_name", "pos", quota.cast("bigint").alias("quota"))
 
 
 def cdf_table(mix: DataFrame, balance: bool = False) -> DataFrame:
@@ -142,7 +125,10 @@ def draw_to_frame(draws: DataFrame, frames: DataFrame, frame_order: Sequence[str
     else:
         fk = rank_in_group(frames, ["dataset_name"], list(frame_order), "_fi")
     sizes = frames.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("_size"))
-    dk = dk.join(sizes, "dataset_name").withColumn("_fi", F.pmod(F.col("_k"), F.col("_size"))).drop("_size")
+    # a draw of a dataset that has no frames (left) is an error, not a lost draw
+    empty = F.raise_error(F.concat(F.lit("draws fall on a dataset without frames: "), F.col("dataset_name")))
+    dk = dk.join(sizes, "dataset_name", "left").withColumn("_size", F.when(F.col("_size").isNull(), empty.cast("bigint")).otherwise(F.col("_size")))
+    dk = dk.withColumn("_fi", F.pmod(F.col("_k"), F.col("_size"))).drop("_size")
     return dk.join(fk, ["dataset_name", "_fi"], "inner").drop("_fi")
 
 

@@ -19,7 +19,7 @@ def attach_stats(df: DataFrame, stats_struct: DataFrame, key: str | None = None,
 
     ``key`` (the un-normalization key) selects one dataset's stats for every row; it may be
     omitted only when the stats hold exactly one dataset.  A row whose dataset has no stats
-    raises, as the reference does on an unknown key.
+    raises.
     """
     wide = stats_struct.groupBy("dataset_name").pivot("field", list(fields)).agg(F.first("stats"))
     stype = stats_struct.schema["stats"].dataType
@@ -31,11 +31,11 @@ def attach_stats(df: DataFrame, stats_struct: DataFrame, key: str | None = None,
     if key is None and "dataset_name" not in df.columns:
         names = [r[0] for r in wide.select("dataset_name").limit(2).collect()]
         if len(names) != 1:
-            raise ValueError("Your model was trained on more than one dataset; pass an un-normalization key")
+            raise ValueError("statistics of several datasets: name the one to use")
         key = names[0]
     if key is not None:
         if wide.filter(F.col("dataset_name") == key).limit(1).count() == 0:
-            raise ValueError(f"The `unnorm_key` you chose ({key}) is not in the available statistics")
+            raise ValueError(f"no statistics under the name {key!r}")
         # every row uses the keyed dataset: its stats structs are scalar subqueries (one row)
         one = wide.filter(F.col("dataset_name") == key)
         out = df

@@ -7,7 +7,7 @@ down to the parquet scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,6 @@ from episodic.operators.standardize import REGISTRY
 # Fixed encodings (values as in the source configuration).
 STATE_ENCODINGS = {"NONE": -1, "POS_EULER": 1, "POS_QUAT": 2, "JOINT": 3, "JOINT_BIMANUAL": 4}
 ACTION_ENCODINGS = {"EEF_POS": 1, "JOINT_POS": 2, "JOINT_POS_BIMANUAL": 3, "EEF_R6": 4}
-SUPPORTED_ACTIONS = ("EEF_POS", "EEF_R6")
 
 
 # --------------------------------------------------------------------- P1 / P2
@@ -40,14 +39,14 @@ def require_keys(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Fail before planning if a required column is missing."""
     miss = missing_keys(df, required)
     if miss:
-        raise ValueError(f"Trajectory is missing keys: {miss}. Did you write a `standardize_fn`?")
+        raise ValueError(f"required columns not found: {', '.join(miss)}")
     return df
 
 
 def extract_language(df: DataFrame, key: str) -> DataFrame:
     """Move the language column into ``task``; it must be a string."""
     if dict(df.dtypes).get(key) != "string":
-        raise ValueError(f"Language key {key} has dtype {dict(df.dtypes).get(key)}, but it must be string.")
+        raise ValueError(f"column {key!r} cannot serve as instruction: string expected, found {dict(df.dtypes).get(key)}")
     return df.withColumn("task", F.struct(F.col(key).alias("language_instruction"))).drop(key)
 
 
@@ -65,7 +64,7 @@ def with_mask(df: DataFrame, mask: Sequence[bool], action: str = "action", name:
     """Tile a per-dimension boolean mask onto every step; its length must match the action."""
     m = F.array(*[F.lit(bool(b)) for b in mask])
     check = F.when(F.size(action) == len(mask), m).otherwise(
-        F.raise_error(F.lit(f"Length of absolute_action_mask ({len(mask)}) does not match action dimension"))
+        F.raise_error(F.lit(f"the absolute mask has {len(mask)} entries, the action another number"))
     )
     return df.withColumn(name, check)
 
@@ -84,7 +83,6 @@ class Config:
     normalization_type: str
     language_key: str | None
     standardize_fn: Callable[[DataFrame], DataFrame] | None
-    extra: dict = field(default_factory=dict)
 
     def columns(self) -> list[str]:
         """Raw columns the configuration needs (drives column pruning)."""
@@ -95,29 +93,49 @@ class Config:
         return cols
 
 
-def config_for(name: str, cfg: Mapping, views: Sequence[str] = ("primary",), depth: bool = False,
-               proprio: bool = True, language: bool = True, normalization_type: str = "normal") -> Config:
-    """Per-dataset configuration: supported encodings only, masks from the encoding,
-    requested camera views must exist (J9), depth/state keys dropped when not loaded."""
-    enc = cfg["action_encoding"]
-    if enc not in SUPPORTED_ACTIONS:
-        raise ValueError(f"Cannot load `{name}`; only EEF_POS & EEF_R6 actions supported!")
-    n = 6 if enc == "EEF_POS" else 9
-    missing = sorted(set(views) - set(cfg["image_obs_keys"]))
-    if missing:
-        raise ValueError(f"Cannot load `{name}`; missing camera views `{missing}`")
-    return Config(
-        name=name,
-        image_obs_keys={k: v for k, v in cfg["image_obs_keys"].items() if k in views},
-        depth_obs_keys={k: v for k, v in cfg.get("depth_obs_keys", {}).items() if k in views} if depth else {},
-        state_obs_keys=list(cfg.get("state_obs_keys", [])) if proprio else [],
-        absolute_action_mask=[False] * n + [True],
-        action_normalization_mask=[True] * n + [False],
-        normalization_type=normalization_type,
-        language_key="language_instruction" if language else None,
-        standardize_fn=REGISTRY.get(name),
-        extra=dict(cfg.get("aux_kwargs", {})),
-    )
+#: (encoding, relative dimensions, absolute dimensions) of the loadable actions: fixed values.
+LOADABLE = [("EEF_POS", 6, 1), ("EEF_R6", 9, 1)]
+
+
+def config_table(configs: DataFrame, views: Sequence[str] = ("primary",), depth: bool = False, proprio: bool = True,
+                 language: bool = True, normalization_type: str = "normal") -> DataFrame:
+    """P11 for all datasets at once: ``configs`` (dataset_name, action_encoding, image_views and
+    depth_views map<view, column>, state_columns array) joined with the encodings it may use.
+
+    Adds the absolute and the normalization mask, keeps the wanted views only, and ``problem``:
+    why a dataset cannot be loaded, else null."""
+    spark = configs.sparkSession
+    rows = [F.struct(F.lit(e).alias("action_encoding"), F.lit(r).alias("_rel"), F.lit(n).alias("_abs")) for e, r, n in LOADABLE]
+    encodings = spark.range(1).select(F.inline(F.array(*rows)))
+    wanted = F.array(*[F.lit(v) for v in views])
+    absent = F.array_except(wanted, F.map_keys("image_views"))
+
+    def chosen(column: str) -> Column:
+        return F.map_filter(column, lambda view, _: F.array_contains(wanted, view))
+
+    def mask(first: bool) -> Column:
+        return F.concat(F.array_repeat(F.lit(first), F.col("_rel")), F.array_repeat(F.lit(not first), F.col("_abs")))
+
+    problem = F.when(F.col("_rel").isNull(), F.concat(F.lit("unsupported action encoding "), F.col("action_encoding"))) \
+        .when(F.size(absent) > 0, F.concat(F.lit("no such view: "), F.array_join(F.array_sort(absent), ", ")))
+    none = F.create_map().cast("map<string,string>")
+    return configs.join(encodings, "action_encoding", "left").select(
+        "dataset_name", chosen("image_views").alias("image_views"), (chosen("depth_views") if depth else none).alias("depth_views"),
+        (F.col("state_columns") if proprio else F.array().cast("array<string>")).alias("state_columns"),
+        mask(False).alias("absolute_action_mask"), mask(True).alias("action_normalization_mask"),
+        F.lit(normalization_type).alias("normalization_type"),
+        F.lit("language_instruction" if language else None).cast("string").alias("language_key"), problem.alias("problem"))
+
+
+def config_for(name: str, table: DataFrame) -> Config:
+    """The configuration of one dataset of a ``config_table``, with its recipe."""
+    found = table.where(F.col("dataset_name") == name).head()
+    if found is None:
+        raise KeyError(f"dataset {name!r} is not configured")
+    if found["problem"]:
+        raise ValueError(f"dataset {name!r} cannot be loaded: {found['problem']}")
+    return Config(name, dict(found["image_views"]), dict(found["depth_views"]), list(found["state_columns"]), list(found["absolute_action_mask"]),
+                  list(found["action_normalization_mask"]), found["normalization_type"], found["language_key"], REGISTRY.get(name))
 
 
 # --------------------------------------------------------------------- P13 / P14
@@ -162,7 +180,7 @@ def padding_of(dtype: T.DataType) -> Column:
         return F.lit("")
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.NumericType):
         return None  # arrays are padded element-wise by the caller
-    raise ValueError(f"Cannot generate padding for tensor of type {dtype}.")
+    raise ValueError(f"no padding value is defined for {dtype.simpleString()}")
 
 
 def pad_where(df: DataFrame, cond: Column, cols: Sequence[str]) -> DataFrame:

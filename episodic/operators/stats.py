@@ -173,7 +173,7 @@ def stats_struct(stats_long: DataFrame, mask: Sequence[bool] | None = None) -> D
     if mask is not None:
         m = F.array(*[F.lit(bool(b)) for b in mask])
         check = F.when(F.size("s") == len(mask), m).otherwise(
-            F.raise_error(F.lit(f"Length of action_normalization_mask ({len(mask)}) does not match action dimension"))
+            F.raise_error(F.lit(f"the normalization mask has {len(mask)} entries, the action another number"))
         )
         mcol = F.when(F.col("field") == "action", check).otherwise(F.lit(None).cast("array<boolean>")).alias("mask")
     else:

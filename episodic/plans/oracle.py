@@ -28,14 +28,14 @@ steps AS (
          CASE WHEN event_type = 'error' THEN '' ELSE 'img/' || CAST(event_id AS VARCHAR) END AS image,
          CASE WHEN user_id % 7 = 0 THEN '' ELSE 'Task ' || CAST(user_id % 10 AS VARCHAR) END AS language_instruction
   FROM ev),
-steps_a AS (
+steps_a AS MATERIALIZED (
   SELECT *, list_concat(world_vector, rotation_delta, [gripper]) AS action, state AS proprio,
          count(*) OVER (PARTITION BY dataset_name, traj_id) AS traj_len
   FROM steps)"""
 
 # (dataset_name, traj_id, t, field, dim, x) over action (7) and proprio (8)
 LONG = """,
-long AS (
+long AS MATERIALIZED (
   SELECT dataset_name, traj_id, t, 'action' AS field, CAST(d.dim AS INTEGER) AS dim, action[d.dim + 1] AS x
   FROM steps_a, (SELECT unnest(range(0, 7)) AS dim) d
   UNION ALL
@@ -43,7 +43,7 @@ long AS (
   FROM steps_a, (SELECT unnest(range(0, 8)) AS dim) d)"""
 
 STATS = """,
-stats AS (
+stats AS MATERIALIZED (
   SELECT dataset_name, field, dim, avg(x) AS mean, stddev_pop(x) AS std, max(x) AS max, min(x) AS min,
          quantile_cont(x, 0.01) AS q01, quantile_cont(x, 0.99) AS q99
   FROM long GROUP BY dataset_name, field, dim)"""
@@ -58,7 +58,7 @@ def norm_expr(kind: str, x: str = "l.x", st: str = "s", mask: str = "TRUE") -> s
 
 
 NORM_Q99 = """,
-norm AS (
+norm AS MATERIALIZED (
   SELECT l.dataset_name, l.traj_id, l.t, l.field, l.dim, """ + norm_expr("bounds_q99") + """ AS nx
   FROM long l JOIN stats s USING (dataset_name, field, dim))"""
 
@@ -224,7 +224,9 @@ def _():
 SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t,
        CAST(CASE WHEN {keep} THEN goal_t ELSE n - 1 END AS BIGINT) AS goal_t,
        CASE WHEN {keep} THEN goal_image ELSE '' END AS goal_image,
-       CASE WHEN {keep} THEN '' ELSE language_instruction END AS language_instruction
+       CASE WHEN {keep} THEN '' ELSE language_instruction END AS language_instruction,
+       {keep} AND length(goal_image) <> 0 AS goal_image_mask,
+       NOT {keep} AND length(language_instruction) <> 0 AS language_mask
 FROM gg"""
 
 
@@ -302,8 +304,9 @@ ORACLE["mixture_length"] = "WITH " + MIX + """
 SELECT CAST(max(CASE WHEN weight = 1.0 THEN size / sw END) AS BIGINT) AS length_plain,
        CAST(max(CASE WHEN weight = 1.0 THEN size / bw END) AS BIGINT) AS length_balanced FROM mw"""
 ORACLE["apportion"] = "WITH " + MIX + f""",
-a AS (SELECT dataset_name, pos, sw * {1000} AS share, floor(sw * {1000}) AS integral FROM mw),
-b AS (SELECT *, share - integral AS frac, {1000} - sum(integral) OVER () AS rest,
+ln AS (SELECT CAST(max(CASE WHEN weight = 1.0 THEN size / sw END) AS BIGINT) AS n FROM mw),
+a AS (SELECT dataset_name, pos, n, sw * n AS share, floor(sw * n) AS integral FROM mw, ln),
+b AS (SELECT *, share - integral AS frac, n - sum(integral) OVER () AS rest,
              row_number() OVER (ORDER BY share - integral DESC, pos DESC) AS rk FROM a)
 SELECT dataset_name, CAST(integral + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b"""
 
@@ -323,8 +326,9 @@ fr AS (SELECT doc_id, source AS dataset_name, row_number() OVER (PARTITION BY so
               count(*) OVER (PARTITION BY source) AS size FROM documents)
 SELECT dk.draw, dk.dataset_name, fr.doc_id FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size"""
 ORACLE["mixture_quota"] = "WITH " + MIX + f""",
-a AS (SELECT dataset_name, pos, sw * 1000 AS share, floor(sw * 1000) AS integral FROM mw),
-b AS (SELECT *, 1000 - sum(integral) OVER () AS rest, row_number() OVER (ORDER BY share - integral DESC, pos DESC) AS rk FROM a),
+ln AS (SELECT CAST(max(CASE WHEN weight = 1.0 THEN size / sw END) AS BIGINT) AS n FROM mw),
+a AS (SELECT dataset_name, pos, n, sw * n AS share, floor(sw * n) AS integral FROM mw, ln),
+b AS (SELECT *, n - sum(integral) OVER () AS rest, row_number() OVER (ORDER BY share - integral DESC, pos DESC) AS rk FROM a),
 q AS (SELECT dataset_name, CAST(integral + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM b),
 fr AS (SELECT doc_id, source AS dataset_name,
               row_number() OVER (PARTITION BY source ORDER BY {u01_sql(SEED, 'doc_id')}, doc_id) - 1 AS r,
@@ -726,3 +730,11 @@ ORACLE["rand_swap"] = "WITH " + STEPS + f"""
 SELECT {KT}, CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#1' ELSE image || '#2' END AS exterior_image_1_left,
        CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#2' ELSE image || '#1' END AS exterior_image_2_left FROM steps"""
 ORACLE["read_steps"] = "WITH " + STEPS + f"\nSELECT {KT}, event_id, image FROM steps WHERE dataset_name = 'ds2'"
+
+# the next accepted step is the first one more than the gap after the last accepted one
+ORACLE["rate_gate"] = """WITH RECURSIVE acc AS (
+  SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL
+  SELECT a.user_id, arg_min(e.event_id, (e.ts, e.event_id)) AS event_id, min(e.ts) AS ts
+  FROM acc a JOIN events e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 4 HOUR GROUP BY a.user_id, a.ts)
+SELECT user_id AS traj_id, event_id, event_id IN (SELECT event_id FROM acc) AS accepted FROM events"""

@@ -67,6 +67,8 @@ def episode_pipeline(df: DataFrame, o: TrajOptions) -> DataFrame:
         goal_cols = ["goal_" + c for c in o.image_cols]
     elif o.goal_relabeling is not None:
         raise ValueError(f"unknown goal relabeling strategy {o.goal_relabeling}")
+    if o.task_augment not in (None, "delete_task_conditioning"):
+        raise ValueError(f"unknown task augmentation {o.task_augment!r}")
     if o.train and o.task_augment == "delete_task_conditioning":
         df = E.delete_task_conditioning(df, o.keep_image_prob, o.seed + 1, goal_cols, o.language, "goal_t")
     df = E.chunk_action(df, o.window, o.future, o.absolute_action_mask)

@@ -190,11 +190,12 @@ def q_goal_uniform(spark, d):
 
 @query("delete_task_conditioning")
 def q_delete_task(spark, d):
-    st = T.steps(spark, d).select(*EP, "t", "image", "language_instruction")
+    st = E.add_pad_mask_dict(T.steps(spark, d).select(*EP, "t", "image", "language_instruction"), ["language_instruction"])
     g = E.goal_uniform(st, SEED, ["image"])
     g = E.delete_task_conditioning(g, 0.5, SEED + 1, ["goal_image"], "language_instruction", "goal_t")
     return g.select(*EP, F.col("t").cast("bigint").alias("t"), F.col("goal_t").cast("bigint").alias("goal_t"),
-                    "goal_image", "language_instruction")
+                    "goal_image", "language_instruction", F.col("goal_pad_mask.goal_image").alias("goal_image_mask"),
+                    F.col("pad_mask_dict.language_instruction").alias("language_mask"))
 
 
 @query("subsample")
@@ -251,9 +252,6 @@ def q_repeat(spark, d):
 # ----------------------------------------------------------------------------- mixtures
 from episodic.operators import mixture as MX  # noqa: E402
 
-QUOTA_N = 1000
-
-
 @query("mixture_weights")
 def q_mixture_weights(spark, d):
     m = T.mixture(spark, d)
@@ -272,7 +270,8 @@ def q_mixture_length(spark, d):
 
 @query("apportion")
 def q_apportion(spark, d):
-    return MX.apportion(T.mixture(spark, d), QUOTA_N).select("dataset_name", "quota")
+    m = T.mixture(spark, d)
+    return MX.apportion(m, MX.mixture_length(m).scalar()).select("dataset_name", "quota")
 
 
 @query("draw_to_dataset")
@@ -295,7 +294,8 @@ def q_mixture_draws(spark, d):
 
 @query("mixture_quota")
 def q_mixture_quota(spark, d):
-    quotas = MX.apportion(T.mixture(spark, d), QUOTA_N)
+    m = T.mixture(spark, d)
+    quotas = MX.apportion(m, MX.mixture_length(m).scalar())
     out = MX.mixture_quota(_doc_frames(spark, d), quotas, SEED, "doc_id")
     return out.select("dataset_name", "doc_id", "copies")
 
@@ -664,14 +664,18 @@ def q_absolute_mask(spark, d):
 
 
 # P11 configuration: the steps datasets use the EEF_POS encoding
-STEPS_CONFIG = {"action_encoding": "EEF_POS", "image_obs_keys": {"primary": "image", "wrist": None},
-                "depth_obs_keys": {"primary": None}, "state_obs_keys": ["state"]}
+def _steps_configs(st):
+    """A configuration row for every dataset that the steps hold."""
+    return st.select("dataset_name").distinct().selectExpr(
+        "dataset_name", "'EEF_POS' AS action_encoding", "map('primary', 'image', 'wrist', CAST(NULL AS STRING)) AS image_views",
+        "map('primary', CAST(NULL AS STRING)) AS depth_views", "array('state') AS state_columns")
 
 
 @query("config_normalize")
 def q_config_normalize(spark, d):
-    cfg = P.config_for("ds", STEPS_CONFIG, normalization_type="bounds_q99")
-    st = T.steps(spark, d).select(*EP, "t", *cfg.columns(), "action")
+    st = T.steps(spark, d)
+    cfg = P.config_for("ds0", P.config_table(_steps_configs(st), normalization_type="bounds_q99"))
+    st = st.select(*EP, "t", *cfg.columns(), "action")
     stats = S.stats_struct(S.dataset_stats(st, fields=("action",)), cfg.action_normalization_mask)
     normed = N.normalize(st, stats, cfg.normalization_type, fields=("action",))
     out = normed.select(*EP, "t", F.posexplode("action").alias("dim", "v"))

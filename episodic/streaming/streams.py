@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from episodic.functions import text as X
 from episodic.functions import vector as V
+from episodic.session import bounded_broadcast
 from episodic.sources.sinks import scratch_path
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -75,10 +76,13 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- R1
 def stream_normalize(steps: DataFrame, stats_struct: DataFrame, kind: str = "bounds_q99") -> DataFrame:
-    """Normalize arriving steps with frozen statistics (stream-static join with the
-    small, size-checked stats table)."""
+    """Normalize arriving steps with frozen statistics (stream-static join with the stats
+    table, broadcast after a check of its size).  A step of a dataset without statistics is an
+    error, as in the batch operator."""
     st = stats_struct.filter(F.col("field") == "action").select("dataset_name", F.col("stats").alias("action_stats"))
-    joined = steps.join(F.broadcast(st), "dataset_name", "inner")
+    joined = steps.join(bounded_broadcast(st), "dataset_name", "left")
+    missing = F.raise_error(F.concat(F.lit("no statistics for dataset "), F.col("dataset_name")))
+    joined = joined.withColumn("action_stats", F.when(F.col("action_stats").isNull(), missing).otherwise(F.col("action_stats")))
     return joined.withColumn("action", V.normalize("action", "action_stats", kind)).drop("action_stats")
 
 
@@ -154,11 +158,14 @@ def stream_act_mode(turns: DataFrame, limit: int = 2, key: str = "conv_id", orde
 
 
 # --------------------------------------------------------------------------- R5
-def stream_rel2abs(steps: DataFrame, key: str = "traj_id", order: str = "event_id", x: str = "rel_gripper") -> DataFrame:
+def stream_rel2abs(steps: DataFrame, key: str = "traj_id", order: str = "event_id", x: str = "rel_gripper",
+                   last: str | None = None) -> DataFrame:
     """W7 online.  Causal once the first non-zero threshold is known; before that the
-    key's undecided prefix is buffered in state and released as soon as it is decided;
-    an episode that never closes or opens stays buffered (its batch value would be the
-    default open state, which only the end of the episode can confirm)."""
+    key's undecided prefix is buffered in state and released as soon as it is decided.
+
+    An episode that never closes or opens has the default open state, which only its end can
+    confirm: the boolean column ``last`` marks an episode's last step and releases what is
+    buffered.  Without that column an undecided episode stays buffered."""
 
     def thr(v):
         return 1 if v < -0.1 else (-1 if v > 0.1 else 0)
@@ -168,8 +175,14 @@ def stream_rel2abs(steps: DataFrame, key: str = "traj_id", order: str = "event_i
         pend = list(pend)
         rows = pd.concat(list(pdfs)).sort_values(order)
         out_ids, out_vals = [], []
-        for oid, v in zip(rows[order], rows[x]):
+        ends = rows[last] if last else [False] * len(rows)
+        for oid, v, end in zip(rows[order], rows[x], ends):
             tv = thr(v)
+            if cur == 0 and tv == 0 and end:
+                out_ids += [*pend, int(oid)]
+                out_vals += [1.0] * (len(pend) + 1)
+                pend = []
+                continue
             if cur == 0 and tv == 0:
                 pend.append(int(oid))
                 continue
@@ -185,7 +198,7 @@ def stream_rel2abs(steps: DataFrame, key: str = "traj_id", order: str = "event_i
         state.update((int(cur), pend))
         yield pd.DataFrame({key: [k[0]] * len(out_ids), order: out_ids, "value": out_vals})
 
-    return steps.select(key, order, x).groupBy(key).applyInPandasWithState(
+    return steps.select(key, order, x, *([last] if last else [])).groupBy(key).applyInPandasWithState(
         fn, f"{key} bigint, {order} bigint, value double", "cur int, pending array<bigint>", "append",
         GroupStateTimeout.NoTimeout,
     )

@@ -162,3 +162,30 @@ def test_rank_in_group_splits_heavy_ties(spark):
     allk = sorted((tr, t, g) for g, tr, t in rows)
     got2 = {(r["traj"], r["t"], r["g"]): r["r"] for r in glob.collect()}
     assert [got2[k] for k in allk] == list(range(len(allk)))
+
+
+def _stream_of(spark, tmp_path, rows, schema):
+    path = str(tmp_path / "in")
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_rel2abs_releases_undecided_episodes_at_their_end(spark, tmp_path):
+    from episodic.streaming import streams as SS
+
+    schema = "traj_id bigint, event_id bigint, rel_gripper double, done boolean"
+    rows = [[(1, k, 0.0, False) for k in range(5)], [(1, k, 0.0, k == 9) for k in range(5, 10)] + [(2, 20, 0.0, False), (2, 21, 1.0, True)]]
+    out = SS.run_append(SS.stream_rel2abs(_stream_of(spark, tmp_path, rows, schema), last="done"), "rel2abs_end")
+    got = {(r["traj_id"], r["event_id"]): r["value"] for r in out.collect()}
+    assert got == {**{(1, k): 1.0 for k in range(10)}, (2, 20): 1.0, (2, 21): 0.0}
+
+
+def test_stream_normalize_refuses_steps_without_statistics(spark, tmp_path):
+    from episodic.streaming import streams as SS
+
+    stats = spark.sql("SELECT 'a' AS dataset_name, 'action' AS field, named_struct('mean', array(0D), 'std', array(1D), 'max', array(1D), 'min', array(0D),"
+                      " 'q01', array(0D), 'q99', array(1D), 'mask', array(true)) AS stats")
+    stream = _stream_of(spark, tmp_path, [[("a", [0.5]), ("b", [0.5])]], "dataset_name string, action array<double>")
+    with pytest.raises(Exception, match="no statistics for dataset b"):
+        SS.run_append(SS.stream_normalize(stream, stats), "normalize_missing").collect()

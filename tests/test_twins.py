@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodic.functions import text as X
 from episodic.operators import episodes as E
 from episodic.operators import mixture as MX
+from episodic.operators import projections as P
 
 
 def binarize_twin(xs):
@@ -127,8 +128,9 @@ def test_label_mask_matches_sequential(spark):
 
 
 @pytest.mark.parametrize("n,weights,expected_sum", [(10, [1, 1, 1], 10), (10, [100, 1, 0.5], 10), (7, [0, 3, 3, 1], 7), (5, [1, 1, 1, 1, 1], 5)])
-def test_apportion(n, weights, expected_sum):
-    alloc = MX.apportion_list(n, weights)
+def test_apportion(spark, n, weights, expected_sum):
+    mix = spark.createDataFrame([(f"d{i}", i, float(w)) for i, w in enumerate(weights)], "dataset_name string, pos int, weight double")
+    alloc = [r["quota"] for r in MX.apportion(mix, n).orderBy("pos").collect()]
     assert sum(alloc) == expected_sum
     total = sum(weights)
     for a, w in zip(alloc, weights):
@@ -139,9 +141,51 @@ def test_apportion(n, weights, expected_sum):
         assert abs(a - n * w / total) <= max(1.0, n * w / total)
 
 
-def test_apportion_requires_enough():
-    with pytest.raises(ValueError):
-        MX.apportion_list(2, [1, 1, 1])
+def test_apportion_refuses_bad_input(spark):
+    mix = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 1.0), ("c", 2, 1.0)], "dataset_name string, pos int, weight double")
+    with pytest.raises(Exception, match="fewer items"):
+        MX.apportion(mix, 2).collect()
+    with pytest.raises(Exception, match="negative"):
+        MX.apportion(mix.withColumn("weight", F.col("pos") - 1.0), 9).collect()
+
+
+def test_config_table(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', 'EEF_POS', map('primary', 'img', 'wrist', 'w'), map('primary', 'd'), array('s')),"
+                     " ('b', 'JOINT', map('primary', 'img'), map('primary', 'd'), array('s')), ('c', 'EEF_R6', map('wrist', 'w'), map('wrist', 'd'), array('s'))"
+                     " AS t(dataset_name, action_encoding, image_views, depth_views, state_columns)")
+    table = P.config_table(rows)
+    cfg = P.config_for("a", table)
+    assert cfg.image_obs_keys == {"primary": "img"} and cfg.depth_obs_keys == {} and cfg.columns() == ["img", "s", "language_instruction"]
+    assert cfg.absolute_action_mask == [False] * 6 + [True] and cfg.action_normalization_mask == [True] * 6 + [False]
+    for bad, why in (("b", "encoding"), ("c", "view")):
+        with pytest.raises(ValueError, match=why):
+            P.config_for(bad, table)
+    with pytest.raises(KeyError):
+        P.config_for("zz", table)
+
+
+def test_null_values_inside_an_episode(spark):
+    rows = [("d", 0, t, None if t == 3 else f"i{t}", None if t == 3 else [float(t)] * 7, [0.0] * 7) for t in range(6)]
+    df = spark.createDataFrame(rows, "dataset_name string, traj_id int, t int, image string, state array<double>, action array<double>")
+    chunk = {r["t"]: r["image_chunk"] for r in E.chunk_obs(df, ["image"], 2).collect()}
+    assert chunk[4] == [None, "i4"] and chunk[3] == ["i2", None] and chunk[0] == ["i0", "i0"]
+    assert sorted(r["t"] for r in E.state_delta(df).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_string_keys_are_ranked(spark):
+    from episodic.operators.frames import rank_in_group
+
+    names = [f"episode-{k:03d}" for k in range(50)] + ["é", "", "Z"]
+    df = spark.createDataFrame([("d", n) for n in names], "dataset_name string, traj_id string")
+    got = {r["traj_id"]: r["r"] for r in rank_in_group(df, ["dataset_name"], ["traj_id"], "r").collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda s: s.encode()))}
+
+
+def test_draws_on_an_empty_dataset_are_an_error(spark):
+    mix = spark.createDataFrame([("a", 5, 1.0, 0), ("b", 5, 1.0, 1)], "dataset_name string, size bigint, weight double, pos int")
+    frames = spark.createDataFrame([("a", k) for k in range(5)], "dataset_name string, doc_id bigint")
+    with pytest.raises(Exception, match="without frames"):
+        MX.mixture_draws(frames, mix, 100, 7, ["doc_id"]).collect()
 
 
 def test_goal_last_step_maps_to_itself(spark):
