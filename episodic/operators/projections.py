@@ -51,12 +51,12 @@ def extract_language(df: DataFrame, key: str) -> DataFrame:
 
 
 def with_defaults(df: DataFrame, name: str) -> DataFrame:
-    """user/response/conversation default ''; speech_conv is mandatory; add dataset_name."""
+    """user/response/conversation default '', where the column or the value is missing;
+    speech_conv is mandatory; add dataset_name."""
     if "speech_conv" not in df.columns:
         raise ValueError("steps must carry a speech_conv column")
     for c in ("user", "response", "conversation"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(""))
+        df = df.withColumn(c, F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit(""))
     return df.withColumn("dataset_name", F.lit(name))
 
 

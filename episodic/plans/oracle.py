@@ -586,7 +586,9 @@ SELECT {KT}, first_value(image) OVER ({WO} ROWS BETWEEN UNBOUNDED PRECEDING AND
 ORACLE["concat_proprio"] = "WITH " + STEPS + "\n" + long_of(f"list_concat(state[1:3], [{Z}], world_vector)")
 ORACLE["extract_language"] = "WITH " + STEPS + f"\nSELECT {KT}, language_instruction FROM steps"
 ORACLE["default_fields"] = "WITH " + DIALOGUE + """
-SELECT conv_id, '' AS user, response, CAST(length(conversation) AS BIGINT) AS conv_len, 'dialogue_ds' AS dataset_name FROM dlg"""
+SELECT c.conv_id, '' AS user, coalesce(response, '') AS response, CAST(length(coalesce(conversation, '')) AS BIGINT) AS conv_len,
+       'dialogue_ds' AS dataset_name
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN dlg ON dlg.conv_id = c.conv_id"""
 ORACLE["absolute_mask"] = "WITH " + STEPS + f"""
 SELECT {KT}, CAST(d.dim AS BIGINT) AS dim, d.dim = 6 AS absolute FROM steps, (SELECT unnest(range(0, 7)) AS dim) d"""
 ORACLE["config_normalize"] = "WITH " + STEPS + LONG + STATS + f"""

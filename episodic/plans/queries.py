@@ -652,7 +652,9 @@ def q_extract_language(spark, d):
 
 @query("default_fields")
 def q_default_fields(spark, d):
-    dl = P.with_defaults(T.dialogue(spark, d), "dialogue_ds")
+    # conversations without a complete turn have no dialogue fields: they take the defaults
+    every = T.read_table(spark, d, "conversations", ["conv_id"]).distinct()
+    dl = P.with_defaults(every.join(T.dialogue(spark, d), "conv_id", "left"), "dialogue_ds")
     return dl.select("conv_id", "user", "response", F.length("conversation").cast("bigint").alias("conv_len"), "dataset_name")
 
 
