@@ -143,17 +143,21 @@ def _tags(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def groups(docs: DataFrame) -> int:
+    """Number of document groups and key ranges; it follows the shuffle partitions."""
+    return max(64, parts(docs.sparkSession))
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_g, _id, _text): documents with their group; groups follow the shuffle partitions."""
-    groups = max(64, 4 * parts(docs.sparkSession))
+    """(_g, _id, _text): documents with their group."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.select(F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int").alias("_g"), "_id", "_text")
+    return rows.select(F.pmod(F.xxhash64("_id"), F.lit(groups(docs))).cast("int").alias("_g"), "_id", "_text")
 
 
 def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(_g, spans): by document group, packed (id, tag, first token, end token) of the token spans
     that repeat an earlier window; spans may overlap."""
-    shards = max(64, 4 * parts(rows.sparkSession))
+    ranges, shards = groups(rows), max(64, 4 * parts(rows.sparkSession))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +183,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
             cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (g[1:] != g[:-1])))) if len(key) else np.zeros(0, np.int64)
             count = np.diff(np.append(cut, len(key))).astype(np.uint32)
             key, g = key[cut], g[cut]
-            got = list(_by_target((key % np.uint64(shards)).astype(np.int64), [key, g, count]))
+            got = list(_by_target((key % np.uint64(ranges)).astype(np.int64), [key, g, count]))
             for at in range(0, len(got), 64):
                 yield pa.RecordBatch.from_pydict({"_p": pa.array([p for p, _ in got[at : at + 64]], pa.int32()), "keys": pa.array([b for _, b in got[at : at + 64]], pa.binary())})
 
@@ -265,7 +269,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
         owner, owner_start = ids[lead], start[lead]
         key, count, length, where, at = key[one], count[one], length[one], where[one], at[one]
         turn = np.argsort(key, kind="stable")
-        gone: list[np.ndarray] = [np.zeros(0, bool)] * len(one)
+        runs = [(np.zeros(0, np.int64),) * 3]  # (fragment, first and last + 1 repeated window)
         cut = _borders(key[turn])
         i = 0
         while i < len(cut) - 1:  # whole keys, as many as one index holds
@@ -278,28 +282,25 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
             tok, toffs, _, _ = unit.tokens(buf, boffs)
             _, rank = np.unique(owner[some], return_inverse=True)
             flags = engine(Fragments(tok, toffs, rank, owner_start[some]), unit)
-            for f, a in zip(some.tolist(), toffs[:-1].tolist(), strict=True):
-                gone[f] = flags[a : a + count[f]]
+            edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            which = np.searchsorted(toffs, a, side="right") - 1  # a fragment ends in no window, so runs end before
+            runs.append((some[which], a - toffs[which], b - toffs[which]))
             i = j
         # later occurrences repeat the first one as a whole; where only other documents count,
         # so do those in larger ids alone
         first_of = np.repeat(lead, np.diff(np.append(lead, len(frag))))
-        whole = (np.arange(len(frag)) != first_of) & ((ids == ids[first_of]) & (start == start[first_of]) == False) if unit.within else ids != ids[first_of]  # noqa: E712
+        whole = ids != ids[first_of]
+        if unit.within:
+            whole |= start != start[first_of]
         out = [(group[whole], ids[whole], tags[whole], start[whole], start[whole] + count[frag[whole]] + unit.window - 1)]
         rest = np.flatnonzero(~whole)
-        g2, i2, t2, s2, e2 = [], [], [], [], []
-        for o in rest.tolist():
-            w = gone[frag[o]]
-            if w.any():
-                edge = np.diff(np.concatenate(([0], w.astype(np.int8), [0])))
-                a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                s2.append(start[o] + a)
-                e2.append(start[o] + b + unit.window - 1)
-                g2.append(np.full(len(a), group[o]))
-                i2.append(np.full(len(a), ids[o]))
-                t2.append(np.full(len(a), tags[o]))
-        if s2:
-            out.append(tuple(np.concatenate(x) for x in (g2, i2, t2, s2, e2)))
+        rf, ra, rb = (np.concatenate(x) for x in zip(*runs, strict=True))
+        by = np.argsort(rf, kind="stable")
+        rf, ra, rb = rf[by], ra[by], rb[by]
+        lo, hi = np.searchsorted(rf, frag[rest]), np.searchsorted(rf, frag[rest], side="right")
+        o, r = np.repeat(rest, hi - lo), np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
+        out.append((group[o], ids[o], tags[o], start[o] + ra[r], start[o] + rb[r] + unit.window - 1))
         g, i_, t_, s_, e_ = (np.concatenate(x) for x in zip(*out, strict=True))
         got = list(_by_target(g.astype(np.int64), [i_.astype("<i8"), t_.astype("<i8"), s_.astype("<i8"), e_.astype("<i8")]))
         return pa.table({"_g": pa.array([x for x, _ in got], pa.int32()), "spans": pa.array([b for _, b in got], pa.binary())})
