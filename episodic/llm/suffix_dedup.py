@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from episodic.llm import kernel as K
 from episodic.llm.common import table
-from episodic.llm.repeats import Fragments, Unit, grouped, repeated_spans, with_spans
+from episodic.llm.repeats import Fragments, Unit, grouped, groups, repeated_spans, with_spans
 
 BYTES = Unit(window=100, gram=24, words=False, within=True)
 #: Largest alphabet that is sorted bucket by bucket.
@@ -164,23 +164,23 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, s, sorted_lms, count)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Longest common prefix of every suffix with its predecessor in ``sa``, by text position."""
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest common prefix of every suffix with its predecessor in ``sa``, by text position.
+    Prefixes shorter than ``least`` may be given as any smaller number."""
     n = len(t)
     phi = np.empty(n, np.int64)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
-    at = np.arange(n)
     back = phi - 1
-    fresh = np.ones(n, dtype=bool)
+    fresh = np.ones(n, dtype=bool)  # the preceding symbols differ: to be compared
     fresh[1:] = (back[1:] < 0) | (t[:-1] != t[np.maximum(back[1:], 0)])
-    fresh |= phi < 0
     i = np.flatnonzero(fresh & (phi >= 0))
     j = phi[i]
     h = K.prefix_hash(t)
     length = np.zeros(len(i), np.int64)
 
     def grow(which: np.ndarray, step: int) -> np.ndarray:
+        """Lengthens the prefixes that match ``step`` more symbols, and returns those."""
         a, b = i[which] + length[which], j[which] + length[which]
         ok = np.maximum(a, b) + step <= n
         a, b, which = a[ok], b[ok], which[ok]
@@ -188,21 +188,18 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         length[same] += step
         return same
 
-    every = np.arange(len(i))
-    long, step = every, 64  # those that match 64 symbols, then 128, ... further ones
-    steps = []
-    while len(long):
-        long = grow(long, step)
-        steps.append(step)
+    long = grow(np.arange(len(i)), least)
+    more, step = long, 16
+    while len(more):  # by steps that double while they match, then halve
+        more = grow(more, step)
         step *= 2
-    for step in reversed(steps[:-1]):
-        if step >= 64:
-            more = every[length >= 64]
-            grow(more, step) if len(more) else None
-    for step in (32, 16, 8, 4, 2, 1):
-        grow(every, step)
+    while step >= 1:
+        grow(long, step)
+        step //= 2
     plcp = np.zeros(n, np.int64)
     plcp[i] = length
+    # elsewhere it is one less than at the position before
+    at = np.arange(n)
     start = np.maximum.accumulate(np.where(fresh, at, 0))
     return np.where(phi < 0, 0, plcp[start] + start - at)
 
@@ -216,7 +213,7 @@ def repeats_earlier(f: Fragments, unit: Unit) -> np.ndarray:
     t[place] = f.tokens.astype(np.int16) + 2
     t[-1] = 0
     sa = suffix_array(t)
-    long = permuted_lcp(t, sa)[sa] >= unit.window
+    long = permuted_lcp(t, sa, unit.window)[sa] >= unit.window
     owner = np.full(len(t), np.iinfo(np.int64).max)
     owner[place] = (f.owner[frag].astype(np.int64) << 40) + f.start[frag] + np.arange(n) - f.offs[:-1][frag]
     groups = np.flatnonzero(~long)
@@ -283,7 +280,7 @@ def without_repeats(docs: DataFrame, unit: Unit = BYTES, id_col: str = "doc_id",
         return pa.table({**others, "_text": pa.array(kept, pa.string())})
 
     others = [c for c in docs.columns if c != text_col]
-    full = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(max(64, 4 * _parts(docs)))).cast("int").alias("_g"),
+    full = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(groups(docs))).cast("int").alias("_g"),
                        F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
     kinds = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)] + ["_text string"])
@@ -292,11 +289,5 @@ def without_repeats(docs: DataFrame, unit: Unit = BYTES, id_col: str = "doc_id",
     return done.select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
-def _parts(docs: DataFrame) -> int:
-    from episodic.llm.common import parts
-
-    return parts(docs.sparkSession)
-
-
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"))
