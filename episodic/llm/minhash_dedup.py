@@ -10,9 +10,12 @@ document of n elements looks at about n + k log k darts instead of n * k hashes.
 *Candidates.*  ``rows`` coordinates form a band; documents with an equal band share a bucket.
 Exact copies (equal element sets) are merged first.  In each bucket only links to a leader are
 tried; each document takes the leader it shares most buckets with.  Links that hold merge
-documents to components.  At the end all pairs of one bucket that are still in different
-components are tried, so no pair of a bucket is passed over: either it was compared, or both
-documents are linked through others.
+documents to components.  Then the pairs of a bucket that are still in different components are
+looked at, in blocks of ``BLOCK`` members: each is tried in the first bucket it shares, unless
+its signatures agree in so few coordinates that the wanted similarity is 3.5 standard deviations
+away.  This is done twice: the first time only with the likeliest pairs that would link a block's
+components, so that few pairs are left for the second.  So each pair of a bucket is compared, linked through others, or excluded by its
+signatures; none is dropped for the size of its group.
 
 *Verification* computes the exact similarity from whole texts.
 """
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodic.llm import kernel as K
-from episodic.llm.common import table, written
+from episodic.llm.common import parts, table, written
 from episodic.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 6  # a pair at 0.8 shares a bucket with probability 0.9998
-STARS = 2
+STARS = 1
+#: Members of a bucket that are compared at once.
+BLOCK = 512
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,8 +117,9 @@ def dart_minhash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, counts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, bands): element count (their total weight with ``counts``), a 128-bit
-    digest of the weighted set, and a hash of each band; a text without words has no bands."""
+    """(id, n, digest, bands, sketch): element count (their total weight with ``counts``), a 128-bit
+    digest of the weighted set, a hash of each band, and 16 bits of each coordinate; a text
+    without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,12 +138,14 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, counts: bo
                     band = K.mix(band * _GOLD + sig[:, r::rows])
                 band = K.mix(band + np.arange(1, bands + 1, dtype=np.uint64) * _GOLD).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(total > 0, bands, 0)))).astype(np.int32)), pa.array(band[total > 0].reshape(-1)))
-                raw = digest.tobytes()
+                raw, width = digest.tobytes(), 2 * bands * rows
+                short = (sig >> np.uint64(40)).astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(total),
-                                                  pa.array([raw[16 * q : 16 * q + 16] for q in range(j - i)], pa.binary()), lists], names=["id", "n", "digest", "bands"])
+                                                  pa.array([raw[16 * q : 16 * q + 16] for q in range(j - i)], pa.binary()), lists,
+                                                  pa.array([short[width * q : width * q + width] for q in range(j - i)], pa.binary())], names=["id", "n", "digest", "bands", "sketch"])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return src.mapInArrow(run, "id bigint, n bigint, digest binary, bands array<bigint>")
+    return src.mapInArrow(run, "id bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, counts: bool = False) -> DataFrame:
@@ -182,8 +190,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     sig = written(signatures(src, bands, rows, counts, id_col, text_col))
     # documents with equal element sets: the smallest id stands for all
     classes = sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    member = written(sig.where("n > 0").join(classes, "digest").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
-    reps = member.where("bands IS NOT NULL").dropDuplicates(["id"])
+    member = written(sig.where("n > 0").select("id", "digest").join(classes, "digest").select("id", "rep"))
+    reps = sig.where("n > 0").join(member.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
     exploded = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     buckets = written(exploded.join(shared, "band"))
@@ -205,17 +213,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         tried = best if tried is None else tried.unionByName(best)
         found = written(verified(best, texts, similarity, counts))
         links = found if links is None else links.unionByName(found)
-    # every pair of a bucket that is not linked yet
-    now = written(_with_component(buckets, links))
-    open_ = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    left = now.join(open_, "band")
-    right = left.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = left.join(right, "band").where((F.col("c") < F.col("d")) & close).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    if tried is not None:
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    found = written(verified(written(pairs), texts, similarity, counts))
-    links = found if links is None else links.unionByName(found)
+    # then the pairs of a bucket that are not linked yet: first the likeliest that would link
+    # each block's components, then all that are still between components
+    for forest in (True, False):
+        now = written(_with_component(buckets, links))
+        open_ = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("band", "size")
+        pairs = _likely_pairs(now.join(open_, "band"), sig, similarity, bands * rows, forest).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        pairs = written(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(verified(pairs, texts, similarity, counts))
+        links = found if links is None else links.unionByName(found)
 
     comp = components(links).withColumnRenamed("id", "rep")
     rep = member.select("id", "rep").distinct().join(comp, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
@@ -230,6 +239,82 @@ def _with_component(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     return buckets.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs that link components not yet linked by those before them."""
+    head: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            head[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _likely_pairs(rows: DataFrame, sig: DataFrame, similarity: float, k: int, forest: bool) -> DataFrame:
+    """(a, b): pairs of one bucket in different components that may have ``similarity``; ``rows``
+    are bucket members (band, id, n, c, size).  With ``forest`` of each two blocks only the
+    likeliest pairs that together link the same components.
+
+    A bucket's members are dealt to blocks of about ``BLOCK``; every two blocks of a bucket, and
+    each block with itself, meet somewhere.
+    """
+    groups = 4 * parts(rows.sparkSession)
+    least = similarity - 3.5 * (similarity * (1 - similarity) / k) ** 0.5
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id", "band"), blocks).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    rows = rows.withColumn("mine", mine).select("band", "id", "n", "c", "mine", F.explode(meet).alias("at"))
+    involved = rows.select("id").distinct()
+    rows = rows.join(sig.join(involved, "id").dropDuplicates(["id"]).select("id", "bands", "sketch"), "id")
+    rows = rows.select(F.pmod(F.xxhash64("band", "at.i", "at.j"), F.lit(groups)).alias("g"), "band", "at.i", "at.j", "mine", "id", "n", "c", "bands", "sketch")
+
+    def compare(t: pa.Table) -> pa.Table:
+        band, i, j, mine, ids, n, c = (t.column(x).to_numpy() for x in ("band", "i", "j", "mine", "id", "n", "c"))
+        every = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(t.num_rows, -1)
+        order = np.lexsort((ids, j, i, band))
+        key = np.stack((band, i, j))[:, order]
+        cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
+        left, right = [], []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            m = order[x:y]
+            if i[m[0]] == j[m[0]]:
+                p, q = np.triu_indices(len(m), 1)
+                p, q = m[p], m[q]
+            else:
+                p, q = m[mine[m] == i[m[0]]], m[mine[m] == j[m[0]]]
+                p, q = np.repeat(p, len(q)), np.tile(q, len(p))
+            fits = (c[p] != c[q]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]))
+            p, q = p[fits], q[fits]
+            found = []
+            for at in range(0, len(p), 20_000):
+                a, b = p[at : at + 20_000], q[at : at + 20_000]
+                agree = (sketch[a] == sketch[b]).mean(axis=1)
+                good = agree >= least
+                a, b, agree = a[good], b[good], agree[good]
+                first = np.take_along_axis(every[a], np.argmax(every[a] == every[b], axis=1)[:, None], axis=1)[:, 0] if len(a) else a
+                mine_too = first == band[m[0]]
+                found.append((a[mine_too], b[mine_too], agree[mine_too]))
+            a, b, agree = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (p, q, p)
+            if forest and len(a) > 1:
+                best = np.argsort(-agree, kind="stable")
+                best = best[_forest(c[a[best]], c[b[best]])]
+                a, b = a[best], b[best]
+            left.append(ids[a])
+            right.append(ids[b])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("g").applyInArrow(compare, "a bigint, b bigint")
+
+
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
