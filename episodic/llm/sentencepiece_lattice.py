@@ -130,7 +130,7 @@ def _blocks(docs: DataFrame, model: Model, ranges: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column("_id"), batch.column("_text")
             _, offs = K.buffer_of(texts)
-            for i, j in K.slices(offs, 1 << 21):
+            for i, j in K.slices(offs, 1 << 20):
                 plain = [t or "" for t in texts.slice(i, j - i).to_pylist()]
                 marked = [prefix + t.replace(" ", SPACE) if t else "" for t in plain]
                 whole = "".join(marked)
@@ -179,16 +179,24 @@ def _byte_ids(text: Column, model: Model) -> Column:
     return F.transform(value, lambda b: F.get(F.array(*[F.lit(x) for x in model.bytes]), b))
 
 
-def _merges(n: Column, edges: Column) -> Column:
-    """Borders of the parts after all merges of a BPE model."""
-    longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _merges(n: Column, longer: Column) -> Column:
+    """Borders of the parts after all merges of a BPE model; ``longer``: edges of two characters
+    and more, best score first, leftmost first of equal ones."""
 
     def step(b: Column, _: Column) -> Column:
-        fits = F.filter(longer, lambda e: (F.array_position(b, e["start"]) > 0) & (F.array_position(b, e["end"]) - F.array_position(b, e["start"]) == 2))
-        best = F.array_max(F.transform(fits, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"))))
-        return F.when(best.isNull(), b).otherwise(F.array_remove(b, F.get(b, F.array_position(b, -best["left"]).cast("int"))))
+        def joins(e: Column) -> Column:  # the edge spans two neighbouring parts
+            return _bound(F.array_position(b, e["start"]), lambda p: (p > 0) & (F.get(b, (p + 1).cast("int")) == e["end"]))
+
+        best = F.get(F.filter(longer, joins), F.lit(0))["start"]
+        return _bound(best, lambda left: F.when(left.isNull(), b).otherwise(F.array_remove(b, F.get(b, F.array_position(b, left).cast("int")))))
 
-    return F.aggregate(F.sequence(F.lit(1), n - 1), F.sequence(F.lit(0), n), step)
+    # every merge uses up an edge
+    return F.aggregate(F.slice(longer, 1, F.greatest(n - 1, F.lit(0))), F.sequence(F.lit(0), n), step)
 
 
 def _viterbi(n: Column, edges: Column, unknown: float) -> Column:
@@ -219,10 +227,11 @@ def encode_words(words: DataFrame, model: Model, pieces: DataFrame | None = None
     cut = cut.select("p", "word", "s.start", "s.end", F.col("word").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"))
     # the vocabulary is the bound of what is broadcast
     edges = cut.join(F.broadcast(pieces), "piece").groupBy("p", "word").agg(
-        F.collect_list(F.struct("start", "end", F.col("score").cast("double").alias("score"), "id")).alias("edges"))
+        F.collect_list(F.struct("start", "end", F.col("score").cast("double").alias("score"), "id")).alias("edges"),
+        F.sort_array(F.collect_list(F.when(F.col("end") - F.col("start") > 1, F.struct((-F.col("score")).alias("cost"), "start", "end")))).alias("longer"))
     n = F.length("word")
     least = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
-    folded = _merges(n, F.col("edges")) if model.kind == BPE else _viterbi(n, F.col("edges"), least - 10.0)
+    folded = _merges(n, F.col("longer")) if model.kind == BPE else _viterbi(n, F.col("edges"), least - 10.0)
     borders = edges.select("p", "word", "edges", F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(folded).alias("b"))
 
     def ids(start: Column, i: Column) -> Column:
