@@ -34,7 +34,7 @@ from episodic.llm.common import parts
 HOT = 20_000
 #: Bytes of distinct fragments that one index holds; a shard with more is indexed in turns.
 INDEX_BYTES = 1 << 21
-#: Bytes of a long text that are hashed at once.
+#: Bytes of a slice of texts, and tokens of a longer text, that are hashed at once.
 SEGMENT = 1 << 20
 
 
@@ -107,22 +107,23 @@ def _by_target(target: np.ndarray, kinds_arrays: list[np.ndarray]) -> Iterator[t
         yield int(target[i]), _pack(*[a[i:j] for a in arrays])
 
 
-def _runs(unit: Unit, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple]:
+def _runs(unit: Unit, buf: np.ndarray, offs: np.ndarray, segment: int = SEGMENT) -> Iterator[tuple]:
     """(token arrays and fragments) of slices of whole texts; a long text in overlapping segments.
 
     Yields (first text, tokens, prefix hash, key, start in the slice, count, text, again,
-    token offset of each text in the slice, byte starts, byte ends, slice bytes).
+    token offset of each text in the slice, byte starts, byte ends, the bytes that they (or, where
+    tokens are bytes, the starts themselves) count in).
     """
-    for i, j in K.slices(offs, SEGMENT):
+    for i, j in K.slices(offs, segment):
         part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         tok, toffs, s, e = unit.tokens(part, o)
-        if len(tok) > 2 * SEGMENT:  # one very long text
-            step = SEGMENT
+        if len(tok) > 2 * segment:  # one very long text
+            step = segment
             for at in range(0, len(tok), step):
                 piece = tok[at : at + step + unit.window - 1]
                 found = K.window_runs(piece, np.array([0, len(piece)]), unit.window, unit.gram)
                 cut = slice(at, at + len(piece))
-                yield (i, piece, found[5], *found[:5], np.array([-at]), None if s is None else s[cut], None if e is None else e[cut], part)
+                yield (i, piece, found[5], *found[:5], np.array([-at]), None if s is None else s[cut], None if e is None else e[cut], part if unit.words else piece)
             continue
         found = K.window_runs(tok, toffs, unit.window, unit.gram)
         yield i, tok, found[5], *found[:5], toffs[:-1], s, e, part
@@ -154,7 +155,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.pmod(F.xxhash64("_id"), F.lit(groups(docs))).cast("int").alias("_g"), "_id", "_text")
 
 
-def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT, index_bytes: int = INDEX_BYTES, segment: int = SEGMENT) -> DataFrame:
     """(_g, spans): by document group, packed (id, tag, first token, end token) of the token spans
     that repeat an earlier window; spans may overlap."""
     ranges, shards = groups(rows), max(64, 4 * parts(rows.sparkSession))
@@ -164,7 +165,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
             group = batch.column("_g").to_numpy(zero_copy_only=False)
             buf, offs = K.buffer_of(batch.column("_text"))
             all_keys, all_groups = [], []
-            for i, _, _, key, _, _, text, again, *_ in _runs(unit, buf, offs):
+            for i, _, _, key, _, _, text, again, *_ in _runs(unit, buf, offs, segment):
                 g = group[i + text].astype(np.uint32)
                 if unit.within:  # a run that may repeat itself counts twice
                     key, g = np.concatenate((key, key[again])), np.concatenate((g, g[again]))
@@ -206,7 +207,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
             ids, (buf, offs) = _ids(left.column("_id")), K.buffer_of(left.column("_text"))
             tags = _tags(buf, offs)
             keys_, docs_, starts_, counts_, hashes_, lens_, pieces_ = [], [], [], [], [], [], []
-            for i, tok, h, key, start, count, text, _, first, s, e, part in _runs(unit, buf, offs):
+            for i, tok, h, key, start, count, text, _, first, s, e, part in _runs(unit, buf, offs, segment):
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 hit = wanted[at] == key
                 key, start, count, text, heat = key[hit], start[hit], count[hit], text[hit], is_hot[at[hit]]

@@ -1,6 +1,7 @@
 """Deduplication operators against brute force."""
 
 import hashlib
+import random
 
 import duckdb
 import numpy as np
@@ -77,6 +78,22 @@ def test_substring_repeated_rows_and_empty_table(spark):
     assert substring_report(df.limit(0)).count() == 0 and repeated_words(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("segment", [200, 333])
+def test_substring_long_texts_in_segments(spark, segment):
+    """Texts of many segments, with passages that start and end across segment borders."""
+    rd = random.Random(segment)
+    word = lambda: "".join(rd.choice("abcdé") for _ in range(rd.randint(1, 7)))
+    shared = [" ".join(word() for _ in range(n)) for n in (60, 150, 400)]
+    rows = [(k, " ".join(x for n in range(6) for x in (*[word() for _ in range(rd.randint(1, 250))], shared[(k + n) % 3]))) for k in range(6)]
+    df = H.frame(spark, rows)
+    want = H.repeated_bytes(rows)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_report(df, segment=segment).collect()}
+    assert got == want and all(v[0] > 4 * segment for v in want.values())
+    want = H.repeated_words(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in repeated_words(df, segment=segment).collect()}
+    assert got == want and all(v[0] > 2 * segment for v in want.values())
+
+
 def test_without_repeats_keeps_characters_whole(spark):
     df = spark.createDataFrame([(1, "é" * 100), (2, "a" + "é" * 100), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in without_repeats(df).collect()}
