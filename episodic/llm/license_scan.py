@@ -10,13 +10,18 @@ n-grams, and the weights are sparse: n-grams outside the examples have none.
 notices and on corpus paragraphs that training did not see); below one half the paragraph is of
 no known family.
 
-*Confirmation.*  The word 3-grams of a paragraph and of the notices of its family must overlap.
+*Windows.*  A paragraph is judged as a whole and, where it is longer, by overlapping windows of
+about a notice's length, so a notice is found amid any number of other words.
+
+*Confirmation.*  The word 3-grams of a paragraph or window and of the notices of its family must
+overlap.
 
 Only DataFrame functions run here; the corpus is read in one pass without a shuffle of texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +33,9 @@ BUCKETS = 1 << 16
 #: Documents whose paragraphs serve as unknown examples, and most paragraphs taken from them.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 40, 80
 UNKNOWN = "unknown"
+#: Words of the windows of a longer paragraph, in steps of half a window: a notice of up to half
+#: a width lies in one window as a whole, and the longest notice has 39 words.
+WIDTHS = (8, 16, 32, 64, 80)
 
 #: Notices of each family (public licence notices, shortened to their usual sentences).
 NOTICES = [
@@ -93,8 +101,11 @@ def _gram(words: Column, n: int) -> Column:
 
 def features(text: Column, buckets: int = BUCKETS) -> Column:
     """Distinct buckets of the 1- and 2-grams; bucket 0 is the bias."""
-    hashes = _bound(words_of(text), lambda w: F.concat(_gram(w, 1), _gram(w, 2)))
-    hashed = F.transform(hashes, lambda h: (F.pmod(h, F.lit(buckets - 1)) + 1).cast("int"))
+    return _bound(words_of(text), lambda w: _features(w, buckets))
+
+
+def _features(words: Column, buckets: int) -> Column:
+    hashed = F.transform(F.concat(_gram(words, 1), _gram(words, 2)), lambda h: (F.pmod(h, F.lit(buckets - 1)) + 1).cast("int"))
     return F.array_distinct(F.concat(F.array(F.lit(0)), hashed))
 
 
@@ -196,36 +207,85 @@ def _margins(x: Column, w: Column, zero: Column) -> Column:
     return _bound(x, total)
 
 
+def _notice_places(words: Column) -> Column:
+    """Places of ``words`` where a word 3-gram of any notice begins."""
+    split = [re.findall(r"[^\W_]+", t.lower()) for _, t in NOTICES]
+    grams = sorted({tuple(w[i : i + 3]) for w in split for i in range(len(w) - 2)})
+    known = [F.xxhash64(*[F.lit(x) for x in g]) for g in grams]  # constants
+    return F.filter(F.transform(_gram(words, 3), lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
+
+
+def _windows(words: Column, places: Column) -> Column:
+    """(at, n, whole): the whole paragraph, and of each width below its length the windows that
+    hold one of ``places``."""
+    n = F.size(words)
+    out = [F.array(F.struct(F.lit(0).alias("at"), n.alias("n"), F.lit(True).alias("whole")))]
+    for width in WIDTHS:
+        step = width // 2
+        first = F.transform(places, lambda i: F.floor(i / step).cast("int"))  # noqa: B023
+        starts = F.concat(F.transform(first, lambda k: F.greatest(F.lit(0), k - 1)), first)
+        starts = F.array_distinct(F.transform(starts, lambda k: F.least(k * step, n - width)))  # noqa: B023
+        each = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(width).alias("n"), F.lit(False).alias("whole")))  # noqa: B023
+        out.append(F.when(n > width, each).otherwise(F.slice(out[0], 1, 0)))
+    return F.concat(*out)
+
+
 def licence_paragraphs(docs: DataFrame, model: DataFrame | None = None, threshold: float = 0.5, overlap: float = 0.5,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                       id_col: str = "doc_id", text_col: str = "text", confirmed_only: bool = False) -> DataFrame:
     """(id, paragraph, text, family, score, similarity, confirmed) of the paragraphs that the
-    classifier gives to a family.
-
-    ``similarity`` is the largest share of common word 3-grams (of the shorter one's) with a notice
-    of the family; ``confirmed`` from ``overlap`` on.  Null, empty and wordless texts have no
+    classifier gives to a family, as a whole or in one of their windows.
+
+    ``similarity`` is the largest share of common word 3-grams with a notice of the family: of the
+    shorter one's for a whole paragraph, of the notice's for a window; ``confirmed`` from
+    ``overlap`` on.  Of overlapping findings the confirmed, most similar, best scored one counts,
+    and a paragraph has each family once; so a line with notices of two families has two rows.
+    With ``confirmed_only`` (and ``overlap`` above 0) only windows that share a 3-gram with a
+    notice are classified: no other one can be confirmed.  Null, empty and wordless texts have no
     paragraph.  Repeated rows are scanned one by one; other columns are not read.
     """
     spark = docs.sparkSession
     model = train(examples(docs, id_col, text_col)) if model is None else model
-    found = paragraphs(docs, id_col, text_col).withColumn("x", features(F.col("text")))
-    found = found.withColumns({"_w": model.select("w").scalar(), "_zero": model.select(_zeros("families")).scalar()})
-    found = found.withColumn("s", _margins(F.col("x"), F.col("_w"), F.col("_zero"))).drop("_w", "_zero", "x")
-    best = F.array_max(F.transform("s", lambda m, i: F.struct(m.alias("m"), (-i).alias("i"))))
-    found = found.select("id", "paragraph", "text", best.alias("best")).select(
-        "id", "paragraph", "text", F.get(model.select("families").scalar(), -F.col("best.i")).alias("family"),
-        (1 / (1 + F.exp(-(model.select("a").scalar() * F.col("best.m") + model.select("b").scalar())))).alias("score"))
-    found = found.where(F.col("score") >= threshold)
     notices = _inline(spark, NOTICES, "family string, text string").select("family", grams_of(F.col("text"), 3).alias("g"))
     notices = notices.agg(F.collect_list(F.struct("family", "g")).alias("t"))
-    found = found.withColumn("g", grams_of(F.col("text"), 3)).withColumn("t", notices.scalar())
-    shares = F.transform(F.filter("t", lambda e: e["family"] == F.col("family")), lambda e: (
-        F.size(F.array_intersect(F.col("g"), e["g"])) / F.greatest(F.lit(1), F.least(F.size("g"), F.size(e["g"])))))
-    return found.withColumn("similarity", F.coalesce(F.array_max(shares), F.lit(0.0))).withColumn("confirmed", F.col("similarity") >= overlap).drop("g", "t")
+    places = _notice_places if confirmed_only else lambda v: F.sequence(F.lit(0), F.size(v) - 1)
+    both = _bound(words_of(F.col("text")), lambda v: F.struct(v.alias("v"), places(v).alias("i")))  # bound: the filter below is pushed down
+    found = paragraphs(docs, id_col, text_col).withColumn("p", both).where(F.size("p.i") > 0)
+    found = found.withColumn("e", _bound(F.col("p"), lambda p: _windows(p["v"], p["i"]))).withColumn("v", F.col("p.v")).withColumns({
+        "_w": model.select("w").scalar(), "_zero": model.select(_zeros("families")).scalar(), "_f": model.select("families").scalar(),
+        "_a": model.select("a").scalar(), "_b": model.select("b").scalar(), "_t": notices.scalar()})
+
+    def judged(e: Column) -> Column:
+        x = _bound(F.slice(F.col("v"), e["at"] + 1, e["n"]), lambda u: _features(u, BUCKETS))
+        best = F.array_max(F.transform(_margins(x, F.col("_w"), F.col("_zero")), lambda m, i: F.struct(m.alias("m"), (-i).alias("i"))))
+        return _bound(best, lambda m: F.struct(*[e[c].alias(c) for c in ("at", "n", "whole")], F.get(F.col("_f"), -m["i"]).alias("family"),
+                                               (1 / (1 + F.exp(-(F.col("_a") * m["m"] + F.col("_b"))))).alias("score")))
+
+    def compared(e: Column) -> Column:
+        def share(g: Column) -> Column:
+            def of(t: Column) -> Column:
+                size = F.when(e["whole"], F.least(F.size(g), F.size(t["g"]))).otherwise(F.size(t["g"]))
+                return F.size(F.array_intersect(g, t["g"])) / F.greatest(F.lit(1), size)
+
+            return F.coalesce(F.array_max(F.transform(F.filter(F.col("_t"), lambda t: t["family"] == e["family"]), of)), F.lit(0.0))
+
+        similarity = _bound(F.array_distinct(_bound(F.slice(F.col("v"), e["at"] + 1, e["n"]), lambda u: _gram(u, 3))), share)
+        return _bound(similarity, lambda s: F.struct((s >= overlap).alias("confirmed"), s.alias("similarity"), e["score"].alias("score"),
+                                                     (-e["n"]).alias("shorter"), (-e["at"]).alias("earlier"), e["family"].alias("family")))
+
+    def best_first(kept: Column, e: Column) -> Column:
+        meets = F.exists(kept, lambda k: (k["family"] == e["family"]) | ((k["earlier"] + k["shorter"] < e["earlier"]) & (e["earlier"] + e["shorter"] < k["earlier"])))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(e)))
+
+    found = found.withColumn("e", F.transform(F.filter(F.transform("e", judged), lambda e: e["score"] >= threshold), compared))
+    found = found.select("id", "paragraph", "text", F.sort_array("e", asc=False).alias("e"))
+    found = found.select("id", "paragraph", "text", F.explode(F.aggregate("e", F.slice("e", 1, 0), best_first)).alias("e"))
+    found = found.select("id", "paragraph", "text", "e.family", "e.score", "e.similarity", "e.confirmed")
+    return found.where("confirmed") if confirmed_only else found
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = licence_paragraphs(docs).where("confirmed").groupBy(F.col("id").alias("doc_id")).agg(
+    hits = licence_paragraphs(docs, confirmed_only=True).groupBy(F.col("id").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("n_licences"), F.array_sort(F.collect_set("family")).alias("families"),
         F.min("paragraph").alias("first_paragraph"), F.max("score").alias("score"), F.max("similarity").alias("similarity"))
     return docs.select("doc_id").join(hits, "doc_id", "left").select(

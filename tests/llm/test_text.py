@@ -1,5 +1,6 @@
 """Toxicity, tokenizing, packing, licences, URLs and the pipeline."""
 
+import random
 import re
 import zlib
 
@@ -185,6 +186,24 @@ def test_licence_paragraphs(spark):
     assert license_scan.licence_paragraphs(docs.limit(0), model).count() == 0
 
 
+def test_licence_notices_amid_other_words(spark):
+    """Every notice is found in a line of 0 to 500 other words, and two notices in one line."""
+    docs = H.documents(spark).select("doc_id", "text")
+    rd = random.Random(6)
+    other = [f"{rd.choice('bdfgklmnprst')}{rd.choice('aeiou')}{rd.choice('bdfgklmnprst')}{k % 50}" for k in range(500)]
+    cases = [(f, n, " ".join((*other[: n // 3], t, *other[n // 3 : n]))) for f, t in license_scan.NOTICES for n in (0, 3, 20, 40, 100, 500)]
+    cases += [("proprietary", n, " ".join((*other[:n], "All rights reserved.", *other[:n]))) for n in (0, 10, 20, 250)]
+    cases += [("cc-by-nc,mit", 150, " ".join(("Released under the MIT License.", *other[:150], "Licensed under CC BY-NC 4.0."))), ("", 500, " ".join(other))]
+    rows = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    model = license_scan.train(license_scan.examples(docs))
+    for only in (True, False):
+        got = {k: set() for k in range(len(cases))}
+        for r in license_scan.licence_paragraphs(rows.repartition(8), model, confirmed_only=only).where("confirmed").collect():
+            got[r["id"]].add(r["family"])
+        wrong = [(f, n, ",".join(sorted(got[k])), t[:60]) for k, (f, n, t) in enumerate(cases) if ",".join(sorted(got[k])) != f]
+        assert not wrong
+
+
 def test_license_query_finds_the_planted_lines(spark):
     got = {r["doc_id"]: r["families"] for r in license_scan.op6_license_scan(spark, SF_SMALL).collect()}
     lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl",
