@@ -598,7 +598,10 @@ def q_stream_act_mode(spark, d):
 @query("stream_rel2abs")
 def q_stream_rel2abs(spark, d):
     st = SS.stream_steps(SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA))
-    out = SS.run_append(SS.stream_rel2abs(st), "stream_rel2abs")
+    # a user's last event releases the steps that no click or purchase has decided
+    ends = T.read_table(spark, d, "events", ["user_id", "event_id"]).groupBy("user_id").agg(F.max("event_id").alias("last_id"))
+    st = st.join(ends, F.col("traj_id").eqNullSafe(F.col("user_id")), "left").withColumn("last", F.coalesce(F.col("event_id") == F.col("last_id"), F.lit(False)))
+    out = SS.run_append(SS.stream_rel2abs(st, last="last"), "stream_rel2abs")
     return out.select("traj_id", "event_id", r6("value").alias("value"))
 
 

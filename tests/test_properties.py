@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,14 @@ def test_stream_normalize_refuses_steps_without_statistics(spark, tmp_path):
     stream = _stream_of(spark, tmp_path, [[("a", [0.5]), ("b", [0.5])]], "dataset_name string, action array<double>")
     with pytest.raises(Exception, match="no statistics for dataset b"):
         SS.run_append(SS.stream_normalize(stream, stats), "normalize_missing").collect()
+
+
+def test_stream_rel2abs_query_returns_users_without_a_click_or_purchase(spark, tmp_path):
+    events = pq.read_table(f"{SF_SMALL}/events.parquet")
+    quiet = events["user_id"][0].as_py()
+    kind = [("view" if u == quiet else e) for u, e in zip(events["user_id"].to_pylist(), events["event_type"].to_pylist(), strict=True)]
+    at = events.schema.get_field_index("event_type")
+    pq.write_table(events.set_column(at, events.schema.field(at), pa.array(kind, events.schema.field(at).type)), tmp_path / "events.parquet")
+    got = {r["event_id"]: r["value"] for r in Q.QUERIES["stream_rel2abs"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(events["event_id"].to_pylist())
+    assert {got[i] for i, u in zip(events["event_id"].to_pylist(), events["user_id"].to_pylist(), strict=True) if u == quiet} == {1.0}
