@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodic.session import ensure_checkpoint_dir
@@ -30,3 +30,14 @@ def parts(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the rank of each row in ``order``, from 0: ranges of the order are written and
+    counted, and a row's rank is that of its range plus its place there.  Ties need an order
+    that tells rows apart where the rank matters."""
+    cut = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))  # at most one row a partition
+    before = counts.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return cut.withColumn(name, place.cast("bigint") - 1).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
