@@ -1,16 +1,17 @@
 """Dialogue operators: parse encoded conversations, build chat messages, act-mode switch.
 
 A conversation row (bounded: a handful of turns) carries the reference's string
-encoding; all parsing is array expressions on that row.  Act-mode switching is a
-window over the episode's turns.
+encoding; all parsing is array expressions on that row.  Act-mode switching numbers an
+episode's turns in buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodic.functions import text as X
+from episodic.operators.frames import rank_in_group
 
 MSG_TYPE = "array<struct<role:string,content:array<struct<type:string,value:string>>>>"
 
@@ -73,16 +74,20 @@ def act_mode(df: DataFrame, text: str, order: str, keys: list[str], limit: int =
     """Per episode the model answers in dialogue until a reply contains ``[ACT]`` or the
     history reaches ``limit`` (the reference passes the task dict's length, 2); from the
     next step on it is in action mode.  A reply that hits the limit without the marker
-    gets `` [ACT]`` appended."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    n_before = F.row_number().over(w) - 1  # history length before this step
-    trig = X.has_act(text) | (n_before + 1 >= limit)
-    switched = F.coalesce(F.max(trig.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    out = df.withColumn("mode", F.when(switched, F.lit("action")).otherwise(F.lit("dialogue")))
+    gets `` [ACT]`` appended.
+
+    The switch comes with one of the first ``limit`` replies, so it is the least number of a
+    marked reply among those (a partial aggregate); replies are numbered in buckets."""
+    ranked = rank_in_group(df, keys, [order], "_before")  # history length before this step
+    early = ranked.where((F.col("_before") < limit) & X.has_act(text))
+    first = early.groupBy(*keys).agg(F.min("_before").alias("_marked"))
+    out = ranked.join(first, keys, "left")
+    turn = F.least(F.coalesce("_marked", F.lit(limit - 1)), F.lit(limit - 1))
+    switched = F.col("_before") > turn
     reply = F.when(switched, F.lit(None).cast("string")).when(X.has_act(text), F.col(text)).when(
-        n_before + 1 >= limit, F.concat(F.col(text), F.lit(" " + X.ACT_MARKER))
+        F.col("_before") + 1 >= limit, F.concat(F.col(text), F.lit(" " + X.ACT_MARKER))
     ).otherwise(F.col(text))
-    return out.withColumn("reply", reply)
+    return out.withColumn("mode", F.when(switched, F.lit("action")).otherwise(F.lit("dialogue"))).withColumn("reply", reply).drop("_before", "_marked")
 
 
 def instruction_catalog(items: DataFrame) -> DataFrame:
@@ -95,8 +100,9 @@ def instruction_catalog(items: DataFrame) -> DataFrame:
 
 
 def attach_dialogue(df: DataFrame, catalog: DataFrame, task: str = "task") -> DataFrame:
-    """Task description -> catalog entry; a task without entry is an error."""
+    """Task description -> catalog entry.  A task without entry is an error; a step without a
+    task (null or empty) is not labelled and has no entry."""
     out = df.join(catalog.withColumnRenamed("instruction", task), task, "left")
-    return out.withColumn(
-        "entry", F.when(F.col("entry").isNull(), F.raise_error(F.concat(F.lit("no dialogue for task "), F.col(task)))).otherwise(F.col("entry"))
-    )
+    labelled = F.coalesce(F.length(task), F.lit(0)) > 0
+    lost = F.raise_error(F.concat(F.lit("no dialogue for task "), F.col(task)))
+    return out.withColumn("entry", F.when(labelled & F.col("entry").isNull(), lost).when(labelled, F.col("entry")))

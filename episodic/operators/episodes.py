@@ -15,15 +15,16 @@ partitions a window by the episode alone.  Instead every episode window is *bloc
   windows already partition by, so no further exchange of the step rows;
 * sequential scans (the reference's ``tf.scan``) are two-level: a scan inside the block
   (``first/last(..., ignorenulls)`` frames) plus a carry from the neighbouring blocks,
-  computed on the tiny per-block summary table.
+  computed on the per-block summary table, again in blocks (blocks of blocks).
 
-The timestep itself (P5) is a ``row_number`` for normal episodes and the bucketed
-``rank_in_group`` for episodes above ``episodic.hotEpisodeRows``.  ``_blk`` is kept on the
-rows so consecutive operators share one partitioning.
+The timestep itself (P5) is ``frames.rank_in_group``, which cuts episodes above
+``episodic.hotEpisodeRows`` into buckets.  ``_blk`` is kept on the rows so consecutive
+operators share one partitioning.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 
 from episodic.functions import vector as V
 from episodic.functions.rand import u01
+from episodic.session import materialize
 
 EPISODE = ["dataset_name", "traj_id"]
 BLK = "_blk"
 DEFAULT_BLOCK_ROWS = 1 << 16
 DEFAULT_HOT_EPISODE_ROWS = 1 << 22
-MAX_HOT_EPISODES = 100_000
 
 
 def block_rows(df: DataFrame) -> int:
@@ -155,37 +156,46 @@ def _gather(col: str, off: int, w, lead: int, lag: int, b: int) -> Column:
     return F.when(pos + off >= 0, F.lag(col, -off).over(w)).otherwise(F.get(F.col(pt(col, lag)), pos + off + lag))
 
 
+def _nearest(summary: DataFrame, value: str, out: str, before: bool, keys=EPISODE, at: str = BLK) -> DataFrame:
+    """``summary`` (one row a block, written) with ``out``: the last non-null ``value`` of the blocks before
+    (or the first of those after) each one.
+
+    Blocks are taken together by ``episodic.blockFan`` (2,048) into blocks of blocks, and those
+    again, so a window sees at most that many rows: the nearest value inside the block of blocks,
+    else the one carried into it from its own neighbours."""
+    fan = int(summary.sparkSession.conf.get("episodic.blockFan", "2048"))
+    up = f"{at}u"
+    rows = summary.withColumn(up, F.floor(F.col(at) / fan).cast("int"))
+    w = Window.partitionBy(*keys, up).orderBy(at)
+    near = (F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if before
+            else F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn(out, near)
+    if fan ** (len(up) - len(BLK)) >= 1 << 31:  # the one block of blocks of this level is the whole episode
+        return rows.drop(up)
+    pick = (F.max_by if before else F.min_by)(value, F.when(F.col(value).isNotNull(), F.col(at)))
+    carried = f"_carried{up}"
+    above = _nearest(rows.groupBy(*keys, up).agg(pick.alias(value)), value, carried, before, keys, up)
+    return rows.join(above.select(*keys, up, carried), [*keys, up]).withColumn(out, F.coalesce(out, carried)).drop(up, carried)
+
+
 def _block_summary_join(df: DataFrame, summary: DataFrame, keys=EPISODE) -> DataFrame:
     return df.join(summary, [*keys, BLK], "inner")
 
 
 # --------------------------------------------------------------------- P5 / A3
 def add_timestep(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "t") -> DataFrame:
-    """P5: 0-based index of each step inside its episode (``order`` must be total).
+    """P5: 0-based index (bigint) of each step inside its episode (``order`` must be total).
 
-    Episodes above ``episodic.hotEpisodeRows`` are ranked with the bucketed
-    ``rank_in_group`` (split over many tasks); all others with a plain ``row_number``.
-    The set of hot episodes is bounded by rows / threshold and checked before broadcast."""
+    An episode of more than ``episodic.hotEpisodeRows`` steps is cut into buckets of that size
+    (``rank_in_group``), any other one is a single bucket."""
     from episodic.operators.frames import rank_in_group
-    from episodic.session import materialize_counted
-
-    spark = df.sparkSession
-    threshold = int(spark.conf.get("episodic.hotEpisodeRows", str(DEFAULT_HOT_EPISODE_ROWS)))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    plain = df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold).select(*keys)
-    hot, n_hot = materialize_counted(sizes, MAX_HOT_EPISODES)
-    if n_hot == 0:
-        return plain
-    normal = df.join(hot, list(keys), "left_anti")
-    hot_rows = df.join(hot, list(keys), "left_semi")
-    ranked = rank_in_group(hot_rows, keys, order, name).withColumn(name, F.col(name).cast("int"))
-    return normal.withColumn(name, (F.row_number().over(w) - 1).cast("int")).unionByName(ranked)
+
+    return rank_in_group(df, keys, order, name)
 
 
 def with_traj_len(df: DataFrame, keys: Sequence[str] = EPISODE, name: str = "traj_len") -> DataFrame:
     """A3: number of steps of the row's episode."""
-    return attach_episode(df, {name: F.count(F.lit(1)).cast("int")}, keys)
+    return attach_episode(df, {name: F.count(F.lit(1))}, keys)
 
 
 def traj_lengths(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -213,7 +223,7 @@ def max_abs_filter(df: DataFrame, col: str, limit: float | None, keys=EPISODE) -
 
 def drop_first_step(df: DataFrame, keys=EPISODE) -> DataFrame:
     """remove step 0 and re-index (blocks are recomputed from the new t)."""
-    out = invalidate(df).filter(F.col("t") > 0).withColumn("t", (F.col("t") - 1).cast("int"))
+    out = invalidate(df).filter(F.col("t") > 0).withColumn("t", F.col("t") - 1)
     return out.drop(BLK) if BLK in out.columns else out
 
 
@@ -238,16 +248,10 @@ def binarize_gripper_df(df: DataFrame, x: str, out: str, keys=EPISODE) -> DataFr
     df = with_block(df)
     dec = F.when(F.col(x) > V.GRIPPER_OPEN, F.lit(1.0)).when(F.col(x) < V.GRIPPER_CLOSED, F.lit(0.0))
     df = df.withColumn("_dec", dec)
-    summ = df.groupBy(*keys, BLK).agg(
-        F.min(F.when(F.col("_dec").isNotNull(), F.struct("t", "_dec"))).alias("_bf"),
-        F.max_by(F.col(x), "t").alias("_blast"),
-    )
-    wb = Window.partitionBy(*keys).orderBy(BLK)
-    summ = summ.select(
-        *keys, BLK,
-        F.first(F.col("_bf._dec"), ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_carry"),
-        F.last("_blast").over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_lastraw"),
-    )
+    summ = materialize(df.groupBy(*keys, BLK).agg(
+        F.min_by("_dec", F.when(F.col("_dec").isNotNull(), F.col("t"))).alias("_first"), F.max_by(F.col(x), "t").alias("_end")))
+    ends = summ.groupBy(*keys).agg(F.max_by("_end", BLK).alias("_lastraw"))
+    summ = _nearest(summ, "_first", "_carry", False, keys).select(*keys, BLK, "_carry").join(ends, list(keys))
     inblk = F.first("_dec", ignorenulls=True).over(episode_window(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing))
     out_df = _block_summary_join(df, summ, keys).withColumn(out, F.coalesce(inblk, F.col("_carry"), F.col("_lastraw").cast("double")))
     return out_df.drop("_dec", "_carry", "_lastraw")
@@ -260,15 +264,11 @@ def rel2abs_gripper_df(df: DataFrame, x: str, out: str, keys=EPISODE) -> DataFra
     the carry from earlier blocks."""
     df = with_block(df)
     thr = F.when(F.col(x) < -V.REL_THRESHOLD, F.lit(1)).when(F.col(x) > V.REL_THRESHOLD, F.lit(-1))
+    known = F.when(F.col("_thr").isNotNull(), F.col("t"))
     df = df.withColumn("_thr", thr)
-    nz = F.when(F.col("_thr").isNotNull(), F.struct("t", "_thr"))
-    summ = df.groupBy(*keys, BLK).agg(F.min(nz).alias("_bf"), F.max(nz).alias("_bl"))
-    wb = Window.partitionBy(*keys).orderBy(BLK)
-    summ = summ.select(
-        *keys, BLK,
-        F.last(F.col("_bl._thr"), ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-        F.first(F.col("_bf._thr"), ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_first"),
-    )
+    summ = materialize(df.groupBy(*keys, BLK).agg(F.max_by("_thr", known).alias("_last"), F.min_by("_thr", known).alias("_start")))
+    starts = summ.groupBy(*keys).agg(F.min_by("_start", F.when(F.col("_start").isNotNull(), F.col(BLK))).alias("_first"))
+    summ = _nearest(summ, "_last", "_carry", True, keys).select(*keys, BLK, "_carry").join(starts, list(keys))
     inblk = F.last("_thr", ignorenulls=True).over(episode_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     val = F.coalesce(inblk, F.col("_carry"), -F.col("_first"), F.lit(1)).cast("double") / F.lit(2.0) + F.lit(0.5)
     return _block_summary_join(df, summ, keys).withColumn(out, val).drop("_thr", "_carry", "_first")
@@ -350,8 +350,8 @@ def goal_index(seed: int, n: Column | str = "_ep_n", keys=EPISODE) -> Column:
     """W9 index: uniform in [t+1, len), truncated, clamped to len-1 (last step -> itself)."""
     n = F.col(n) if isinstance(n, str) else n
     low = F.col("t") + F.lit(1)
-    g = F.floor(u01(seed, *keys, "t") * (n - low) + low).cast("int")
-    return F.least(g, (n - 1).cast("int"))
+    g = F.floor(u01(seed, *keys, "t") * (n - low) + low).cast("bigint")
+    return F.least(g, n - 1)
 
 
 def goal_uniform(df: DataFrame, seed: int, obs_cols: Sequence[str], keys=EPISODE) -> DataFrame:
@@ -393,7 +393,7 @@ def delete_task_conditioning(
         df = df.withColumn(c, F.when(F.col("_keep_img"), F.col(c)).otherwise(F.lit("")))
     df = df.withColumn(lang, F.when(~F.col("_keep_img"), F.col(lang)).otherwise(F.lit("")))
     if timestep in df.columns:
-        df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise((F.col(ep_n()[0]) - 1).cast("int")))
+        df = df.withColumn(timestep, F.when(F.col("_keep_img"), F.col(timestep)).otherwise(F.col(ep_n()[0]) - 1))
     for name, gone, fields in (("goal_pad_mask", ~F.col("_keep_img"), set(image_cols)), ("pad_mask_dict", F.col("_keep_img"), {lang})):
         if name in df.columns:
             inner = df.schema[name].dataType.names
@@ -404,16 +404,27 @@ def delete_task_conditioning(
 # --------------------------------------------------------------------- W11
 def subsample(df: DataFrame, k: int | None, seed: int, keys=EPISODE) -> DataFrame:
     """Episodes longer than k keep k steps drawn without replacement (the k smallest
-    seeded draws).  Two-stage top-k: at most k candidates per block, then the k best of
-    an episode's candidates, so a long episode never sorts in one task."""
+    seeded draws; ties by step).
+
+    Draws are uniform, so the k smallest of n lie below a bound a little above k / n.  One
+    aggregation with partial counts tells for each episode which of the bounds k' / n, 4 k' / n,
+    16 k' / n, ... has at least k draws below it -- nearly always the first, and the last one holds
+    all -- and only the steps below it are ranked: about k' = k + 6 sqrt(k) + 20 of an episode,
+    however long it is."""
     if k is None:
         return df
-    df = with_block(df)
-    df = df.withColumn("_u", u01(seed, *keys, "t"))
-    in_blk = F.row_number().over(Window.partitionBy(*keys, BLK).orderBy("_u", "t"))
-    cand = df.withColumn("_rb", in_blk).filter(F.col("_rb") <= k).select(*keys, "t", "_u")
-    top = cand.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy("_u", "t"))).filter(F.col("_rk") <= k)
-    return invalidate(df.join(top.select(*keys, "t"), [*keys, "t"], "left_semi").drop("_u"))
+    if k <= 0:
+        return invalidate(df.limit(0))
+    n, agg = ep_n()
+    df = attach_episode(df, {n: agg}, keys).withColumn("_u", u01(seed, *keys, "t"))
+    near = k + 6 * math.sqrt(k) + 20
+    bound = F.lit(1.0)
+    for j in reversed(range(18)):
+        below = F.count_if(F.col("_u") < F.lit(near * 4.0**j) / F.col(n))
+        bound = F.when(below >= F.least(F.lit(k), F.max(n)), F.lit(near * 4.0**j) / F.max(n)).otherwise(bound)
+    low = attach_episode(df, {"_bound": bound}, keys).where(F.col("_u") < F.col("_bound"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_u", "t"))
+    return invalidate(low.withColumn("_place", place).where(F.col("_place") <= k).drop("_u", "_bound", "_place"))
 
 
 # --------------------------------------------------------------------- P3 / P17

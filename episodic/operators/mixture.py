@@ -144,13 +144,17 @@ def mixture_draws(frames: DataFrame, mix: DataFrame, n: int | None, seed: int, f
 
 def mixture_quota(frames: DataFrame, quotas: DataFrame, seed: int, key: str) -> DataFrame:
     """Exact-quota draws.  A dataset with quota q and size s gives every frame
-    q div s copies, plus one more to the q mod s frames first in a seeded order."""
+    q div s copies, plus one more to the q mod s frames first in a seeded order.  A positive
+    quota of a dataset without frames is an error, as in J8."""
     sizes = frames.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("_size"))
-    ranked = rank_in_group(frames, ["dataset_name"], [u01(seed, key), key], "_r")
-    q = quotas.join(sizes, "dataset_name")
-    out = ranked.join(q.select("dataset_name", "quota", "_size"), "dataset_name")
+    ranked = rank_in_group(frames, ["dataset_name"], [u01(seed, key), key], "_r", uniform=True)
+    q = quotas.where(F.col("quota") > 0).join(sizes, "dataset_name", "left")
+    empty = F.raise_error(F.concat(F.lit("a quota asks for a dataset without frames: "), F.col("dataset_name")))
+    q = q.withColumn("_size", F.when(F.col("_size").isNull(), empty.cast("bigint")).otherwise(F.col("_size")))
+    # from the quotas' side, so that a quota without frames is seen
+    out = q.select("dataset_name", "quota", "_size").join(ranked, "dataset_name", "left")
     copies = F.floor(F.col("quota") / F.col("_size")) + F.when(F.col("_r") < F.pmod(F.col("quota"), F.col("_size")), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("bigint")).filter(F.col("copies") > 0).drop("_r", "_size", "quota")
+    return out.withColumn("copies", copies.cast("bigint")).filter(F.col("copies") > 0).select(*frames.columns, "copies")
 
 
 def resolve_mixture(spec: DataFrame, invalid: DataFrame | None = None) -> DataFrame:

@@ -6,27 +6,22 @@ interpolation, as numpy's default), plus per dataset num_transitions / num_traje
 Scale design.  A dataset is a hot group (one may hold a third of all rows), so no
 statistic may gather a group into one task:
 * mean/std/min/max/count are algebraic -> partial (map-side) aggregation.
-* Exact quantiles are found in three bounded passes instead of Spark's exact
-  ``percentile`` (whose buffer holds every distinct value of the group):
-    1. a mergeable sketch (``percentile_approx``) brackets each target rank;
-    2. conditional counts check that the bracket really holds the target ranks
-       (a failed check widens that bracket to the whole group -- exact, just slower);
-    3. rows below the bracket collapse to one count and rows inside it to (value, count)
-       pairs (map-side combined, so ties are free); a window over the bracket's distinct
-       values picks the two neighbouring order statistics, which are interpolated.
-  The bracket spans about 2*n/accuracy ranks, so at 10^10 rows per group and the
-  default accuracy it holds at most ~2*10^5 distinct values.  Passes 2 and 3 are one
-  scan; pass 1 also yields mean/std/min/max.
+* Exact quantiles are order statistics found by iterated selection (``selection``): the pass
+  that gives the moments also brackets each rank with a mergeable sketch, brackets of huge
+  groups are narrowed inside themselves, and one scan collapses everything outside to counts.
+  The last window runs over a bounded number of values, however large the group, and a bracket
+  that misses its rank is widened, so no group is ever gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodic.session import bounded_broadcast, materialize
+from episodic.operators import selection
+from episodic.session import materialize
 
 QUANTILES = (("q01", 0.01), ("q99", 0.99))
 GROUP = ["dataset_name", "field", "dim"]
@@ -57,7 +52,7 @@ def _pass_a(long: DataFrame, group: Sequence[str], value: str, quantiles, accura
     for _, q in quantiles:
         probes += [max(q - d, 0.0), min(q + d, 1.0), q]
     return long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(value).alias("_n"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
         F.max(value).alias("max"),
@@ -68,65 +63,26 @@ def _pass_a(long: DataFrame, group: Sequence[str], value: str, quantiles, accura
 
 def exact_quantiles(
     long: DataFrame, group: Sequence[str], value: str, quantiles=QUANTILES, accuracy: int = 10_000,
-    max_broadcast_rows: int = 1_000_000, summary: DataFrame | None = None,
+    summary: DataFrame | None = None, limit: int = selection.LIMIT,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group without holding a group in memory.
 
-    Pass A (``summary``) gives n and a sketch bracket [lo, hi] per quantile.  Pass B keeps
-    rows <= hi, collapses rows < lo into one count and the rest into (value, count) pairs
-    -- both map-side combined, so massive ties cost one row -- and a window over the
-    bracket's distinct values (bounded by the sketch error) finds the values at ranks
-    r and r+1.  Groups whose bracket misses the target rank (the sketch guarantee rules
-    it out) fall back to Spark's exact ``percentile`` for those groups only."""
+    ``summary`` (pass A) gives n and a first bracket per quantile; the two neighbouring order
+    statistics of every quantile are selected from it and interpolated."""
     group = list(group)
     if summary is None:
         summary = materialize(_pass_a(long, group, value, quantiles, accuracy))
-    rows = []
-    for j, (name, q) in enumerate(quantiles):
-        pos = F.lit(q) * (F.col("_n") - 1)
-        rows.append(
-            F.struct(
-                F.lit(name).alias("qname"),
-                F.floor(pos).cast("long").alias("r"),
-                (pos - F.floor(pos)).alias("frac"),
-                F.col("_probe")[3 * j].alias("lo"),
-                F.col("_probe")[3 * j + 1].alias("hi"),
-            )
-        )
-    targets = summary.select(*group, F.explode(F.array(*rows)).alias("b")).select(*group, "b.*")
-    # one row per (group, quantile); broadcast only after a size check
-    targets = bounded_broadcast(targets, max_rows=max_broadcast_rows)
-    inb = long.join(targets.select(*group, "qname", "lo", "hi"), group, "inner").filter(F.col(value) <= F.col("hi"))
-    below = F.col(value) < F.col("lo")
-    hist = inb.groupBy(*group, "qname", F.when(below, F.lit(None)).otherwise(F.col(value)).alias("_x")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    hist = hist.join(targets.select(*group, "qname", "r", "frac"), group + ["qname"], "inner")
-    w = Window.partitionBy(*group, "qname").orderBy(F.col("_x").asc_nulls_first())
-    hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    hist = hist.withColumn("_prev", F.col("_cum") - F.col("_c"))
-    # value at rank r: the distinct value whose cumulative range [prev, cum) holds r
-    hit0 = F.col("_x").isNotNull() & (F.col("_prev") <= F.col("r")) & (F.col("r") < F.col("_cum"))
-    hit1 = F.col("_x").isNotNull() & (F.col("_prev") <= F.col("r") + 1) & (F.col("r") + 1 < F.col("_cum"))
-    res = hist.groupBy(*group, "qname").agg(
-        F.max(F.when(hit0, F.col("_x"))).alias("v0"),
-        F.max(F.when(hit1, F.col("_x"))).alias("v1"),
-        F.first("frac").alias("frac"),
-    )
-    val = F.when(F.col("v1").isNotNull() & (F.col("frac") > 0), F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).otherwise(F.col("v0"))
-    out = res.select(*group, "qname", val.alias("qv"), (F.col("v0").isNull() | ((F.col("frac") > 0) & F.col("v1").isNull())).alias("_miss"))
-    out = materialize(out)
-    missed = out.filter("_miss").select(*group, "qname").distinct()
-    if missed.limit(1).count() > 0:  # fallback: exact percentile for the few groups the sketch missed
-        fix = long.join(missed.select(*group).distinct(), group, "left_semi").groupBy(*group).agg(
-            F.percentile(value, [q for _, q in quantiles]).alias("_p")
-        )
-        fix = fix.select(*group, F.explode(F.arrays_zip(F.array(*[F.lit(n) for n, _ in quantiles]).alias("qname"), F.col("_p").alias("qv"))).alias("z"))
-        fix = fix.select(*group, "z.qname", "z.qv")
-        out = out.filter(~F.col("_miss")).select(*group, "qname", "qv").unionByName(fix)
-    else:
-        out = out.select(*group, "qname", "qv")
-    return out.groupBy(*group).pivot("qname", [n for n, _ in quantiles]).agg(F.first("qv"))
+    at = [F.lit(q) * (F.col("_n") - 1) for _, q in quantiles]
+    ranks = [r for p in at for r in (F.floor(p), F.least(F.floor(p) + 1, F.col("_n") - 1))]
+    lo, hi = ([F.col("_probe")[3 * (k // 2) + side] for k in range(len(ranks))] for side in (0, 1))
+    state = selection.first_brackets(summary.select(*group, "_n", "_probe"), ranks, lo, hi, F.col("_n") * 4.0 / accuracy)
+    got = selection.order_statistics(long.where(F.col(value).isNotNull()), state.drop("_probe"), group, value, len(ranks), limit)
+
+    def between(k: int, p: Column) -> Column:
+        low, high, part = F.col("_value")[2 * k], F.col("_value")[2 * k + 1], p - F.floor(p)
+        return F.when(part > 0, low + part * (high - low)).otherwise(low)
+
+    return got.select(*group, *[between(k, p).alias(name) for k, ((name, _), p) in enumerate(zip(quantiles, at, strict=True))])
 
 
 def dataset_stats(
@@ -144,7 +100,7 @@ def dataset_stats(
         qs = exact_quantiles(long, GROUP, "x", QUANTILES, accuracy, summary=summary)
     else:
         qs = summary.select(*GROUP, *[F.col("_probe")[3 * i + 2].alias(n) for i, (n, _) in enumerate(QUANTILES)])
-    return moments.join(qs, GROUP, "inner")
+    return moments.join(qs, GROUP, "left")
 
 
 def dataset_counts(df: DataFrame, key: str = "dataset_name", traj: str = "traj_id") -> DataFrame:
@@ -161,9 +117,11 @@ def dataset_counts(df: DataFrame, key: str = "dataset_name", traj: str = "traj_i
 
 def stats_struct(stats_long: DataFrame, mask: Sequence[bool] | None = None) -> DataFrame:
     """Pack long stats into one struct of arrays per (dataset_name, field), dims in order.
-    ``mask`` (P10) attaches ``action_normalization_mask`` to the action field."""
+    ``mask`` (P10) attaches ``action_normalization_mask`` to the action field; without it a
+    ``mask`` column of the statistics (a loaded file) is kept."""
+    stored = ["mask"] if mask is None and "mask" in stats_long.columns else []
     packed = stats_long.groupBy("dataset_name", "field").agg(
-        F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "max", "min", "q01", "q99"))).alias("s")
+        F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "max", "min", "q01", "q99", *stored))).alias("s")
     )
     fields = ["mean", "std", "max", "min", "q01", "q99"]
     def getter(name):
@@ -176,6 +134,8 @@ def stats_struct(stats_long: DataFrame, mask: Sequence[bool] | None = None) -> D
             F.raise_error(F.lit(f"the normalization mask has {len(mask)} entries, the action another number"))
         )
         mcol = F.when(F.col("field") == "action", check).otherwise(F.lit(None).cast("array<boolean>")).alias("mask")
+    elif stored:
+        mcol = F.when(F.exists("s", lambda e: e["mask"].isNotNull()), F.transform("s", getter("mask"))).alias("mask")
     else:
         mcol = F.lit(None).cast("array<boolean>").alias("mask")
     return packed.select("dataset_name", "field", F.struct(*cols, mcol).alias("stats"))

@@ -97,19 +97,19 @@ SELECT dataset_name, count(*) AS num_transitions, count(DISTINCT traj_id) AS num
 FROM steps_a GROUP BY dataset_name"""
 
 
-@oracle("normalize_chunk")
-def _():
+def chunk_sums(keep: str = "") -> str:
+    """Normalized chunks of six slots by one window pass, as sums by episode, slot and dimension."""
+    ahead = ", ".join(f"lead(nx, {k}, 0.0) OVER w" for k in range(1, 6))
     return "WITH " + STEPS + LONG + STATS + NORM_Q99 + f""",
-lens AS (SELECT dataset_name, traj_id, max(t) + 1 AS n FROM steps_a GROUP BY ALL),
-tgt AS (
-  SELECT n0.dataset_name, n0.traj_id, n0.t, n0.dim, sl.slot, lens.n
-  FROM norm n0 JOIN lens USING (dataset_name, traj_id), (SELECT unnest(range(0, 6)) AS slot) sl
-  WHERE n0.field = 'action')
-SELECT tgt.dataset_name, tgt.traj_id, CAST(tgt.t AS BIGINT) AS t, CAST(tgt.slot AS BIGINT) AS slot, CAST(tgt.dim AS BIGINT) AS dim,
-       {R("CASE WHEN tgt.t + tgt.slot > tgt.n - 1 THEN 0.0 ELSE src.nx END")} AS value
-FROM tgt JOIN norm src
-  ON src.field = 'action' AND src.dataset_name = tgt.dataset_name AND src.traj_id = tgt.traj_id
- AND src.dim = tgt.dim AND src.t = least(tgt.t + tgt.slot, tgt.n - 1)"""
+ch AS (SELECT dataset_name, traj_id, t, dim, [nx, {ahead}] AS c FROM norm WHERE field = 'action'
+       WINDOW w AS (PARTITION BY dataset_name, traj_id, dim ORDER BY t)),
+ex AS (SELECT dataset_name, traj_id, t, dim, unnest(range(0, 6)) AS slot, unnest(c) AS v FROM ch)
+SELECT dataset_name, traj_id, CAST(slot AS BIGINT) AS slot, CAST(dim AS BIGINT) AS dim, count(*) AS n,
+       {R('sum(round(v, 6))')} AS total, {R('sum(round(v, 6) * (t + 1))')} AS weighted
+FROM ex {keep} GROUP BY dataset_name, traj_id, slot, dim"""
+
+
+ORACLE["normalize_chunk"] = chunk_sums()
 
 
 W = "PARTITION BY dataset_name, traj_id"
@@ -340,8 +340,9 @@ ORACLE["resolve_mixture"] = "WITH " + SPEC + f"""
 SELECT mix, dataset_name, {R('weight')} AS weight, CAST(pos AS BIGINT) AS pos FROM res WHERE dataset_name <> 'src19'"""
 ORACLE["registry_join"] = "WITH " + MIX + ", " + SPEC + f"""
 SELECT res.mix, res.dataset_name, {R('res.weight')} AS weight, mix.size FROM res JOIN mix USING (dataset_name)"""
-ORACLE["registry_anti"] = """WITH c AS (SELECT DISTINCT source AS name FROM documents WHERE lang = 'de'),
-f AS (SELECT DISTINCT source AS name FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang = 'fr')
+ORACLE["registry_anti"] = """WITH n AS (
+  SELECT concat_ws('/', source, lang, CAST(n_chars % 7 AS VARCHAR)) AS name, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents),
+c AS (SELECT DISTINCT name FROM n WHERE NOT labelled), f AS (SELECT DISTINCT name FROM n WHERE labelled)
 SELECT name, 'config_only' AS side FROM c ANTI JOIN f USING (name)
 UNION ALL SELECT name, 'function_only' AS side FROM f ANTI JOIN c USING (name)"""
 ORACLE["mixture_report"] = "WITH " + MIX + f"""
@@ -357,14 +358,15 @@ SELECT dataset_name, array_to_string(list_sort(list_filter(['de', 'en', 'es', 'f
 FROM (SELECT source AS dataset_name, list(DISTINCT lang) AS views FROM documents GROUP BY source)"""
 
 
-DIALOGUE = """pr AS (SELECT conv_id, turn, role, text,
-             lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt
-           FROM conversations),
-pairs AS (SELECT conv_id, turn, nt AS assistant, text AS utext,
+DIALOGUE = """pr AS (SELECT conv_id, turn, role, text, coalesce(sum(CAST(role = 'assistant' AS INTEGER)) OVER (
+             PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM conversations),
+sg AS (SELECT conv_id, seg, min(turn) AS turn, coalesce(max(text) FILTER (role = 'assistant'), '') AS assistant,
+              coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS utext FROM pr GROUP BY conv_id, seg),
+pairs AS (SELECT conv_id, turn, assistant, utext,
              './audio/' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.wav' AS path,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
              count(*) OVER (PARTITION BY conv_id) AS np
-          FROM pr WHERE role = 'user' AND nr = 'assistant'),
+          FROM sg),
 dlg AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN arg_max(assistant, turn) ELSE '' END AS response,
             'img/' || CAST(conv_id AS VARCHAR) AS image, 'img/' || CAST(conv_id AS VARCHAR) || '_0' AS first_frame_image,
             string_agg('<robot_action_' || CAST(length(assistant) % 2048 AS VARCHAR) || '>', '' ORDER BY turn) AS act_text,
@@ -432,7 +434,7 @@ SELECT instruction, CAST(n_speech AS BIGINT) AS n_speech, first_response, last_r
 
 ORACLE["attach_dialogue"] = "WITH " + DIALOGUE + CATALOG + ", " + STEPS + """
 SELECT s.dataset_name, s.traj_id, CAST(s.t AS BIGINT) AS t, s.language_instruction AS task, CAST(c.n_speech AS BIGINT) AS n_conv
-FROM steps s JOIN cat c ON c.instruction = s.language_instruction WHERE s.language_instruction <> ''"""
+FROM steps s LEFT JOIN cat c ON c.instruction = s.language_instruction AND s.language_instruction <> ''"""
 
 
 RO = "ro AS (SELECT event_type AS task, event_id AS episode, value > 50 AS success FROM events)"
@@ -650,10 +652,14 @@ SELECT DISTINCT ch.dataset_name, ch.traj_id, CAST(ch.t AS BIGINT) AS t FROM ch J
 STATS_OUT = f"""
 SELECT dataset_name, field, CAST(dim AS BIGINT) AS dim, {R('mean')} AS mean, {R('std')} AS std, {R('max')} AS max, {R('min')} AS min,
        {R('q01')} AS q01, {R('q99')} AS q99 FROM stats"""
-ORACLE["stats_roundtrip"] = ORACLE["dataset_stats"]
+ORACLE["stats_roundtrip"] = "WITH " + STEPS + LONG + STATS + f""",
+counts AS (SELECT dataset_name, count(*) AS num_transitions, count(DISTINCT traj_id) AS num_trajectories FROM steps_a GROUP BY dataset_name)
+SELECT dataset_name, field, CAST(dim AS BIGINT) AS dim, {R('mean')} AS mean, {R('std')} AS std, {R('max')} AS max, {R('min')} AS min,
+       {R('q01')} AS q01, {R('q99')} AS q99, CASE WHEN field = 'action' THEN dim < 6 END AS mask, num_transitions, num_trajectories
+FROM stats JOIN counts USING (dataset_name)"""
 ORACLE["cached_stats"] = ORACLE["dataset_stats"]
 ORACLE["synthetic_steps"] = f"""
-SELECT event_id, 'do something spectacular' AS language_instruction, CAST(d.dim AS BIGINT) AS dim,
+SELECT event_id, 'move the red block to the left' AS language_instruction, CAST(d.dim AS BIGINT) AS dim,
        {R(u01_sql(SEED, 'event_id', 'd.dim'))} AS value FROM events, (SELECT unnest(range(0, 7)) AS dim) d"""
 ORACLE["dataset_stats_vectors"] = """WITH long AS (
   SELECT 'v' || CAST(label AS VARCHAR) AS dataset_name, 'action' AS field, CAST(d.dim AS INTEGER) AS dim, CAST(embedding[d.dim + 1] AS DOUBLE) AS x
@@ -698,9 +704,8 @@ SELECT tg.dataset_name, tg.traj_id, CAST(tg.t AS BIGINT) AS t, CAST(tg.goal_t2 A
        {R("CASE WHEN tg.t + tg.off > tg.n - 1 THEN (CASE WHEN tg.dim = 6 THEN y.action[tg.dim + 1] ELSE 0.0 END) ELSE y.action[tg.dim + 1] END")} AS value
 FROM tg JOIN b y ON y.dataset_name = tg.dataset_name AND y.traj_id = tg.traj_id AND y.t = least(greatest(tg.t + tg.off, 0), tg.n - 1)"""
 
-ORACLE["single_pipeline"] = ORACLE["normalize_chunk"].replace(
-    "lens AS (SELECT dataset_name, traj_id, max(t) + 1 AS n FROM steps_a GROUP BY ALL)",
-    "lens AS (SELECT dataset_name, traj_id, max(t) + 1 AS n FROM steps_a GROUP BY ALL HAVING bool_or(language_instruction <> ''))")
+ORACLE["single_pipeline"] = chunk_sums("""SEMI JOIN (SELECT dataset_name, traj_id FROM steps_a GROUP BY ALL
+  HAVING bool_or(language_instruction <> '')) l USING (dataset_name, traj_id)""")
 
 ORACLE["interleaved_pipeline"] = "WITH " + STEPS + f""",
 mix AS (SELECT dataset_name, count(*) AS size, CAST(substr(dataset_name, 3) AS INTEGER) AS pos,
@@ -731,7 +736,7 @@ ORACLE["std_autolab_ur5"] = _std(f"""SELECT dataset_name, traj_id, t, list_conca
 ORACLE["rand_swap"] = "WITH " + STEPS + f"""
 SELECT {KT}, CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#1' ELSE image || '#2' END AS exterior_image_1_left,
        CASE WHEN {u01_sql(SEED, 'dataset_name', 'traj_id')} > 0.5 THEN image || '#2' ELSE image || '#1' END AS exterior_image_2_left FROM steps"""
-ORACLE["read_steps"] = "WITH " + STEPS + f"\nSELECT {KT}, event_id, image FROM steps WHERE dataset_name = 'ds2'"
+ORACLE["read_steps"] = "WITH " + STEPS + f"\nSELECT {KT}, event_id, image FROM steps"
 
 # the next accepted step is the first one more than the gap after the last accepted one
 ORACLE["rate_gate"] = """WITH RECURSIVE acc AS (
@@ -740,3 +745,58 @@ ORACLE["rate_gate"] = """WITH RECURSIVE acc AS (
   SELECT a.user_id, arg_min(e.event_id, (e.ts, e.event_id)) AS event_id, min(e.ts) AS ts
   FROM acc a JOIN events e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 4 HOUR GROUP BY a.user_id, a.ts)
 SELECT user_id AS traj_id, event_id, event_id IN (SELECT event_id FROM acc) AS accepted FROM events"""
+
+# ----------------------------------------------------------------------------- raw mixtures
+RAW = STEPS + """,
+names AS (SELECT * FROM (VALUES (0, 'bridge_oxe'), (1, 'fractal20220817_data'), (2, 'libero_spatial_no_noops'), (3, 'taco_play'),
+                                (4, 'tdroid_carrot_in_bowl')) v(k5, name)),
+r AS (SELECT s.* EXCLUDE (dataset_name), n.name AS dataset_name, n.k5, max(s.t) OVER (PARTITION BY s.traj_id) AS tmax,
+             -- relative gripper: last step beyond the threshold, before the first one its opposite, else open
+             last_value(CASE WHEN rel_gripper < -0.1 THEN 1 WHEN rel_gripper > 0.1 THEN -1 END IGNORE NULLS) OVER (
+               PARTITION BY s.traj_id ORDER BY s.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g_before,
+             first_value(CASE WHEN rel_gripper < -0.1 THEN 1 WHEN rel_gripper > 0.1 THEN -1 END IGNORE NULLS) OVER (
+               PARTITION BY s.traj_id ORDER BY s.t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS g_first,
+             -- absolute gripper: the next decided value, else the episode's last raw one
+             first_value(CASE WHEN gripper > 0.95 THEN 1.0 WHEN gripper < 0.05 THEN 0.0 END IGNORE NULLS) OVER (
+               PARTITION BY s.traj_id ORDER BY s.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g_next,
+             last_value(gripper) OVER (PARTITION BY s.traj_id ORDER BY s.t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS g_last,
+             lead(state) OVER (PARTITION BY s.traj_id ORDER BY s.t) AS next_state
+      FROM steps s JOIN names n ON n.k5 = s.traj_id % 5),
+std AS MATERIALIZED (
+  SELECT dataset_name, traj_id, CASE WHEN k5 = 0 THEN t - 1 ELSE t END AS t, event_id, language_instruction,
+         CASE k5 WHEN 0 THEN list_concat(list_transform(range(1, 7), lambda i: next_state[i] - state[i]), [CASE WHEN gripper > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END])
+                 WHEN 1 THEN list_concat(world_vector, rotation_delta, [coalesce(g_before, -g_first, 1) / 2.0::DOUBLE + 0.5])
+                 WHEN 2 THEN list_concat(world_vector, rotation_delta, [1.0::DOUBLE - greatest(least(gripper * 2 - 0.5, 1.0), 0.0)])
+                 WHEN 3 THEN list_concat(world_vector, rotation_delta, [greatest(least(rel_gripper * 1.5, 1.0), 0.0)::DOUBLE])
+                 ELSE list_concat(world_vector, rotation_delta, [coalesce(g_next, g_last)::DOUBLE]) END AS action,
+         CASE k5 WHEN 0 THEN list_concat(state[1:6], [state[8]]) WHEN 2 THEN list_concat(state[1:6], state[7:8])
+                 WHEN 3 THEN list_concat(state[1:6], [state[8]]) WHEN 4 THEN list_concat(state[1:6], [gripper]) END AS proprio
+  FROM r WHERE k5 <> 0 OR (t > 0 AND t < tmax))"""
+
+ORACLE["std_mixture"] = "WITH " + RAW + f"""
+SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, event_id, language_instruction, field, CAST(dim AS BIGINT) AS dim, {R('x')} AS value FROM (
+  SELECT dataset_name, traj_id, t, event_id, language_instruction, 'action' AS field, unnest(range(0, 7)) AS dim, unnest(action) AS x FROM std
+  UNION ALL SELECT dataset_name, traj_id, t, event_id, language_instruction, 'proprio', unnest(range(0, len(proprio))), unnest(proprio) FROM std WHERE proprio IS NOT NULL)"""
+
+ORACLE["single_pipeline_raw"] = "WITH " + RAW + f""",
+long AS MATERIALIZED (SELECT dataset_name, traj_id, t, 'action' AS field, unnest(range(0, 7)) AS dim, unnest(action) AS x FROM std)""" + STATS + NORM_Q99 + f""",
+ch AS (SELECT dataset_name, traj_id, t, dim, [nx, {", ".join(f"lead(nx, {k}, 0.0) OVER w" for k in range(1, 6))}] AS c FROM norm
+       WINDOW w AS (PARTITION BY dataset_name, traj_id, dim ORDER BY t)),
+ex AS (SELECT dataset_name, traj_id, t, dim, unnest(range(0, 6)) AS slot, unnest(c) AS v FROM ch)
+SELECT dataset_name, traj_id, CAST(slot AS BIGINT) AS slot, CAST(dim AS BIGINT) AS dim, count(*) AS n,
+       {R('sum(round(v, 6))')} AS total, {R('sum(round(v, 6) * (t + 1))')} AS weighted
+FROM ex GROUP BY dataset_name, traj_id, slot, dim"""
+
+ORACLE["interleaved_pipeline_raw"] = "WITH " + RAW + f""",
+mix AS (SELECT k5 AS pos, name AS dataset_name, 1.0::DOUBLE + k5 % 3 AS weight FROM names WHERE name IN (SELECT dataset_name FROM std)),
+mw AS (SELECT *, weight / sum(weight) OVER () AS sw FROM mix),
+cdf AS (SELECT dataset_name, pos, sum(sw) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+               row_number() OVER (ORDER BY pos) - 1 AS idx FROM mw),
+draws AS (SELECT r.draw, {u01_sql(SEED, 'r.draw')} AS u FROM (SELECT unnest(range(0, 4000)) AS draw) r),
+dd AS (SELECT draws.draw, least((SELECT count(*) FROM cdf WHERE cdf.hi <= draws.u), (SELECT count(*) FROM cdf) - 1) AS idx FROM draws),
+dk AS (SELECT draw, dataset_name, row_number() OVER (PARTITION BY dataset_name ORDER BY draw) - 1 AS k FROM dd JOIN cdf USING (idx)),
+fr AS (SELECT dataset_name, traj_id, t, language_instruction, row_number() OVER (PARTITION BY dataset_name ORDER BY traj_id, t) - 1 AS fi,
+              count(*) OVER (PARTITION BY dataset_name) AS size FROM std),
+j AS (SELECT dk.draw, dk.dataset_name, fr.traj_id, fr.t, fr.language_instruction FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size),
+p AS (SELECT *, row_number() OVER (ORDER BY {u01_sql(SEED + 3, 'draw')}, draw) - 1 AS pos FROM j)
+SELECT pos, CAST(floor(pos / 32) AS BIGINT) AS batch, draw, dataset_name, traj_id, CAST(t AS BIGINT) AS t, length(language_instruction) < 7 AS short FROM p"""

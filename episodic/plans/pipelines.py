@@ -8,6 +8,7 @@ loop over datasets.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from episodic.operators import episodes as E
 from episodic.operators import frames as FR
 from episodic.operators import mixture as MX
 from episodic.operators import normalize as N
+from episodic.operators import recipes as RC
 from episodic.operators import stats as S
 from episodic.session import materialize
 
@@ -78,25 +80,60 @@ def episode_pipeline(df: DataFrame, o: TrajOptions) -> DataFrame:
     return df
 
 
+def standardized(df: DataFrame, datasets: Sequence[str] | Mapping[str, str] | None, keep: Sequence[str]) -> DataFrame:
+    """The steps of a raw mixture by their datasets' recipes, written once (all later passes read
+    them); steps that are standardized already (``datasets`` None) as they are.  A kept column
+    takes the last part of its name."""
+    if datasets is None:
+        return df
+    out = RC.standardize_mixture(df, datasets, keep).drop(E.BLK)
+    for c in keep:
+        out = out.withColumnRenamed(c, c.rsplit(".", 1)[-1])
+    return materialize(out)
+
+
+def transformed(df: DataFrame, by: Mapping[str, Callable[[DataFrame], Column]]) -> DataFrame:
+    """Hook ``batch_transform``: columns computed from the frame's own, all in one projection.  A
+    value may be a mapping from dataset names to functions (the name ``*`` stands for the others):
+    rows take the column of their dataset, null where it has none."""
+
+    def column(of) -> Column:
+        if callable(of):
+            return of(df)
+        out = F.when(F.lit(False), F.lit(None))
+        for name, fn in of.items():
+            if name != "*":
+                out = out.when(F.col("dataset_name") == name, fn(df))
+        return out.otherwise(of["*"](df)) if "*" in of else out
+
+    return df.withColumns({name: column(of) for name, of in by.items()}) if by else df
+
+
 def single_pipeline(df: DataFrame, o: TrajOptions, kind: str = "bounds_q99", stats_long: DataFrame | None = None,
-                    action_normalization_mask: list[bool] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One dataset: statistics (unless given) -> normalize -> W13.
-    Returns (frames, statistics, counts)."""
+                    action_normalization_mask: list[bool] | None = None, datasets: Sequence[str] | Mapping[str, str] | None = None,
+                    keep: Sequence[str] = (), batch_transform: Mapping | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recipe (raw steps: ``datasets`` names them) -> statistics (unless given) -> normalize
+    -> W13 -> batch transform.  Returns (frames, statistics, counts)."""
+    df = standardized(df, datasets, keep)
     stats_long = stats_long if stats_long is not None else S.dataset_stats(df)
     counts = S.dataset_counts(df)
     st = S.stats_struct(stats_long, action_normalization_mask)
-    frames = episode_pipeline(N.normalize(df, st, kind), o)
+    frames = transformed(episode_pipeline(N.normalize(df, st, kind), o), batch_transform or {})
     return frames, stats_long, counts
 
 
 def interleaved_pipeline(df: DataFrame, weights: DataFrame, o: TrajOptions, seed: int, n: int | None = None,
                          batch_size: int | None = None, balance: bool = False, kind: str = "bounds_q99",
-                         chunk_filter: Column | None = None, val_frames: int | None = None) -> DataFrame:
-    """The whole mixture job over the union of standardized datasets:
+                         chunk_filter: Column | None = None, val_frames: int | None = None,
+                         datasets: Sequence[str] | Mapping[str, str] | None = None, keep: Sequence[str] = (),
+                         batch_transform: Mapping | None = None) -> DataFrame:
+    """The whole mixture job over the steps of all datasets, raw (``datasets`` names them and
+    their recipes run first) or standardized:
     stats -> weights -> normalize -> W13 -> F4 -> weighted draws (U1) -> validation take
-    (T2, eval only) -> full shuffle (T1) -> batches (T3).
+    (T2, eval only) -> full shuffle (T1) -> batches (T3) -> batch transform.
 
     ``weights`` rows: dataset_name, weight, pos."""
+    df = standardized(df, datasets, keep)
     counts = S.dataset_counts(df)
     st = S.stats_struct(S.dataset_stats(df))
     frames = episode_pipeline(N.normalize(df, st, kind), o)
@@ -113,4 +150,4 @@ def interleaved_pipeline(df: DataFrame, weights: DataFrame, o: TrajOptions, seed
     out = FR.shuffle_positions(drawn, seed + 3, ["draw"], "pos")
     if batch_size:
         out = FR.batch_ids(out, batch_size)
-    return out
+    return transformed(out, batch_transform or {})

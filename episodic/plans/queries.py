@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from episodic.operators import episodes as E
 from episodic.operators import normalize as N
+from episodic.operators import registry as RG
 from episodic.operators import stats as S
 from episodic.plans.common import explode_chunk, r6
 from episodic.functions.rand import u01
@@ -68,7 +69,15 @@ def normalize_chunk(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("t", F.col("t").cast("bigint"))
 
 
-query("normalize_chunk")(normalize_chunk)
+def _chunk_sums(ex: DataFrame) -> DataFrame:
+    """Chunk values in long form, as sums by episode, slot and dimension."""
+    return ex.groupBy("dataset_name", "traj_id", "slot", "dim").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"), r6(F.sum(F.col("value") * (F.col("t") + 1))).alias("weighted"))
+
+
+@query("normalize_chunk")
+def q_normalize_chunk(spark, d):
+    return _chunk_sums(normalize_chunk(spark, d))
 
 
 # ----------------------------------------------------------------------------- sequence operators
@@ -311,18 +320,15 @@ def q_resolve_mixture(spark, d):
 def q_registry_join(spark, d):
     res = MX.resolve_mixture(T.mixture_spec(spark, d))
     sizes = T.mixture(spark, d).select("dataset_name", "size")
-    return res.join(sizes, "dataset_name", "inner").select("mix", "dataset_name", r6("weight").alias("weight"), "size")
+    return RG.registry_join(res, sizes).select("mix", "dataset_name", r6("weight").alias("weight"), "size")
 
 
 @query("registry_anti")
 def q_registry_anti(spark, d):
-    docs = T.read_table(spark, d, "documents", ["doc_id", "lang", "source"])
-    labels = T.read_table(spark, d, "labels", ["doc_id"])
-    configs = docs.filter(F.col("lang") == "de").select(F.col("source").alias("name")).distinct()
-    fns = docs.join(labels, "doc_id", "left_semi").filter(F.col("lang") == "fr").select(F.col("source").alias("name")).distinct()
-    a = configs.join(fns, "name", "left_anti").withColumn("side", F.lit("config_only"))
-    b = fns.join(configs, "name", "left_anti").withColumn("side", F.lit("function_only"))
-    return a.unionByName(b)
+    docs = T.read_table(spark, d, "documents", ["doc_id", "lang", "source", "n_chars"])
+    labelled = T.read_table(spark, d, "labels", ["doc_id"]).distinct().withColumn("labelled", F.lit(True))
+    names = docs.join(labelled, "doc_id", "left").select(F.concat_ws("/", "source", "lang", (F.col("n_chars") % 7).cast("string")).alias("name"), "labelled")
+    return RG.registry_difference(names.where("labelled IS NULL"), names.where("labelled"), "name", "config_only", "function_only")
 
 
 @query("mixture_report")
@@ -332,26 +338,20 @@ def q_mixture_report(spark, d):
 
 @query("union_datasets")
 def q_union(spark, d):
-    a = T.steps(spark, d).select(*EP, "t", "action")
-    b = T.vectors(spark, d).select(*EP, "t", "action")
-    u = a.unionByName(b)
+    u = RG.union_datasets([T.steps(spark, d), T.vectors(spark, d)], [*EP, "t", "action"])
     return u.groupBy("dataset_name").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.max(F.size("action")).cast("bigint").alias("dims"))
 
 
 @query("key_difference")
 def q_key_difference(spark, d):
     cv = T.read_table(spark, d, "conversations", ["conv_id", "role"])
-    req = F.array(F.lit("assistant"), F.lit("system"), F.lit("user"))
-    g = cv.groupBy("conv_id").agg(F.collect_set("role").alias("present"))
-    return g.select("conv_id", F.array_join(F.array_sort(F.array_except(req, "present")), ",").alias("missing"))
+    return RG.missing_values(cv, ["conv_id"], "role", ["assistant", "system", "user"], "missing")
 
 
 @query("views_check")
 def q_views_check(spark, d):
-    docs = T.read_table(spark, d, "documents", ["source", "lang"])
-    req = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr", "it")])
-    g = docs.groupBy(F.col("source").alias("dataset_name")).agg(F.collect_set("lang").alias("views"))
-    return g.select("dataset_name", F.array_join(F.array_sort(F.array_except(req, "views")), ",").alias("missing_views"))
+    docs = T.read_table(spark, d, "documents", ["source", "lang"]).withColumnRenamed("source", "dataset_name")
+    return RG.missing_values(docs, ["dataset_name"], "lang", ["de", "en", "es", "fr", "it"], "missing_views")
 
 
 # ----------------------------------------------------------------------------- dialogue
@@ -422,8 +422,7 @@ def q_instruction_catalog(spark, d):
 @query("attach_dialogue")
 def q_attach_dialogue(spark, d):
     cat = D.instruction_catalog(_catalog_items(spark, d))
-    st = T.steps(spark, d).filter(F.col("language_instruction") != "").select(*EP, "t", F.col("language_instruction").alias("task"))
-    st = st.join(cat.select(F.col("instruction").alias("task")), "task", "left_semi")  # tasks with a dialogue entry
+    st = T.steps(spark, d).select(*EP, "t", F.col("language_instruction").alias("task"))
     out = D.attach_dialogue(st, cat, "task")
     return out.select(*EP, F.col("t").cast("bigint").alias("t"), "task", F.size("entry.conv").cast("bigint").alias("n_conv"))
 
@@ -581,35 +580,50 @@ def q_stream_success(spark, d):
     return out.select("task", "episodes", "successes", r6("rate").alias("rate"))
 
 
+def _event_spool(events, hours=6.0):
+    """``events`` arriving up to ``hours`` late, in files that interleave, and the delay for it."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    close = events.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    close = close.select(*[F.col(c) if c == "ts" else F.lit(None).alias(c) for c in events.columns])
+    stream, delay = SS.spooled(events, ts, hours * 3600, "event_id", close)
+    return stream, f"{int(delay) + 1} seconds"
+
+
 @query("rate_gate")
 def q_rate_gate(spark, d):
-    ev = SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA)
-    st = ev.select(F.col("user_id").alias("traj_id"), "event_id", "ts")
-    return SS.run_append(SS.rate_gate(st, 4 * 3600.0), "rate_gate")
+    ev = T.read_table(spark, d, "events", ["user_id", "event_id", "ts"])
+    stream, delay = _event_spool(ev.withColumnRenamed("user_id", "traj_id"))
+    return SS.run_append(SS.rate_gate(stream, 4 * 3600.0, delay=delay), "rate_gate")
 
 
 @query("stream_act_mode")
 def q_stream_act_mode(spark, d):
-    cv = SS.read_stream(spark, d, "conversations", SS.CONV_SCHEMA).filter(F.col("role") == "assistant")
+    cv = T.read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
     cv = cv.withColumn("text", F.concat("text", F.when(F.length("text") % 5 == 0, F.lit(" [ACT]")).otherwise(F.lit(""))))
-    return SS.run_append(SS.stream_act_mode(cv, limit=3), "stream_act_mode")
+    # turns arrive up to three turns late, in files that interleave
+    stream, _ = SS.spooled(cv, F.col("turn").cast("double"), 3.0, "text", cv.limit(0))
+    return SS.run_append(SS.stream_act_mode(stream, limit=3), "stream_act_mode")
 
 
 @query("stream_rel2abs")
 def q_stream_rel2abs(spark, d):
-    st = SS.stream_steps(SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA))
+    st = SS.stream_steps(T.read_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]))
     # a user's last event releases the steps that no click or purchase has decided
-    ends = T.read_table(spark, d, "events", ["user_id", "event_id"]).groupBy("user_id").agg(F.max("event_id").alias("last_id"))
-    st = st.join(ends, F.col("traj_id").eqNullSafe(F.col("user_id")), "left").withColumn("last", F.coalesce(F.col("event_id") == F.col("last_id"), F.lit(False)))
-    out = SS.run_append(SS.stream_rel2abs(st, last="last"), "stream_rel2abs")
+    ends = st.groupBy("traj_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
+    st = st.select("traj_id", "event_id", "ts", "rel_gripper").join(ends, "traj_id").select(
+        "traj_id", "event_id", "ts", "rel_gripper", (F.col("event_id") == F.col("last_id")).alias("last"))
+    stream, delay = _event_spool(st)
+    out = SS.resolve_marks(SS.run_append(SS.rel2abs_marks(stream, delay=delay), "stream_rel2abs"))
     return out.select("traj_id", "event_id", r6("value").alias("value"))
 
 
 @query("stream_interval_loss")
 def q_stream_interval_loss(spark, d):
-    ev = SS.read_stream(spark, d, "events", SS.EVENTS_SCHEMA)
+    ev = T.read_table(spark, d, "events", ["event_id", "value"])
     m = ev.select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss"))
-    out = SS.run_update(SS.stream_interval_loss(m, 100), "stream_interval_loss", ["interval"])
+    close = m.agg((F.max("step") * 2 + 1_000_000_000).alias("step")).select("step", F.lit(None).alias("loss"))
+    stream, delay = SS.spooled(m, F.col("step").cast("double"), 500.0, "step", close)
+    out = SS.run_append(SS.closed_interval_loss(stream, 100, int(delay) + 1), "stream_interval_loss")
     out = out.filter(F.col("max_step") >= F.col("interval") * 100)
     return out.select((F.col("interval") * 100).cast("bigint").alias("steps"), r6(F.col("loss_sum") / 100.0).alias("train_loss"))
 
@@ -829,9 +843,11 @@ def q_zero_action_filter(spark, d):
 def q_stats_roundtrip(spark, d):
     st = T.steps(spark, d)
     path = SK.scratch_path(spark, "stats")
-    SIO.save_stats(S.dataset_stats(st), S.dataset_counts(st), path)
+    masked = S.dataset_stats(st).withColumn("mask", F.when(F.col("field") == "action", F.col("dim") < 6))
+    SIO.save_stats(masked, S.dataset_counts(st), path)
     back = SIO.load_stats(spark, path)
-    return back.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"), *[r6(c).alias(c) for c in SIO.STAT_FIELDS])
+    return back.select("dataset_name", "field", F.col("dim").cast("bigint").alias("dim"), *[r6(c).alias(c) for c in SIO.STAT_FIELDS],
+                       "mask", "num_transitions", "num_trajectories")
 
 
 @query("cached_stats")
@@ -907,8 +923,7 @@ def q_single_pipeline(spark, d):
     st = T.steps(spark, d).select(*EP, "t", "action", "proprio", "image", "language_instruction")
     o = PL.TrajOptions(train=False, window=1, future=5, skip_unlabeled=True)
     frames, _, counts = PL.single_pipeline(st, o)
-    ex = explode_chunk(frames.select(*EP, "t", "action_chunk"), [*EP, "t"], "action_chunk")
-    return ex.withColumn("t", F.col("t").cast("bigint"))
+    return _chunk_sums(explode_chunk(frames.select(*EP, "t", "action_chunk"), [*EP, "t"], "action_chunk"))
 
 
 def _steps_weights(spark, d):
@@ -938,5 +953,44 @@ def q_read_steps(spark, d):
 
     path = SK.scratch_path(spark, "steps")
     SI.write_steps(T.steps(spark, d).select(*EP, "t", "event_id", "action", "image"), path)
-    back = SI.read_steps(spark, path, dataset="ds2", columns=["event_id", "image"])
+    back = SI.read_steps(spark, path, columns=["event_id", "image"])
     return back.select(*EP, F.col("t").cast("bigint").alias("t"), "event_id", "image")
+
+
+# ----------------------------------------------------------------------------- raw mixtures
+from episodic.operators import recipes as RC  # noqa: E402
+from episodic.session import materialize  # noqa: E402
+
+
+def _raw_mixture(spark, d):
+    """The raw steps as a table, as a source would have them."""
+    return materialize(RC.raw_mixture(T.raw_datasets(spark, d)))
+
+
+@query("std_mixture")
+def q_std_mixture(spark, d):
+    """Five source formats in one frame, standardized by one plan."""
+    out = RC.standardize_mixture(_raw_mixture(spark, d), T.RAW_DATASETS, keep=["event_id"])
+    parts = F.array(F.struct(F.lit("action").alias("field"), F.col("action").alias("v")), F.struct(F.lit("proprio").alias("field"), F.col("proprio").alias("v")))
+    out = out.select(*EP, "t", "event_id", "language_instruction", F.explode(parts).alias("p"))
+    out = out.select(*EP, "t", "event_id", "language_instruction", F.col("p.field").alias("field"), F.posexplode("p.v").alias("dim", "x"))
+    return _kt(out.select(*EP, "t", "event_id", "language_instruction", "field", F.col("dim").cast("bigint").alias("dim"), r6("x").alias("value")))
+
+
+@query("single_pipeline_raw")
+def q_single_pipeline_raw(spark, d):
+    """U6 from raw steps: recipe, statistics, normalization, chunks, as sums by episode, slot and dimension."""
+    o = PL.TrajOptions(train=False, window=1, future=5)
+    frames, _, _ = PL.single_pipeline(_raw_mixture(spark, d), o, datasets=T.RAW_DATASETS, keep=["observation.image"])
+    return _chunk_sums(explode_chunk(frames.select(*EP, "t", "action_chunk"), [*EP, "t"], "action_chunk"))
+
+
+@query("interleaved_pipeline_raw")
+def q_interleaved_raw(spark, d):
+    """U5 from raw steps of five source formats, with a batch transform."""
+    o = PL.TrajOptions(train=True, window=1, future=2, seed=SEED)
+    raw = _raw_mixture(spark, d)
+    names = spark.createDataFrame([(n, 1.0 + k % 3, k) for k, n in enumerate(T.RAW_DATASETS)], "dataset_name string, weight double, pos int")
+    out = PL.interleaved_pipeline(raw, names, o, SEED, 4000, 32, datasets=T.RAW_DATASETS, keep=["observation.image"],
+                                  batch_transform={"short": lambda c: F.length(c["language_instruction"]) < 7})
+    return out.select("pos", "batch", "draw", "dataset_name", "traj_id", F.col("t").cast("bigint").alias("t"), "short")

@@ -71,25 +71,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def materialize_counted(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, int]:
-    """Materialize ``df`` and return it (broadcast-hinted when at most ``max_rows`` rows) with
-    its row count, so callers can branch on the size without another job."""
-    from pyspark.sql import functions as F
-
-    m = materialize(df)
-    n = m.count()
-    return (F.broadcast(m) if n <= max_rows else m), n
+#: Rows and bytes (as JSON text) up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, materialized: bool = False) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise leave the join to Spark.
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, materialized: bool = False, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after checking its rows and bytes; otherwise leave the join to Spark.
 
-    ``df`` is materialized first (unless the caller already did) so the count is
-    cheap and the data is not recomputed per consumer.
+    ``df`` is materialized first (unless the caller already did), so one cheap scan measures it
+    and the data is not recomputed per consumer.
     """
-    m = df if materialized else materialize(df)
     from pyspark.sql import functions as F
 
-    if m.count() <= max_rows:
-        return F.broadcast(m)
-    return m
+    m = df if materialized else materialize(df)
+    rows, size = m.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in m.columns])))), F.lit(0))).first()
+    return F.broadcast(m) if rows <= max_rows and size <= max_bytes else m

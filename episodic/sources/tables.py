@@ -6,10 +6,11 @@ pushes filters into the scan.  Nothing here collects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodic.operators.episodes import add_timestep
+from episodic.operators.frames import running_totals
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -98,24 +99,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``dialogue``: one row per conversation in the reference's string encoding.
 
-    Adjacent (user, assistant) turns form a pair ``[USER]u[ASSISTANT]a``; pairs are
-    joined by ``[UNK]``; audio paths ``./audio/<conv>_<turn>.wav`` likewise; ``response``
-    is the last assistant text for even conv_id and '' for odd.
+    Every turn is in it: an assistant turn answers all turns since the one before it (system
+    and user texts, joined by a line break), together a pair ``[USER]u[ASSISTANT]a``; turns that
+    nobody answers form a last pair with an empty answer.  Pairs are joined by ``[UNK]``; audio
+    paths ``./audio/<conv>_<first turn>.wav`` likewise; ``response`` is the last answer for even
+    conv_id and '' for odd.  The number of answers before a turn is a running total in blocks,
+    so only the encoded record itself holds a conversation.
     """
     cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = (
-        cv.withColumn("next_role", F.lead("role").over(w))
-        .withColumn("next_text", F.lead("text").over(w))
-        .filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-        .select(
-            "conv_id",
-            "turn",
-            F.concat(F.lit("[USER]"), F.col("text"), F.lit("[ASSISTANT]"), F.col("next_text")).alias("pair"),
-            F.concat(F.lit("./audio/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".wav")).alias("path"),
-            F.col("next_text").alias("assistant"),
-        )
-    )
+    cv = cv.withColumn("_a", (F.col("role") == "assistant").cast("bigint"))
+    cv = running_totals(cv, ["conv_id"], ["turn"], ["_a"], "_cum")
+    said = F.when(F.col("_a") == 0, F.struct("turn", "text"))
+    pairs = cv.groupBy("conv_id", (F.col("_a_cum") - F.col("_a")).alias("pair")).agg(
+        F.min("turn").alias("turn"), F.array_sort(F.collect_list(said)).alias("u"), F.max(F.when(F.col("_a") == 1, F.col("text"))).alias("a"))
+    utext = F.array_join(F.transform("u", lambda s: F.coalesce(s["text"], F.lit(""))), "\n")
+    pairs = pairs.select(
+        "conv_id", "turn", F.coalesce("a", F.lit("")).alias("assistant"),
+        F.concat(F.lit("[USER]"), utext, F.lit("[ASSISTANT]"), F.coalesce("a", F.lit(""))).alias("pair"),
+        F.concat(F.lit("./audio/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".wav")).alias("path"))
     agg = pairs.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "pair", "path", "assistant"))).alias("p")
     )
@@ -230,3 +231,38 @@ def raw_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("image", F.lit("#1")).alias("exterior_image_1_left"),
         F.concat("image", F.lit("#2")).alias("exterior_image_2_left"),
     )
+
+
+#: Datasets of the raw mixture and the users that belong to each (user_id mod 5).
+RAW_DATASETS = ("bridge_oxe", "fractal20220817_data", "libero_spatial_no_noops", "taco_play", "tdroid_carrot_in_bowl")
+
+
+def raw_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw steps of five datasets, each in its own source's nested columns, derived from
+    ``steps``: the events of the users with user_id mod 5 = its place in ``RAW_DATASETS``."""
+    st = steps(spark, sf_dir)
+    spoken, state = F.col("language_instruction"), F.col("state")
+    step_id = ["traj_id", "t", "event_id"]
+
+    def of(k: int) -> DataFrame:
+        return st.where(F.col("traj_id") % 5 == k)
+
+    def s(*fields: Column) -> Column:
+        return F.struct(*fields)
+
+    bridge = of(0).select(
+        *step_id, s(F.col("world_vector"), F.col("rotation_delta"), (F.col("gripper") > 0.5).alias("open_gripper")).alias("action"),
+        s(state.alias("state"), spoken.alias("natural_language_instruction"), F.col("image").alias("image")).alias("observation"))
+    fractal = of(1).select(
+        *step_id, s(F.col("world_vector"), F.col("rotation_delta"), F.array("rel_gripper").alias("gripper_closedness_action")).alias("action"),
+        s(spoken.alias("natural_language_instruction"), F.col("image").alias("image")).alias("observation"))
+    libero = of(2).select(
+        *step_id, F.concat(F.slice("action", 1, 6), F.array(F.col("gripper") * 2 - 0.5)).alias("action"),
+        s(state.alias("state"), F.col("image").alias("image")).alias("observation"), spoken.alias("language_instruction"))
+    taco = of(3).select(
+        *step_id, s(F.concat(F.slice("action", 1, 6), F.array(F.col("rel_gripper") * 1.5)).alias("rel_actions_world")).alias("action"),
+        s(state.alias("robot_obs"), spoken.alias("natural_language_instruction"), F.col("image").alias("image")).alias("observation"))
+    tdroid = of(4).select(
+        *step_id, "action", s(F.slice("state", 1, 6).alias("cartesian_position"), F.array("gripper").alias("gripper_position"), F.col("image").alias("image")).alias("observation"),
+        spoken.alias("language_instruction"))
+    return dict(zip(RAW_DATASETS, (bridge, fractal, libero, taco, tdroid), strict=True))
