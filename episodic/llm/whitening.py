@@ -72,25 +72,36 @@ class Fit:
     """Passes over the fit list: exact sums, and sums over rows of functions of centred rows."""
 
     def __init__(self, rows: DataFrame):
-        self.list = written(rows.select("_x").distinct())
-        first = self.list.first()
-        self.d = len(first["_x"]) if first else 0
-        sums = self.list.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_x")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(self.d)]).first()
-        self.n = sums["n"]
-        self.sums = [int(sums[f"s{i}"]) for i in range(self.d)] if self.n else []
+        distinct = written(rows.select("_x").distinct())
+        first = distinct.first()
+        self.d = d = len(first["_x"]) if first else 0
+        got = distinct.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_x")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(d)]).first()
+        self.n = n = got["n"]
+        self.sums = sums = [int(got[f"s{i}"]) for i in range(d)] if n else []
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    c = np.ascontiguousarray(centred(_matrix(b.column(0), d), n, sums))
+                    offs = np.arange(b.num_rows + 1, dtype=np.int64) * 8 * d
+                    yield pa.RecordBatch.from_pydict({"c": pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs), pa.py_buffer(c)]).cast(pa.binary())})
+
+        # a centred row is the bytes of its d doubles: the passes read them as they are
+        self.rows = written(distinct.mapInArrow(pack, "c binary")) if d and n > 1 else None
 
     def total(self, of, size: int) -> np.ndarray:
         """Sum over all rows of ``of(centred block)``, an array of ``size`` numbers."""
-        n, sums, d = self.n, self.sums, self.d
+        d = self.d
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(size)
             for b in batches:
                 if b.num_rows:
-                    out += of(centred(_matrix(b.column(0), d), n, sums))
+                    col = b.column(0)
+                    out += of(np.frombuffer(col.buffers()[2], "<f8", b.num_rows * d, col.offset * 8 * d).reshape(b.num_rows, d))
             yield pa.RecordBatch.from_pydict({"p": pa.array([TaskContext.get().partitionId()], pa.int32()), "s": pa.array([out.tolist()], pa.list_(pa.float64()))})
 
-        got = sorted((r["p"], r["s"]) for r in self.list.mapInArrow(run, "p int, s array<double>").collect())
+        got = sorted((r["p"], r["s"]) for r in self.rows.mapInArrow(run, "p int, s array<double>").collect())
         return np.array([fsum(x) for x in zip(*[s for _, s in got], strict=True)]) if got else np.zeros(size)
 
 
