@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from episodic.llm import kernel as K
 from episodic.llm.common import table
-from episodic.llm.repeats import Fragments, Unit, grouped, repeated_spans, with_spans
-from episodic.llm.suffix_dedup import rank_doubling
+from episodic.llm.repeats import Fragments, Unit, grouped, groups, repeated_spans, with_spans
+from episodic.llm.suffix_dedup import _equal_spans, rank_doubling
 
 WORDS = Unit(window=50, gram=10, words=True, within=False)
 #: Words of a fragment that one stream feeds; longer fragments are fed as overlapping pieces.
@@ -74,8 +74,10 @@ class FMIndex:
             """For every row of the array the first one that shares ``depth`` symbols."""
             fits = self.sa + depth <= n
             digest = K.span_hash(h, self.sa, np.minimum(self.sa + depth, n))
+            same = np.flatnonzero((digest[1:] == digest[:-1]) & fits[1:] & fits[:-1]) + 1
+            same = same[_equal_spans(t, self.sa[same], self.sa[same - 1], np.full(len(same), depth))]  # by the symbols, not the hash alone
             new = np.ones(n, dtype=bool)
-            new[1:] = (digest[1:] != digest[:-1]) | ~fits[1:] | ~fits[:-1]
+            new[same] = False
             return np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
         self.shorter = blocks(window - 1)
@@ -138,8 +140,9 @@ def repeated_words(docs: DataFrame, unit: Unit = WORDS, id_col: str = "doc_id",
     share an id count as one document.  A null id is smaller than any other.  Other columns are
     not read.
     """
-    rows = grouped(docs, id_col, text_col)
-    found = repeated_spans(rows, unit, repeats_smaller, **sizes)
+    num = groups(docs, text_col)
+    rows = grouped(docs, id_col, text_col, num)
+    found = repeated_spans(rows, unit, repeats_smaller, num, **sizes)
 
     def report(left: pa.Table, texts: list[bytes], spans_of: list[list[tuple[int, int]]]) -> pa.Table:
         n, gone, kept = [], [], []

@@ -3,18 +3,19 @@
 A window of ``window`` tokens is filed under the least hash of its ``gram``-token parts, so equal
 windows always have one key.  Runs of neighbouring windows with one key form a fragment.
 
-1. every document: the keys of its fragments (map side: one entry for each key and document group),
-2. by key range: keys that occur once are dropped, the rest go back to their document groups,
+1. every document: the keys of its fragments, one row for each key and document group,
+2. keys that occur once are dropped, the rest go back to their document groups,
 3. by document group: fragments with a repeated key; equal ones are merged and sent to the shard
    of their key,
 4. by shard: an index over the distinct fragments (suffix array, FM-index) decides which windows
    repeat an earlier one,
 5. by document group: the spans meet their documents.
 
-Work and traffic grow with the text, not with pairs of shards.  All traffic is packed by group:
-a row is one (source, target) pair.  A key with more than ``HOT`` occurrences is filed again by
-the hash of the whole window, so even a passage that a third of all documents share is spread
-over all shards.
+All traffic is rows -- keys, fragments, spans -- so it grows with the text, not with pairs of
+groups or shards.  Document groups and shards are sized by bytes (``GROUP_BYTES``), however
+large the corpus is.  A key with more than ``HOT`` occurrences is filed again by the hash of the
+whole window, so even a passage that a third of all documents share is spread over all shards.
+Hashes only file: fragments are merged, and windows called equal, by their content.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodic.llm import kernel as K
@@ -33,7 +34,9 @@ from episodic.llm.common import parts
 #: Occurrences from which the windows of a key are filed one by one.
 HOT = 20_000
 #: Bytes of distinct fragments that one index holds; a shard with more is indexed in turns.
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 20
+#: Bytes of text of a document group, and of the texts whose fragments one shard gets, about.
+GROUP_BYTES = 1 << 22
 #: Bytes of a slice of texts, and tokens of a longer text, that are hashed at once.
 SEGMENT = 1 << 20
 
@@ -48,12 +51,19 @@ class Unit:
     within: bool  # repeats inside one document count
 
     def tokens(self, buf: np.ndarray, offs: np.ndarray):
-        """(tokens, offsets of each text's tokens, byte starts, byte ends)."""
+        """(tokens, offsets of each text's tokens, byte starts, byte ends); words as hashes."""
         if not self.words:
             return buf, offs, None, None
         s, e, woffs = K.words(buf, offs, ~K.SPACE)
         return K.word_hashes(buf, s, e), woffs, s, e
 
+    def exact(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, offsets of each text's tokens); words as numbers, one for each distinct word."""
+        if not self.words:
+            return buf, offs
+        s, e, woffs = K.words(buf, offs, ~K.SPACE)
+        return _classes(np.concatenate(([0], np.cumsum(e - s))), buf[~K.SPACE[buf]]), woffs
+
 
 @dataclass
 class Fragments:
@@ -70,22 +80,30 @@ class Fragments:
 Engine = Callable[[Fragments, Unit], np.ndarray]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+def _classes(offs: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A number for each byte string data[offs[i]:offs[i+1]], the same for equal strings only."""
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return strings.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, "<i8", len(kinds))
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
+def _merged(key: np.ndarray, offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first fragment of each distinct (key, bytes), class of each fragment)."""
+    code = _classes(offs, data)
+    order = np.lexsort((key, code))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (code[order][1:] != code[order][:-1]) | (key[order][1:] != key[order][:-1])
+    same = np.empty(len(order), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return order[new], same
 
 
-def _joined(column: pa.ChunkedArray, *kinds: str) -> list[np.ndarray]:
-    got = [_unpack(b.as_py(), *kinds) for b in column]
-    return [np.concatenate(x) if x else np.zeros(0, k) for k, x in zip(kinds, zip(*got) if got else [[]] * len(kinds), strict=True)]
+def _taken(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices data[start:start + length], one behind the other."""
+    return data[np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
 
 
 def _borders(sorted_keys: np.ndarray) -> np.ndarray:
@@ -94,19 +112,6 @@ def _borders(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate((np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))), [n])) if n else np.zeros(1, np.int64)
 
 
-def _identity(key: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    return K.mix(digest ^ (key * np.uint64(0xD6E8FEB86659FD93)))
-
-
-def _by_target(target: np.ndarray, kinds_arrays: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(target, kind="stable")
-    target = target[order]
-    cut = _borders(target)
-    arrays = [a[order] for a in kinds_arrays]
-    for i, j in zip(cut[:-1], cut[1:], strict=True):
-        yield int(target[i]), _pack(*[a[i:j] for a in arrays])
-
-
 def _runs(unit: Unit, buf: np.ndarray, offs: np.ndarray, segment: int = SEGMENT) -> Iterator[tuple]:
     """(token arrays and fragments) of slices of whole texts; a long text in overlapping segments.
 
@@ -144,29 +149,29 @@ def _tags(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(docs: DataFrame) -> int:
-    """Number of document groups and key ranges; it follows the shuffle partitions."""
-    return max(64, parts(docs.sparkSession))
+def groups(docs: DataFrame, text_col: str, group_bytes: int = GROUP_BYTES) -> int:
+    """Number of document groups, by the bytes of all texts; at least the shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("bigint"))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-size // group_bytes))
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_g, _id, _text): documents with their group."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, num: int) -> DataFrame:
+    """(_g, _id, _text): documents with their group, one of ``num``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.select(F.pmod(F.xxhash64("_id"), F.lit(groups(docs))).cast("int").alias("_g"), "_id", "_text")
+    return rows.select(F.pmod(F.xxhash64("_id"), F.lit(num)).cast("int").alias("_g"), "_id", "_text")
 
 
-def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT, index_bytes: int = INDEX_BYTES, segment: int = SEGMENT) -> DataFrame:
-    """(_g, spans): by document group, packed (id, tag, first token, end token) of the token spans
-    that repeat an earlier window; spans may overlap."""
-    ranges, shards = groups(rows), max(64, 4 * parts(rows.sparkSession))
+def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, num: int, hot: int = HOT, index_bytes: int = INDEX_BYTES, segment: int = SEGMENT) -> DataFrame:
+    """(_g, _id, _tag, start, end): the token spans that repeat an earlier window, by document
+    group (``num`` of them); spans may overlap."""
+    shards = max(64, 2 * num)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = batch.column("_g").to_numpy(zero_copy_only=False)
             buf, offs = K.buffer_of(batch.column("_text"))
-            all_keys, all_groups = [], []
             for i, _, _, key, _, _, text, again, *_ in _runs(unit, buf, offs, segment):
-                g = group[i + text].astype(np.uint32)
+                g = group[i + text].astype(np.int32)
                 if unit.within:  # a run that may repeat itself counts twice
                     key, g = np.concatenate((key, key[again])), np.concatenate((g, g[again]))
                 elif len(key):  # once for each document
@@ -174,101 +179,71 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
                     k, t = key[order], text[order]
                     first = np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
                     key, g = k[first], g[order][first]
-                all_keys.append(key)
-                all_groups.append(g)
-            if not all_keys:
-                continue
-            key, g = np.concatenate(all_keys), np.concatenate(all_groups)
-            order = np.lexsort((key, g))
-            key, g = key[order], g[order]
-            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (g[1:] != g[:-1])))) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(cut, len(key))).astype(np.uint32)
-            key, g = key[cut], g[cut]
-            got = list(_by_target((key % np.uint64(ranges)).astype(np.int64), [key, g, count]))
-            for at in range(0, len(got), 64):
-                yield pa.RecordBatch.from_pydict({"_p": pa.array([p for p, _ in got[at : at + 64]], pa.int32()), "keys": pa.array([b for _, b in got[at : at + 64]], pa.binary())})
-
-    def repeated(t: pa.Table) -> pa.Table:
-        key, g, count = _joined(t.column("keys"), "<u8", "<u4", "<u4")
-        order = np.argsort(key, kind="stable")
-        key, g, count = key[order], g[order], count[order]
-        cut = _borders(key)
-        total = np.repeat(np.add.reduceat(count, cut[:-1], dtype=np.int64), np.diff(cut)) if len(key) else count
-        more = total > 1
-        got = list(_by_target(g[more].astype(np.int64), [key[more], (total[more] > hot)]))
-        return pa.table({"_g": pa.array([x for x, _ in got], pa.int32()), "keys": pa.array([b for _, b in got], pa.binary())})
+                order = np.lexsort((g, key))
+                key, g = key[order], g[order]
+                cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (g[1:] != g[:-1])))) if len(key) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"_g": pa.array(g[cut]), "key": pa.array(key[cut].view(np.int64)), "n": pa.array(np.diff(np.append(cut, len(key))).astype(np.int32))})
 
     def fragments(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted, is_hot = _joined(right.column("keys"), "<u8", "?")
-        order = np.argsort(wanted, kind="stable")
-        wanted, is_hot = wanted[order], is_hot[order]
-        out_shard, out_blob = [], []
-        if len(wanted) and left.num_rows:
-            ids, (buf, offs) = _ids(left.column("_id")), K.buffer_of(left.column("_text"))
-            tags = _tags(buf, offs)
-            keys_, docs_, starts_, counts_, hashes_, lens_, pieces_ = [], [], [], [], [], [], []
-            for i, tok, h, key, start, count, text, _, first, s, e, part in _runs(unit, buf, offs, segment):
-                at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                hit = wanted[at] == key
-                key, start, count, text, heat = key[hit], start[hit], count[hit], text[hit], is_hot[at[hit]]
-                if heat.any():  # every window of a hot key by itself, filed by its own hash
-                    n = count[heat]
-                    each = np.repeat(start[heat], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    own = K.mix(K.span_hash(h, each, each + unit.window))
-                    key, start, text = (np.concatenate((x[~heat], y)) for x, y in ((key, own), (start, each), (text, np.repeat(text[heat], n))))
-                    count = np.concatenate((count[~heat], np.ones(len(each), count.dtype)))
-                if not len(key):
-                    continue
-                end = start + count + unit.window - 1
-                keys_.append(key)
-                docs_.append(i + text)
-                starts_.append(start - first[text])
-                counts_.append(count)
-                hashes_.append(K.span_hash(h, start, end))
-                if unit.words:  # words travel as their bytes with one space between
-                    b0, b1 = s[start], e[end - 1]
-                else:
-                    b0, b1 = start, end
-                lens_.append(b1 - b0)
-                pieces_ += [part[x:y] for x, y in zip(b0.tolist(), b1.tolist(), strict=True)]
-            if keys_:
-                key, doc, start, count, digest, length = (np.concatenate(x) for x in (keys_, docs_, starts_, counts_, hashes_, lens_))
-                _, first, same = np.unique(_identity(key, digest), return_index=True, return_inverse=True)
-                shard = (K.mix(key) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard[first], kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                same, first = rank[same], first[order]  # distinct fragments in shard order
-                by = np.argsort(same, kind="stable")
-                fcut, ocut = np.searchsorted(shard[first], np.arange(shards + 1)), np.searchsorted(shard[first][same[by]], np.arange(shards + 1))
-                for p in np.unique(shard).tolist():
-                    f, o = first[fcut[p] : fcut[p + 1]], by[ocut[p] : ocut[p + 1]]
-                    data = np.concatenate([pieces_[x] for x in f])
-                    out_shard.append(p)
-                    out_blob.append(_pack(key[f], digest[f], count[f].astype("<i8"), length[f].astype("<i8"), data,
-                                          (same[o] - fcut[p]).astype("<i8"), ids[doc[o]], tags[doc[o]], start[o].astype("<i8")))
-        return pa.table({"_s": pa.array(out_shard, pa.int32()), "_g": pa.array([left.column("_g")[0].as_py() if left.num_rows else 0] * len(out_shard), pa.int32()),
-                         "found": pa.array(out_blob, pa.binary())})
+        wanted, at = np.unique(_column(right, "key").view(np.uint64), return_index=True)
+        is_hot = _column(right, "hot")[at] if len(at) else np.zeros(0, bool)
+        none = pa.schema([("_s", pa.int32()), ("_g", pa.int32()), ("key", pa.int64()), ("count", pa.int64()), ("data", pa.binary()),
+                          ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]).empty_table()
+        if not len(wanted) or not left.num_rows:
+            return none
+        ids, (buf, offs) = _ids(left.column("_id")), K.buffer_of(left.column("_text"))
+        tags = _tags(buf, offs)
+        keys_, docs_, starts_, counts_, lens_, pieces_ = [], [], [], [], [], []
+        for i, tok, h, key, start, count, text, _, first, s, e, part in _runs(unit, buf, offs, segment):
+            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            hit = wanted[at] == key
+            key, start, count, text, heat = key[hit], start[hit], count[hit], text[hit], is_hot[at[hit]]
+            if heat.any():  # every window of a hot key by itself, filed by its own hash
+                n = count[heat]
+                each = np.repeat(start[heat], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                own = K.mix(K.span_hash(h, each, each + unit.window))
+                key, start, text = (np.concatenate((x[~heat], y)) for x, y in ((key, own), (start, each), (text, np.repeat(text[heat], n))))
+                count = np.concatenate((count[~heat], np.ones(len(each), count.dtype)))
+            if not len(key):
+                continue
+            end = start + count + unit.window - 1
+            keys_.append(key)
+            docs_.append(i + text)
+            starts_.append(start - first[text])
+            counts_.append(count)
+            b0, b1 = (s[start], e[end - 1]) if unit.words else (start, end)  # words travel with what is between them
+            lens_.append(b1 - b0)
+            pieces_.append(_taken(part, b0, b1 - b0))
+        if not keys_:
+            return none
+        key, doc, start, count, length, data = (np.concatenate(x) for x in (keys_, docs_, starts_, counts_, lens_, pieces_))
+        del pieces_
+        offs = np.concatenate(([0], np.cumsum(length)))
+        first, same = _merged(key, offs, data)
+        by = np.argsort(same, kind="stable")
+        lists = pa.array(np.concatenate(([0], np.cumsum(np.bincount(same, minlength=len(first))))).astype(np.int32))
+        some = length[first]
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(some))).astype(np.int64)), pa.py_buffer(_taken(data, offs[first], some))])
+        return pa.table({"_s": pa.array((K.mix(key[first]) % np.uint64(shards)).astype(np.int32)), "_g": pa.array(np.full(len(first), left.column("_g")[0].as_py(), np.int32)),
+                         "key": pa.array(key[first].view(np.int64)), "count": pa.array(count[first].astype(np.int64)), "data": binary.cast(pa.binary()),
+                         "ids": pa.ListArray.from_arrays(lists, pa.array(ids[doc[by]])), "tags": pa.ListArray.from_arrays(lists, pa.array(tags[doc[by]])),
+                         "starts": pa.ListArray.from_arrays(lists, pa.array(start[by].astype(np.int64)))})
 
     def decide(t: pa.Table) -> pa.Table:
-        blobs = [(g, _unpack(b.as_py(), "<u8", "<u8", "<i8", "<i8", "|u1", "<i8", "<i8", "<i8", "<i8"))
-                 for g, b in zip(t.column("_g").to_pylist(), t.column("found"), strict=True)]
-        sizes = np.cumsum([0] + [len(b[0]) for _, b in blobs])
-        key, digest, count, length = (np.concatenate([b[k] for _, b in blobs]) for k in range(4))
-        data = [b[4] for _, b in blobs]
-        where = np.concatenate([np.full(len(b[0]), k) for k, (_, b) in enumerate(blobs)])
-        at = np.concatenate([np.cumsum(b[3]) - b[3] for _, b in blobs])
-        frag = np.concatenate([b[5] + n for (_, b), n in zip(blobs, sizes, strict=False)])
-        ids, tags, start = (np.concatenate([b[k] for _, b in blobs]) for k in (6, 7, 8))
-        group = np.concatenate([np.full(len(b[5]), g) for g, b in blobs])
+        key, count = _column(t, "key"), _column(t, "count")
+        data, offs = K.buffer_of(t.column("data"))
+        lists = t.column("ids").combine_chunks()
+        num_of = lists.value_lengths().to_numpy()
+        ids, tags, start = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "tags", "starts"))
+        frag, group = np.repeat(np.arange(len(key)), num_of), np.repeat(_column(t, "_g"), num_of)
         # equal fragments of different document groups become one
-        _, one, same = np.unique(_identity(key, digest), return_index=True, return_inverse=True)
+        one, same = _merged(key, offs, data)
         frag = same[frag]
         order = np.lexsort((start, ids, frag))
         frag, ids, tags, start, group = frag[order], ids[order], tags[order], start[order], group[order]
         lead = _borders(frag)[:-1]  # the first occurrence of each fragment
         owner, owner_start = ids[lead], start[lead]
-        key, count, length, where, at = key[one], count[one], length[one], where[one], at[one]
+        key, count, at, length = key[one], count[one], offs[one], np.diff(offs)[one]
         turn = np.argsort(key, kind="stable")
         runs = [(np.zeros(0, np.int64),) * 3]  # (fragment, first and last + 1 repeated window)
         cut = _borders(key[turn])
@@ -278,9 +253,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
             fits = int(np.searchsorted(total, index_bytes, side="right")) + cut[i]
             j = max(i + 1, int(np.searchsorted(cut, fits, side="right")) - 1)
             some = turn[cut[i] : cut[j]]
-            buf = np.concatenate([data[where[f]][at[f] : at[f] + length[f]] for f in some])
-            boffs = np.concatenate(([0], np.cumsum(length[some])))
-            tok, toffs, _, _ = unit.tokens(buf, boffs)
+            tok, toffs = unit.exact(_taken(data, at[some], length[some]), np.concatenate(([0], np.cumsum(length[some]))))
             _, rank = np.unique(owner[some], return_inverse=True)
             flags = engine(Fragments(tok, toffs, rank, owner_start[some]), unit)
             edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
@@ -303,12 +276,19 @@ def repeated_spans(rows: DataFrame, unit: Unit, engine: Engine, hot: int = HOT,
         o, r = np.repeat(rest, hi - lo), np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
         out.append((group[o], ids[o], tags[o], start[o] + ra[r], start[o] + rb[r] + unit.window - 1))
         g, i_, t_, s_, e_ = (np.concatenate(x) for x in zip(*out, strict=True))
-        got = list(_by_target(g.astype(np.int64), [i_.astype("<i8"), t_.astype("<i8"), s_.astype("<i8"), e_.astype("<i8")]))
-        return pa.table({"_g": pa.array([x for x, _ in got], pa.int32()), "spans": pa.array([b for _, b in got], pa.binary())})
+        # spans of one row that overlap become one
+        row = np.stack((i_, t_), 1)
+        _, one_row, of = np.unique(row, axis=0, return_index=True, return_inverse=True) if len(row) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        of, s_, e_ = K.covered(of.reshape(-1), s_, e_)
+        back = one_row[of]
+        return pa.table({"_g": pa.array(g[back].astype(np.int32)), "_id": pa.array(i_[back]), "_tag": pa.array(t_[back]), "start": pa.array(s_.astype(np.int64)), "end": pa.array(e_.astype(np.int64))})
 
-    back = rows.mapInArrow(keys, "_p int, keys binary").groupBy("_p").applyInArrow(repeated, "_g int, keys binary")
-    found = rows.groupBy("_g").cogroup(back.groupBy("_g")).applyInArrow(fragments, "_s int, _g int, found binary")
-    return found.groupBy("_s").applyInArrow(decide, "_g int, spans binary")
+    counted = rows.mapInArrow(keys, "_g int, key bigint, n int")
+    total = F.sum("n").over(Window.partitionBy("key"))
+    back = counted.withColumn("total", total).where("total > 1").select("_g", "key", (F.col("total") > hot).alias("hot"))
+    found = rows.groupBy("_g").cogroup(back.groupBy("_g")).applyInArrow(
+        fragments, "_s int, _g int, key bigint, count bigint, data binary, ids array<bigint>, tags array<bigint>, starts array<bigint>")
+    return found.groupBy("_s").applyInArrow(decide, "_g int, _id bigint, _tag bigint, start bigint, end bigint")
 
 
 def with_spans(rows: DataFrame, spans: DataFrame, apply: Callable, schema: str) -> DataFrame:
@@ -317,7 +297,7 @@ def with_spans(rows: DataFrame, spans: DataFrame, apply: Callable, schema: str)
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         buf, offs = K.buffer_of(left.column("_text")) if left.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         ids = _ids(left.column("_id")) if left.num_rows else np.zeros(0, np.int64)
-        i, t, s, e = _joined(right.column("spans"), "<i8", "<i8", "<i8", "<i8")
+        i, t, s, e = (_column(right, c) for c in ("_id", "_tag", "start", "end"))
         mine: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if len(i):
             pair, doc = np.unique(np.stack((i, t), 1), axis=0, return_inverse=True)
@@ -327,8 +307,8 @@ def with_spans(rows: DataFrame, spans: DataFrame, apply: Callable, schema: str)
                 mine[tuple(pair[d[a]].tolist())] = list(zip(s[a:b].tolist(), e[a:b].tolist(), strict=True))
         tags = _tags(buf, offs)
         spans_of = [mine.get(x, []) for x in zip(ids.tolist(), tags.tolist(), strict=True)]
-        raw = buf.tobytes()
-        texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        raw = memoryview(np.ascontiguousarray(buf))
+        texts = [bytes(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         return apply(left, texts, spans_of)
 
     return rows.groupBy("_g").cogroup(spans.groupBy("_g")).applyInArrow(run, schema)

@@ -31,6 +31,8 @@ from episodic.llm.common import table
 from episodic.llm.repeats import Fragments, Unit, grouped, groups, repeated_spans, with_spans
 
 BYTES = Unit(window=100, gram=24, words=False, within=True)
+#: Symbols that are compared at once.
+COMPARED = 1 << 20
 #: Largest alphabet that is sorted bucket by bucket.
 BUCKETS = 1 << 10
 
@@ -153,8 +155,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     sorted_lms = sorted_lms[is_lms[sorted_lms]]
     end = np.empty(n, np.int64)  # a substring reaches to the next LMS position
     end[lms] = np.minimum(np.append(lms[1:], n - 1).astype(np.int64) + 1, n)
-    digest = K.span_hash(K.prefix_hash(t), sorted_lms, end[sorted_lms])
-    name = np.concatenate(([0], np.cumsum(digest[1:] != digest[:-1])))
+    name = np.concatenate(([0], np.cumsum(~_equal_spans(t, sorted_lms[1:], sorted_lms[:-1], (end[sorted_lms] - sorted_lms)[1:], (end[sorted_lms] - sorted_lms)[:-1]))))
     if name[-1] + 1 < len(lms):
         names = np.empty(n, np.int64)
         names[sorted_lms] = name
@@ -164,16 +165,41 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, s, sorted_lms, count)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
-    """Longest common prefix of every suffix with its predecessor in ``sa``, by text position.
-    Prefixes shorter than ``least`` may be given as any smaller number."""
+def _equal_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Are t[a:a + length] and t[b:b + other] equal?  Compared symbol by symbol, a part at a time."""
+    out = np.ones(len(a), dtype=bool) if other is None else length == other
+    which = np.flatnonzero(out)
+    total = np.cumsum(length[which], dtype=np.int64)
+    i = 0
+    while i < len(which):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + COMPARED, side="right")))
+        w = which[i:j]
+        n = length[w].astype(np.int64)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = t[np.repeat(a[w], n) + step] != t[np.repeat(b[w], n) + step]
+        out[w[np.repeat(np.arange(len(w)), n)[differ]]] = False
+        i = j
+    return out
+
+
+def _phi(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predecessor of each suffix in ``sa`` (-1: none), and where the preceding symbols differ."""
     n = len(t)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
-    back = phi - 1
-    fresh = np.ones(n, dtype=bool)  # the preceding symbols differ: to be compared
-    fresh[1:] = (back[1:] < 0) | (t[:-1] != t[np.maximum(back[1:], 0)])
+    fresh = np.ones(n, dtype=bool)
+    back = phi[1:] - 1
+    fresh[1:] = (back < 0) | (t[:-1] != t[np.maximum(back, 0)])
+    return phi, fresh
+
+
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest common prefix of every suffix with its predecessor in ``sa``, by text position.
+    Prefixes shorter than ``least`` may be given as any smaller number.  Prefixes are compared by
+    hashes; ``window_repeats`` checks what rests on them."""
+    n = len(t)
+    phi, fresh = _phi(t, sa)
     i = np.flatnonzero(fresh & (phi >= 0))
     j = phi[i]
     h = K.prefix_hash(t)
@@ -196,14 +222,33 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
     while step >= 1:
         grow(long, step)
         step //= 2
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     plcp[i] = length
     # elsewhere it is one less than at the position before
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     start = np.maximum.accumulate(np.where(fresh, at, 0))
     return np.where(phi < 0, 0, plcp[start] + start - at)
 
 
+def window_repeats(t: np.ndarray, sa: np.ndarray, window: int) -> np.ndarray:
+    """By text position: does the window there equal that of the predecessor in ``sa``?
+
+    Decided by the symbols: all of them where the preceding ones differ, the last one where the
+    windows one position before are equal already."""
+    long = permuted_lcp(t, sa, window) >= window
+    phi, fresh = _phi(t, sa)
+    heads = np.flatnonzero(long & fresh)
+    wrong = np.zeros(len(t), dtype=bool)
+    wrong[heads] = ~_equal_spans(t, heads, phi[heads], np.full(len(heads), window))
+    tails = np.flatnonzero(long & ~fresh)
+    wrong[tails] = t[tails + window - 1] != t[phi[tails] + window - 1]
+    if not wrong.any():
+        return long
+    at = np.arange(len(t))
+    last = np.maximum.accumulate(np.where(wrong, at, -1))
+    return long & (last < np.maximum.accumulate(np.where(fresh, at, 0)))
+
+
 def repeats_earlier(f: Fragments, unit: Unit) -> np.ndarray:
     """For every byte: does the window that starts here also start earlier?"""
     n, k = len(f.tokens), len(f.offs) - 1
@@ -213,7 +258,7 @@ def repeats_earlier(f: Fragments, unit: Unit) -> np.ndarray:
     t[place] = f.tokens.astype(np.int16) + 2
     t[-1] = 0
     sa = suffix_array(t)
-    long = permuted_lcp(t, sa, unit.window)[sa] >= unit.window
+    long = window_repeats(t, sa, unit.window)[sa]
     owner = np.full(len(t), np.iinfo(np.int64).max)
     owner[place] = (f.owner[frag].astype(np.int64) << 40) + f.start[frag] + np.arange(n) - f.offs[:-1][frag]
     groups = np.flatnonzero(~long)
@@ -226,8 +271,9 @@ def repeats_earlier(f: Fragments, unit: Unit) -> np.ndarray:
 
 
 def spans(docs: DataFrame, unit: Unit = BYTES, id_col: str = "doc_id", text_col: str = "text", **sizes) -> tuple[DataFrame, DataFrame]:
-    rows = grouped(docs, id_col, text_col)
-    return rows, repeated_spans(rows, unit, repeats_earlier, **sizes)
+    num = groups(docs, text_col)
+    rows = grouped(docs, id_col, text_col, num)
+    return rows, repeated_spans(rows, unit, repeats_earlier, num, **sizes)
 
 
 def substring_report(docs: DataFrame, unit: Unit = BYTES, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
@@ -264,7 +310,8 @@ def without_repeats(docs: DataFrame, unit: Unit = BYTES, id_col: str = "doc_id",
 
     A span is narrowed to whole characters, so the text stays valid UTF-8.  Null text stays null.
     """
-    rows, found = spans(docs, unit, id_col, text_col, **sizes)
+    num = groups(docs, text_col)
+    found = repeated_spans(grouped(docs, id_col, text_col, num), unit, repeats_earlier, num, **sizes)
 
     def inner(text: bytes, a: int, b: int) -> tuple[int, int]:
         while a < b and text[a] & 0xC0 == 0x80:
@@ -280,7 +327,7 @@ def without_repeats(docs: DataFrame, unit: Unit = BYTES, id_col: str = "doc_id",
         return pa.table({**others, "_text": pa.array(kept, pa.string())})
 
     others = [c for c in docs.columns if c != text_col]
-    full = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(groups(docs))).cast("int").alias("_g"),
+    full = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(num)).cast("int").alias("_g"),
                        F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
     kinds = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)] + ["_text string"])

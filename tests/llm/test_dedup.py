@@ -198,3 +198,30 @@ def test_vector_recall_at_the_threshold():
     x, y = buckets(a), buckets(b)
     found = (x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)
     assert found.any(1).mean() >= 0.99
+
+
+def test_equal_hashes_of_different_words_remove_nothing(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64."""
+    flips = [bin(k).count("1") % 2 for k in range(1024)]
+    a, b = ("".join("ab"[f ^ s] for f in flips) for s in (0, 1))
+    shared = " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"{shared} {a}"), (2, f"{shared} {b}"), (3, f"{shared} {a}")]
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_words(H.frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_report(H.frame(spark, rows)).collect()}
+    assert got == H.repeated_bytes(rows)
+
+
+@pytest.mark.parametrize("doubled", [True, False])
+def test_repeated_rows_and_ids_of_the_substring_operators(spark, doubled):
+    rows = H.rows_of(H.documents(spark).limit(60))
+    df = H.frame(spark, rows)
+    if doubled:  # every row twice: one document
+        df = df.union(df)
+        want = H.repeated_bytes(rows)
+        got = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in substring_report(df).collect()]
+        assert len(got) == 2 * len(rows) and all(want[i] == v for i, v in got)
+    else:  # one id with two texts: two rows out, both judged
+        df = df.union(H.frame(spark, [(rows[0][0], "another text " * 30)]))
+        assert substring_report(df).count() == len(rows) + 1 and repeated_words(df).count() == len(rows) + 1
+        assert without_repeats(df).count() == len(rows) + 1
