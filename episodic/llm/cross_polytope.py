@@ -87,8 +87,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     """
     ids = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(id_col).isNull().alias("null_id"),
                          F.col(vector_col).cast("array<double>").alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)  # null if a component is
-    ok = total.isNotNull() & (total > 0) & (total < float("inf")) & ~F.isnan(total)
+    # by component, as sums of squares leave the range of doubles
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    ok = F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0.0)
     good = ids.where(ok).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
     # salted, then merged: one row for each distinct vector
     salted = good.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))

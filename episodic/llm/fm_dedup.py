@@ -65,7 +65,7 @@ class FMIndex:
     def __init__(self, t: np.ndarray, window: int):
         n, sigma = len(t), int(t.max()) + 1
         # rank doubling may stop at the first power of two from ``window`` on; here it runs to the end
-        self.sa = rank_doubling(t)
+        self.sa = rank_doubling(t).astype(np.int32)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=sigma))))[:-1]
         self.bwt = WaveletMatrix(t[self.sa - 1], sigma)
         h = K.prefix_hash(t)
@@ -78,7 +78,7 @@ class FMIndex:
             same = same[_equal_spans(t, self.sa[same], self.sa[same - 1], np.full(len(same), depth))]  # by the symbols, not the hash alone
             new = np.ones(n, dtype=bool)
             new[same] = False
-            return np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            return np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
 
         self.shorter = blocks(window - 1)
         self.block = blocks(window)

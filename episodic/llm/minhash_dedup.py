@@ -177,15 +177,62 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_key``: the id, or, where rows of one id have different texts, a hash of id
+    and text; and whether there are such ids."""
+    mine = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("_of")).agg(F.min(mine).alias("lo"), F.max(mine).alias("hi"))
+    several = written(several.where("lo <> hi").select("_of"))
+    if several.isEmpty():
+        return docs.withColumn("_key", F.col(id_col).cast("bigint")), False
+    both = docs.join(several, F.col(id_col).cast("bigint") == F.col("_of"), "left")
+    key = F.when(F.col("_of").isNull(), F.col(id_col).cast("bigint")).otherwise(F.xxhash64(F.col("_of"), mine))
+    return both.withColumn("_key", key).drop("_of"), True
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    """``docs`` with ``_component``, the smallest id of the row's class, and ``_stays``: is the row
+    the one of its class with that id?"""
+    keyed, several = _keyed(docs, id_col, text_col)
+    found = written(_linked(keyed.where("_key IS NOT NULL").select(F.col("_key").alias("id"), F.col(text_col).alias("text")), **how).distinct())
+    if several:  # keys are no ids: the member with the smallest id stands for its class
+        ids = keyed.where("_key IS NOT NULL").select(F.col("_key").alias("id"), F.col(id_col).cast("bigint").alias("own")).distinct().join(found, "id")
+        first = ids.groupBy("component_id").agg(F.min(F.struct("own", "id")).alias("f"))
+        found = ids.join(first, "component_id").select("id", F.col("f.own").alias("component_id"), (F.col("id") == F.col("f.id")).alias("_stays"))
+    else:
+        found = found.withColumn("_stays", F.col("id") == F.col("component_id"))
+    found = found.select(F.col("id").alias("_key"), F.col("component_id").alias("_component"), "_stays")
+    return keyed.join(found, "_key", "left").drop("_key").withColumn("_stays", F.coalesce("_stays", F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS,
                     counts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every row: the smallest id that links of at least ``similarity``
-    reach.  With ``counts`` shingles weigh as often as they occur, else once.
-
-    Null text counts as empty; texts without words are linked with nothing.  Rows that repeat an
-    id get that id's class.  Rows with a null id are their own class (component_id null).
-    Other columns are not read.
+    """(id, component_id, kept) of every row: the smallest id that links of at least
+    ``similarity`` reach, and whether the row is the one that stays.  With ``counts`` shingles weigh
+    as often as they occur, else once.
+
+    Null text counts as empty; texts without words are linked with nothing.  Repeated rows are
+    marked alike.  Rows of one id with different texts are documents of their own, each in the
+    class of its text; of a class whose smallest id has several, one stays.  Rows with a null id
+    are their own class (component_id null) and stay.  Other columns are not read.
     """
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    done = _kept(own, "id", "text", similarity=similarity, bands=bands, rows=rows, stars=stars, counts=counts)
+    return done.select("id", F.coalesce("_component", "id").alias("component_id"), F.col("_stays").alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay, one text of each class, with all columns; see
+    ``near_duplicates``."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]  # columns may be called anything
+    at = dict(zip(docs.columns, names, strict=True))
+    done = _kept(docs.toDF(*names), at[id_col], at[text_col], **how).where("_stays")
+    return done.select(*[F.col(n).alias(c) for c, n in at.items()])
+
+
+def _linked(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS,
+            counts: bool = False, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row; rows that share an id have one text."""
     src = docs.where(F.col(id_col).isNotNull())
     sig = written(signatures(src, bands, rows, counts, id_col, text_col))
     # documents with equal element sets: the smallest id stands for all
@@ -317,4 +364,4 @@ def _likely_pairs(rows: DataFrame, sig: DataFrame, similarity: float, k: int, fo
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "component_id", "kept")

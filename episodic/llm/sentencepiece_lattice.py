@@ -250,8 +250,8 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ranges = max(16, parts(spark))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    blocks = _blocks(rows, model, ranges)
-    listed = blocks.where("p >= 0").select("block", "p", "words")
+    blocks = written(_blocks(rows, model, ranges))  # cut once
+    listed = blocks.where("p >= 0").select("block", "p", "words").dropDuplicates(["block", "p"])  # repeated rows: equal blocks
     vocabulary = encode_words(listed.select("p", F.explode("words").alias("word")).distinct(), model, written(model.table(spark), 1))
     raw, by_byte, unknown, fallback, apart = model.raw, model.bytes, model.unknown, model.fallback, model.apart
 
@@ -335,20 +335,14 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
     found = encode(table(spark, sf_dir, "documents"), model)
-    texts = spark.sparkContext.broadcast(model.texts())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = texts.value
         for batch in batches:
-            n, crc, same = [], [], []
-            lists, want = batch.column("ids"), batch.column("crc").to_pylist()
-            for k in range(len(batch)):
-                ids = lists[k].values.to_numpy(zero_copy_only=False)
-                back = b"".join([piece[i] for i in ids.tolist()])
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(zlib.crc32(back[1:]) == want[k])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)],
+            lists = batch.column("ids")
+            n = lists.value_lengths()
+            crc = [zlib.crc32(v.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for v in lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n.cast(pa.int64()), pa.array(crc, pa.int64()), batch.column("round_trip")],
                                              names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    return found.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean")
+    back = decode(found, model).select("doc_id", "ids", (F.crc32(F.col("text").cast("binary")) == F.col("crc")).alias("round_trip"))
+    return back.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean")

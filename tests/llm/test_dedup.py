@@ -13,7 +13,7 @@ from episodic.llm.components import components
 from episodic.llm.cross_polytope import buckets, near_vectors, op9_cross_polytope_dedup
 from episodic.llm.exact_dedup import OP10_SQL, exact_classes, exact_dedup, op10_exact_dedup
 from episodic.llm.fm_dedup import WaveletMatrix, op3_fm_index_dedup, repeated_words
-from episodic.llm.minhash_dedup import dart_minhash, near_duplicates, op8_minhash_dedup
+from episodic.llm.minhash_dedup import dart_minhash, near_duplicates, op8_minhash_dedup, without_near_duplicates
 from episodic.llm.suffix_dedup import op5_suffix_array_dedup, permuted_lcp, substring_report, suffix_array, without_repeats
 from tests.conftest import SF_SMALL
 from tests.llm import helpers as H
@@ -225,3 +225,24 @@ def test_repeated_rows_and_ids_of_the_substring_operators(spark, doubled):
         df = df.union(H.frame(spark, [(rows[0][0], "another text " * 30)]))
         assert substring_report(df).count() == len(rows) + 1 and repeated_words(df).count() == len(rows) + 1
         assert without_repeats(df).count() == len(rows) + 1
+
+
+def test_near_rows_of_one_id_with_several_texts(spark):
+    base = " ".join(f"word{k}" for k in range(80))
+    rows = [(5, base), (5, "alone " * 30 + "in the world"), (2, base + " more"), (3, "nothing like it at all here"), (None, base), (None, base), (7, None), (7, "")]
+    df = H.frame(spark, rows).selectExpr("*", "1 AS id", "2 AS `_key`", "3 AS component_id", "map(1, 2) AS m")
+    got = sorted((r["id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_duplicates(df).collect())
+    assert got == [(-1, -1, True), (-1, -1, True), (2, 2, True), (3, 3, True), (5, 2, False), (5, 5, True), (7, 7, True), (7, 7, True)]
+    stay = without_near_duplicates(df)
+    assert stay.columns == df.columns
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:5]) for r in stay.collect()) == [(-1, "word0"), (-1, "word0"), (2, "word0"), (3, "nothi"), (5, "alone"), (7, ""), (7, "")]
+    assert without_near_duplicates(df.limit(0)).count() == 0
+    twice = near_duplicates(df.union(df)).collect()
+    assert len(twice) == 2 * len(rows)
+
+
+def test_vectors_of_any_scale(spark):
+    vectors = [(1, [1e200, 1.0]), (2, [1e200, 1.0]), (3, [1e-200, 0.0]), (4, [1e-200, 0.0]), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (None, [3.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {r["id"]: r["n_links"] for r in near_vectors(df).collect()}
+    assert got == {1: 4, 2: 4, 3: 4, 4: 4, 5: 0, 6: 0, 7: 0, None: 4}

@@ -120,6 +120,9 @@ def test_sentencepiece_edges_and_decoding(spark):
     assert [got[i]["ids"] for i in range(len(texts))] == [library.encode(t or "") for t in texts]
     assert [got[i]["text"] for i in range(len(texts))] == [t or "" for t in texts]
     assert lattice.encode(H.frame(spark, [(1, "a")]).limit(0), model).count() == 0
+    df = H.frame(spark, list(enumerate(texts)))
+    twice = lattice.encode(df.union(df), model).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in twice) == sorted((i, got[i]["ids"]) for i in range(len(texts)) for _ in range(2))
 
 
 def test_viterbi_fold_of_a_unigram_model(spark):
