@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from episodic.llm.common import written
 from episodic.llm.exact_dedup import exact_dedup
-from episodic.llm.minhash_dedup import near_duplicates
+from episodic.llm.minhash_dedup import without_near_duplicates
 from episodic.llm.packing import packed_documents
 from episodic.llm.suffix_dedup import without_repeats
 from episodic.llm.toxicity import scored
@@ -21,29 +21,40 @@ TOXIC = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose toxicity score is below ``TOXIC``."""
+    """Keeps the documents whose toxicity score is below ``TOXIC``.
+
+    Null and empty texts are scored like any other; repeated rows alike.  No documents give none."""
     return scored(spark, docs, sf_dir, carry=True).where(F.col("score") < TOXIC).drop("score")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each text, the one with the largest id."""
+    """Keeps one document of each text, the one with the largest id.
+
+    Null and empty texts are one text; of repeated rows one stays; a null id is the smallest."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    dropped = written(near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("doc_id")))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps of each group of near-duplicates the document with the smallest id.
+
+    Texts without words (null, empty) and rows with a null id are in no group and stay.  Rows of
+    one id with different texts are documents of their own."""
+    return without_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts 100-byte strings that also start earlier out of the texts; all documents stay."""
+    """Cuts 100-byte strings that also start earlier out of the texts; all documents stay.
+
+    A null text stays null; rows that share id and text are one document; a null id is the
+    smallest.  ``n_chars``, if there, is counted anew."""
     cut = without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of all documents into sequences."""
+    """Packs the token ids of all documents into sequences.
+
+    A null or empty text is its end id alone; repeated rows are packed one by one."""
     return packed_documents(docs)
 
 
