@@ -346,22 +346,33 @@ def add_pad_mask_dict(df: DataFrame, fields: Sequence[str], name: str = "pad_mas
 
 
 # --------------------------------------------------------------------- W9 / J5
-def goal_index(seed: int, n: Column | str = "_ep_n", keys=EPISODE) -> Column:
-    """W9 index: uniform in [t+1, len), truncated, clamped to len-1 (last step -> itself)."""
+def goal_index(seed: int, n: Column | str = "_ep_n", keys=EPISODE, again: Sequence[str] = ()) -> Column:
+    """W9 index: uniform in [t+1, len), truncated, clamped to len-1 (last step -> itself).
+    ``again``: columns with which the draw is made anew (the pass of a drawn frame)."""
     n = F.col(n) if isinstance(n, str) else n
     low = F.col("t") + F.lit(1)
-    g = F.floor(u01(seed, *keys, "t") * (n - low) + low).cast("bigint")
+    g = F.floor(u01(seed, *keys, "t", *again) * (n - low) + low).cast("bigint")
     return F.least(g, n - 1)
 
 
-def goal_uniform(df: DataFrame, seed: int, obs_cols: Sequence[str], keys=EPISODE) -> DataFrame:
-    """W9 + J5: draw a goal step per step and fetch its observation (self equi-join on
+def goal_uniform(df: DataFrame, seed: int, obs_cols: Sequence[str], keys=EPISODE, source: DataFrame | None = None,
+                 again: Sequence[str] = ()) -> DataFrame:
+    """W9 + J5: draw a goal step per step and fetch its observation (equi-join on
     (episode, t) -- the key is near-unique, so the join is skew-free).  Goal fields land
-    next to the step with their pad masks and ``goal_t`` = goal index."""
-    with_goal = attach_episode(df, dict([ep_n()]), keys)
-    with_goal = with_goal.withColumn("goal_t", goal_index(seed, ep_n()[0], keys))
-    types = dict(df.dtypes)
-    goal_side = df.select(
+    next to the step with their pad masks and ``goal_t`` = goal index.
+
+    For drawn frames (some steps, some of them several times) ``source`` holds all steps, and
+    ``again`` names the pass, so a frame that comes again has another goal."""
+    source = df if source is None else source
+    if source is df:
+        with_goal = attach_episode(df, dict([ep_n()]), keys)
+    elif ep_n()[0] in df.columns:
+        with_goal = df
+    else:
+        with_goal = df.join(source.groupBy(*keys).agg(ep_n()[1].alias(ep_n()[0])), list(keys))
+    with_goal = with_goal.withColumn("goal_t", goal_index(seed, ep_n()[0], keys, again))
+    types = dict(source.dtypes)
+    goal_side = source.select(
         *[F.col(k).alias("_g_" + k) for k in keys],
         F.col("t").alias("_g_t"),
         *[F.col(c).alias("goal_" + c) for c in obs_cols],
@@ -378,7 +389,7 @@ def goal_uniform(df: DataFrame, seed: int, obs_cols: Sequence[str], keys=EPISODE
 # --------------------------------------------------------------------- W10
 def delete_task_conditioning(
     df: DataFrame, keep_image_prob: float, seed: int, image_cols: Sequence[str], lang: str = "language_instruction",
-    timestep: str = "goal_t", keys=EPISODE,
+    timestep: str = "goal_t", keys=EPISODE, again: Sequence[str] = (),
 ) -> DataFrame:
     """Per step keep the goal images with probability p (always when the language is
     padding), else keep the language; pad the dropped side; when images are dropped the
@@ -386,8 +397,8 @@ def delete_task_conditioning(
     ``goal_pad_mask`` and ``pad_mask_dict``.  No-op without language or image columns."""
     if lang not in df.columns or not image_cols:
         return df
-    df = attach_episode(df, dict([ep_n()]), keys)
-    keep_img = (u01(seed, *keys, "t") < F.lit(keep_image_prob)) | (F.length(lang) == 0)
+    df = df if ep_n()[0] in df.columns else attach_episode(df, dict([ep_n()]), keys)
+    keep_img = (u01(seed, *keys, "t", *again) < F.lit(keep_image_prob)) | (F.length(lang) == 0)
     df = df.withColumn("_keep_img", keep_img)
     for c in image_cols:
         df = df.withColumn(c, F.when(F.col("_keep_img"), F.col(c)).otherwise(F.lit("")))

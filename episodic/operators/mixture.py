@@ -115,7 +115,9 @@ def frame_index(frames: DataFrame, name: str = "_fi", episode: str = "traj_id")
 
 
 def draw_to_frame(draws: DataFrame, frames: DataFrame, frame_order: Sequence[str], draw_order: str = "draw") -> DataFrame:
-    """The k-th draw of a dataset takes frame ``k mod size`` of that dataset (repeat semantics).
+    """The k-th draw of a dataset takes frame ``k mod size`` of that dataset (repeat semantics);
+    ``pass`` = k div size tells how often the dataset was gone through before, for randomness that
+    is drawn anew (``episodes.goal_uniform``).
 
     Draw numbering uses the skew-safe ``rank_in_group``; frames ordered by (episode, t) use
     ``frame_index`` (episode offsets), other orders ``rank_in_group``."""
@@ -128,8 +130,8 @@ def draw_to_frame(draws: DataFrame, frames: DataFrame, frame_order: Sequence[str
     # a draw of a dataset that has no frames (left) is an error, not a lost draw
     empty = F.raise_error(F.concat(F.lit("draws fall on a dataset without frames: "), F.col("dataset_name")))
     dk = dk.join(sizes, "dataset_name", "left").withColumn("_size", F.when(F.col("_size").isNull(), empty.cast("bigint")).otherwise(F.col("_size")))
-    dk = dk.withColumn("_fi", F.pmod(F.col("_k"), F.col("_size"))).drop("_size")
-    return dk.join(fk, ["dataset_name", "_fi"], "inner").drop("_fi")
+    dk = dk.withColumns({"_fi": F.pmod(F.col("_k"), F.col("_size")), "pass": F.floor(F.col("_k") / F.col("_size"))}).drop("_size", "_k")
+    return dk.join(fk.drop("pass"), ["dataset_name", "_fi"], "inner").drop("_fi")
 
 
 def mixture_draws(frames: DataFrame, mix: DataFrame, n: int | None, seed: int, frame_order: Sequence[str],

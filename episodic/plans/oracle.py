@@ -800,3 +800,17 @@ fr AS (SELECT dataset_name, traj_id, t, language_instruction, row_number() OVER
 j AS (SELECT dk.draw, dk.dataset_name, fr.traj_id, fr.t, fr.language_instruction FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size),
 p AS (SELECT *, row_number() OVER (ORDER BY {u01_sql(SEED + 3, 'draw')}, draw) - 1 AS pos FROM j)
 SELECT pos, CAST(floor(pos / 32) AS BIGINT) AS batch, draw, dataset_name, traj_id, CAST(t AS BIGINT) AS t, length(language_instruction) < 7 AS short FROM p"""
+
+ORACLE["redrawn_goals"] = "WITH " + STEPS + f""",
+mix AS (SELECT dataset_name, count(*) AS size, CAST(substr(dataset_name, 3) AS INTEGER) AS pos FROM steps GROUP BY dataset_name),
+cdf AS (SELECT dataset_name, pos, sum(1.0::DOUBLE / (SELECT count(*) FROM mix)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+               row_number() OVER (ORDER BY pos) - 1 AS idx FROM mix),
+draws AS (SELECT r.draw, {u01_sql(SEED, 'r.draw')} AS u FROM (SELECT unnest(range(0, 2 * (SELECT count(*) FROM events))) AS draw) r),
+dd AS (SELECT draws.draw, least((SELECT count(*) FROM cdf WHERE cdf.hi <= draws.u), (SELECT count(*) FROM cdf) - 1) AS idx FROM draws),
+dk AS (SELECT draw, dataset_name, row_number() OVER (PARTITION BY dataset_name ORDER BY draw) - 1 AS k FROM dd JOIN cdf USING (idx)),
+fr AS (SELECT dataset_name, traj_id, t, row_number() OVER (PARTITION BY dataset_name ORDER BY traj_id, t) - 1 AS fi, count(*) OVER (PARTITION BY dataset_name) AS size,
+              count(*) OVER (PARTITION BY dataset_name, traj_id) AS n FROM steps),
+j AS (SELECT dk.draw, dk.k // fr.size AS pass, fr.* FROM dk JOIN fr ON fr.dataset_name = dk.dataset_name AND fr.fi = dk.k % fr.size),
+g AS (SELECT *, CAST(least(floor({u01_sql(SEED + 5, 'dataset_name', 'traj_id', 't', 'pass')} * (n - (t + 1)) + (t + 1)), n - 1) AS BIGINT) AS goal_t FROM j)
+SELECT g.draw, g.pass, g.dataset_name, g.traj_id, CAST(g.t AS BIGINT) AS t, g.goal_t, s.image AS goal_image
+FROM g JOIN steps s ON s.dataset_name = g.dataset_name AND s.traj_id = g.traj_id AND s.t = g.goal_t"""

@@ -9,7 +9,7 @@ loop over datasets.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,16 +136,24 @@ def interleaved_pipeline(df: DataFrame, weights: DataFrame, o: TrajOptions, seed
     df = standardized(df, datasets, keep)
     counts = S.dataset_counts(df)
     st = S.stats_struct(S.dataset_stats(df))
-    frames = episode_pipeline(N.normalize(df, st, kind), o)
+    # goals and task augmentation are drawn anew in every pass, so they wait for the draws
+    late = o.train and o.goal_relabeling == "uniform"
+    frames = episode_pipeline(N.normalize(df, st, kind), replace(o, goal_relabeling=None, task_augment=None) if late else o)
     frames = E.chunk_filter(frames, chunk_filter)
     # lineage cut: the frame product is written once to the shared folder; the draw passes
     # (sizes, per-dataset numbering, the draw join) read it instead of re-running W13
-    frames = materialize(frames.drop(*[c for c in frames.columns if c.startswith("_")]))
+    steps = df.select(*E.EPISODE, "t", *o.image_cols) if late else None
+    frames = materialize(frames.drop(*[c for c in frames.columns if c.startswith("_") and not (late and c == E.ep_n()[0])]))
     mix = weights.join(counts.select("dataset_name", F.col("num_transitions").alias("size")), "dataset_name", "inner")
     drawn = MX.mixture_draws(frames, mix, n, seed, ["traj_id", "t"], balance)
     if not o.train and val_frames is not None:
         drawn = FR.take_val(drawn, val_frames, ["draw"])
-    # second cut: the shuffle's passes (bounds, bucket counts, numbering) read the drawn table
+    if late:
+        drawn = E.goal_uniform(drawn, o.seed, o.image_cols, source=steps, again=["pass"])
+        if o.task_augment == "delete_task_conditioning":
+            drawn = E.delete_task_conditioning(drawn, o.keep_image_prob, o.seed + 1, ["goal_" + c for c in o.image_cols], o.language, "goal_t", again=["pass"])
+        drawn = drawn.drop(E.ep_n()[0])
+    # second cut: the shuffle's passes (bucket counts, numbering) read the drawn table
     drawn = materialize(drawn)
     out = FR.shuffle_positions(drawn, seed + 3, ["draw"], "pos")
     if batch_size:

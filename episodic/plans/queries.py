@@ -994,3 +994,15 @@ def q_interleaved_raw(spark, d):
     out = PL.interleaved_pipeline(raw, names, o, SEED, 4000, 32, datasets=T.RAW_DATASETS, keep=["observation.image"],
                                   batch_transform={"short": lambda c: F.length(c["language_instruction"]) < 7})
     return out.select("pos", "batch", "draw", "dataset_name", "traj_id", F.col("t").cast("bigint").alias("t"), "short")
+
+
+@query("redrawn_goals")
+def q_redrawn_goals(spark, d):
+    """Goals of drawn frames: a frame that is drawn again, in a later pass, has another goal."""
+    st = materialize(T.steps(spark, d).select(*EP, "t", "image"))
+    mix = st.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("size")).select(
+        "dataset_name", "size", F.lit(1.0).alias("weight"), F.substring("dataset_name", 3, 8).cast("int").alias("pos"))
+    n = 2 * int(st.count())
+    drawn = MX.mixture_draws(st, mix, n, SEED, ["traj_id", "t"])
+    out = E.goal_uniform(drawn, SEED + 5, ["image"], source=st, again=["pass"])
+    return _kt(out.select("draw", "pass", *EP, "t", "goal_t", "goal_image"))
