@@ -261,16 +261,16 @@ def _linked(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         found = written(verified(best, texts, similarity, counts))
         links = found if links is None else links.unionByName(found)
     # then the pairs of a bucket that are not linked yet: first the likeliest that would link
-    # each block's components, then all that are still between components
-    for forest in (True, False):
+    # each block's components, then all that are still between components, compared in place
+    for last in (False, True):
         now = written(_with_component(buckets, links))
         open_ = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("band", "size")
-        pairs = _likely_pairs(now.join(open_, "band"), sig, similarity, bands * rows, forest).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(verified(pairs, texts, similarity, counts))
+        pairs = _likely_pairs(now.join(open_, "band"), sig, similarity, bands * rows, texts if last else None, counts).distinct()
+        if last:
+            found = written(pairs)
+        else:
+            pairs = written(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")) if tried is not None else written(pairs)
+            found = written(verified(pairs, texts, similarity, counts))
         links = found if links is None else links.unionByName(found)
 
     comp = components(links).withColumnRenamed("id", "rep")
@@ -304,23 +304,60 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _likely_pairs(rows: DataFrame, sig: DataFrame, similarity: float, k: int, forest: bool) -> DataFrame:
-    """(a, b): pairs of one bucket in different components that may have ``similarity``; ``rows``
-    are bucket members (band, id, n, c, size).  With ``forest`` of each two blocks only the
-    likeliest pairs that together link the same components.
+class _Shingled:
+    """Sorted shingles of a few texts, by row; ``similar`` compares pairs of rows exactly."""
+
+    def __init__(self, column: pa.ChunkedArray, counts: bool):
+        buf, offs = K.buffer_of(column)
+        found = [(t + i, k, w) for i, j in K.slices(offs) for t, k, w in [shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]]
+        text, self.key, weight = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(text, kind="stable")
+        text, self.key = text[order], self.key[order]
+        self.weight = weight[order] if counts else np.ones(len(text), np.int64)
+        self.at = np.searchsorted(text, np.arange(len(offs)))
+        self.total = np.diff(np.concatenate(([0], np.cumsum(self.weight)))[self.at])
+
+    def similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        good = np.zeros(len(a), dtype=bool)
+        size = np.diff(self.at)
+        for i in range(0, len(a), 128):
+            both = np.concatenate((a[i : i + 128], b[i : i + 128]))
+            half, n = len(both) // 2, size[both]
+            pair = np.repeat(np.tile(np.arange(half), 2), n)
+            take = np.repeat(self.at[both] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            key, weight = self.key[take], self.weight[take]
+            order = np.lexsort((key, pair))
+            pair, key, weight = pair[order], key[order], weight[order]
+            same = np.flatnonzero((pair[1:] == pair[:-1]) & (key[1:] == key[:-1]))
+            common = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=half)
+            union = self.total[both[:half]] + self.total[both[half:]] - common
+            good[i : i + 128] = (common >= similarity * union - 1e-9) & (union > 0)
+        return good
+
+
+def _likely_pairs(rows: DataFrame, sig: DataFrame, similarity: float, k: int, texts: DataFrame | None = None, counts: bool = False) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that may have ``similarity``: of each two
+    blocks the likeliest that together link the same components.  With ``texts`` every such pair
+    is compared where its blocks meet, and only those that link components come out, so no row
+    is made of a pair that is no link.  ``rows`` are bucket members (band, id, n, c, size).
 
     A bucket's members are dealt to blocks of about ``BLOCK``; every two blocks of a bucket, and
-    each block with itself, meet somewhere.
+    each block with itself, meet somewhere: two large ones by themselves, small buckets together.
     """
     groups = 4 * parts(rows.sparkSession)
     least = similarity - 3.5 * (similarity * (1 - similarity) / k) ** 0.5
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id", "band"), blocks).cast("int")
     meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    rows = rows.withColumn("mine", mine).select("band", "id", "n", "c", "mine", F.explode(meet).alias("at"))
+    rows = rows.withColumn("mine", mine).select("band", "id", "n", "c", "size", "mine", F.explode(meet).alias("at"))
     involved = rows.select("id").distinct()
     rows = rows.join(sig.join(involved, "id").dropDuplicates(["id"]).select("id", "bands", "sketch"), "id")
-    rows = rows.select(F.pmod(F.xxhash64("band", "at.i", "at.j"), F.lit(groups)).alias("g"), "band", "at.i", "at.j", "mine", "id", "n", "c", "bands", "sketch")
+    cell = F.xxhash64("band", "at.i", "at.j")
+    g = F.when(F.col("size") > 64, cell).otherwise(F.pmod(cell, F.lit(groups)))
+    rows = rows.select(g.alias("g"), "band", "at.i", "at.j", "mine", "id", "n", "c", "bands", "sketch")
+    compared = texts is not None
+    if compared:
+        rows = rows.join(texts, "id")
 
     def compare(t: pa.Table) -> pa.Table:
         band, i, j, mine, ids, n, c = (t.column(x).to_numpy() for x in ("band", "i", "j", "mine", "id", "n", "c"))
@@ -330,6 +367,9 @@ def _likely_pairs(rows: DataFrame, sig: DataFrame, similarity: float, k: int, fo
         key = np.stack((band, i, j))[:, order]
         cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
         left, right = [], []
+        if compared:
+            _, one, row = np.unique(ids, return_index=True, return_inverse=True)
+            exact = _Shingled(t.column("text").take(pa.array(one)), counts)
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             m = order[x:y]
             if i[m[0]] == j[m[0]]:
@@ -350,7 +390,10 @@ def _likely_pairs(rows: DataFrame, sig: DataFrame, similarity: float, k: int, fo
                 mine_too = first == band[m[0]]
                 found.append((a[mine_too], b[mine_too], agree[mine_too]))
             a, b, agree = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (p, q, p)
-            if forest and len(a) > 1:
+            if compared:
+                good = exact.similar(row[a], row[b], similarity)
+                a, b, agree = a[good], b[good], agree[good]
+            if len(a) > 1:
                 best = np.argsort(-agree, kind="stable")
                 best = best[_forest(c[a[best]], c[b[best]])]
                 a, b = a[best], b[best]

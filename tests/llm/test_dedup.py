@@ -246,3 +246,19 @@ def test_vectors_of_any_scale(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = {r["id"]: r["n_links"] for r in near_vectors(df).collect()}
     assert got == {1: 4, 2: 4, 3: 4, 4: 4, 5: 0, 6: 0, 7: 0, None: 4}
+
+
+def test_near_copies_in_many_small_blocks(spark, monkeypatch):
+    from episodic.llm import minhash_dedup as M
+
+    monkeypatch.setattr(M, "BLOCK", 3)  # every two blocks of a bucket meet
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(45):  # copies with one to eight changed words: some linked, some just not
+        text = list(base)
+        for at in rng.sample(range(60), rng.randint(1, 8)):
+            text[at] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(text)))
+    got = {r["id"]: r["component_id"] for r in near_duplicates(H.frame(spark, rows)).collect()}
+    assert got == H.near_components(rows)
