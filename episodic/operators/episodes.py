@@ -203,6 +203,12 @@ def traj_lengths(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("traj_len"))
 
 
+def any_all(df: DataFrame, any_of: Mapping[str, Column], all_of: Mapping[str, Column], keys: Sequence[str] = EPISODE) -> DataFrame:
+    """A4: per episode whether any step, or every step, fulfils a condition (null counts as
+    unknown and is left out; an episode of nulls alone gives null).  Partial aggregates only."""
+    return df.groupBy(*keys).agg(*[F.bool_or(c).alias(n) for n, c in any_of.items()], *[F.every(c).alias(n) for n, c in all_of.items()])
+
+
 # --------------------------------------------------------------------- filters
 def skip_unlabeled(df: DataFrame, lang: str = "language_instruction", keys=EPISODE) -> DataFrame:
     """keep an episode iff any step has a non-empty instruction."""

@@ -393,7 +393,7 @@ SELECT conv_id, CAST(msg_idx AS BIGINT) AS msg_idx, role, CAST(item_idx AS BIGIN
 
 TOKENS = """,
 tk AS (SELECT traj_id, t, CAST(floor(t / 32) AS BIGINT) AS blk, 151665 + CAST(state[3] AS BIGINT) AS id FROM steps),
-sq AS (SELECT traj_id * 1000 + blk AS seq_id, blk, list(id ORDER BY t) AS ids, CAST(floor(count(*) / 2) AS BIGINT) AS half
+sq AS (SELECT traj_id * 4294967296 + blk AS seq_id, blk, list(id ORDER BY t) AS ids, CAST(floor(count(*) / 2) AS BIGINT) AS half
        FROM tk GROUP BY traj_id, blk),
 tokens AS (SELECT seq_id, CASE WHEN seq_id % 4 = 0 THEN list_concat(ids, [151645, 151643, 151643])
         ELSE list_concat([151644, 77091, 198],
@@ -472,8 +472,6 @@ SELECT dataset_name AS task, traj_id AS episode, count(*) AS n_steps, {R('sum(wo
 
 
 # ----------------------------------------------------------------------------- standardizers
-from episodic.functions import rotation as RT  # noqa: E402
-
 Z = "0.0::DOUBLE"
 RAW = """,
 raw0 AS (SELECT *, list_concat(world_vector, rotation_delta, [gripper]) AS action,
@@ -528,8 +526,39 @@ def _bridge(first_action: str) -> str:
   WHERE s2 IS NOT NULL"""
 
 
-QUAT_EULER = RT.sql_list(RT.rmat_to_euler_e(RT.SQL, RT.quat_to_rmat_e(RT.SQL, RT.sql_elems("action_quat", 4, 3))))
-WRIST = RT.sql_list(RT.to_wrist_frame_e(RT.SQL, RT.sql_elems("cv", 6), RT.sql_elems("cp", 6)))
+# Rotations, by other ways than the operators': elementary matrices multiplied one by one, angles
+# straight from the quaternion.
+def mm(p: str, q: str) -> str:
+    """Product of two 3 x 3 matrices, lists of nine by rows."""
+    return "[" + ", ".join(" + ".join(f"{p}[{3 * i + k + 1}] * {q}[{3 * k + j + 1}]" for k in range(3)) for i in range(3) for j in range(3)) + "]"
+
+
+def mv(p: str, v: str) -> str:
+    return "[" + ", ".join(" + ".join(f"{p}[{3 * i + k + 1}] * {v}[{k + 1}]" for k in range(3)) for i in range(3)) + "]"
+
+
+def turn_x(a: str) -> str:
+    return f"[1.0::DOUBLE, 0, 0, 0, cos({a}), -sin({a}), 0, sin({a}), cos({a})]"
+
+
+def turn_y(a: str) -> str:
+    return f"[cos({a}), 0, sin({a}), 0, 1.0::DOUBLE, 0, -sin({a}), 0, cos({a})]"
+
+
+def turn_z(a: str) -> str:
+    return f"[cos({a}), -sin({a}), 0, sin({a}), cos({a}), 0, 0, 0, 1.0::DOUBLE]"
+
+
+_X, _Y, _Z, _W = (f"action_quat[{k}]" for k in (4, 5, 6, 7))
+QUAT_EULER = (f"[atan2(2 * ({_W} * {_X} + {_Y} * {_Z}), 1 - 2 * ({_X} * {_X} + {_Y} * {_Y})), asin(greatest(least(2 * ({_W} * {_Y} - {_Z} * {_X}), 1.0), -1.0)), "
+              f"atan2(2 * ({_W} * {_Z} + {_X} * {_Y}), 1 - 2 * ({_Y} * {_Y} + {_Z} * {_Z}))]")
+#: raw with the wrist-frame velocity: first turned back about z, then y, then x
+WRIST_RAW = f"""(SELECT *, list_concat({mv('bx', 'v2')}, ({mm('ri', 'dr')})[1:6]) AS wrist FROM (
+  SELECT *, {mm('dv', 'r')} AS dr, {mv('byb', 'v1')} AS v2 FROM (
+    SELECT *, {mm('zy', 'fx')} AS r, {mm('bxy', 'bz')} AS ri, {mm('dzy', 'dx')} AS dv, {mv('bz', 'cv[1:3]')} AS v1 FROM (
+      SELECT *, {mm('fz', 'fy')} AS zy, {mm('bx', 'byb')} AS bxy, {mm('dz', 'dy')} AS dzy FROM (
+        SELECT *, {turn_x('cp[4]')} AS fx, {turn_y('cp[5]')} AS fy, {turn_z('cp[6]')} AS fz, {turn_x('-cp[4]')} AS bx, {turn_y('-cp[5]')} AS byb, {turn_z('-cp[6]')} AS bz,
+               {turn_x('cv[4]')} AS dx, {turn_y('cv[5]')} AS dy, {turn_z('cv[6]')} AS dz FROM raw)))))"""
 
 ORACLE["std_bridge_oxe"] = _std(_bridge("list_concat(world_vector, rotation_delta, [CAST(open_gripper AS DOUBLE)])").replace(
     "SELECT dataset_name, traj_id, t, state,", "SELECT dataset_name, traj_id, t0 AS t, state,"), True)
@@ -551,8 +580,8 @@ ORACLE["std_gnm"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action
   list_concat(position, [{Z}, {Z}, {Z}], yaw) AS proprio FROM raw""", True)
 ORACLE["std_libero"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(action[1:6], [1 - {clip01('action[7]')}]) AS action,
   list_concat(state[1:6], state[7:8]) AS proprio FROM raw""", True)
-ORACLE["std_droid_wrist"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat({WRIST}, gpos) AS action,
-  list_concat(cp, gpos) AS proprio FROM raw""", True)
+ORACLE["std_droid_wrist"] = _std(f"""SELECT dataset_name, traj_id, t, list_concat(wrist, gpos) AS action,
+  list_concat(cp, gpos) AS proprio FROM {WRIST_RAW}""", True)
 ORACLE["std_fanuc"] = _std("""SELECT dataset_name, traj_id, t, list_concat(action[1:6], [1 - state[7]]) AS action,
   list_concat(state[1:6], [state[7]]) AS proprio FROM raw""", True)
 ORACLE["std_playfusion"] = _std("SELECT dataset_name, traj_id, t, list_concat(action_quat[1:3], action_quat[5:8]) AS action FROM raw", False)
@@ -623,18 +652,19 @@ ORACLE["pad_state"] = "WITH " + STEPS + "\n" + long_of(f"list_concat(state[1:6],
 ORACLE["rollout_state"] = "WITH " + STEPS + "\n" + long_of("list_concat(state[1:3], rotation_delta, [state[7], state[8]])")
 ORACLE["slice_keys"] = "WITH " + STEPS + "\n" + long_of(f"[state[6], state[7], state[3], state[4], {Z}, {Z}, 1.0::DOUBLE]")
 
-_E = [RT.Q("(state[5] / 60.0)"), RT.Q("(state[6] / 60.0)"), RT.Q("(state[3] / 100.0)")]
-_M = RT.euler_to_rmat_e(RT.SQL, _E)
-ROT = (f"[struct_pack(kind := 'm', arr := {RT.sql_list(_M)}), "
-       f"struct_pack(kind := 'back', arr := {RT.sql_list(RT.rmat_to_euler_e(RT.SQL, _M))}), "
-       f"struct_pack(kind := 'inv', arr := {RT.sql_list(RT.transpose_e(_M))}), "
-       f"struct_pack(kind := 'r6', arr := {RT.sql_list(_M[0:6])})]")
 ORACLE["rotations"] = "WITH " + STEPS + f""",
-r AS (SELECT dataset_name, traj_id, t, unnest({ROT}) AS p FROM steps),
-r2 AS (SELECT dataset_name, traj_id, t, p.kind AS kind, unnest(range(0, len(p.arr))) AS dim, unnest(p.arr) AS v FROM r)
-SELECT {KT}, kind, CAST(dim AS BIGINT) AS dim, {R('v')} AS value FROM r2"""
-_POSE = RT.pose_matrix_e(RT.SQL, [RT.Q("(state[1] / 100.0)"), RT.Q("(state[2] / 100.0)"), RT.Q("(state[3] / 100.0)")], _E[0])
-ORACLE["pose_matrix"] = "WITH " + STEPS + "\n" + long_of(RT.sql_list(_POSE))
+e AS (SELECT dataset_name, traj_id, t, [state[5] / 60.0, state[6] / 60.0, state[3] / 100.0] AS e FROM steps),
+r0 AS (SELECT *, {turn_x('e[1]')} AS fx, {turn_y('e[2]')} AS fy, {turn_z('e[3]')} AS fz FROM e),
+r1 AS (SELECT *, {mm('fz', 'fy')} AS zy FROM r0),
+r2 AS (SELECT *, {mm('zy', 'fx')} AS m FROM r1),
+-- the angles are below a right angle, so they come back as they are; the inverse has rows and columns exchanged
+r AS (SELECT dataset_name, traj_id, t, unnest([struct_pack(kind := 'm', arr := m), struct_pack(kind := 'back', arr := e),
+        struct_pack(kind := 'inv', arr := [m[1], m[4], m[7], m[2], m[5], m[8], m[3], m[6], m[9]]), struct_pack(kind := 'r6', arr := m[1:6])]) AS p FROM r2),
+r3 AS (SELECT dataset_name, traj_id, t, p.kind AS kind, unnest(range(0, len(p.arr))) AS dim, unnest(p.arr) AS v FROM r)
+SELECT {KT}, kind, CAST(dim AS BIGINT) AS dim, {R('v')} AS value FROM r3"""
+ORACLE["pose_matrix"] = "WITH " + STEPS + "\n" + long_of(
+    "[0.0::DOUBLE, -sin(state[5] / 60.0), cos(state[5] / 60.0), state[1] / 100.0, 0, cos(state[5] / 60.0), sin(state[5] / 60.0), state[2] / 100.0, "
+    "-1, 0, 0, state[3] / 100.0, 0, 0, 0, 1]")
 ORACLE["decode_lower"] = "WITH " + STEPS + f"\nSELECT {KT}, lower(language_instruction) AS lang FROM steps"
 ORACLE["parse_pair"] = "WITH " + STEPS + """
 SELECT event_id, CAST(k AS BIGINT) AS w, CAST(hour(ts) AS BIGINT) AS h FROM steps"""
@@ -747,7 +777,7 @@ ORACLE["rate_gate"] = """WITH RECURSIVE acc AS (
 SELECT user_id AS traj_id, event_id, event_id IN (SELECT event_id FROM acc) AS accepted FROM events"""
 
 # ----------------------------------------------------------------------------- raw mixtures
-RAW = STEPS + """,
+RAW_MIXTURE = STEPS + """,
 names AS (SELECT * FROM (VALUES (0, 'bridge_oxe'), (1, 'fractal20220817_data'), (2, 'libero_spatial_no_noops'), (3, 'taco_play'),
                                 (4, 'tdroid_carrot_in_bowl')) v(k5, name)),
 r AS (SELECT s.* EXCLUDE (dataset_name), n.name AS dataset_name, n.k5, max(s.t) OVER (PARTITION BY s.traj_id) AS tmax,
@@ -773,12 +803,12 @@ std AS MATERIALIZED (
                  WHEN 3 THEN list_concat(state[1:6], [state[8]]) WHEN 4 THEN list_concat(state[1:6], [gripper]) END AS proprio
   FROM r WHERE k5 <> 0 OR (t > 0 AND t < tmax))"""
 
-ORACLE["std_mixture"] = "WITH " + RAW + f"""
+ORACLE["std_mixture"] = "WITH " + RAW_MIXTURE + f"""
 SELECT dataset_name, traj_id, CAST(t AS BIGINT) AS t, event_id, language_instruction, field, CAST(dim AS BIGINT) AS dim, {R('x')} AS value FROM (
   SELECT dataset_name, traj_id, t, event_id, language_instruction, 'action' AS field, unnest(range(0, 7)) AS dim, unnest(action) AS x FROM std
   UNION ALL SELECT dataset_name, traj_id, t, event_id, language_instruction, 'proprio', unnest(range(0, len(proprio))), unnest(proprio) FROM std WHERE proprio IS NOT NULL)"""
 
-ORACLE["single_pipeline_raw"] = "WITH " + RAW + f""",
+ORACLE["single_pipeline_raw"] = "WITH " + RAW_MIXTURE + f""",
 long AS MATERIALIZED (SELECT dataset_name, traj_id, t, 'action' AS field, unnest(range(0, 7)) AS dim, unnest(action) AS x FROM std)""" + STATS + NORM_Q99 + f""",
 ch AS (SELECT dataset_name, traj_id, t, dim, [nx, {", ".join(f"lead(nx, {k}, 0.0) OVER w" for k in range(1, 6))}] AS c FROM norm
        WINDOW w AS (PARTITION BY dataset_name, traj_id, dim ORDER BY t)),
@@ -787,7 +817,7 @@ SELECT dataset_name, traj_id, CAST(slot AS BIGINT) AS slot, CAST(dim AS BIGINT)
        {R('sum(round(v, 6))')} AS total, {R('sum(round(v, 6) * (t + 1))')} AS weighted
 FROM ex GROUP BY dataset_name, traj_id, slot, dim"""
 
-ORACLE["interleaved_pipeline_raw"] = "WITH " + RAW + f""",
+ORACLE["interleaved_pipeline_raw"] = "WITH " + RAW_MIXTURE + f""",
 mix AS (SELECT k5 AS pos, name AS dataset_name, 1.0::DOUBLE + k5 % 3 AS weight FROM names WHERE name IN (SELECT dataset_name FROM std)),
 mw AS (SELECT *, weight / sum(weight) OVER () AS sw FROM mix),
 cdf AS (SELECT dataset_name, pos, sum(sw) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,

@@ -168,13 +168,8 @@ def q_traj_len(spark, d):
 
 @query("any_all_reduce")
 def q_any_all(spark, d):
-    st = T.steps(spark, d)
-    return st.groupBy(*EP).agg(
-        F.bool_or(F.col("gripper") > 0.95).alias("any_open"),
-        F.every(F.col("gripper") > 0.01).alias("all_above"),
-        F.bool_or(F.exists("action", lambda v: v > 400)).alias("any_big"),
-        F.every(F.forall("state", lambda v: v >= 0)).alias("all_nonneg"),
-    )
+    return E.any_all(T.steps(spark, d), {"any_open": F.col("gripper") > 0.95, "any_big": F.exists("action", lambda v: v > 400)},
+                     {"all_above": F.col("gripper") > 0.01, "all_nonneg": F.forall("state", lambda v: v >= 0)})
 
 
 @query("chunk_filter")

@@ -133,7 +133,7 @@ def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``tokens``: per user and block of 32 steps, ids = 151665 + k in time order.
 
-    Every 4th sequence has no marker; the others carry the assistant-start marker
+    Every 4th block of a user has no marker; the others carry the assistant-start marker
     before the ids, sequences with odd block also get a second marker in the middle;
     one end token and two pad ids close each sequence.
     """
@@ -147,10 +147,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.size(ids) / 2).cast("int")
     body = F.when(
         F.col("blk") % 2 == 1,
-        F.concat(F.slice(ids, 1, half), marker, F.slice(ids, half + 1, 1 << 20)),
+        F.concat(F.slice(ids, 1, half), marker, F.slice(ids, half + 1, F.size(ids))),
     ).otherwise(ids)
     tail = F.array(F.lit(ASSISTANT_END).cast("bigint"), F.lit(PAD_ID).cast("bigint"), F.lit(PAD_ID).cast("bigint"))
-    seq_id = F.col("traj_id") * 1000 + F.col("blk")
+    seq_id = F.col("traj_id") * (1 << 32) + F.col("blk")
     input_ids = F.when((seq_id % 4) == 0, F.concat(ids, tail)).otherwise(F.concat(marker, body, tail))
     return seqs.select(seq_id.alias("seq_id"), input_ids.alias("input_ids"), F.lit(PAD_ID).cast("bigint").alias("pad_id"))
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from episodic.operators import projections as P
 from episodic.operators import recipes as RC
 from episodic.operators import registry as RG
 from episodic.plans import pipelines as PL
@@ -92,7 +93,7 @@ def test_episode_scans_of_recipes(spark):
 
 def test_cameras_change_places_by_episode(spark):
     df = raw(spark, "droid").drop("traj_id").crossJoin(spark.range(40).select(F.col("id").alias("traj_id")))
-    out = RC.standardize_mixture(df, ["droid"] if False else {"x": "droid"}, keep=["observation.exterior_image_1_left", "observation.exterior_image_2_left"])
+    out = RC.standardize_mixture(df, {"x": "droid"}, keep=["observation.exterior_image_1_left", "observation.exterior_image_2_left"])
     got = {}
     for r in out.collect():
         got.setdefault(r["traj_id"], set()).add((r["observation.exterior_image_1_left"], r["observation.exterior_image_2_left"]))
@@ -116,6 +117,20 @@ def test_one_plan_gives_what_each_dataset_gives_alone(spark):
         assert sorted(repr([r[c] for c in key]) for r in alone) == sorted(repr([r[c] for c in key]) for r in mixed if r["dataset_name"] == name)
 
 
+def test_a_configuration_runs_its_recipe(spark):
+    raw_libero = T.raw_datasets(spark, SF_SMALL)["libero_spatial_no_noops"]
+    rows = [("libero_spatial_no_noops", "EEF_POS", {"primary": "observation.image", "wrist": None}, {}, ["observation.state"]), ("ds0", "EEF_POS", {"primary": "image"}, {}, [])]
+    table = P.config_table(spark.createDataFrame(rows, "dataset_name string, action_encoding string, image_views map<string,string>, depth_views map<string,string>, state_columns array<string>"), views=("primary",))
+    out = P.apply_config(raw_libero, P.config_for("libero_spatial_no_noops", table))
+    alone = RC.standardize_mixture(RC.raw_mixture({"libero_spatial_no_noops": raw_libero}), ["libero_spatial_no_noops"])
+    key = ["traj_id", "t", "action", "proprio", "language_instruction"]
+    assert sorted(repr([r[c] for c in key]) for r in out.collect()) == sorted(repr([r[c] for c in key]) for r in alone.collect())
+    assert out.select("image_primary").where("image_primary <> ''").count() > 0 and out.first()["absolute_action_mask"] == [False] * 6 + [True]
+    assert P.config_for("ds0", table).standardize_fn is None
+    with pytest.raises(ValueError, match="not found: image"):
+        P.apply_config(raw_libero, P.config_for("ds0", table))
+
+
 def test_batch_transform_by_dataset(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "dataset_name string, x int")
     out = PL.transformed(df, {"y": lambda c: c["x"] + 1, "z": {"a": lambda c: c["x"] * 10, "*": lambda c: -c["x"]}, "w": {"b": lambda c: c["x"]}})
