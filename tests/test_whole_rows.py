@@ -47,3 +47,11 @@ def test_normalize_chunk_returns_every_chunk_value(spark, events):
     assert set(got) == {(u, t, s, d) for u, n in ((1, 5), (2, 4), (3, 1)) for t in range(n) for s in range(6) for d in range(7)}
     # a slot holds the value of that many steps on, and zero beyond the end
     assert all(v == (got[u, t + s, 0, d] if (u, t + s, 0, d) in got else 0.0) for (u, t, s, d), v in got.items())
+
+
+def test_single_pipeline_returns_every_chunk_value_of_labelled_episodes(spark, events):
+    got = check(spark, events, "single_pipeline")
+    steps = {k[:2] for k in got}
+    assert steps and {(u, t) for u, t in steps if u == 1} in (set(), {(1, t) for t in range(5)})
+    assert set(got) == {(u, t, s, d) for u, t in steps for s in range(6) for d in range(7)}
+    assert all(v == (got[u, t + s, 0, d] if (u, t + s, 0, d) in got else 0.0) for (u, t, s, d), v in got.items())
