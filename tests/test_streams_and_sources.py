@@ -183,3 +183,14 @@ def test_unlabelled_steps_have_no_dialogue(spark):
     steps = spark.createDataFrame([("a",), ("",), (None,)], "task string")
     got = {r["task"]: r["entry"] for r in D.attach_dialogue(steps, D.instruction_catalog(items)).collect()}
     assert got["a"] is not None and got[""] is None and got[None] is None
+
+
+def test_many_keys_share_their_states(spark, tmp_path):
+    """The work of a batch follows the rows, not the keys: as many states as groups at most."""
+    big = 2**60  # beyond the whole numbers of doubles
+    rows = [(u if u else None, big + 3 * u + k, T0 + datetime.timedelta(seconds=600 * k + u % 60)) for u in range(1500) for k in (0, 2, 1)]
+    parts = [rows[k::3] for k in range(3)] + [[(None, None, CLOSE)]]
+    progress = []
+    out = SS.run_append(SS.rate_gate(_files(spark, str(tmp_path / "in"), parts, "traj_id bigint, event_id bigint, ts timestamp"), 900, delay="24000 seconds"), "gate", progress=progress)
+    assert {(r["traj_id"], r["event_id"], r["accepted"]) for r in out.collect()} == {(u, e, (e - big) % 3 != 1) for u, e, _ in rows}
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 1024
