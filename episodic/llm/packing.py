@@ -16,13 +16,15 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodic.llm import kernel as K
 from episodic.llm.common import parts, table, written
 
 CAPACITY = 4096
@@ -30,6 +32,8 @@ END_ID = 1
 #: Words whose ids a Python worker remembers: twice that many at most.  When that many are new, the
 #: older ones are dropped, but for those that were needed since.
 REMEMBER = 250_000
+#: Bytes of text that are cut into words at a time, one text at least.
+PART = 8 << 20
 
 
 class WordIds(dict):
@@ -37,7 +41,9 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     words.  Words of plain letters, digits and signs skip the normalizer: below U+0300 it only
-    lowers the case.  All others go through the whole tokenizer.
+    lowers the case.  All others go through the whole tokenizer.  Letters with at most one sign
+    behind them, which most words are, are cut without the pattern: the pattern takes letters as
+    one piece and a sign behind them as another.
     """
 
     def __init__(self, spec: str):
@@ -59,28 +65,48 @@ class WordIds(dict):
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             other = iter(range(256, 512))
             self.shown = {b: chr(b) if b in shown else chr(next(other)) for b in range(256)}
-            self.piece: dict[str, bytes] = {}
-            self.older_piece: dict[str, bytes] = {}
+            self.packed = [i.to_bytes(4, "little") for i in range(1 + max(parsed["model"]["vocab"].values()))]
+            rest = set(split[0].split("|")) - {"[\\p{N}]"}
+            self.letters = {"[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"} == {p for p in rest if p[:1] != "'"}
+            self.signs = frozenset(b".,;:!?)" if self.letters else b"")
+            self.piece: dict[bytes, bytes] = {}
+            self.older_piece: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         out = self.older.get(word)
+        if out is None and not word:
+            out = b""  # white space at a border of the text
         if out is None:
-            text = word.decode("utf-8", "replace")
-            if self.direct and "<|" not in text and self.plain.fullmatch(text):
-                out = b"".join([self.piece.get(p) or self._one(p) for p in self.cut.findall(text.lower())])
-            else:
-                out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            out = self._word(word) if self.direct else self._whole(word.decode("utf-8", "replace"))
         if len(self) >= REMEMBER:
             self.older = dict(self)
             self.clear()
         self[word] = out
         return out
 
-    def _one(self, piece: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        get, sign = self.piece.get, word[-1:] if word[-1] in self.signs else b""
+        body = word[:-1] if sign else word
+        if self.letters and body.isalpha():  # of bytes: ASCII
+            low = body.lower()
+        else:
+            text = word.decode("utf-8", "replace")
+            if "<|" in text or not self.plain.fullmatch(text):
+                return self._whole(text)
+            if not (self.letters and (stem := text[:-1] if sign else text).isalpha()):
+                return b"".join([get(p) or self._one(p) for p in map(str.encode, self.cut.findall(text.lower()))])
+            low = stem.lower().encode()
+        out = get(low) or self._one(low)
+        return out + (get(sign) or self._one(sign)) if sign else out
+
+    def _one(self, piece: bytes) -> bytes:
         out = self.older_piece.get(piece)
         if out is None:
-            mapped = piece.encode().decode("latin-1").translate(self.shown)
-            out = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            mapped = piece.decode("ascii") if piece.isascii() else piece.decode("latin-1").translate(self.shown)
+            out = b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
         if len(self.piece) >= REMEMBER:
             self.older_piece, self.piece = self.piece, {}
         self.piece[piece] = out
@@ -96,6 +122,18 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+def ids_of(texts: pa.Array, get: Callable[[bytes], bytes]) -> tuple[np.ndarray, list[int]]:
+    """The ids of all ``texts`` strung together, as bytes, and where each text's begin and end.
+
+    ``get`` gives the ids of a word; it is asked once for every distinct word."""
+    cut = pc.ascii_split_whitespace(texts)
+    numbered = cut.flatten().dictionary_encode()
+    words = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    known = pa.array([get(w) for w in words], pa.large_binary())
+    data, at = K.buffer_of(known.take(numbered.indices))
+    return data, at[cut.offsets.to_numpy()].tolist()
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID,
               with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document's token ids, cut at ``capacity``.
@@ -113,16 +151,19 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
             words = _words[key] = WordIds(spec.value)
         get = words.__getitem__
         for batch in batches:
-            for at in range(0, len(batch), 256):  # a few texts at a time
-                part = batch.slice(at, 256)
+            texts = batch.column("_text").fill_null("")
+            offs = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            for i, j in K.slices(offs, PART):
+                part = batch.slice(i, j - i)
+                data, border = ids_of(texts.slice(i, j - i), get)
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, text in enumerate(part.column("_text").cast(pa.binary())):
-                    got = b"".join(map(get, (text.as_py() or b"").split())) + end
-                    for i in range(0, max(len(got) // 4, 1), capacity):
-                        one = got[4 * i : 4 * (i + capacity)]
+                for k in range(j - i):
+                    got = data[border[k] : border[k + 1]].tobytes() + end
+                    for n in range(0, max(len(got) // 4, 1), capacity):
+                        one = got[4 * n : 4 * (n + capacity)]
                         rows.append(k)
-                        piece.append(i // capacity)
-                        start.append(i)
+                        piece.append(n // capacity)
+                        start.append(n)
                         length.append(len(one) // 4)
                         crc.append(zlib.crc32(one))
                         if with_ids:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -85,6 +86,18 @@ def test_packing_special_words_nulls_and_sequences(spark):
     assert packing.packed_documents(df.limit(0)).count() == 0
 
 
+def test_distinct_words_are_looked_up_once():
+    """A part's words are cut without the interpreter: each distinct one is looked up once, with the library's ids."""
+    words = ["the", "The", "the.", "THE,", "é", "É.", "ßa", "a.b", "It's", "d'", "we'll", "x1", "12.", "...", ".", "!?", "a!", "<|endoftext|>", "a<|", "ǅa", "ª.", "ʰa", "ИЯ.", "你好", "a\x1cb", "\x85", "a\u00a0b", "é́", "x" * 300 + ".", "“q”", "ŉ", "İ."]
+    texts = [None, "", " ", *words, *(f"\t{w}\n \x0b{w} " for w in words), " ".join(words) * 50, "\x0c\r".join(reversed(words))]
+    ids, asked = packing.WordIds(packing.read_spec(BPE_PATH)), []
+    data, border = packing.ids_of(pa.array([t or "" for t in texts]), lambda w: asked.append(w) or ids[w])
+    assert len(asked) == len(set(asked)) <= 2 * len(words) + 1
+    library = Tokenizer.from_file(BPE_PATH)
+    for k, t in enumerate(texts):
+        assert np.frombuffer(data[border[k] : border[k + 1]].tobytes(), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_fills_bins(seed):
     rng = np.random.default_rng(seed)
