@@ -1,20 +1,20 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding by a lattice in columns.
 
 *Words.*  A text is cut wherever two neighbouring characters stand side by side in no piece of
 the vocabulary: no merge and no piece can cross such a place, so the parts ("words") are encoded
-by themselves.  Documents become lists of word numbers, block by block; only distinct words
-travel on.
-
-*Lattice.*  Distinct words explode into substrings of at most the longest piece's length, join
-the piece table (a vocabulary, broadcast) and are grouped by word again: the edges of the
-lattice.  No row is shuffled for it.
-
-*Fold.*  One ``aggregate`` a word.  For a unigram model it is Viterbi's recursion over the
-edges.  For a BPE model Viterbi is not what the model means: there the score of a piece is the
-rank of its merge, so the fold applies merges -- the best-scored edge that joins two neighbouring
-parts, leftmost first.  Characters without a piece become byte pieces.
-
-The ids return to the blocks and are strung together there.
+by themselves.  Words are numbered in blocks of about 2 MB of text; each distinct one is encoded once a
+block.  Nothing is shuffled or written: words of real and made texts are mostly rare, and
+moving them costs as much disk as the texts.
+
+*Lattice.*  The symbols of all words of a block are one column.  For a BPE model the edges are
+the neighbours whose texts together are a piece, found by joining (left, right) with a table of
+all the ways to cut a piece in two; for a unigram model the pieces that start at a symbol, found
+by joining (prefix, symbol) with a table of the pieces' prefixes.  Both joins compare content.
+
+*Fold.*  All words of a block fold together, a step at a time.  For a unigram model it is Viterbi's
+recursion over the edges.  For a BPE model Viterbi is not what the model means: there the score of
+a piece is the rank of its merge, so a step applies in each word its best-scored edge, leftmost
+first, until a word has none.  Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -25,17 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodic.llm import kernel as K
-from episodic.llm.common import parts, table, written
+from episodic.llm.common import table, written
 
 SPACE = "▁"
 NORMAL, UNKNOWN_KIND, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Characters from which a word is encoded by the library itself: the fold is quadratic in them.
 LONG = 200
+#: Bytes of text in a block, one text at least.
+BLOCK = 2 << 20
+_NONE = 1 << 30
 _JOINS = 22
 
 
@@ -101,10 +104,6 @@ class Model:
                 out[_pair(c[:-1], c[1:])] = True
         return out
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(t, i, s) for i, (t, s, k) in enumerate(self.pieces) if k in (NORMAL, USER)]
-        return spark.createDataFrame(rows, "piece string, id int, score float")
-
     def texts(self) -> list[bytes]:
         """What each id stands for, as bytes."""
         return [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == 3 else t.replace(SPACE, " ").encode() for t, _, k in self.pieces]
@@ -119,202 +118,206 @@ def read_model(path: str) -> Model:
         return Model(f.read())
 
 
-def _blocks(docs: DataFrame, model: Model, ranges: int) -> DataFrame:
-    """(block, p, words, docs): for each block of documents its distinct words by range p, and at
-    p = -1 the documents as numbers into those words, packed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.joins())
-    prefix = SPACE if model.dummy_prefix else ""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joins = shared.value
-        for batch in batches:
-            ids, texts = batch.column("_id"), batch.column("_text")
-            _, offs = K.buffer_of(texts)
-            for i, j in K.slices(offs, 1 << 20):
-                plain = [t or "" for t in texts.slice(i, j - i).to_pylist()]
-                marked = [prefix + t.replace(" ", SPACE) if t else "" for t in plain]
-                whole = "".join(marked)
-                c = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-                border = np.concatenate(([0], np.cumsum([len(t) for t in marked])))
-                new = np.ones(len(c), dtype=bool)
-                new[1:] = ~joins[_pair(c[:-1], c[1:])]
-                new[border[:-1][border[:-1] < len(c)]] = True
-                start = np.flatnonzero(new)
-                end = np.append(start[1:], len(c))[: len(start)]
-                h = K.span_hash(K.prefix_hash(c), start, end)
-                u, first, number = np.unique(h, return_index=True, return_inverse=True)
-                p = (u % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(p, kind="stable")  # words by range
-                place = np.empty(len(u), np.int64)
-                place[order] = np.arange(len(u))
-                code = place[number].astype("<u2" if len(u) < 1 << 16 else "<u4").tobytes()
-                count = np.searchsorted(start, border).astype("<i8")
-                sums = np.array([zlib.crc32(t.encode()) for t in plain], "<i8")
-                block = f"{K.mix(np.array([np.bitwise_xor.reduce(u) if len(u) else 0], np.uint64) + np.uint64(len(number)))[0]:016x}-{ids[i].as_py()}-{j - i}"
-                s, e = start[first[order]].tolist(), end[first[order]].tolist()
-                words = [whole[a:b] for a, b in zip(s, e, strict=True)]
-                cut = np.searchsorted(p[order], np.arange(ranges + 1)).tolist()
-                used = [q for q in range(ranges) if cut[q] < cut[q + 1]]
-                packed = pa.compress(code, codec="zstd", asbytes=True) if code else b""
-                head = np.array([len(code), len(u), j - i], "<i8").tobytes() + count.tobytes() + sums.tobytes()
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as w:
-                    w.write_batch(pa.RecordBatch.from_arrays([ids.slice(i, j - i)], names=["id"]))
-                key = sink.getvalue().to_pybytes()
-                doc = struct.pack("<qq", len(head), len(key)) + head + key + packed
-                yield pa.RecordBatch.from_pydict({"block": [block] * (len(used) + 1), "p": pa.array([-1, *used], pa.int32()),
-                                                  "words": pa.array([None] + [words[cut[q] : cut[q + 1]] for q in used], pa.list_(pa.string())),
-                                                  "docs": pa.array([doc] + [None] * len(used), pa.binary())})
-
-    return docs.mapInArrow(run, "block string, p int, words array<string>, docs binary")
-
-
-def _byte_ids(text: Column, model: Model) -> Column:
-    """Byte pieces of a text, or the unknown piece."""
-    if not model.fallback:
-        return F.array(F.lit(model.unknown))
-    digits = F.hex(F.encode(text, "UTF-8"))
-    at = F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int"))
-    value = F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return F.transform(value, lambda b: F.get(F.array(*[F.lit(x) for x in model.bytes]), b))
-
-
-def _bound(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _merges(n: Column, longer: Column) -> Column:
-    """Borders of the parts after all merges of a BPE model; ``longer``: edges of two characters
-    and more, best score first, leftmost first of equal ones."""
-
-    def step(b: Column, _: Column) -> Column:
-        def joins(e: Column) -> Column:  # the edge spans two neighbouring parts
-            return _bound(F.array_position(b, e["start"]), lambda p: (p > 0) & (F.get(b, (p + 1).cast("int")) == e["end"]))
-
-        best = F.get(F.filter(longer, joins), F.lit(0))["start"]
-        return _bound(best, lambda left: F.when(left.isNull(), b).otherwise(F.array_remove(b, F.get(b, F.array_position(b, left).cast("int")))))
-
-    # every merge uses up an edge
-    return F.aggregate(F.slice(longer, 1, F.greatest(n - 1, F.lit(0))), F.sequence(F.lit(0), n), step)
-
-
-def _viterbi(n: Column, edges: Column, unknown: float) -> Column:
-    """Borders of the best-scored segmentation of a unigram model; a character without a piece
-    costs ``unknown``."""
-
-    def step(best: Column, end: Column) -> Column:
-        known = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: F.struct(
-            (F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("left")))
-        bare = F.when(F.exists(edges, lambda e: (e["end"] == end) & (e["start"] == end - 1)), F.array().cast("array<struct<score: double, left: int>>")) \
-            .otherwise(F.array(F.struct((F.get(best, end - 1)["score"] + unknown).alias("score"), (-(end - 1)).alias("left"))))
-        top = F.array_max(F.concat(known, bare))
-        return F.concat(best, F.array(F.struct(top["score"].alias("score"), F.concat(F.get(best, -top["left"])["b"], F.array(end)).alias("b"))))
-
-    zero = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("b")))
-    return F.get(F.aggregate(F.sequence(F.lit(1), n), zero, step), n)["b"]
-
-
-def encode_words(words: DataFrame, model: Model, pieces: DataFrame | None = None) -> DataFrame:
-    """``words`` (p, word; distinct) with their ids; words without any edge are missing."""
-    spark = words.sparkSession
-    longest = max(len(t) for t, _, k in model.pieces if k in (NORMAL, USER))
-    pieces = model.table(spark) if pieces is None else pieces
-    at = F.sequence(F.lit(0), F.length("word") - 1)
-    spans = F.flatten(F.transform(at, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i)), lambda n: F.struct(i.alias("start"), (i + n).alias("end")))))
-    cut = words.where((F.length("word") > 0) & (F.length("word") < LONG)).select("p", "word", F.explode(spans).alias("s"))
-    cut = cut.select("p", "word", "s.start", "s.end", F.col("word").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"))
-    # the vocabulary is the bound of what is broadcast
-    edges = cut.join(F.broadcast(pieces), "piece").groupBy("p", "word").agg(
-        F.collect_list(F.struct("start", "end", F.col("score").cast("double").alias("score"), "id")).alias("edges"),
-        F.sort_array(F.collect_list(F.when(F.col("end") - F.col("start") > 1, F.struct((-F.col("score")).alias("cost"), "start", "end")))).alias("longer"))
-    n = F.length("word")
-    least = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
-    folded = _merges(n, F.col("longer")) if model.kind == BPE else _viterbi(n, F.col("edges"), least - 10.0)
-    borders = edges.select("p", "word", "edges", F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(folded).alias("b"))
-
-    def ids(start: Column, i: Column) -> Column:
-        end = F.get(F.col("b"), i + 1)
-        found = F.filter("edges", lambda e: (e["start"] == start) & (e["end"] == end))
-        return F.when(F.size(found) > 0, F.array(F.get(found, F.lit(0))["id"])).otherwise(_byte_ids(F.substring(F.col("word"), start + 1, end - start), model))
-
-    return borders.select("p", "word", F.flatten(F.transform(F.slice("b", 1, F.size("b") - 1), ids)).alias("ids"))
+class Lattice:
+    """Encodes words, given as one column of characters and the words' lengths.
+
+    Symbols are numbers: the pieces' texts and the characters that occur in them; characters of no
+    piece get numbers behind those, block by block."""
+
+    def __init__(self, model: Model):
+        self.model, self.joins, self.library = model, model.joins(), None
+        pieces = [(t, i, s) for i, (t, s, k) in enumerate(model.pieces) if k in (NORMAL, USER) and t]
+        number = {t: i for i, t in enumerate(dict.fromkeys([t for t, _, _ in pieces] + sorted({c for t, _, _ in pieces for c in t})))}
+        self.symbols = len(number)
+        self.of_char = np.full(0x110000, -1, np.int64)
+        ids = [self.byte_ids(t) for t in number]
+        for t, k in number.items():
+            if len(t) == 1:
+                self.of_char[ord(t)] = k
+        for t, i, _ in pieces:
+            ids[number[t]] = [i]
+        self.ids, self.sizes = [x for y in ids for x in y], [len(y) for y in ids]
+        if model.kind == BPE:
+            level = {s: r for r, s in enumerate(sorted({s for _, _, s in pieces}, reverse=True))}
+            cuts = {number[t[:k]] * self.symbols + number[t[k:]]: (level[s], number[t]) for t, _, s in pieces for k in range(1, len(t)) if t[:k] in number and t[k:] in number}
+            self.keys = np.array(sorted(cuts), np.int64)
+            self.rank, self.made = np.array([cuts[k] for k in self.keys.tolist()], np.int64).reshape(-1, 2).T
+        else:
+            prefixes = {t: i for i, t in enumerate(dict.fromkeys(["", *(t[:k] for t, _, _ in pieces for k in range(1, len(t) + 1))]))}
+            steps = {prefixes[t[:-1]] * self.symbols + number[t[-1]]: i for t, i in prefixes.items() if t}
+            self.keys = np.array(sorted(steps), np.int64)
+            self.made = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+            self.ends, self.score = np.full(len(prefixes), -1, np.int64), np.zeros(len(prefixes))
+            for t, _, score in pieces:
+                self.ends[prefixes[t]], self.score[prefixes[t]] = number[t], score
+            self.unknown = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0) - 10.0
+
+    def byte_ids(self, text: str) -> list[int]:
+        """Byte pieces of a text, or the unknown piece."""
+        return [self.model.bytes[b] for b in text.encode()] if self.model.fallback else [self.model.unknown]
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table for (left, right), and which are there."""
+        if not len(self.keys):
+            return np.zeros(len(left), np.int64), np.zeros(len(left), bool)
+        key = left * self.symbols + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, (self.keys[at] == key) & (right < self.symbols)
+
+    def _merges(self, sym: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, symbol) of the parts after all merges of a BPE model."""
+        word = np.repeat(np.arange(len(length)), length)
+
+        def edges(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # of the parts i and their right neighbours
+            after = np.minimum(i + 1, len(sym) - 1)
+            at, there = self._find(sym[i], sym[after])
+            there &= (after > i) & (word[after] == word[i])
+            return (np.where(there, self.rank[at], _NONE), self.made[at]) if len(self.keys) else (np.full(len(i), _NONE), i)
+
+        rank, made = edges(np.arange(len(sym)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat((rank << 32) + np.arange(len(sym)), first)  # leftmost of equal ones
+            more = (best >> 32) < _NONE
+            keep = np.repeat(more, np.diff(np.append(first, len(sym))))
+            done.append((word[~keep], sym[~keep]))
+            at = best[more] & 0xFFFFFFFF
+            sym[at] = made[at]
+            keep[at + 1] = False
+            moved = (np.cumsum(keep) - 1)[at]
+            sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
+            fresh = np.concatenate((moved, moved[moved > 0] - 1))
+            rank[fresh], made[fresh] = edges(fresh)
+        word, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (word, sym)
+        order = np.argsort(word, kind="stable")
+        return word[order], sym[order]
+
+    def _viterbi(self, sym: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, symbol) of the best-scored segmentation of a unigram model; a character without a
+        piece costs ``unknown``, and of equal scores the longer last part wins."""
+        word = np.repeat(np.arange(len(length)), length)
+        base = np.cumsum(length + 1) - length - 1  # borders of all words in one column
+        left = np.arange(len(sym)) + word  # the border before each character
+        at, node, found = np.arange(len(sym)), np.zeros(len(sym), np.int64), []
+        n = 0
+        while len(at):  # all prefixes of pieces, a character longer each time
+            row, there = self._find(node, sym[at + n])
+            at, node, n = at[there], self.made[row[there]], n + 1
+            whole = self.ends[node] >= 0
+            found.append((left[at[whole]], left[at[whole]] + n, self.score[node[whole]], self.ends[node[whole]]))
+            inside = at + n < len(sym)
+            at, node = at[inside], node[inside]
+            inside = word[at + n] == word[at]
+            at, node = at[inside], node[inside]
+        bare = np.ones(len(sym), dtype=bool)
+        if found:
+            bare[np.flatnonzero(np.isin(left, found[0][0]))] = False
+        found.append((left[bare], left[bare] + 1, np.full(int(bare.sum()), self.unknown), sym[bare]))
+        start, end, score, part = (np.concatenate(x) for x in zip(*found, strict=True))
+        borders = len(sym) + len(length)
+        best, back, by = np.zeros(borders), np.full(borders, -1, np.int64), np.zeros(borders, np.int64)
+        place = np.arange(borders) - np.repeat(base, length + 1)
+        order = np.argsort(place[end], kind="stable")
+        cut = np.searchsorted(place[end][order], np.arange(1, int(length.max(initial=0)) + 2))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):  # edges that end behind the k-th characters
+            e = order[a:b]
+            total = best[start[e]] + score[e]
+            e, total = (x[np.lexsort((-start[e], total, end[e]))] for x in (e, total))
+            last = np.flatnonzero(np.append(end[e][1:] != end[e][:-1], True)[: len(e)])
+            best[end[e[last]]], back[end[e[last]]], by[end[e[last]]] = total[last], start[e[last]], part[e[last]]
+        which, here, out = np.arange(len(length)), base + length, []
+        while len(which):
+            more = back[here] >= 0
+            which, here = which[more], here[more]
+            out.append((which, by[here], here))
+            here = back[here]
+        which, part, here = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (which, which, which)
+        order = np.argsort(here, kind="stable")
+        return which[order], part[order]
+
+    def encode(self, c: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their number by word."""
+        sym = self.of_char[c]
+        strange, number = np.unique(c[sym < 0], return_inverse=True)
+        sym[sym < 0] = self.symbols + number
+        extra = [self.byte_ids(chr(x)) for x in strange.tolist()]
+        sizes = np.array(self.sizes + [len(x) for x in extra], np.int64)
+        ids = np.array(self.ids + [y for x in extra for y in x], np.int32)
+        word, part = (self._merges if self.model.kind == BPE else self._viterbi)(sym, length)
+        n = sizes[part]
+        return _spans(ids, (np.cumsum(sizes) - sizes)[part], n), np.bincount(word, n, len(length)).astype(np.int64)
+
+    def encode_long(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if words and self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model.raw)
+        apart = self.model.apart  # in front: a character that no piece holds, so nothing joins it
+        found = [self.library.encode(apart + w)[len(self.library.encode(apart)) :] for w in words]
+        return np.array([y for x in found for y in x], np.int32), np.array([len(x) for x in found], np.int64)
+
+    def block(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        prefix = SPACE if self.model.dummy_prefix else ""
+        marked = [prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(marked)
+        c = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        border = np.concatenate(([0], np.cumsum([len(t) for t in marked], dtype=np.int64)))
+        new = np.ones(len(c), dtype=bool)
+        new[1:] = ~self.joins[_pair(c[:-1], c[1:])]
+        new[border[:-1][border[:-1] < len(c)]] = True
+        start = np.flatnonzero(new)
+        data = np.frombuffer(whole.encode(), np.uint8)
+        of_char = np.flatnonzero((data & 0xC0) != 0x80)
+        offsets = np.append(of_char[start], len(data)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        numbered = words.dictionary_encode()
+        code = numbered.indices.to_numpy()
+        first = np.zeros(len(numbered.dictionary), np.int64)
+        first[code[::-1]] = np.arange(len(start))[::-1]
+        length = np.append(start[1:], len(c))[first] - start[first] if len(start) else first
+        short = length < LONG
+        ids, size = self.encode(_spans(c, start[first[short]], length[short]), length[short])
+        more, sizes = self.encode_long([w.as_py().decode() for w in numbered.dictionary.filter(pa.array(~short))])
+        place = np.empty(len(first), np.int64)
+        place[np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))] = np.arange(len(first))
+        size = np.concatenate((size, sizes))
+        n, at = size[place[code]], (np.cumsum(size) - size)[place[code]]
+        total = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, border)]
+        return pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(_spans(np.concatenate((ids, more)), at, n)))
+
+
+def _spans(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values [start, start + n) of all spans in a row."""
+    return values[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
+_lattices: dict[int, Lattice] = {}
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, crc32 of the text) of every row; null and empty texts have no ids.
 
     Repeated rows are encoded one by one; other columns are not read."""
-    spark = docs.sparkSession
-    ranges = max(16, parts(spark))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    blocks = written(_blocks(rows, model, ranges))  # cut once
-    listed = blocks.where("p >= 0").select("block", "p", "words").dropDuplicates(["block", "p"])  # repeated rows: equal blocks
-    vocabulary = encode_words(listed.select("p", F.explode("words").alias("word")).distinct(), model, written(model.table(spark), 1))
-    raw, by_byte, unknown, fallback, apart = model.raw, model.bytes, model.unknown, model.fallback, model.apart
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = {w: i for w, i in zip(left.column("word").to_pylist(), left.column("ids").to_pylist(), strict=True)}
-        library = before = None
-        out = {"block": [], "p": [], "size": [], "ids": []}
-        for block, p, words in zip(*(right.column(c).to_pylist() for c in ("block", "p", "words")), strict=True):
-            found = []
-            for w in words:
-                ids = known.get(w)
-                if ids is None and len(w) >= LONG:
-                    if library is None:
-                        import sentencepiece
-
-                        library = sentencepiece.SentencePieceProcessor(model_proto=raw)
-                        before = library.encode(apart)
-                    # behind a character that no piece holds, so nothing joins it
-                    ids = known[w] = library.encode(apart + w)[len(before) :]
-                elif ids is None:
-                    ids = known[w] = [by_byte[b] for b in w.encode()] if fallback else [unknown] * len(w)
-                found.append(ids)
-            size = np.array([len(x) for x in found], "<u4")
-            flat = np.fromiter((y for x in found for y in x), "<u4", int(size.sum()))
-            out["block"].append(block)
-            out["p"].append(p)
-            out["size"].append(pa.compress(size.tobytes(), codec="zstd", asbytes=True) if len(size) else b"")
-            out["ids"].append(struct.pack("<qq", len(size), len(flat)) + (pa.compress(flat.tobytes(), codec="zstd", asbytes=True) if len(flat) else b""))
-        return pa.table({"block": pa.array(out["block"], pa.string()), "p": pa.array(out["p"], pa.int32()),
-                         "size": pa.array(out["size"], pa.binary()), "ids": pa.array(out["ids"], pa.binary())})
-
-    def string(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            raise ValueError("words of a block without its documents: the input changed between two reads")
-        order = np.argsort(right.column("p").to_numpy()) if right.num_rows else []
-        sizes, flats = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for k in order:
-            blob = right.column("ids")[int(k)].as_py()
-            n, m = struct.unpack_from("<qq", blob)
-            sizes.append(np.frombuffer(pa.decompress(right.column("size")[int(k)].as_py(), 4 * n, "zstd", asbytes=True), "<u4"))
-            flats.append(np.frombuffer(pa.decompress(blob[16:], 4 * m, "zstd", asbytes=True), "<u4") if m else np.zeros(0, np.uint32))
-        size, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flats)
-        at = np.cumsum(size) - size
-        tables = []
-        for blob in left.column("docs").to_pylist():  # the same block twice: repeated rows
-            nh, nk = struct.unpack_from("<qq", blob)
-            head, key, packed = blob[16 : 16 + nh], blob[16 + nh : 16 + nh + nk], blob[16 + nh + nk :]
-            nc, nu, nd = np.frombuffer(head, "<i8", 3).tolist()
-            if nu != len(size):
-                raise ValueError("a block met other words than its own: the input changed between two reads")
-            count, sums = np.frombuffer(head, "<i8", nd + 1, 24), np.frombuffer(head, "<i8", nd, 24 + 8 * (nd + 1))
-            code = np.frombuffer(pa.decompress(packed, nc, "zstd", asbytes=True), "<u2" if nu < 1 << 16 else "<u4") if nc else np.zeros(0, np.uint16)
-            n = size[code]
-            total = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat(at[code] - total[:-1], n) + np.arange(total[-1])]
-            lists = pa.ListArray.from_arrays(pa.array(total[count].astype(np.int32)), pa.array(ids.astype(np.int32)))
-            tables.append(pa.table({"_id": pa.ipc.open_stream(key).read_all().column("id"), "ids": lists, "crc": pa.array(sums, pa.int64())}))
-        return pa.concat_tables(tables)
-
-    vocabulary = vocabulary.select(F.col("p").alias("q"), "word", "ids")
-    matched = vocabulary.groupBy("q").cogroup(listed.groupBy("p")).applyInArrow(look_up, "block string, p int, size binary, ids binary")
-    done = blocks.where("p < 0").select("block", "docs").groupBy("block").cogroup(matched.groupBy("block"))
-    return done.applyInArrow(string, f"_id {kind}, ids array<int>, crc bigint").withColumnRenamed("_id", id_col)
+    raw = docs.sparkSession.sparkContext.broadcast(model.raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = zlib.crc32(raw.value)
+        lattice = _lattices.get(key)
+        if lattice is None:
+            _lattices.clear()
+            lattice = _lattices[key] = Lattice(Model(raw.value))
+        for batch in batches:
+            _, offs = K.buffer_of(batch.column("_text"))
+            for i, j in K.slices(offs, BLOCK):
+                texts = [t or "" for t in batch.column("_text").slice(i, j - i).to_pylist()]
+                crc = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), lattice.block(texts), crc], names=["_id", "ids", "crc"])
+
+    return rows.mapInArrow(run, f"_id {kind}, ids array<int>, crc bigint").withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

@@ -138,6 +138,58 @@ def test_sentencepiece_edges_and_decoding(spark):
     assert sorted((r["doc_id"], r["ids"]) for r in twice) == sorted((i, got[i]["ids"]) for i in range(len(texts)) for _ in range(2))
 
 
+def test_sentencepiece_moves_no_words(spark):
+    """Encoding neither shuffles nor writes, and several blocks of odd words give the library's ids."""
+    rd = random.Random(5)
+    signs = ["e", "t", "th", "ing", " ", "  ", "é", "你", "😀", "\n", "\x00", "<0x41>", "ﬁ", "\u0301", "X" * 230, "▁", "Я", "0", ".,"]
+    texts = ["".join(rd.choices(signs, k=rd.randint(0, 80))) for _ in range(300)]
+    texts += [None, "", "".join(rd.choices("abehinrst ", k=(5 << 20) // 2)), "ab" * 99 + " " + "ab" * 100]
+    model = lattice.read_model(PIECES)
+    found = lattice.encode(H.frame(spark, list(enumerate(texts))).coalesce(1), model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan and "MapInArrow" in plan
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: (r["ids"], r["crc"]) for r in found.collect()}
+    assert all(got[i] == (library.encode(t or ""), zlib.crc32((t or "").encode())) for i, t in enumerate(texts))
+
+
+def test_both_folds_on_random_models():
+    """Column by column against one word at a time, with and without byte pieces, ties and unknown characters."""
+    for seed in range(60):
+        rd = random.Random(seed)
+        score = {"".join(rd.choices("abc▁d", k=rd.randint(1, 5))): -rd.randint(1, 9) / 2 for _ in range(rd.randint(1, 25))}
+        kind, low = rd.choice([lattice.UNIGRAM, lattice.BPE]), min(score.values()) - 10
+        pieces = [("<unk>", 0.0, 2), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256 * (seed % 3 == 0))], *[(t, s, 1) for t, s in score.items()]]
+        model = lattice.Model(b"".join([_field(1, _field(1, t.encode()) + b"\x15" + np.float32(s).tobytes() + bytes([0x18, k])) for t, s, k in pieces]
+                                       + [_field(2, bytes([0x18, kind])), _field(3, _field(1, b"identity") + bytes([0x18, 1, 0x20, 0]))]))
+        number, fold = {t: i for i, (t, _, k) in enumerate(pieces) if k == 1}, lattice.Lattice(model)
+
+        def viterbi(word):
+            table = [(0.0, [])]
+            for e in range(1, len(word) + 1):
+                ways = [(table[s][0] + score[word[s:e]], -s) for s in range(e) if word[s:e] in score]
+                cost, s = max(ways + [(table[e - 1][0] + low, 1 - e)] * (word[e - 1] not in score))
+                table.append((cost, table[-s][1] + [word[-s:e]]))
+            return table[-1][1]
+
+        def merges(word):
+            parts = list(word)
+            while ways := [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in score]:
+                i = min(ways)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return parts
+
+        texts = ["".join(rd.choices("abc dé ", k=rd.randint(0, 30))) for _ in range(20)]
+        for t, ids in zip(texts, fold.block(texts).to_pylist(), strict=True):
+            marked = ("▁" + t.replace(" ", "▁")) if t else ""
+            want = (viterbi if kind == lattice.UNIGRAM else merges)(marked)
+            assert ids == [i for p in want for i in ([number[p]] if p in number else fold.byte_ids(p))]
+
+
+def _field(number, payload):
+    return bytes([number << 3 | 2, len(payload)]) + payload
+
+
 def test_viterbi_fold_of_a_unigram_model(spark):
     def field(number, payload):
         return bytes([number << 3 | 2, len(payload)]) + payload
